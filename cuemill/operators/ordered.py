@@ -79,6 +79,17 @@ class Ordered:
         self.output[name] = F.coalesce(inside, carried)
         return self
 
+    def next_value(self, name: str, value) -> "Ordered":
+        """Earliest non-null value at or after the row."""
+        value = _col(value)
+        kept = F.when(value.isNotNull(), self.rank)
+        by = F.max_by if self.descending else F.min_by
+        after = self.along.rowsBetween(1, Window.unboundedFollowing)
+        carried = self._add(name, by(value, kept), lambda s: F.first(s, True).over(after))
+        inside = F.first(value, True).over(self.local.rowsBetween(0, Window.unboundedFollowing))
+        self.output[name] = F.coalesce(inside, carried)
+        return self
+
     def lag(self, name: str, value) -> "Ordered":
         value = _col(value)
         carried = self._add(name, self._last(F.struct(value.alias("v"))), lambda s: F.lag(s).over(self.along))

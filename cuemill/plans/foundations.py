@@ -27,7 +27,7 @@ def clock_sql(ms: str) -> str:
 
 
 @query("b1_time_codec", "doc_cue", f"""
-raw as (select track_id, cue_ix, start_ms, {clock_sql('start_ms - 20000')} as formatted,
+raw as (select track_id, cue_ix, start_ms, end_ms, {clock_sql('start_ms - 20000')} as formatted,
   (start_ms//3600000)||':'||lpad(cast(start_ms%67 as varchar),2,'0')||':'||lpad(cast(end_ms%61 as varchar),2,'0')
   ||(case when cue_ix%2=0 then ',' else '.' end)||(start_ms%997) as clock from doc_cue)
 select track_id, cue_ix, formatted, clock,
@@ -70,8 +70,8 @@ def clean_dialogue(spark, sf_dir):
 a as (select track_id, cue_ix, {WORDS_SQL.format(CLEAN_SQL)} as w,
   regexp_extract_all(replace(replace(lower(text),'’',''''),'‘',''''), '[a-z0-9]+(?:''[a-z]+)?') as c from doc_cue)
 select track_id, cue_ix, cast(len(w) as bigint) as n_words,
-  array_to_string(list_filter(w, x -> not list_contains({GENERIC_SQL}, x)), ' ') as content,
-  array_to_string(list_transform(c, x -> coalesce(map_extract(MAP {{{
+  array_to_string(list_filter(w, lambda x: not list_contains({GENERIC_SQL}, x)), ' ') as content,
+  array_to_string(list_transform(c, lambda x: coalesce(map_extract(MAP {{{
       ",".join("'" + k.replace("'", "''") + "': '" + v + "'" for k, v in T.CONTRACTIONS.items())}}}, x)[1], x)), ' ')
    as clause from a""")
 def tokens(spark, sf_dir):
@@ -186,7 +186,7 @@ def repeated_cues(spark, sf_dir):
 @query("d28_repeated_block", "", r"""
 l as (select doc_id as track_id, string_split(text, chr(10)) as a from documents),
 p as (select track_id, len(a) as n, case when not list_contains(a,'') then
- list_filter(range(1, greatest(len(a)//2,1)+1), k -> len(a)>=2 and len(a)%k=0 and a[k+1:]=a[:len(a)-k])[1] end as period from l)
+ list_filter(range(1, greatest(len(a)//2,1)+1), lambda k: len(a)>=2 and len(a)%k=0 and a[k+1:]=a[:len(a)-k])[1] end as period from l)
 select track_id, n as lines, period as block_lines, n//period as copies from p where period is not null""")
 def repeated_block(spark, sf_dir):
     lines = load(spark, sf_dir, "documents").select(
