@@ -9,6 +9,7 @@ from cuemill.plans.registry import QUERIES, Query
 MODULES = (
     "foundations",
     "intervals",
+    "offsets",
 )
 
 
