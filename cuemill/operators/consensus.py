@@ -120,7 +120,7 @@ def production_safety(chosen: DataFrame, models: DataFrame, anchors: DataFrame,
     own = models.select(*keys, "scale_ix", "offset_ms", "place", "probes", "median_residual", "max_residual", "anchors")
     picked = chosen.select(*keys, "scale_ix", "offset_ms").join(
         own.filter("place = 1").drop("offset_ms", "place"), [*keys, "scale_ix"])
-    used = picked.select(*keys, F.explode(F.split("anchors", ",")).cast("long").alias("anchor_id")).join(
+    used = picked.select(*keys, F.explode(F.split("anchors", ",").cast("array<bigint>")).alias("anchor_id")).join(
         anchors.select(*keys, "anchor_id", "quality"), [*keys, "anchor_id"]).groupBy(*keys).agg(F.count_if("quality").alias("good"))
     rival = own.filter("scale_ix = 0 and place between 2 and 3").select(
         *keys, F.col("offset_ms").alias("r_offset"), F.col("probes").alias("r_probes"),

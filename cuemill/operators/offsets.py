@@ -232,7 +232,7 @@ def _overlap_curve(reference, candidate, keys, low, high) -> DataFrame:
     two = F.explode(F.array(F.lit(0), F.lit(1)))
     moved = candidate.withColumn("i", two).withColumn("cell", F.col("cell") + low + F.col("i"))
     start = moved.join(reference, [*keys, "cell"], "left_semi").groupBy(*keys).agg(
-        F.count_if("i = 0").alias("c0"), F.count_if("i = 1").alias("c1"))
+        F.count_if(F.col("i") == 0).alias("c0"), F.count_if(F.col("i") == 1).alias("c1"))
     zero = F.lit(0).cast("long")
     sizes = candidate.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cand")).join(
         reference.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ref")), keys)

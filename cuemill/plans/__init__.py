@@ -10,6 +10,7 @@ MODULES = (
     "foundations",
     "intervals",
     "offsets",
+    "evidence",
 )
 
 
