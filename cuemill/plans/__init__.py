@@ -11,6 +11,8 @@ MODULES = (
     "intervals",
     "offsets",
     "evidence",
+    "catalogue",
+    "selection",
 )
 
 
