@@ -33,3 +33,227 @@ def dialogue_quality(cues: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("usable", (total >= 5) & (distinctive >= 2) & (F.col("quality") >= MIN_PROBE_QUALITY))
         .drop("top")
     )
+
+
+def shortlist(probes: DataFrame, windows: DataFrame, keys=(), first: int = 8, widened: int = 16, enough: int = 12) -> DataFrame:
+    """Probe-window pairs that share one of the probe's rarest words.
+
+    `probes(keys, probe_id, text)`, `windows(keys, window_id, text)`. Words are ranked per probe by
+    the number of windows that hold them; the first 8 are used, up to 16 where those give fewer
+    than 12 windows. A probe that has words but shares none is left out: without a common word no
+    window can reach the acceptance score. Word lists are distinct per text before any join.
+    """
+    from pyspark.sql import Window
+
+    keys = list(keys)
+    def tokens(df, name):
+        return df.select(*keys, name, F.explode(F.array_distinct(T.words(T.clean_dialogue(F.col("text"))))).alias("word"))
+
+    held, asked = tokens(windows, "window_id"), tokens(probes, "probe_id")
+    frequency = held.join(asked.select(*keys, "word").distinct(), [*keys, "word"], "left_semi").groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
+    rarity = Window.partitionBy(*keys, "probe_id").orderBy("df", "word")
+    ranked = asked.join(frequency, [*keys, "word"]).withColumn("rank", F.row_number().over(rarity)).filter(F.col("rank") <= widened)
+    met = ranked.select(*keys, "probe_id", "word", "rank").join(held, [*keys, "word"]).groupBy(*keys, "probe_id", "window_id").agg(
+        F.min("rank").alias("rank"))
+    found = met.groupBy(*keys, "probe_id").agg(F.count_if(F.col("rank") <= first).alias("found"))
+    return met.join(found, [*keys, "probe_id"]).filter((F.col("rank") <= first) | (F.col("found") < enough)).select(*keys, "probe_id", "window_id")
+
+
+def rank_anchors(scored: DataFrame, keys, limit: int = 6, spacing: int = 400, apart: int = 15_000) -> DataFrame:
+    """The best locations of every probe, at least 0.4 s apart, with their margins.
+
+    `scored(keys, axis, place_ms, score)`; `axis` names the timeline a place belongs to. Places are
+    reduced to one row per millisecond. A pick rules out fewer than 2 * 400 of them, so six picks
+    always lie within the first 5 * 799 + 1 ranked places: no more are gathered for the greedy
+    choice, and the choice is still exact.
+    """
+    from pyspark.sql import Window
+
+    keys = list(keys)
+    places = scored.groupBy(*keys, "axis", "place_ms").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "axis", "place_ms")
+    top = places.filter("score >= 0.5").withColumn("rank", F.row_number().over(order)).filter(
+        F.col("rank") <= (limit - 1) * (2 * spacing - 1) + 2)
+    item = F.struct("rank", "score", "axis", "place_ms")
+    ordered = top.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    best = F.get("items", F.lit(0))["score"]
+    second = F.coalesce(F.get("items", F.lit(1))["score"], F.lit(0.0))
+    picked = F.aggregate(
+        F.filter("items", lambda x: x["score"] >= best - 0.20), F.slice("items", 1, 0),
+        lambda acc, x: F.when(
+            (F.size(acc) < limit) & ~F.exists(acc, lambda y: (y["axis"] == x["axis"]) & (F.abs(y["place_ms"] - x["place_ms"]) < spacing)),
+            F.concat(acc, F.array(x))).otherwise(acc))
+    chosen = ordered.select(*keys, best.alias("best"), second.alias("second"), F.posexplode(picked).alias("pos", "x")).select(
+        *keys, "x.axis", "x.place_ms", "x.score", (F.col("pos") + 1).alias("place"), F.col("x.rank").alias("rank"),
+        F.when(F.col("x.rank") == 1, F.greatest(F.lit(0.0), F.col("x.score") - F.col("second"))).otherwise(0.0).alias("margin"))
+    others = places.select(*keys, F.col("axis").alias("o_axis"), F.col("place_ms").alias("o_ms"), F.col("score").alias("o_score"))
+    away = (F.col("o_axis") != F.col("axis")) | (F.abs(F.col("o_ms") - F.col("place_ms")) >= apart)
+    rival = chosen.join(others, keys).filter(away).groupBy(*keys, "place").agg(F.max("o_score").alias("rival"))
+    return chosen.join(rival, [*keys, "place"], "left").select(
+        *keys, "place", "axis", "place_ms", "score", "margin",
+        F.greatest(F.lit(0.0), F.col("score") - F.coalesce("rival", F.lit(0.0))).alias("distinct_margin"))
+
+
+def corroborate(pairs: DataFrame, durations: DataFrame, keys) -> DataFrame:
+    """Weak wording accepted only where distant clips agree in time.
+
+    `pairs(keys, clip_ix, offset_ms, movie_ms, similarity)` with |offset| <= 10 s; best pair per clip.
+    """
+    good = pairs.filter("similarity >= 0.32 and abs(offset_ms) <= 10000")
+    best = good.groupBy(*keys, "clip_ix").agg(F.max_by(
+        F.struct("offset_ms", "movie_ms", "similarity"), F.struct("similarity", -F.abs("offset_ms"), -F.col("offset_ms"))).alias("b")).select(*keys, "b.*")
+    centre = best.groupBy(*keys).agg(F.median("offset_ms").alias("centre"), F.count(F.lit(1)).alias("clips"))
+    near = best.join(centre, keys).filter(F.abs(F.col("offset_ms") - F.col("centre")) <= 850)
+    fit = near.groupBy(*keys).agg(
+        F.median("offset_ms").alias("offset_ms"), F.count(F.lit(1)).alias("inliers"), F.max("similarity").alias("top"), F.avg("similarity").alias("mean"),
+        (F.max("movie_ms") - F.min("movie_ms")).alias("span_ms"), F.min("offset_ms").alias("lo"), F.max("offset_ms").alias("hi"))
+    spread = F.greatest(F.col("offset_ms") - F.col("lo"), F.col("hi") - F.col("offset_ms"))
+    accepted = (
+        (F.col("inliers") >= 3) & (F.col("top") >= 0.42) & (F.round("mean", 9) >= 0.38) & (spread <= 850)
+        & (F.col("span_ms") >= F.greatest(F.lit(600_000), F.col("duration_ms") * 0.25)))
+    return fit.join(durations, keys).select(*keys, "inliers", "offset_ms", "span_ms", accepted.alias("accepted"))
+
+
+def detect_language(cues: DataFrame, key: str = "track_id", first_cues: int = 300) -> DataFrame:
+    """Language of every track from the script and the marker words of its first 300 cues."""
+    # Marker words, and markers of the two Chinese scripts.
+    latin = {
+        "en": "the and you that this what with have not are for", "es": "que los las una por para con como pero está del",
+        "fr": "les des une est pas pour avec dans mais vous que", "de": "der die das und ist nicht mit für auf ich sie",
+        "pt": "que uma não por para com como mas você está dos",
+    }
+    traditional, simplified = "[這個們為與說會來時麼還裡後沒對從讓將於]", "[这个们为与说会来时么还里后没对从让将于]"
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
+    def hits(words):
+        return F.sum(F.size(F.filter(found, lambda w: w.isin(*words.split()))))
+
+    agg = cues.filter(F.col("cue_ix") <= first_cues).groupBy(key).agg(
+        F.bool_or(F.col("text").rlike("[぀-ヿ]")).alias("kana"), F.bool_or(F.col("text").rlike("[가-힯]")).alias("hangul"),
+        F.bool_or(F.col("text").rlike("[Ѐ-ӿ]")).alias("cyrillic"), F.bool_or(F.col("text").rlike("[㐀-鿿]")).alias("han"),
+        F.sum(F.regexp_count("text", F.lit(traditional))).alias("trad"), F.sum(F.regexp_count("text", F.lit(simplified))).alias("simp"),
+        *[hits(w).alias(f"n_{c}") for c, w in latin.items()])
+    top = F.greatest(*[F.col(f"n_{c}") for c in latin])
+    best = F.when(F.lit(False), "")
+    for c in latin:
+        best = best.when(F.col(f"n_{c}") == top, c)
+    lang = (
+        F.when(F.col("kana"), "ja").when(F.col("hangul"), "ko").when(F.col("cyrillic"), "ru")
+        .when(F.col("han"), F.when(F.col("trad") > F.col("simp"), "zh-TW").otherwise("zh-CN")).when(top >= 3, best).otherwise("und"))
+    return agg.select(key, lang.alias("language"), top.cast("long").alias("evidence"))
+
+
+def content_conflict(cues: DataFrame, key: str = "track_id") -> DataFrame:
+    """Why a track's text cannot be a plain English source: commentary, mojibake, foreign script or language."""
+    # Marker words of foreign and English text, marks of broken decoding.
+    foreign = {
+        "fr": "avec dans elle est mais nous pas pour que une vous", "de": "aber das der die ein eine ich ist nicht und wir",
+        "es": "como con ella esta los para pero por que una", "it": "che con della non per sono una", "pt": "com ela não para por que uma",
+    }
+    english = ("the and you that this what with have not are for your was but they his her she he we to of in is it on be as at do my "
+               "there here know get go come will would could should").split()
+    broken = ("�", "锟斤拷", "脡", "脿", "â€")
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
+    head = F.col("cue_ix") <= 600
+    marks = F.lit(False)
+    for b in broken:
+        marks = marks | F.col("text").contains(b)
+    sums = []
+    for c, w in foreign.items():
+        listed = w.split()
+        mask = F.aggregate(F.transform(F.array(*[F.lit(x) for x in listed]), lambda m, i: F.when(
+            F.array_contains(found, m), F.pow(F.lit(2), i)).otherwise(0).cast("int")), F.lit(0), lambda a, x: a.bitwiseOR(x))
+        sums += [F.sum(F.when(head, F.size(_members(found, listed)))).alias(f"s_{c}"),
+                 F.bit_count(F.bit_or(F.when(head, mask))).alias(f"k_{c}")]
+    agg = cues.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(head & marks).alias("marked"),
+        F.sum(F.when(head, F.regexp_count("text", F.lit("[ÃÂ]")))).alias("latin_marks"),
+        F.sum(F.when(head, F.size(found))).alias("letters"),
+        F.sum(F.when(head, F.regexp_count("text", F.lit("[㐀-鿿぀-ヿ가-힯Ѐ-ӿ]")))).alias("other_script"),
+        F.sum(F.when(head, F.size(_members(found, english)))).alias("english"), *sums)
+    opening = cues.filter("cue_ix <= 80").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cue_ix", "text"))).alias("c")).select(
+        key, F.lower(F.array_join(F.transform("c", lambda x: x["text"]), " ")).alias("opening"))
+    o = F.col("opening")
+    roles = sum((F.when(o.rlike(rf"\b{r}\b"), 1).otherwise(0) for r in ("writer", "director", "producer", "executive producer")), F.lit(0))
+    commentary = o.rlike(r"\b(?:audio|director(?:'s)?|filmmaker) commentary\b|\bwelcome to (?:the|this) commentary\b") | (
+        o.rlike(r"\b(?:my name is|i am|i'm)\b") & (roles >= 2))
+    top = F.greatest(*[F.struct(F.col(f"s_{c}").alias("s"), F.col(f"k_{c}").alias("k")) for c in foreign])
+    dominant = (top["s"] >= F.greatest(F.lit(18), F.floor(F.col("english") * 0.18))) & (top["k"] >= 3)
+    reason = (
+        F.when(F.col("n") < 20, "").when(commentary, "commentary").when(F.col("marked") | (F.col("latin_marks") >= 3), "mojibake")
+        .when(F.col("other_script") >= F.greatest(F.lit(12), F.floor(F.col("letters") / 20)), "foreign_script").when(dominant, "foreign_language").otherwise(""))
+    return agg.join(opening, key).select(key, F.col("n").alias("cues"), F.col("english").cast("long").alias("english"), top["s"].cast("long").alias("foreign"), reason.alias("reason"))
+
+
+def _members(found, listed):
+    return F.filter(found, lambda t: t.isin(*listed))
+
+
+def glyph_gaps(texts: DataFrame, font: DataFrame, fallbacks: DataFrame) -> DataFrame:
+    """Characters a font lacks, and the first fallback that has them.
+
+    `texts(text)`, `font(char)`, `fallbacks(font_id, rank, char)`. Only distinct characters are joined.
+    """
+    used = texts.select(F.explode(F.array_distinct(F.split("text", ""))).alias("char")).distinct().filter(
+        (F.col("char") != "") & ~F.col("char").rlike(r"[\s\p{Cc}\p{Cf}]"))
+    missing = used.join(font.select("char").distinct(), "char", "left_anti")
+    return missing.join(fallbacks, "char", "left").groupBy("char").agg(F.min_by("font_id", "rank").alias("font_id"))
+
+
+def independent_evidence(rows: DataFrame, keys) -> DataFrame:
+    """Is there text evidence from two independent moments?
+
+    `rows(keys, position, at_ms, text, stable)`. Far pairs are decided from the first and last time
+    of each text; near pairs need one position and meet through three-second cells.
+    """
+    seen = rows.withColumn("key", T.evidence_key(F.col("text"))).filter("key <> ''")
+    spans = seen.groupBy(*keys, "key").agg(F.min("at_ms").alias("lo"), F.max("at_ms").alias("hi"))
+    # The earliest and latest times of two texts decide whether any pair of different texts is 12 s apart.
+    ends = spans.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("texts"), F.min(F.struct("lo", "key")).alias("a"), F.max(F.struct("hi", "key")).alias("z"))
+    rest = spans.join(ends, keys).groupBy(*keys).agg(
+        F.first("texts").alias("texts"), F.first("a").alias("a"), F.first("z").alias("z"),
+        F.max(F.when(F.col("key") != F.col("a.key"), F.col("hi"))).alias("z2"), F.min(F.when(F.col("key") != F.col("z.key"), F.col("lo"))).alias("a2"))
+    far = rest.select(*keys, F.greatest(F.col("z2") - F.col("a.lo"), F.col("z.hi") - F.col("a2")).alias("reach"), "texts")
+    cell = F.floor(F.col("at_ms") / 3_000)
+    stable = seen.filter("stable").select(*keys, "position", "at_ms", "key").distinct()
+    left = stable.withColumn("cell", F.explode(F.array(cell, cell + 1, cell + 2)))
+    right = stable.select(*keys, "position", F.col("at_ms").alias("b_ms"), F.col("key").alias("b_key"), cell.alias("cell"))
+    near = left.join(right, [*keys, "position", "cell"]).filter(
+        (F.col("key") != F.col("b_key")) & (F.col("b_ms") - F.col("at_ms")).between(1_500, 6_000)).select(*keys).distinct().withColumn("near", F.lit(True))
+    return far.join(near, keys, "left").select(
+        *keys, "texts", (F.coalesce(F.col("reach") >= 12_000, F.lit(False)) | F.coalesce("near", F.lit(False))).alias("independent"))
+
+
+def burn_in_verdict(positions: DataFrame, evidence: DataFrame, keys) -> DataFrame:
+    """detected, uncertain or not_detected. `positions(keys, valid, unresolved)`."""
+    independent = independent_evidence(evidence, keys)
+    counts = positions.groupBy(*keys).agg(F.count_if("valid").alias("valid"), F.bool_or("unresolved").alias("unresolved"))
+    any_text = evidence.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    joined = counts.join(independent.select(*keys, "independent"), keys, "left").join(any_text, keys, "left")
+    status = (
+        F.when(F.coalesce("independent", F.lit(False)), "detected")
+        .when((F.coalesce("rows", F.lit(0)) > 0) | F.col("unresolved") | (F.col("valid") < 12), "uncertain").otherwise("not_detected"))
+    return joined.select(*keys, "valid", status.alias("status"))
+
+
+def sampling_verdict(scores: DataFrame, keys, planned: str = "planned") -> DataFrame:
+    """Accept a translation of timing by sampled similarities. `scores(keys, ix, score, planned)`; null scores are invalid."""
+    s = F.col("score")
+    agg = scores.groupBy(*keys).agg(
+        F.first(planned).alias("planned"), F.count("score").alias("valid"), F.count_if(s >= 0.50).alias("passed"), F.avg("score").alias("mean"),
+        F.sum("score").alias("total"), F.count(F.lit(1)).alias("tried"))
+    ranked = scores.filter("score is not null")
+    from pyspark.sql import Window
+
+    first = Window.partitionBy(*keys).orderBy("ix")
+    head = ranked.withColumn("r", F.row_number().over(first)).filter("r <= 2").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("head_n"), F.min("score").alias("head_min"), F.avg("score").alias("head_mean"))
+    fast = (F.col("head_n") >= 2) & (F.col("head_min") >= 0.60) & (F.round("head_mean", 9) >= 0.65)
+    needed = F.greatest(F.lit(3), F.ceil(F.col("planned") * 0.5))
+    accepted = (F.col("valid") >= needed) & (F.col("passed") >= F.greatest(F.lit(2), F.ceil(F.col("valid") * 0.75))) & (F.round("mean", 9) >= 0.55)
+    left = F.col("planned") - F.col("tried")
+    hope = F.exists(F.sequence(F.lit(0).cast("long"), F.greatest(left, F.lit(0)).cast("long")), lambda k: (
+        (F.col("valid") + k >= needed) & (F.col("passed") + k >= F.greatest(F.lit(2), F.ceil((F.col("valid") + k) * 0.75)))
+        & (F.round((F.coalesce("total", F.lit(0.0)) + k) / (F.col("valid") + k), 9) >= 0.55)))
+    return agg.join(head, keys, "left").select(
+        *keys, "valid", "passed", F.coalesce(accepted, F.lit(False)).alias("accepted"), F.coalesce(fast, F.lit(False)).alias("fast"), F.coalesce(hope, F.lit(False)).alias("possible"))

@@ -13,6 +13,7 @@ MODULES = (
     "evidence",
     "catalogue",
     "selection",
+    "texts",
 )
 
 
