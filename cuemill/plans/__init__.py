@@ -14,6 +14,8 @@ MODULES = (
     "catalogue",
     "selection",
     "texts",
+    "parallel",
+    "ingest",
 )
 
 

@@ -164,7 +164,8 @@ f1 as materialized (select cm.probe_id, cm.window_id, round(2*common/(a.n+b.n),6
 @query("u1_bag_f1", "doc_cue", _F1_SQL + "select probe_id, window_id, score from f1")
 def bag_f1(spark, sf_dir):
     words = lambda c: T.words(T.clean_dialogue(F.col(c)))
-    return _paired(spark, sf_dir).select("probe_id", "window_id", F.round(T.bag_f1(words("text"), words("probe_text")), 6).alias("score"))
+    bags = _paired(spark, sf_dir).select("probe_id", "window_id", words("text").alias("a"), words("probe_text").alias("b"))
+    return bags.select("probe_id", "window_id", F.round(T.bag_f1(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 @query("u1_dialogue_score")
@@ -177,14 +178,14 @@ def dialogue_score(spark, sf_dir):
 
 @query("e9_anchor_ranking", "doc_cue", _F1_SQL + """,
 sc as (select probe_id, track_id as axis, (start_ms+end_ms)//2 as place_ms, max(least(1.0::double, score*2.5::double)) as score from f1 join doc_cue on track_id*100000+cue_ix=window_id group by 1,2,3),
-rk as (select *, row_number() over (partition by probe_id order by score desc, axis, place_ms) as r, max(score) over (partition by probe_id) as best, lead(score) over (partition by probe_id order by score desc, axis, place_ms) as nxt from sc where score>=0.5::double),
-od as (select probe_id, list({'a':axis,'p':place_ms,'s':score} order by r) as l, any_value(best) as best from rk group by 1),
+rk9 as (select *, row_number() over (partition by probe_id order by score desc, axis, place_ms) as r, max(score) over (partition by probe_id) as best, lead(score) over (partition by probe_id order by score desc, axis, place_ms) as nxt from sc where score>=0.5::double),
+od as (select probe_id, list({'a':axis,'p':place_ms,'s':score} order by r) as l, any_value(best) as best from rk9 group by 1),
 st as (select probe_id, l, best, 1 as i, [l[1]] as acc from od union all
  select probe_id, l, best, i+1, case when len(acc)<6 and l[i+1].s>=best-0.20::double and len(list_filter(acc, lambda y: y.a=l[i+1].a and abs(y.p-l[i+1].p)<400))=0 then list_append(acc, l[i+1]) else acc end from st where i<len(l) and len(acc)<6 and l[i+1].s>=best-0.20::double),
 fi as (select probe_id, arg_max(acc, i) as acc from st group by 1),
 ch as (select probe_id, unnest(range(1,len(acc)+1)) as place, unnest(acc) as x from fi),
 rv as (select ch.probe_id, place, max(sc.score) as rival from ch join sc on sc.probe_id=ch.probe_id and (sc.axis<>x.a or abs(sc.place_ms-x.p)>=15000) group by 1,2)
-select ch.probe_id, cast(ch.place as int) as place, x.a as axis, x.p as place_ms, x.s as score, round(case when ch.place=1 then greatest(0.0::double, x.s-coalesce((select nxt from rk where rk.probe_id=ch.probe_id and r=1),0)) else 0.0::double end,6) as margin,
+select ch.probe_id, cast(ch.place as int) as place, x.a as axis, x.p as place_ms, x.s as score, round(case when ch.place=1 then greatest(0.0::double, x.s-coalesce((select nxt from rk9 where rk9.probe_id=ch.probe_id and r=1),0)) else 0.0::double end,6) as margin,
  round(greatest(0.0::double, x.s-coalesce(rival,0)),6) as distinct_margin from ch left join rv on rv.probe_id=ch.probe_id and rv.place=ch.place""")
 def anchor_ranking(spark, sf_dir):
     # The bag score of one cue against a long probe is low by construction; it is scaled to use the ranking rules.
