@@ -16,6 +16,8 @@ MODULES = (
     "texts",
     "parallel",
     "ingest",
+    "grouped",
+    "streams",
 )
 
 
