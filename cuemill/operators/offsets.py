@@ -116,6 +116,8 @@ def affine_offset(pairs: DataFrame, durations: DataFrame, keys, gap_ms: int = 60
     The slope median of one film needs all its pairs of cues; it is taken inside the task that
     holds the film's matched cues, row by row, so no pair ever becomes a DataFrame row.
     """
+    from cuemill.operators.grouped import spread
+
     pairs = pairs.select(*keys, "left_ms", "right_ms")
     support = _pair_support(pairs, durations, keys)
     schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys) + ", slope double"
@@ -124,7 +126,7 @@ def affine_offset(pairs: DataFrame, durations: DataFrame, keys, gap_ms: int = 60
         value = _median_slope(pdf["left_ms"].to_numpy(float), pdf["right_ms"].to_numpy(float), float(gap_ms))
         return pdf.iloc[:1][keys].assign(slope=value)
 
-    slopes = pairs.groupBy(*keys).applyInPandas(slope, schema).filter(~F.isnan("slope"))
+    slopes = spread(pairs, *keys).groupBy(*keys).applyInPandas(slope, schema).filter(~F.isnan("slope"))
     with_slope = pairs.join(slopes, keys)
     lead = with_slope.groupBy(*keys).agg(F.median(F.col("right_ms") - F.col("slope") * F.col("left_ms")).alias("intercept"))
     near = with_slope.join(lead, keys).filter(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuemill.operators.grouped import spread
 from cuemill.plans.intervals import union_sql
 from cuemill.plans.registry import query
 from cuemill.sources.tables import progress, speech
@@ -31,7 +32,7 @@ def deadline_risk(spark, sf_dir):
                 alerts.append((int(last["proc_id"]), *alert))
         return pd.DataFrame(alerts, columns=st.ALERT.names).astype("int64")
 
-    return reports(spark, sf_dir).groupBy("proc_id").applyInPandas(walk, st.ALERT)
+    return spread(reports(spark, sf_dir), "proc_id").groupBy("proc_id").applyInPandas(walk, st.ALERT)
 
 
 def percents(spark, sf_dir):
