@@ -12,9 +12,9 @@ from cuemill.streaming import progress as st
 
 
 def reports(spark, sf_dir):
-    """Progress reports on a clock sixty times faster, so that polls are seconds apart as in live use."""
+    """Progress reports on a clock a hundred times faster, so that polls are seconds apart as in live use."""
     return progress(spark, sf_dir).select(
-        "proc_id", "seq", F.floor(F.col("arrived_ms") / 60).alias("arrived_ms"), "out_ms", F.lit(60_000).cast("long").alias("total_ms"), (F.lit(90_000) + F.col("proc_id") % 7 * 20_000).alias("budget_ms"))
+        "proc_id", "seq", F.floor(F.col("arrived_ms") / 100).alias("arrived_ms"), "out_ms", F.lit(600_000).cast("long").alias("total_ms"), (F.lit(90_000) + F.col("proc_id") % 7 * 20_000).alias("budget_ms"))
 
 
 @query("s1_deadline_risk")

@@ -163,9 +163,12 @@ f1 as materialized (select cm.probe_id, cm.window_id, round(2*common/(a.n+b.n),6
 
 @query("u1_bag_f1", "doc_cue", _F1_SQL + "select probe_id, window_id, score from f1")
 def bag_f1(spark, sf_dir):
-    words = lambda c: T.words(T.clean_dialogue(F.col(c)))
-    bags = _paired(spark, sf_dir).select("probe_id", "window_id", words("text").alias("a"), words("probe_text").alias("b"))
-    return bags.select("probe_id", "window_id", F.round(T.bag_f1(F.col("a"), F.col("b")), 6).alias("score"))
+    # Bags are made once per text, before texts are paired.
+    bag = T.occurrences(T.words(T.clean_dialogue(F.col("text"))))
+    windows = _windows(spark, sf_dir).select("window_id", bag.alias("a"))
+    probes = _probes(spark, sf_dir).select("probe_id", bag.alias("b"))
+    pairs = _shortlist(spark, sf_dir).join(windows, "window_id").join(probes, "probe_id")
+    return pairs.select("probe_id", "window_id", F.round(T.bag_f1(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 @query("u1_dialogue_score")
