@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = (
     "d1_completeness", "d3_structure_conflict", "d4_fingerprint", "d14_interval_union", "d15_best_shift", "d7_fixed_offset",
     "c5_nearest_start", "c2_rare_word_shortlist", "e9_anchor_ranking", "e14_log_compaction", "e5_review_windows",
-    "c9_title_year_join", "d22_build_works", "h5_library_plan", "b2_clean_dialogue", "a1_parse_subtitles",
+    "c9_title_year_join", "d22_build_works", "h5_library_plan", "b2_clean_dialogue",
 )
 
 

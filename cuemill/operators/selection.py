@@ -128,14 +128,20 @@ def source_anchors(rows: DataFrame, audio: DataFrame) -> DataFrame:
     return useful.unionByName(other.select("media_id", "t.track_id", "t.lang", "t.tier"))
 
 
-def coverage(rows: DataFrame, desired: list[str], script_equivalent: bool) -> DataFrame:
-    """Covered and missing preference languages per film; one Chinese script may stand for the other."""
+def _covered(desired: list[str], script_equivalent: bool) -> tuple[Column, Column]:
+    """Covered and missing preference languages, from the set `found`."""
     scripts = F.array(F.lit("zh-CN"), F.lit("zh-TW"))
     wanted = F.array(*[F.lit(x) for x in desired])
-    found = rows.groupBy("media_id").agg(F.collect_set(F.when((F.col("type") == "subtitles") & F.col("dialogue"), F.col("lang"))).alias("found"))
     both = F.array_contains("found", "zh") | (F.lit(script_equivalent) & F.arrays_overlap("found", scripts))
     covered = F.when(both, F.array_union("found", F.array_intersect(wanted, scripts))).otherwise(F.col("found"))
-    return found.select("media_id", F.array_intersect(wanted, covered).alias("covered"), F.array_except(wanted, covered).alias("missing"))
+    return F.array_intersect(wanted, covered), F.array_except(wanted, covered)
+
+
+def coverage(rows: DataFrame, desired: list[str], script_equivalent: bool) -> DataFrame:
+    """Covered and missing preference languages per film; one Chinese script may stand for the other."""
+    found = rows.groupBy("media_id").agg(F.collect_set(F.when((F.col("type") == "subtitles") & F.col("dialogue"), F.col("lang"))).alias("found"))
+    covered, missing = _covered(desired, script_equivalent)
+    return found.select("media_id", covered.alias("covered"), missing.alias("missing"))
 
 
 def default_subtitle(tracks: DataFrame, preferences: list[str]) -> DataFrame:
@@ -161,15 +167,30 @@ def inspect(rows: DataFrame, required: list[str]) -> DataFrame:
 
 
 def library_plan(rows: DataFrame, desired: list[str], script_equivalent: bool = True) -> DataFrame:
-    """What to keep and what to make per film: audio, subtitles, conversion and translation source, status."""
-    audio = main_audio(rows)
-    kept = rows.groupBy("media_id").agg(
-        F.count_if((F.col("type") == "audio") & F.col("dialogue")).alias("kept_audio"),
-        F.count_if((F.col("type") == "subtitles") & ~F.col("incomplete") & F.col("lang").isin(*desired)).alias("kept_subtitles"))
-    have = coverage(rows, desired, script_equivalent)
-    source = source_anchors(rows, audio).groupBy("media_id").agg(F.min_by("track_id", F.struct("tier", "track_id")).alias("source_id"))
-    scripts = best_tracks(rows).filter("not incomplete and lang in ('zh-CN', 'zh-TW')").groupBy("media_id").agg(F.min("track_id").alias("script_id"))
-    plan = kept.join(have, "media_id").join(audio, "media_id", "left").join(source, "media_id", "left").join(scripts, "media_id", "left")
+    """What to keep and what to make per film: audio, subtitles, conversion and translation source, status.
+
+    Counts, covered languages and the main audio come from one pass over the tracks; the source is
+    the best of the two complete subtitles kept per language.
+    """
+    from pyspark.sql import Window
+
+    speaks = (F.col("type") == "audio") & F.col("dialogue")
+    films = rows.groupBy("media_id").agg(
+        F.count_if(speaks).alias("kept_audio"),
+        F.count_if((F.col("type") == "subtitles") & ~F.col("incomplete") & F.col("lang").isin(*desired)).alias("kept_subtitles"),
+        F.collect_set(F.when((F.col("type") == "subtitles") & F.col("dialogue"), F.col("lang"))).alias("found"),
+        F.min_by(F.struct("track_id", "lang"), F.when(speaks, F.struct(F.when(F.col("is_default"), 0).otherwise(1), "track_id"))).alias("main"))
+    _, missing = _covered(desired, script_equivalent)
+    films = films.select("media_id", "kept_audio", "kept_subtitles", missing.alias("missing"), F.col("main.track_id").alias("main_id"), F.col("main.lang").alias("main_lang"))
+    order = Window.partitionBy("media_id", "lang").orderBy(*subtitle_rank())
+    best = rows.filter("type = 'subtitles' and not incomplete").withColumn("n", F.row_number().over(order)).filter("n <= 2")
+    tier = F.when((F.col("main_lang") != "und") & (F.col("lang") == F.col("main_lang")), 0).when(F.col("lang") == "en", 1).otherwise(2)
+    tiered = best.join(films.select("media_id", "main_lang"), "media_id").withColumn("tier", tier)
+    source = tiered.groupBy("media_id").agg(
+        F.min_by("track_id", F.when(F.col("tier") < 2, F.struct("tier", "track_id"))).alias("useful"), F.min_by("track_id", F.struct("tier", *subtitle_rank())).alias("other")
+    ).select("media_id", F.coalesce("useful", "other").alias("source_id"))
+    scripts = best_tracks(rows.filter("lang in ('zh-CN', 'zh-TW')")).filter("not incomplete").groupBy("media_id").agg(F.min("track_id").alias("script_id"))
+    plan = films.join(source, "media_id", "left").join(scripts, "media_id", "left")
     need = F.size("missing") > 0
     convert = need & F.array_contains("missing", "zh-CN") & F.col("script_id").isNotNull()
     status = (

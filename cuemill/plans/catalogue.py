@@ -98,7 +98,7 @@ def sequel_number(spark, sf_dir):
 select p_partkey, case p_partkey%4 when 0 then cast(p_partkey as varchar) when 1 then cast(p_partkey as varchar) when 2 then '' else '' end as id from part""")
 def provider_id(spark, sf_dir):
     raw = F.expr("case p_partkey % 4 when 0 then 'tt00' || p_partkey when 1 then ' 0' || p_partkey || ' ' when 2 then 'unknown' else p_partkey || 'x' end")
-    return load(spark, sf_dir, "part").filter("p_partkey >= 0").select("p_partkey", F.when(F.col("p_partkey") == 0, F.lit("0")).otherwise(tt.provider_id(raw)).alias("id"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") == 0, F.lit("0")).otherwise(tt.provider_id(raw)).alias("id"))
 
 
 _CONFLICT_SQL = """
@@ -126,11 +126,11 @@ def conflicts(spark, sf_dir):
 
 @query("b27_media_specification", "candidate", REL_SQL + f"""
 select file_id, coalesce(nullif({ED_SQL.format('release')},''),'edition unmarked')||' · '||case when contains(release,'BluRay') then 'Blu-ray' when contains(release,'WEB-DL') then 'WEB-DL' else 'source unmarked' end
- ||' · '||printf('%d:%02d:%02d', (file_id*37)//3600, (file_id*37)%3600//60, (file_id*37)%60)||' · '||printf('%.2fG', file_id*12345678/1073741824.0::double) as spec from rel where file_id>0""")
+ ||' · '||printf('%d:%02d:%02d', (file_id*37+60)//3600, (file_id*37+60)%3600//60, (file_id*37+60)%60)||' · '||printf('%.2fG', file_id*12345678/1073741824.0::double) as spec from rel""")
 def media_specification(spark, sf_dir):
     name = F.concat("release", F.lit(".mkv"))
-    return _releases(spark, sf_dir).filter("file_id > 0").select(
-        "file_id", tt.media_specification(name, (F.col("file_id") * 37).cast("double"), F.col("file_id") * 12_345_678).alias("spec"))
+    return _releases(spark, sf_dir).select(
+        "file_id", tt.media_specification(name, (F.col("file_id") * 37 + 60).cast("double"), F.col("file_id") * 12_345_678).alias("spec"))
 
 
 @query("b28_duplicate_keys", "candidate", """

@@ -12,12 +12,13 @@ from cuemill.plans.catalogue import _claims
 from cuemill.plans.registry import query
 from cuemill.sources import headers as hd
 from cuemill.sources.subtitles import parse_subtitles
-from cuemill.sources.tables import candidate, load, media, shifted_cue, speech, track
+from cuemill.sources.tables import candidate, documents, load, media, shifted_cue, speech, track
 
 
 def subtitle_files(spark, sf_dir):
     """One subtitle text per document: SRT, WebVTT or ASS by document number."""
-    docs = load(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[<>{}]|-->|\\")).select("doc_id", F.split("text", "\n").alias("l"))
+    # Markup signs are taken out of the text, so that only the markup planted here is markup.
+    docs = documents(spark, sf_dir).select("doc_id", F.split(F.translate("text", "<>{}\\", ""), "\n").alias("l"))
     start = lambda i: (i * 2_000).cast("long")
     srt = F.transform("l", lambda s, i: F.concat((i + 1).cast("string"), F.lit("\n"), format_ms(start(i)), F.lit(" --> "), format_ms(start(i) + 1_500), F.lit("\n<i>"), s, F.lit("</i>")))
     vtt = F.transform("l", lambda s, i: F.concat(F.replace(format_ms(start(i)), F.lit(","), F.lit(".")), F.lit(" --> "), F.replace(format_ms(start(i) + 1_500), F.lit(","), F.lit(".")), F.lit("\n"), s))
@@ -29,7 +30,7 @@ def subtitle_files(spark, sf_dir):
 
 
 @query("a1_parse_subtitles", "", r"""
-d as (select doc_id, string_split(text,chr(10)) as l from documents where not regexp_matches(text,'[<>{}]|-->|\\')),
+d as (select doc_id, string_split(translate(text,'<>{}\',''),chr(10)) as l from documents),
 c as (select doc_id as track_id, unnest(range(0,len(l))) as i, unnest(l) as s from d)
 select track_id, i*2000 as start_ms, i*2000+1500 as end_ms, trim(regexp_replace(s,'\s+',' ','g')) as text from c""")
 def parse_subtitle_files(spark, sf_dir):

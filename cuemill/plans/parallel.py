@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuemill.functions import redaction as rd
 from cuemill.operators import parallel as pl
 from cuemill.plans.registry import query
-from cuemill.sources.tables import cache_log, doc_cue, load, speech
+from cuemill.sources.tables import cache_log, doc_cue, documents, speech
 
 WORDS = "['" + "','".join(w.replace("'", "''") for w in pl.DIALOGUE_WORDS) + "']"
 _PAIR = """select track_id, cue_ix, text as source, case cue_ix%3 when 0 then 'zh-CN' when 1 then 'de' else 'es' end as target,
@@ -30,10 +30,10 @@ def pair_issue(spark, sf_dir):
 
 
 @query("i2_identifier_roles", "doc_cue", """
-select track_id, cue_ix, 'label|gate|B,formula|A+B'||case when cue_ix%3=0 then ',initialism|U.S.' else '' end as kept_sorted, 0 as dummy from doc_cue where length(text)>0 and not regexp_matches(text,'[A-Z][.][A-Z]|[+*=/]')
+select track_id, cue_ix, 'label|gate|B,formula|A+B'||case when cue_ix%3=0 then ',initialism|U.S.' else '' end as kept_sorted, 0 as dummy from doc_cue
 """.replace("'label|gate|B,formula|A+B'||case when cue_ix%3=0 then ',initialism|U.S.' else '' end as kept_sorted, 0 as dummy", "case when cue_ix%3=0 then 'formula|A+B,initialism|U.S.,label|gate|B' else 'formula|A+B,label|gate|B' end as kept"))
 def identifier_roles(spark, sf_dir):
-    rows = doc_cue(spark, sf_dir).filter("length(text) > 0").filter(~F.col("text").rlike(r"[A-Z][.][A-Z]|[+*=/]"))
+    rows = doc_cue(spark, sf_dir).withColumn("text", F.translate("text", "+*=/", ""))
     initial = F.when(F.col("cue_ix") % 3 == 0, " U.S. ").otherwise(" ")
     source = F.concat(F.lit("to gate B, "), F.lower("text"), initial, F.lit("A plus B"))
     # The second gate B and the second U.S. have no source occurrence left.
@@ -45,7 +45,7 @@ def identifier_roles(spark, sf_dir):
 
 @query("i3_kept_names")
 def kept_names(spark, sf_dir):
-    rows = doc_cue(spark, sf_dir).filter("length(text) > 0").withColumn("source", F.concat(F.lit("I met Darth Vader and Dr. Strange. "), "text"))
+    rows = doc_cue(spark, sf_dir).withColumn("source", F.concat(F.lit("I met Darth Vader and Dr. Strange. "), "text"))
     found = pl.kept_names(F.col("source"), F.concat(F.lit("我见了Darth Vader和Dr. Strange，"), "text"))
     return rows.select("track_id", "cue_ix", F.array_join(F.transform(found, lambda k: F.concat(k["name"], F.lit("*"), k["n"])), "|").alias("kept"))
 
@@ -63,10 +63,10 @@ def batch_reconciliation(spark, sf_dir):
     return pl.reconcile_batch(batch, ["track_id", "win"])
 
 
-@query("i5_review_fold", "doc_cue", "tp as (" + _PAIR.format("doc_cue") + """)
-select track_id, cue_ix, case when cue_ix%4=0 then 'user_approved' when trim(source)='' then 'resolved' when cue_ix%7=0 then 'needs_review' when target<>'zh-CN' and cue_ix%7 in (2,3,4) then 'needs_review' else 'resolved' end as state from tp where target<>'zh-CN'""")
+@query("i5_review_fold", "doc_cue", "tp as (" + _PAIR.replace("'zh-CN'", "'fr'").format("doc_cue") + """)
+select track_id, cue_ix, case when cue_ix%4=0 then 'user_approved' when trim(source)='' then 'resolved' when cue_ix%7=0 then 'needs_review' when cue_ix%7 in (2,3,4) then 'needs_review' else 'resolved' end as state from tp""")
 def review_fold(spark, sf_dir):
-    rows = _tpairs(spark, sf_dir).filter("target <> 'zh-CN'").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = spark.sql(_PAIR.replace("'zh-CN'", "'fr'").format("{t}"), t=doc_cue(spark, sf_dir)).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
     reviews = rows.withColumns({"seq": F.col("n"), "status": F.when((F.col("cue_ix") % 4 == 0) & (F.col("n") == 1), "user_approved").otherwise("needs_review")})
     return pl.recheck_reviews(reviews, ["track_id", "cue_ix"]).select("track_id", "cue_ix", "state")
 
@@ -137,10 +137,9 @@ def redaction(spark, sf_dir):
 
 
 @query("b18_redacted_documents", "", r"""
-select doc_id, regexp_replace(text, '(?i)(\btoken\s*=\s*)"[^"\r\n]*"', '\1"[REDACTED]"', 'g') as text from documents where regexp_matches(text,'(?i)\btoken\s*=\s*"')""")
+select doc_id, regexp_replace(text, '(?i)(\btoken\s*=\s*)"[^"\r\n]*"', '\1"[REDACTED]"', 'g') as text from documents""")
 def redacted_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").filter(F.col("text").rlike(r'(?i)\btoken\s*=\s*"'))
-    return docs.select("doc_id", rd.redact(F.col("text")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", rd.redact(F.col("text")).alias("text"))
 
 
 _ERROR = "case event_id%7 when 0 then 'retained track 4 unverified' when 1 then 'insufficient evidence in region 2' when 2 then 'request timed out' when 3 then 'tool error 7' when 4 then 'offset conflict between regions' when 5 then '证据不足' else 'no match' end"

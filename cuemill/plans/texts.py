@@ -15,20 +15,20 @@ from cuemill.sources.tables import doc_cue, load, shifted_cue, speech
 # Marks are planted by cue number so that every rule is met on plain text.
 _MARKED = """case cue_ix%7 when 0 then '♪ '||text||' ♪' when 1 then '[door opens] '||text when 2 then 'JOHN: '||text when 3 then text||' (laughs softly)' when 4 then '('||text||' you see)'
  when 5 then '<i>'||text||'</i>' else text||chr(10)||'♪ la la' end"""
-MK_SQL = f"mk as (select track_id, cue_ix, start_ms, end_ms, {_MARKED} as text from doc_cue where not regexp_matches(text, '[\\[\\]()<>{{}}♪]'))"
+MK_SQL = f"mk as (select track_id, cue_ix, start_ms, end_ms, {_MARKED} as text from (select * replace (translate(text, '[]()<>{{}}♪:', '') as text) from doc_cue))"
 
 
 def _marked(spark, sf_dir):
-    rows = doc_cue(spark, sf_dir).filter(~F.col("text").rlike(r"[\[\]()<>{}♪]"))
+    rows = doc_cue(spark, sf_dir).withColumn("text", F.translate("text", "[]()<>{}♪:", ""))
     return rows.withColumn("text", F.expr(_MARKED))
 
 
-@query("b4_dialogue_text", "doc_cue", MK_SQL + r"""
-select track_id, cue_ix, case cue_ix%7 when 0 then '' when 2 then trim(regexp_replace(text,'^JOHN: ','')) when 1 then trim(regexp_replace(text,'^\[door opens\] ','')) when 3 then trim(regexp_replace(text,' \(laughs softly\)$',''))
- when 4 then trim(regexp_replace(text,'[()]','','g')) when 5 then trim(regexp_replace(text,'</?i>','','g')) else trim(string_split(text,chr(10))[1]) end as dialogue from mk where length(regexp_replace(text,'[^a-zA-Z]','','g'))>12""")
+@query("b4_dialogue_text", "doc_cue", MK_SQL + r""",
+dl as (select track_id, cue_ix, case cue_ix%7 when 0 then '' when 2 then trim(regexp_replace(text,'^JOHN: ','')) when 1 then trim(regexp_replace(text,'^\[door opens\] ','')) when 3 then trim(regexp_replace(text,' \(laughs softly\)$',''))
+ when 4 then trim(regexp_replace(text,'[()]','','g')) when 5 then trim(regexp_replace(text,'</?i>','','g')) else trim(string_split(text,chr(10))[1]) end as r from mk)
+select track_id, cue_ix, case when regexp_matches(r,'[\p{L}\p{N}]') then r else '' end as dialogue from dl""")
 def dialogue_text(spark, sf_dir):
-    rows = _marked(spark, sf_dir).filter(F.length(F.regexp_replace("text", "[^a-zA-Z]", "")) > 12)
-    return rows.select("track_id", "cue_ix", T.dialogue_text(F.col("text")).alias("dialogue"))
+    return _marked(spark, sf_dir).select("track_id", "cue_ix", T.dialogue_text(F.col("text")).alias("dialogue"))
 
 
 @query("b7_language_detection", "doc_cue", """
@@ -44,13 +44,12 @@ def language_detection(spark, sf_dir):
 
 
 @query("b17_text_validity", "doc_cue", r"""
-v as (select track_id, cue_ix, case cue_ix%6 when 0 then '  ' when 1 then text||chr(7) when 2 then text||chr(10)||' '||chr(10)||text when 3 then text||chr(10)||'1:02:03,4 --> 1:02:05,6' else text end as text from doc_cue where length(trim(text))>0)
-select track_id, cue_ix, case cue_ix%6 when 0 then 'empty' when 1 then 'control' when 2 then 'blank_line' when 3 then 'timing_line' else '' end as reason from v""")
+v as (select track_id, cue_ix, case cue_ix%6 when 0 then '  ' when 1 then text||chr(7) when 2 then text||chr(10)||' '||chr(10)||text when 3 then text||chr(10)||'1:02:03,4 --> 1:02:05,6' else text end as text, trim(text)='' as bare from doc_cue)
+select track_id, cue_ix, case when cue_ix%6=0 or (bare and cue_ix%6 in (2,4,5)) then 'empty' when cue_ix%6=1 then 'control' when cue_ix%6=2 then 'blank_line' when cue_ix%6=3 then 'timing_line' else '' end as reason from v""")
 def text_validity(spark, sf_dir):
     broken = F.expr(r"""case cue_ix % 6 when 0 then '  ' when 1 then text || chr(7) when 2 then text || chr(10) || ' ' || chr(10) || text
         when 3 then text || chr(10) || '1:02:03,4 --> 1:02:05,6' else text end""")
-    rows = doc_cue(spark, sf_dir).filter(F.length(F.trim("text")) > 0)
-    return rows.select("track_id", "cue_ix", T.invalid_reason(broken).alias("reason"))
+    return doc_cue(spark, sf_dir).select("track_id", "cue_ix", T.invalid_reason(broken).alias("reason"))
 
 
 @query("b21_targeted_score", "doc_cue", f"""
@@ -79,11 +78,10 @@ def variant_keys(spark, sf_dir):
 
 
 @query("b23_fine_cues", "doc_cue", f"""
-w as (select track_id, cue_ix, end_ms-start_ms as d, text as raw, {WORDS_SQL.format(CLEAN_SQL)} as w from doc_cue)
-select track_id, cue_ix, array_to_string(w,' ') as words from w where not regexp_matches(raw,'[♪♫\\[\\]()<>{{}}]') and len(w) between 4 and 14 and d between 600 and 6000 and len(regexp_extract_all(raw,'[.!?]'))<=1""")
+w as (select track_id, cue_ix, end_ms-start_ms as d, regexp_replace(text,'<[^>]+>|\\{{\\\\[^}}]*\\}}',' ','g') as raw, {WORDS_SQL.format(CLEAN_SQL)} as w from doc_cue)
+select track_id, cue_ix, array_to_string(w,' ') as words from w where not regexp_matches(raw,'[♪♫\\[\\]()]') and len(w) between 4 and 14 and d between 600 and 6000 and len(regexp_extract_all(raw,'[.!?]'))<=1""")
 def fine_cues(spark, sf_dir):
-    rows = doc_cue(spark, sf_dir).filter(~F.col("text").rlike("[<>{}]"))
-    return rows.select("track_id", "cue_ix", T.fine_cue(F.col("text"), F.col("start_ms"), F.col("end_ms")).alias("words")).filter("words is not null")
+    return doc_cue(spark, sf_dir).select("track_id", "cue_ix", T.fine_cue(F.col("text"), F.col("start_ms"), F.col("end_ms")).alias("words")).filter("words is not null")
 
 
 @query("b24_meaningful_lines", "doc_cue", """
@@ -106,14 +104,13 @@ def hard_breaks(spark, sf_dir):
 
 
 @query("b26_numbered_response", "doc_cue", """
-n as (select track_id, min(cue_ix) as a, count(*) as n from doc_cue where length(trim(text))>0 and not regexp_matches(trim(text), '^[0-9]') group by 1),
-l as (select c.track_id, row_number() over (partition by c.track_id order by cue_ix) as i, trim(text) as t from doc_cue c join n on n.track_id=c.track_id where length(trim(text))>0 and not regexp_matches(trim(text), '^[0-9]')),
-r as (select l.track_id, string_agg(t, '|' order by i) as joined, count(*) as n from l group by 1)
-select track_id, case track_id%4 when 0 then joined when 1 then joined when 2 then null else null end as lines from r where n between 2 and 500""")
+l as (select track_id, row_number() over (partition by track_id order by cue_ix) as i, 'x '||trim(text) as t from doc_cue where length(trim(text))>0),
+r as (select track_id, string_agg(t, '|' order by i) as joined, count(*) as n from l group by 1)
+select track_id, case when track_id%4 in (0,1) or (track_id%4=2 and n=1) then joined end as lines from r""")
 def numbered_response(spark, sf_dir):
-    # Answers are built from the lines of a document: numbered, plain, doubly numbered, one line short.
-    kept = doc_cue(spark, sf_dir).withColumn("t", F.trim("text")).filter("length(t) > 0").filter(~F.col("t").rlike("^[0-9]"))
-    t = kept.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("cue_ix", "t"))).alias("c"), F.count(F.lit(1)).cast("int").alias("n")).filter("n between 2 and 500")
+    # Answers are built from the lines of a document: numbered, plain, all with the same number, one line short.
+    kept = doc_cue(spark, sf_dir).filter(F.length(F.trim("text")) > 0).withColumn("t", F.concat(F.lit("x "), F.trim("text")))
+    t = kept.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("cue_ix", "t"))).alias("c"), F.count(F.lit(1)).cast("int").alias("n"))
     k = F.col("track_id") % 4
     lines = F.transform("c", lambda x, i: F.when(k == 0, F.concat((i + 1).cast("string"), F.lit(". "), x["t"])).when(
         k == 2, F.concat(F.lit("1) "), x["t"])).otherwise(x["t"]))
@@ -164,9 +161,10 @@ f1 as materialized (select cm.probe_id, cm.window_id, round(2*common/(a.n+b.n),6
 @query("u1_bag_f1", "doc_cue", _F1_SQL + "select probe_id, window_id, score from f1")
 def bag_f1(spark, sf_dir):
     # Bags are made once per text, before texts are paired.
-    bag = T.occurrences(T.words(T.clean_dialogue(F.col("text"))))
-    windows = _windows(spark, sf_dir).select("window_id", bag.alias("a"))
-    probes = _probes(spark, sf_dir).select("probe_id", bag.alias("b"))
+    words = T.words(T.clean_dialogue(F.col("text"))).alias("w")
+    bag = T.occurrences(F.col("w"))
+    windows = _windows(spark, sf_dir).select("window_id", words).select("window_id", bag.alias("a"))
+    probes = _probes(spark, sf_dir).select("probe_id", words).select("probe_id", bag.alias("b"))
     pairs = _shortlist(spark, sf_dir).join(windows, "window_id").join(probes, "probe_id")
     return pairs.select("probe_id", "window_id", F.round(T.bag_f1(F.col("a"), F.col("b")), 6).alias("score"))
 

@@ -17,6 +17,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread rows that come from fewer splits than there are cores (a few large row groups).
+
+    Text work is costly per byte. Inputs with enough splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark, sf_dir):
+    return spread_small(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 def doc_cue(spark, sf_dir):
     return spark.sql(
         r"""select doc_id as track_id, lang, pos+1 as cue_ix,
@@ -24,7 +37,7 @@ def doc_cue(spark, sf_dir):
         cast(pos*3000+(doc_id*131+(pos+1)*977)%2000+500+(length(line)*30)%6000 as bigint) as end_ms,
         line as text
         from (select doc_id, lang, posexplode(split(text,'\n')) as (pos,line) from {t})""",
-        t=load(spark, sf_dir, "documents"),
+        t=documents(spark, sf_dir),
     )
 
 
