@@ -257,3 +257,22 @@ def sampling_verdict(scores: DataFrame, keys, planned: str = "planned") -> DataF
         & (F.round((F.coalesce("total", F.lit(0.0)) + k) / (F.col("valid") + k), 9) >= 0.55)))
     return agg.join(head, keys, "left").select(
         *keys, "valid", "passed", F.coalesce(accepted, F.lit(False)).alias("accepted"), F.coalesce(fast, F.lit(False)).alias("fast"), F.coalesce(hope, F.lit(False)).alias("possible"))
+
+
+def bag_scores(pairs: DataFrame, probes: DataFrame, windows: DataFrame, keys=()) -> DataFrame:
+    """Bag-of-words F1 of probe-window pairs from word counts, without comparing texts pairwise.
+
+    Words are counted once per text; only window words that some probe uses are kept.
+    """
+    keys = list(keys)
+    def counts(df, name):
+        w = df.select(*keys, name, T.words(T.clean_dialogue(F.col("text"))).alias("w"))
+        return w.select(*keys, name, F.size("w").alias("total"), F.explode("w").alias("word")).groupBy(*keys, name, "word").agg(
+            F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+
+    asked = counts(probes, "probe_id")
+    held = counts(windows, "window_id").join(asked.select(*keys, "word").distinct(), [*keys, "word"], "left_semi").select(
+        *keys, "window_id", "word", F.col("n").alias("m"), F.col("total").alias("other"))
+    met = pairs.join(asked, [*keys, "probe_id"]).join(held, [*keys, "window_id", "word"])
+    return met.groupBy(*keys, "probe_id", "window_id").agg(
+        (F.sum(F.least("n", "m")) * 2.0 / (F.first("total") + F.first("other"))).alias("score"))

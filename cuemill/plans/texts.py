@@ -160,13 +160,8 @@ f1 as materialized (select cm.probe_id, cm.window_id, round(2*common/(a.n+b.n),6
 
 @query("u1_bag_f1", "doc_cue", _F1_SQL + "select probe_id, window_id, score from f1")
 def bag_f1(spark, sf_dir):
-    # Bags are made once per text, before texts are paired.
-    words = T.words(T.clean_dialogue(F.col("text"))).alias("w")
-    bag = T.occurrences(F.col("w"))
-    windows = _windows(spark, sf_dir).select("window_id", words).select("window_id", bag.alias("a"))
-    probes = _probes(spark, sf_dir).select("probe_id", words).select("probe_id", bag.alias("b"))
-    pairs = _shortlist(spark, sf_dir).join(windows, "window_id").join(probes, "probe_id")
-    return pairs.select("probe_id", "window_id", F.round(T.bag_f1(F.col("a"), F.col("b")), 6).alias("score"))
+    windows = _windows(spark, sf_dir).select("window_id", "text")
+    return mt.bag_scores(_shortlist(spark, sf_dir), _probes(spark, sf_dir), windows).withColumn("score", F.round("score", 6))
 
 
 @query("u1_dialogue_score")
