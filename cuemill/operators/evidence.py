@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cuemill.operators.intervals import interval_join, merge_intervals
 from cuemill.operators.offsets import _edges, run_overlap, shift_curve
+from cuemill.session import ensure_checkpoint_dir
 
 # Fixed values.
 REGION_COUNT = 5
@@ -63,6 +64,9 @@ def correlation_peaks(reference, candidate, domain, keys, radius: int = 1_000, n
     Outside its own frames a signal is zero, inside it is +1 or -1. The curve is restored from edge
     products; its two start values from interval overlaps at the lowest two shifts.
     """
+    # The runs are read several times below and are far smaller than what they were merged from.
+    ensure_checkpoint_dir(reference.sparkSession)
+    reference, candidate, domain = (df.checkpoint() for df in (reference, candidate, domain))
     low, high = 1 - radius, radius
     size = F.explode(F.array(F.lit(0), F.lit(1)))
     spans = domain.withColumn("i", size).withColumn("k", F.lit(low) + F.col("i"))
@@ -101,20 +105,25 @@ def _inside_moved(moved, spans, slot):
 
 
 def peak_metrics(curve: DataFrame, keys, apart: int = 100) -> DataFrame:
-    """Best shift (the largest on a tie), rival peak ratio, peak width and contrast."""
-    top = curve.groupBy(*keys).agg(
-        F.max_by("k", F.struct("c", "k")).alias("best"), F.max("c").alias("peak"), F.median("c").alias("middle"))
-    k, c, best = F.col("k"), F.col("c"), F.col("best")
-    contrast = F.col("peak") - F.col("middle")
-    low = c < F.col("peak") - 0.05 * F.greatest(contrast, F.lit(0.0))
-    folded = curve.join(top, keys).groupBy(*keys).agg(
-        F.first("best").alias("best"), F.first(contrast).alias("contrast"), F.first("middle").alias("middle"),
-        F.max(F.when(F.abs(k - best) >= apart, c)).alias("rival"),
-        F.coalesce(F.min(F.when((k > best) & low, k)) - 1, F.max(k)).alias("right"),
-        F.coalesce(F.max(F.when((k < best) & low, k)) + 1, F.min(k)).alias("left"))
-    ratio = F.when(F.col("contrast") > 1e-6, (F.col("rival") - F.col("middle")) / F.col("contrast"))
-    return folded.select(*keys, (best * 10).cast("long").alias("offset_ms"), ratio.alias("rival_ratio"),
-                         ((F.col("right") - F.col("left")) * 10).cast("long").alias("width_ms"), "contrast")
+    """Best shift (the largest on a tie), rival peak ratio, peak width and contrast.
+
+    A curve has as many values as there are shifts, so it is gathered per key and read once.
+    """
+    rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("v"))
+    values = F.array_sort(F.transform("v", lambda x: x["c"]))
+    n = F.size("s")
+    middle = (F.element_at("s", F.floor((n + 1) / 2).cast("int")) + F.element_at("s", (F.floor(n / 2) + 1).cast("int"))) / 2
+    rows = rows.withColumn("s", values).select(*keys, "v", F.element_at("s", -1).alias("peak"), middle.alias("middle"))
+    best = F.element_at(F.filter("v", lambda x: x["c"] == F.col("peak")), -1)["k"]
+    rows = rows.withColumns({"best": best, "contrast": F.col("peak") - F.col("middle")})
+    far = F.transform(F.filter("v", lambda x: F.abs(x["k"] - F.col("best")) >= apart), lambda x: x["c"])
+    floor = F.col("peak") - 0.05 * F.greatest(F.col("contrast"), F.lit(0.0))
+    rows = rows.withColumn("low", F.transform(F.filter("v", lambda x: x["c"] < floor), lambda x: x["k"]))
+    right = F.coalesce(F.get(F.filter("low", lambda k: k > F.col("best")), F.lit(0)) - 1, F.element_at("v", -1)["k"])
+    left = F.coalesce(F.try_element_at(F.filter("low", lambda k: k < F.col("best")), F.lit(-1)) + 1, F.element_at("v", 1)["k"])
+    ratio = F.when(F.col("contrast") > 1e-6, (F.array_max(far) - F.col("middle")) / F.col("contrast"))
+    return rows.select(*keys, (F.col("best") * 10).cast("long").alias("offset_ms"), ratio.alias("rival_ratio"),
+                       ((right - left) * 10).cast("long").alias("width_ms"), "contrast")
 
 
 def regional_support(cues, speech, media, offsets, keys) -> DataFrame:

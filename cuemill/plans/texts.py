@@ -172,6 +172,19 @@ def dialogue_score(spark, sf_dir):
         F.round(sim.semantic_score(clean("probe_text"), clean("text")), 6).alias("semantic"))
 
 
+@query("u1_bigram_f1", "doc_cue", _C2_SQL + f"""
+,pk as (select item_id as probe_id, {KEY_SQL} as a from benchmark), wk as (select window_id, {KEY_SQL} as b from wd),
+pb as (select probe_id, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) as x from pk), wb as (select window_id, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) as y from wk)
+select sl.probe_id, sl.window_id, round(2*len(list_intersect(x,y))/(len(x)+len(y)),6) as score from sl join pb on pb.probe_id=sl.probe_id join wb on wb.window_id=sl.window_id""")
+def bigram_f1(spark, sf_dir):
+    # Pairs of letters are made once per text; only the intersection is taken per pair.
+    key = T.clean_dialogue_key(F.col("text")).alias("t")
+    windows = _windows(spark, sf_dir).select("window_id", key).select("window_id", T.bigrams(F.col("t")).alias("a"))
+    probes = _probes(spark, sf_dir).select("probe_id", key).select("probe_id", T.bigrams(F.col("t")).alias("b"))
+    pairs = _shortlist(spark, sf_dir).join(windows, "window_id").join(probes, "probe_id")
+    return pairs.select("probe_id", "window_id", F.round(T.set_f1(F.col("a"), F.col("b")), 6).alias("score"))
+
+
 @query("e9_anchor_ranking", "doc_cue", _F1_SQL + """,
 sc as (select probe_id, track_id as axis, (start_ms+end_ms)//2 as place_ms, max(least(1.0::double, score*2.5::double)) as score from f1 join doc_cue on track_id*100000+cue_ix=window_id group by 1,2,3),
 rk9 as (select *, row_number() over (partition by probe_id order by score desc, axis, place_ms) as r, max(score) over (partition by probe_id) as best, lead(score) over (partition by probe_id order by score desc, axis, place_ms) as nxt from sc where score>=0.5::double),
