@@ -7,16 +7,71 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import simhash
+from cuemill.llm import language, lines, maintext, packing, pieces, sharding, simhash
 from cuemill.llm.shared import table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False)
+    return packed.drop("ids")
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents on 64 shards."""
+    return sharding.place(table(spark, sf_dir, "documents"), [f"shard-{k:02}" for k in range(64)]).select("doc_id", "slot", "shard")
+
+
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the checksum of what they decode to."""
+    model = _vocabulary("piece_bpe_32k.model")
+    return pieces.encode_and_decode(table(spark, sf_dir, "documents"), model).select("doc_id", "n_ids", "ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+with cut as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+line as (select doc_id, generate_subscripts(ls, 1) as place, unnest(ls) as line from cut),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from line),
+frequent as (select key, max(doc_id) as keep_doc from (select distinct doc_id, key from keyed where length(key) >= 40)
+  group by key having count(*) >= 5),
+marked as (select keyed.*, keep_doc is not null and doc_id <> keep_doc as gone from keyed left join frequent using (key))
+select doc_id, count(*) as n_lines, cast(sum(cast(gone as int)) as bigint) as n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack_sequences": op1_pack_sequences,
+    "op2_main_text": op2_main_text,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
+    "op5_shard_placement": op5_shard_placement,
+    "op6_sentence_pieces": op6_sentence_pieces,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_language": op9_language,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
