@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import language, lines, maintext, packing, pieces, sharding, simhash
+from cuemill.llm import language, lines, maintext, packing, pieces, pii, sharding, simhash, syncmers
 from cuemill.llm.shared import table
 
 
@@ -65,13 +65,25 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_main_text": op2_main_text,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
     "op5_shard_placement": op5_shard_placement,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op7_personal_data": op7_personal_data,
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
+    "op10_closed_syncmers": op10_closed_syncmers,
 }
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
