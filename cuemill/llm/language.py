@@ -196,6 +196,23 @@ def fit(docs: DataFrame, per_label: int = 320, chars: int = 480, units: int = 8,
     return train(codes[full] if full.any() else codes, truth[full] if full.any() else truth, labels, units, rounds, seed)
 
 
+def label(net: Network | None, texts: list[str | None], letters: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Label and score of each text; a few megabytes are read at a time, whatever the list holds."""
+    lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+    known = [i for i, x in enumerate(letters) if x] if net else []
+    at = 0
+    while at < len(known):
+        rows, held = [], []
+        while at < len(known) and sum(map(len, held)) < 1 << 21:
+            rows.append(known[at])
+            held.append(texts[known[at]].encode("utf-8", "replace"))
+            at += 1
+        p = pooled(net, held)
+        lang[rows] = np.array(net.labels, dtype=object)[p.argmax(axis=1)]
+        score[rows] = p.max(axis=1).clip(0, 1)
+    return lang, score
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row from its text alone: the label with the largest mean probability
     over all bytes, and that mean. Null texts and texts without a letter are `und` with score 0, as is everything without
@@ -203,20 +220,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lang, score = np.full(len(batch), UNKNOWN, dtype=object), np.zeros(len(batch))
-            known = np.flatnonzero(batch["letters"].to_numpy(bool)) if net else []
-            texts = [batch["text"].iloc[i].encode("utf-8", "replace") for i in known]
-            at = 0
-            while at < len(texts):  # a few megabytes at a time, whatever the batch holds
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 1 << 21):
-                    size += len(texts[end])
-                    end += 1
-                p = pooled(net, texts[at:end])
-                best = p.argmax(axis=1)
-                lang[known[at:end]] = np.array(net.labels, dtype=object)[best]
-                score[known[at:end]] = p.max(axis=1).clip(0, 1)
-                at = end
+            lang, score = label(net, list(batch["text"]), list(batch["letters"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": lang, "score": score})
 
     text = F.col("text").cast("string")
@@ -224,6 +228,27 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network | None, over_chance: float = 1.2) -> DataFrame:
+    """The rows of `docs`, with their columns, whose language is told: texts that are null or without a letter go, and those
+    whose score is not even `over_chance` times that of a guess. Short texts score low and stay. Without a model (nothing
+    labelled to learn from) everything with a letter stays."""
+    import pyarrow as pa
+
+    names = docs.columns
+    least = over_chance / len(net.labels) if net and len(net.labels) > 1 else 0.0
+
+    def run(batches):
+        for batch in batches:
+            letters = batch.column(len(names)).to_pylist()
+            _, score = label(net, batch.column(names.index("text")).to_pylist(), letters)
+            keep = np.array(letters, dtype=bool) & (score >= least)
+            yield batch.select(range(len(names))).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.withColumn("_letters", has_letter(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in names], "_letters")
+    return rows.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, **sample: int) -> DataFrame:
-    """`predict` with a network fitted on the labelled part of `docs`."""
+    """`predict` with a network fitted on the labelled part of `docs`. The labels are those of `lang` alone; nothing else
+    of a row but its text takes part in its prediction."""
     return predict(docs, fit(docs, **sample))

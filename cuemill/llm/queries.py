@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import language, lines, maintext, packing, pieces, pii, sharding, simhash, syncmers
+from cuemill.llm import language, lines, maintext, packing, pieces, pii, sharding, simhash, syncmers, vectors
 from cuemill.llm.shared import table
 
 
@@ -75,10 +75,15 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_main_text": op2_main_text,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
+    "op4_quantised_vectors": op4_quantised_vectors,
     "op5_shard_placement": op5_shard_placement,
     "op6_sentence_pieces": op6_sentence_pieces,
     "op7_personal_data": op7_personal_data,

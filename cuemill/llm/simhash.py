@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.shared import components, saved
+from cuemill.llm.shared import components, roots, saved
 
 BITS = 64
 #: Partition counts that are tried; with a distance of 4 none needs a threshold over 2.
@@ -24,28 +24,35 @@ PARTITIONS = (2, 3, 4, 5)
 MOST = 2
 
 
-def text_fingerprint(text: str | None, words: int, seed: int) -> int:
-    """Majority bits of the XXH64 values of all word shingles, as an unsigned integer; 0 without words."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 values of all word shingles of a text, repeats included; a short text is one shingle, an empty one none."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return 0
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), seed)] if tokens else [], dtype=np.uint64)
     line = memoryview(b" ".join(tokens))
     starts = np.zeros(len(tokens) + 1, dtype=np.int64)
     np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, out=starts[1:])
     ends = (starts[words:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes, as an unsigned integer; 0 without hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
-        part = hashes[at : at + (1 << 15)]
+        part = np.ascontiguousarray(hashes[at : at + (1 << 15)])
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_fingerprint(text: str | None, words: int, seed: int) -> int:
+    """Majority bits of all word shingles of a text, as an unsigned integer."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of every text as a signed long. A null or empty text, or one of white
     space only, has fingerprint 0; a text with fewer than `words` words is one shingle."""
@@ -170,21 +177,6 @@ def probes(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     return distinct.select("fp").mapInPandas(run, "part int, key long, fp long, away int")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes over the edges a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label, new.copy())
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _links_in_bucket(rows: pd.DataFrame, distance: int) -> pd.DataFrame:
     """Spanning links of the keys of one bucket: rows are sorted by key, and each row is held against those after
     it under the same key, one step further at a time, so only rows of long keys stay in the later steps."""
@@ -204,14 +196,14 @@ def _links_in_bucket(rows: pd.DataFrame, distance: int) -> pd.DataFrame:
             held += int(near.sum())
         if held > 1 << 21:  # forget all but a spanning tree
             edges = np.concatenate(found, axis=1)
-            label = _roots(len(fp), edges[0], edges[1])
+            label = roots(len(fp), edges[0], edges[1])
             found, held = [np.stack([np.arange(len(fp)), label])[:, label != np.arange(len(fp))]], 0
         step += 1
         here = here[here + step < ends[here]]
     if not found:
         return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
     edges = np.concatenate(found, axis=1)
-    root = _roots(len(fp), edges[0], edges[1])
+    root = roots(len(fp), edges[0], edges[1])
     moved = np.flatnonzero((root != np.arange(len(fp))) & (fp != fp[root]))
     return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
 
