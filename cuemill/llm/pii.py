@@ -71,20 +71,20 @@ def _passes(kind: str, value: Column) -> Column:
     }[kind]
 
 
-def _found(text: Column, kind: str, pattern: str) -> Column:
-    """array<CANDIDATE> of a pattern's matches: what stands between matches gives their places."""
-    number = KINDS.index(kind)
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    parts = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+def _with_found(df: DataFrame, text: Column, kind: str, pattern: str, mark: Column) -> DataFrame:
+    """`df` with _<kind>: array<CANDIDATE> of a pattern's matches; what stands between matches gives their places. Matches
+    and gaps are columns of their own, so that no element computes them again."""
+    number, values, gaps = KINDS.index(kind), F.col("_values"), F.col("_gaps")
+    df = df.withColumn("_values", F.when(mark, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(_array("string")))
+    df = df.withColumn("_gaps", F.when(F.size("_values") > 0, F.split(text, pattern, -1)).otherwise(_array("string")))
+    sizes = F.zip_with(gaps, values, lambda g, v: F.struct(F.char_length(g).alias("gap"), F.char_length(v).alias("value")))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["gap"])
-        end = start + F.char_length(part["value"])
-        return F.struct(end.alias("at"), F.concat(state["starts"], F.array(start)).alias("starts"))
+    def step(state: Column, size: Column) -> Column:
+        start = state["at"] + size["gap"]
+        return F.struct((start + size["value"]).alias("at"), F.concat(state["starts"], F.array(start)).alias("starts")).cast("struct<at:bigint,starts:array<bigint>>")
 
-    whole = F.filter(parts, lambda p: p["value"].isNotNull())
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate(whole, empty, lambda s, p: step(s, p).cast("struct<at:bigint,starts:array<bigint>>"), lambda s: s["starts"])
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), _array("bigint").alias("starts"))
+    df = df.withColumn("_starts", F.aggregate(F.slice(sizes, F.lit(1), F.size("_values")), empty, step, lambda s: s["starts"]))
 
     def candidate(start: Column, i: Column) -> Column:
         value = F.get(values, i)
@@ -93,7 +93,7 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
             F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.substring(F.get(gaps, i + 1), 1, CONTEXT).alias("after"),
         ).cast(CANDIDATE)
 
-    return F.transform(starts, candidate)
+    return df.withColumn(f"_{kind}", F.transform("_starts", candidate)).drop("_values", "_gaps", "_starts")
 
 
 def _array(of: str) -> Column:
@@ -105,10 +105,10 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     body, out = F.coalesce(F.col(text).cast("string"), F.lit("")), docs
     marks = {"email": body.contains("@"), "ip": body.rlike(r"[0-9]\.[0-9]"), "card": body.rlike("[0-9][\x20-]?[0-9]"), "phone": body.contains("+")}
     for kind, pattern in BASE.items():
-        out = out.withColumn(f"_{kind}", F.when(marks[kind], _found(body, kind, pattern)).otherwise(_array(CANDIDATE)))
+        out = _with_found(out, body, kind, pattern, marks[kind])
     for kind, (pattern, needs) in LOOSE.items():
         mark = reduce(lambda a, b: a | b, [body.contains(n) for n in needs]) if needs else body.rlike("[0-9]{2}")
-        out = out.withColumn(f"_{kind}", F.when(mark & body.rlike(pattern), _found(body, kind, pattern)).otherwise(_array(CANDIDATE)))
+        out = _with_found(out, body, kind, pattern, mark)
 
     def held(kind: str, passes: bool) -> Column:
         return F.filter(f"_{kind}", lambda c: _passes(kind, c["value"]) if passes else ~_passes(kind, c["value"]))
