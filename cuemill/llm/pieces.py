@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE = 600_000
+#: Parts of texts whose ids a worker keeps, and texts that it hands on at a time.
+CACHE, TEXTS = 400_000, 256
 RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -155,7 +156,7 @@ class Transducer:
         """Ids as little-endian 32-bit numbers; nothing for a null or empty text."""
         if not text:
             return b""
-        if "  " in text or text[0] == " " or not self.front:
+        if "  " in text or text[0] == " " or MARK in text or not self.front:
             parts = RUN.findall(self.front + text.replace(" ", MARK))
         else:
             parts = [MARK + x for x in text.split(" ")]
@@ -194,13 +195,19 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.iloc[at : at + TEXTS]
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_ids, ids, ids_crc32): the pieces of every whole text; ids_crc32 is over little-endian 32-bit ids. A null
     or empty text has no ids; null doc_ids and repeated rows stay; an empty table stays empty."""
 
     def run(batches):
         machine = transducer(model)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [machine.encode(x) for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_ids": [len(x) // 4 for x in ids], "ids": [np.frombuffer(x, "<i4") for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids]})
 
@@ -224,7 +231,7 @@ def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         machine = transducer(model)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [machine.encode(x) for x in batch["text"]]
             arrays = [np.frombuffer(x, "<i4") for x in ids]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_ids": [len(x) for x in arrays], "ids": arrays, "ids_crc32": [zlib.crc32(x) for x in ids], "decoded": [machine.decode(x.tolist()) for x in arrays]})
