@@ -6,6 +6,7 @@ import difflib
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -58,34 +59,42 @@ def semantic_score(expected: pd.Series, observed: pd.Series) -> pd.Series:
 _ENDS = ("matched", "longest", "gaps", "first_a", "first_b", "last_a", "last_b")
 
 
+def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    numbers: dict = {}
+    return tuple(np.fromiter((numbers.setdefault(x, len(numbers)) for x in side), np.int64, len(side)) for side in (a, b))
+
+
+def _alignment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Index pairs of a longest common subsequence. A row of lengths is a running maximum from the right of what the row
+    below gives; only one bit per cell is kept (whether to step down), so two texts of 20,000 words take 50 MB."""
+    n, m = len(a), len(b)
+    below, down = np.zeros(m + 1, dtype=np.int32), np.zeros((n, (m + 7) // 8), dtype=np.uint8)
+    for i in range(n - 1, -1, -1):
+        row = np.zeros(m + 1, dtype=np.int32)
+        row[:m] = np.maximum.accumulate(np.where(b == a[i], 1 + below[1:], below[:-1])[::-1])[::-1]
+        down[i] = np.packbits(below[:m] >= row[1:])
+        below = row
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif down[i, j >> 3] >> (7 - (j & 7)) & 1:
+            i += 1
+        else:
+            j += 1
+    return np.array(pairs, dtype=np.int64).reshape(-1, 2)
+
+
 @F.pandas_udf(t.StructType([t.StructField(n, t.IntegerType()) for n in _ENDS]))
 def common_subsequence(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Longest common subsequence of two token arrays: size, longest contiguous run, gaps, ends."""
     def one(a, b):
-        a, b = list(a), list(b)
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in reversed(range(len(a))):
-            row, below = best[i], best[i + 1]
-            for j in reversed(range(len(b))):
-                row[j] = 1 + below[j + 1] if a[i] == b[j] else max(below[j], row[j + 1])
-        pairs, i, j = [], 0, 0
-        while i < len(a) and j < len(b):
-            if a[i] == b[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        if not pairs:
+        pairs = _alignment(*_codes(list(a), list(b)))
+        if not len(pairs):
             return (0, 0, 0, -1, -1, -1, -1)
-        longest = run = 1
-        gaps = 0
-        for p, q in zip(pairs, pairs[1:]):
-            together = q == (p[0] + 1, p[1] + 1)
-            run = run + 1 if together else 1
-            gaps += not together
-            longest = max(longest, run)
-        return (len(pairs), longest, gaps, *pairs[0], *pairs[-1])
+        breaks = np.flatnonzero((np.diff(pairs, axis=0) != 1).any(axis=1)) + 1
+        runs = np.diff(np.concatenate([[0], breaks, [len(pairs)]]))
+        return (len(pairs), int(runs.max()), len(breaks), *pairs[0].tolist(), *pairs[-1].tolist())
 
     return pd.DataFrame([one(a, b) for a, b in zip(left, right)], columns=list(_ENDS)).astype("int32")

@@ -201,12 +201,13 @@ _NUMERAL = "[1-9]\\d?|VIII|VII|VI|IV|IX|III|II|I|V|X"
 def sequel_number(title: Column) -> Column:
     """Explicit installment number of a title; empty if there is none."""
     text = F.trim(F.regexp_replace(title, r"\b(?:19|20)\d{2}\b", ""))
-    labelled = F.concat(
-        F.regexp_extract(text, r"第\s*([1-9]\d?)\s*[部集章]", 1),
-        F.regexp_extract(text, rf"(?i)\b(?:episode|ep\.?|part|chapter)\s*[:._ -]*({_NUMERAL})\b", 1))
-    loose = F.coalesce(
-        F.nullif(F.regexp_extract(text, r"(?i)\b([1-9]\d?)\b", 1), F.lit("")),
-        F.nullif(F.regexp_extract(text, r"(?i)\b(VIII|VII|VI|IV|IX|III|II|V|X)\s*$", 1), F.lit("")), F.lit(""))
+    # Fixed patterns: labels with a number, else a bare number or a final numeral. The leftmost match counts; its groups
+    # exclude each other, so joining them gives the one that matched.
+    def leftmost(pattern: str, groups: int) -> Column:
+        return F.concat(*[F.regexp_extract(text, pattern, k + 1) for k in range(groups)])
+
+    labelled = leftmost(rf"(?i)(?:第\s*([1-9]\d?)\s*[部集章]|\b(?:episode|ep\.?|part|chapter)\s*[:._ -]*({_NUMERAL})\b)", 2)
+    loose = leftmost(r"(?i)(?:[\u3400-\u9fff]\s*([1-9]\d?)\s*$|\b([1-9]\d?)\b|\b(VIII|VII|VI|IV|IX|III|II|V|X)\s*$)", 3)
     value = F.upper(F.when(labelled != "", labelled).otherwise(loose))
     roman = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
     return F.coalesce(roman[value], value)

@@ -62,15 +62,16 @@ def shared_id_issues(ids: DataFrame, work: str = "work_id") -> DataFrame:
 
 
 def prefix_profiles(profiles: DataFrame, identities: DataFrame) -> DataFrame:
-    """Movie profiles with both ids whose title is an alias or a proper prefix (two tokens up) of a work of that year."""
-    ready = profiles.filter("kind = 'movie' and imdb_id <> '' and tmdb_id <> ''").select(
+    """Film profiles with both ids whose title or alias is the title of a work of that year, or whose title is a proper
+    prefix (two tokens up) of it. A profile without a kind counts as a film."""
+    ready = profiles.filter("lower(kind) in ('movie', 'feature', '') and imdb_id <> '' and tmdb_id <> ''").select(
         "profile_id", "year", tt.title_key(F.col("title")).alias("k"), F.transform("aliases", tt.title_key).alias("a"))
     wanted = identities.select("identity_id", "year", F.split(tt.title_key(F.col("title")), " ").alias("w"))
     heads = wanted.withColumn("n", F.explode(F.when(F.size("w") > 2, F.sequence(F.lit(2), F.size("w") - 1)))).select(
         "identity_id", "year", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("k"))
     by_prefix = ready.select("profile_id", "year", "k").join(heads, ["year", "k"]).select("profile_id", "identity_id")
     whole = wanted.select("identity_id", "year", F.array_join("w", " ").alias("k"))
-    by_alias = ready.select("profile_id", "year", F.explode("a").alias("k")).join(whole, ["year", "k"]).select("profile_id", "identity_id")
+    by_alias = ready.select("profile_id", "year", F.explode(F.array_append("a", F.col("k"))).alias("k")).join(whole, ["year", "k"]).select("profile_id", "identity_id")
     return by_prefix.unionByName(by_alias).distinct()
 
 
@@ -228,9 +229,10 @@ def prioritise(pairs: DataFrame, key: str = "identity_id", slice_width: int = 10
         key, "seq", "signals", F.col("turn").cast("long").alias("turn"), (F.col("before") + F.col("_inside")).alias("place"))
 
 
-def provider_quota(rows: DataFrame, by: str, order: list[Column], quota: int) -> DataFrame:
-    """The first `quota` rows of every provider, and how many were left out."""
+def provider_quota(rows: DataFrame, by: str, order: list[Column], share: float = 0.5) -> DataFrame:
+    """The first `share` of every provider's rows, one at least, and whether any were left out."""
     place = Window.partitionBy(by).orderBy(*order)
     totals = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
-    kept = rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= quota)
-    return kept.join(totals, by).withColumn("truncated", F.col("total") > quota)
+    quota = F.greatest(F.lit(1), F.floor(F.col("total") * share))
+    kept = rows.withColumn("place", F.row_number().over(place)).join(totals, by).filter(F.col("place") <= quota)
+    return kept.withColumn("truncated", F.col("total") > quota)

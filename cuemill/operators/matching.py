@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cuemill.functions import text as T
 
 MIN_PROBE_QUALITY = 0.18
+# A character score of 0.7 times the ratio 2 * matched / (n + m) passes 0.50 only with a ratio over 0.714: then the
+# shorter text has at least 0.55 of the longer one's characters, and beyond 8 characters two matched ones are adjacent.
+SHORT, MIN_LENGTH_SHARE = 8, 0.55
 
 
 def dialogue_quality(cues: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,8 +43,10 @@ def shortlist(probes: DataFrame, windows: DataFrame, keys=(), first: int = 8, wi
 
     `probes(keys, probe_id, text)`, `windows(keys, window_id, text)`. Words are ranked per probe by
     the number of windows that hold them; the first 8 are used, up to 16 where those give fewer
-    than 12 windows. A probe that has words but shares none is left out: without a common word no
-    window can reach the acceptance score. Word lists are distinct per text before any join.
+    than 12 windows. Word lists are distinct per text before any join. A probe without Latin words is
+    scored by characters, so it meets the windows without them that share two characters in a row
+    (or one, where both have at most `SHORT` characters) and are not too different in length: no
+    other window can reach the acceptance score.
     """
     from pyspark.sql import Window
 
@@ -56,7 +61,20 @@ def shortlist(probes: DataFrame, windows: DataFrame, keys=(), first: int = 8, wi
     met = ranked.select(*keys, "probe_id", "word", "rank").join(held, [*keys, "word"]).groupBy(*keys, "probe_id", "window_id").agg(
         F.min("rank").alias("rank"))
     found = met.groupBy(*keys, "probe_id").agg(F.count_if(F.col("rank") <= first).alias("found"))
-    return met.join(found, [*keys, "probe_id"]).filter((F.col("rank") <= first) | (F.col("found") < enough)).select(*keys, "probe_id", "window_id")
+    by_word = met.join(found, [*keys, "probe_id"]).filter((F.col("rank") <= first) | (F.col("found") < enough)).select(*keys, "probe_id", "window_id")
+
+    def grams(df, name, side):
+        clean = T.clean_dialogue(F.col("text"))
+        size = F.char_length("_c")
+        bare = df.select(*keys, name, clean.alias("_c")).filter((F.size(T.words(F.col("_c"))) == 0) & (size > 0))
+        short = F.when(size <= SHORT, F.filter(F.split("_c", ""), lambda c: c != "")).otherwise(F.array().cast("array<string>"))
+        pairs = F.filter(F.transform(F.split("_c", ""), lambda c, i: F.substring(F.col("_c"), i + 1, F.lit(2))), lambda g: F.char_length(g) == 2)
+        return bare.select(*keys, name, size.alias(side), F.explode(F.array_distinct(F.concat(short, pairs))).alias("gram"))
+
+    asked_grams, held_grams = grams(probes, "probe_id", "n"), grams(windows, "window_id", "m")
+    alike = (F.least("n", "m") >= F.greatest("n", "m") * MIN_LENGTH_SHARE) & ((F.char_length("gram") == 2) | ((F.col("n") <= SHORT) & (F.col("m") <= SHORT)))
+    by_gram = asked_grams.join(held_grams, [*keys, "gram"]).filter(alike).select(*keys, "probe_id", "window_id").distinct()
+    return by_word.unionByName(by_gram)
 
 
 def rank_anchors(scored: DataFrame, keys, limit: int = 6, spacing: int = 400, apart: int = 15_000) -> DataFrame:
@@ -65,11 +83,13 @@ def rank_anchors(scored: DataFrame, keys, limit: int = 6, spacing: int = 400, ap
     `scored(keys, axis, place_ms, score)`; `axis` names the timeline a place belongs to. Places are
     reduced to one row per millisecond. A pick rules out fewer than 2 * 400 of them, so six picks
     always lie within the first 5 * 799 + 1 ranked places: no more are gathered for the greedy
-    choice, and the choice is still exact.
+    choice, and the choice is still exact. That holds for places in whole milliseconds, which is checked.
     """
     from pyspark.sql import Window
 
     keys = list(keys)
+    if dict(scored.dtypes)["place_ms"] not in ("bigint", "int"):
+        raise ValueError("place_ms must be whole milliseconds")
     places = scored.groupBy(*keys, "axis", "place_ms").agg(F.max("score").alias("score"))
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "axis", "place_ms")
     top = places.filter("score >= 0.5").withColumn("rank", F.row_number().over(order)).filter(
@@ -114,8 +134,8 @@ def corroborate(pairs: DataFrame, durations: DataFrame, keys) -> DataFrame:
     return fit.join(durations, keys).select(*keys, "inliers", "offset_ms", "span_ms", accepted.alias("accepted"))
 
 
-def detect_language(cues: DataFrame, key: str = "track_id", first_cues: int = 300) -> DataFrame:
-    """Language of every track from the script and the marker words of its first 300 cues."""
+def detect_language(cues: DataFrame, key: str = "track_id", first_cues: int | None = None) -> DataFrame:
+    """Language of every track from the script and the marker words of its cues, or of the first ones if told so."""
     # Marker words, and markers of the two Chinese scripts.
     latin = {
         "en": "the and you that this what with have not are for", "es": "que los las una por para con como pero está del",
@@ -127,7 +147,8 @@ def detect_language(cues: DataFrame, key: str = "track_id", first_cues: int = 30
     def hits(words):
         return F.sum(F.size(F.filter(found, lambda w: w.isin(*words.split()))))
 
-    agg = cues.filter(F.col("cue_ix") <= first_cues).groupBy(key).agg(
+    read = cues if first_cues is None else cues.filter(F.col("cue_ix") <= first_cues)
+    agg = read.groupBy(key).agg(
         F.bool_or(F.col("text").rlike("[぀-ヿ]")).alias("kana"), F.bool_or(F.col("text").rlike("[가-힯]")).alias("hangul"),
         F.bool_or(F.col("text").rlike("[Ѐ-ӿ]")).alias("cyrillic"), F.bool_or(F.col("text").rlike("[㐀-鿿]")).alias("han"),
         F.sum(F.regexp_count("text", F.lit(traditional))).alias("trad"), F.sum(F.regexp_count("text", F.lit(simplified))).alias("simp"),
@@ -143,7 +164,10 @@ def detect_language(cues: DataFrame, key: str = "track_id", first_cues: int = 30
 
 
 def content_conflict(cues: DataFrame, key: str = "track_id") -> DataFrame:
-    """Why a track's text cannot be a plain English source: commentary, mojibake, foreign script or language."""
+    """Why a track's text cannot be a plain English source: commentary, mojibake, foreign script or language.
+
+    Every cue of a track is read, by itself, so nothing of a track is gathered.
+    """
     # Marker words of foreign and English text, marks of broken decoding.
     foreign = {
         "fr": "avec dans elle est mais nous pas pour que une vous", "de": "aber das der die ein eine ich ist nicht und wir",
@@ -153,7 +177,6 @@ def content_conflict(cues: DataFrame, key: str = "track_id") -> DataFrame:
                "there here know get go come will would could should").split()
     broken = ("�", "锟斤拷", "脡", "脿", "â€")
     found = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
-    head = F.col("cue_ix") <= 600
     marks = F.lit(False)
     for b in broken:
         marks = marks | F.col("text").contains(b)
@@ -162,26 +185,25 @@ def content_conflict(cues: DataFrame, key: str = "track_id") -> DataFrame:
         listed = w.split()
         mask = F.aggregate(F.transform(F.array(*[F.lit(x) for x in listed]), lambda m, i: F.when(
             F.array_contains(found, m), F.pow(F.lit(2), i)).otherwise(0).cast("int")), F.lit(0), lambda a, x: a.bitwiseOR(x))
-        sums += [F.sum(F.when(head, F.size(_members(found, listed)))).alias(f"s_{c}"),
-                 F.bit_count(F.bit_or(F.when(head, mask))).alias(f"k_{c}")]
-    agg = cues.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(head & marks).alias("marked"),
-        F.sum(F.when(head, F.regexp_count("text", F.lit("[ÃÂ]")))).alias("latin_marks"),
-        F.sum(F.when(head, F.size(found))).alias("letters"),
-        F.sum(F.when(head, F.regexp_count("text", F.lit("[㐀-鿿぀-ヿ가-힯Ѐ-ӿ]")))).alias("other_script"),
-        F.sum(F.when(head, F.size(_members(found, english)))).alias("english"), *sums)
-    opening = cues.filter("cue_ix <= 80").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cue_ix", "text"))).alias("c")).select(
-        key, F.lower(F.array_join(F.transform("c", lambda x: x["text"]), " ")).alias("opening"))
-    o = F.col("opening")
+        sums += [F.sum(F.size(_members(found, listed))).alias(f"s_{c}"),
+                 F.bit_count(F.bit_or(mask)).alias(f"k_{c}")]
+    o = F.lower("text")
     roles = sum((F.when(o.rlike(rf"\b{r}\b"), 1).otherwise(0) for r in ("writer", "director", "producer", "executive producer")), F.lit(0))
-    commentary = o.rlike(r"\b(?:audio|director(?:'s)?|filmmaker) commentary\b|\bwelcome to (?:the|this) commentary\b") | (
-        o.rlike(r"\b(?:my name is|i am|i'm)\b") & (roles >= 2))
+    agg = cues.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(marks).alias("marked"),
+        F.sum(F.regexp_count("text", F.lit("[ÃÂ]"))).alias("latin_marks"),
+        F.sum(F.size(found)).alias("letters"),
+        F.sum(F.regexp_count("text", F.lit("[㐀-鿿぀-ヿ가-힯Ѐ-ӿ]"))).alias("other_script"),
+        F.sum(F.size(_members(found, english))).alias("english"), *sums,
+        F.bool_or(o.rlike(r"\b(?:audio|director(?:'s)?|filmmaker) commentary\b|\bwelcome to (?:the|this) commentary\b")).alias("announced"),
+        F.bool_or(o.rlike(r"\b(?:my name is|i am|i'm)\b") & (roles >= 2)).alias("introduced"))
+    commentary = F.col("announced") | F.col("introduced")
     top = F.greatest(*[F.struct(F.col(f"s_{c}").alias("s"), F.col(f"k_{c}").alias("k")) for c in foreign])
     dominant = (top["s"] >= F.greatest(F.lit(18), F.floor(F.col("english") * 0.18))) & (top["k"] >= 3)
     reason = (
         F.when(F.col("n") < 20, "").when(commentary, "commentary").when(F.col("marked") | (F.col("latin_marks") >= 3), "mojibake")
         .when(F.col("other_script") >= F.greatest(F.lit(12), F.floor(F.col("letters") / 20)), "foreign_script").when(dominant, "foreign_language").otherwise(""))
-    return agg.join(opening, key).select(key, F.col("n").alias("cues"), F.col("english").cast("long").alias("english"), top["s"].cast("long").alias("foreign"), reason.alias("reason"))
+    return agg.select(key, F.col("n").alias("cues"), F.col("english").cast("long").alias("english"), top["s"].cast("long").alias("foreign"), reason.alias("reason"))
 
 
 def _members(found, listed):

@@ -6,54 +6,63 @@ Picks are minima of a ranking struct, so they combine before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import tracks as tr
-from cuemill.operators.ordered import Ordered
-
-SLICE = 1_000
 
 
 def ordinal_zip(a: DataFrame, b: DataFrame, keys, order: str) -> DataFrame:
-    """Pair the k-th row of either side; unpaired rows stay, with the missing side null."""
-    left = Ordered(a, keys, order, SLICE).row_number("ordinal").result().select(*keys, "ordinal", F.struct(*[c for c in a.columns if c not in keys]).alias("a"))
-    right = Ordered(b, keys, order, SLICE).row_number("ordinal").result().select(*keys, "ordinal", F.struct(*[c for c in b.columns if c not in keys]).alias("b"))
-    return left.join(right, [*keys, "ordinal"], "full_outer")
+    """Pair the k-th row of either side; unpaired rows stay, with the missing side null. Groups are the tracks of a film."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    def numbered(side, name):
+        return side.withColumn("ordinal", place).select(*keys, "ordinal", F.struct(*[c for c in side.columns if c not in keys]).alias(name))
+
+    return numbered(a, "a").join(numbered(b, "b"), [*keys, "ordinal"], "full_outer")
+
+
+TYPES = (("video", "video"), ("audio", "audio"), ("subtitles", "subtitle"))
 
 
 def reconcile(source: DataFrame, output: DataFrame, source_media: DataFrame, output_media: DataFrame) -> DataFrame:
-    """Does an output file carry the source's audio and subtitles at the same length? Reasons in order."""
-    def profile(tracks, media, tag):
-        kinds = ("audio", "subtitles")
-        # The codec list of a type is a sum of position-weighted hashes: order matters, no list is built.
-        mark = F.xxhash64("type", "track_id", "codec") % 1_000_003
-        folded = tracks.groupBy("media_id").agg(
-            *[F.count_if(F.col("type") == k).alias(f"{tag}_{k}") for k in kinds],
-            *[F.sum(F.when(F.col("type") == k, mark)).alias(f"{tag}_{k}_codecs") for k in kinds])
-        return media.select("media_id", F.col("duration_s").alias(f"{tag}_s")).join(folded, "media_id", "full_outer")
-
-    joined = profile(source, source_media, "src").join(profile(output, output_media, "out"), "media_id", "full_outer")
-    zero = F.lit(0).cast("long")
-    def differs(x):
-        return F.coalesce(f"src_{x}", zero) != F.coalesce(f"out_{x}", zero)
+    """Does an output file carry the source's video, audio and subtitles at the same length? Reasons in order.
 
+    Tracks are paired by their place among those of their type, so ids may change; codecs are compared pair by pair.
+    """
+    pairs = ordinal_zip(source.select("media_id", "type", "track_id", "codec"), output.select("media_id", "type", "track_id", "codec"), ["media_id", "type"], "track_id")
+    def of(kind, what):
+        return (F.col("type") == kind) & what
+
+    folded = pairs.groupBy("media_id").agg(*[x for kind, _ in TYPES for x in (
+        (F.count_if(of(kind, F.col("a").isNotNull())) != F.count_if(of(kind, F.col("b").isNotNull()))).alias(f"{kind}_count"),
+        F.bool_or(of(kind, ~F.col("a.codec").eqNullSafe(F.col("b.codec")))).alias(f"{kind}_codecs"))])
+    lengths = source_media.select("media_id", F.col("duration_s").alias("src_s")).join(
+        output_media.select("media_id", F.col("duration_s").alias("out_s")), "media_id", "full_outer")
+    joined = lengths.join(folded, "media_id", "full_outer")
     drift = F.abs(F.col("src_s") - F.col("out_s")) > F.greatest(F.lit(3.0), F.col("src_s") * 0.001)
     reasons = F.array_compact(F.array(
         F.when(F.col("out_s").isNull(), "missing_output"), F.when(F.col("src_s").isNull(), "missing_source"),
-        F.when(differs("audio"), "audio_count").when(differs("audio_codecs"), "audio_codecs"),
-        F.when(differs("subtitles"), "subtitle_count").when(differs("subtitles_codecs"), "subtitle_codecs"), F.when(drift, "duration")))
+        *[F.when(F.col(f"{kind}_count"), f"{name}_count").when(F.col(f"{kind}_codecs"), f"{name}_codecs") for kind, name in TYPES],
+        F.when(drift, "duration")))
     return joined.select("media_id", F.array_join(reasons, ",").alias("reasons"))
 
 
-def preserved_audit(before: DataFrame, after: DataFrame, replaced: DataFrame, columns: list[str]) -> DataFrame:
-    """Header differences of tracks that a rewrite had to leave alone. `replaced(media_id, track_id)`."""
-    a = before.select("media_id", "track_id", *[F.col(c).alias(f"_a_{c}") for c in columns], F.lit(True).alias("_a"))
-    b = after.select("media_id", "track_id", *[F.col(c).alias(f"_b_{c}") for c in columns], F.lit(True).alias("_b"))
-    pairs = a.join(b, ["media_id", "track_id"], "full_outer").join(replaced.withColumn("_r", F.lit(True)), ["media_id", "track_id"], "left")
-    changed = F.array_compact(F.array(*[F.when(~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")), c) for c in columns]))
-    diff = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "added").when(F.col("_r"), "").otherwise(F.array_join(changed, ","))
-    return pairs.select("media_id", "track_id", diff.alias("diff")).filter("diff <> ''")
+def preserved_audit(before: DataFrame, after: DataFrame, replaced: DataFrame, columns: list[str], header: list[str]) -> DataFrame:
+    """Differences of tracks that a rewrite had to leave alone, paired by their place in the file.
+
+    `replaced(media_id, track_id)` names tracks whose content was exchanged: only their `header` columns may differ;
+    order, codec, name, language, flags and uid (`columns`) must not.
+    """
+    own = ["media_id", "track_id", *columns, *header]
+    pairs = ordinal_zip(before.select(*own), after.select(*own), ["media_id"], "track_id")
+    rows = pairs.withColumn("track_id", F.coalesce("a.track_id", "b.track_id")).join(
+        replaced.select("media_id", "track_id", F.lit(True).alias("_r")), ["media_id", "track_id"], "left")
+    def differs(c):
+        return ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+
+    changed = F.array_compact(F.array(*[F.when(differs(c), c) for c in columns], *[F.when(differs(c) & F.col("_r").isNull(), c) for c in header]))
+    diff = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise(F.array_join(changed, ","))
+    return rows.select("media_id", "track_id", diff.alias("diff")).filter("diff <> ''")
 
 
 def media_health(video: DataFrame, audio: DataFrame) -> DataFrame:
@@ -116,8 +125,6 @@ def main_audio(rows: DataFrame) -> DataFrame:
 
 def source_anchors(rows: DataFrame, audio: DataFrame) -> DataFrame:
     """Complete subtitles that may carry the film's clock: dialogue language, English, else one other; two per language."""
-    from pyspark.sql import Window
-
     subs = rows.filter("type = 'subtitles' and not incomplete").join(audio.select("media_id", "main_lang"), "media_id", "left")
     tier = F.when((F.col("main_lang") != "und") & (F.col("lang") == F.col("main_lang")), 0).when(F.col("lang") == "en", 1).otherwise(2)
     ranked = subs.withColumn("tier", tier)
@@ -172,8 +179,6 @@ def library_plan(rows: DataFrame, desired: list[str], script_equivalent: bool =
     Counts, covered languages and the main audio come from one pass over the tracks; the source is
     the best of the two complete subtitles kept per language.
     """
-    from pyspark.sql import Window
-
     speaks = (F.col("type") == "audio") & F.col("dialogue")
     films = rows.groupBy("media_id").agg(
         F.count_if(speaks).alias("kept_audio"),
@@ -217,9 +222,9 @@ def complete_source(requests: DataFrame, profiles: DataFrame) -> DataFrame:
 def replacement_plan(rows: DataFrame, failures: DataFrame, preferences: list[str]) -> DataFrame:
     """Replace only tracks proved misaligned; then which preference languages still lack a main track.
 
-    `failures(media_id, track_id, kind)`.
+    `failures(media_id, track_id, kind)`. The kinds that prove it are fixed values; any other failure proves nothing.
     """
-    proved = failures.filter(F.col("kind").isin("offset", "drift", "other_cut")).select("media_id", "track_id")
+    proved = failures.filter(F.col("kind").isin("non_fixed_offset", "outside_automatic_offset_range")).select("media_id", "track_id")
     kept = rows.join(proved, ["media_id", "track_id"], "left_anti")
     counts = proved.groupBy("media_id").agg(F.count(F.lit(1)).alias("replaced"))
     have = coverage(kept, preferences, False)

@@ -103,13 +103,16 @@ def provider_id(spark, sf_dir):
 
 _CONFLICT_SQL = """
 pr as (select i.identity_id, c.file_id, c.release, i.title, i.year, c.feature_year, replace(i.title,' ','.')||'.'||i.year||case i.identity_id%3 when 0 then '.BluRay.x264' when 1 then '.Extended.Cut.BluRay.x264' else '.WEB-DL.x264' end as own
- from rel c join identity i on i.title=c.feature_title)"""
+ from rel c join identity i on i.title=c.feature_title and cast(i.year as int)-cast(c.feature_year as int) in (0,5))"""
 
 
 def _conflict_pairs(spark, sf_dir):
     own = F.expr("replace(title, ' ', '.') || '.' || year || case identity_id % 3 when 0 then '.BluRay.x264' when 1 then '.Extended.Cut.BluRay.x264' else '.WEB-DL.x264' end")
     works = identity(spark, sf_dir)
-    return _releases(spark, sf_dir).join(works, F.col("feature_title") == F.col("title")).withColumn("own", own)
+    # works of the candidate's own year and of one that conflicts with it
+    years = F.explode(F.array(F.lit(0), F.lit(5))).alias("later")
+    rows = _releases(spark, sf_dir).select("*", years).withColumn("other_year", (F.col("feature_year").cast("int") + F.col("later")).cast("string")).drop("later")
+    return rows.join(works, (F.col("feature_title") == F.col("title")) & (F.col("other_year") == F.col("year"))).drop("other_year").withColumn("own", own)
 
 
 @query("b16_conflicts", "candidate identity", REL_SQL + "," + _CONFLICT_SQL + """
@@ -156,12 +159,12 @@ def catalogue_queries(spark, sf_dir):
 
 @query("c8_multi_id_match", "candidate identity", """
 p as (select i.identity_id, c.file_id, case when c.file_id%3=0 then '' else cast(c.file_id%40+1 as varchar) end as c_imdb, case when c.file_id%4=0 then '' else cast(c.file_id%25+1 as varchar) end as c_tmdb,
- cast(i.identity_id%40+1 as varchar) as i_imdb, case when i.identity_id%2=0 then '' else cast(i.identity_id%25+1 as varchar) end as i_tmdb from candidate c join identity i on i.title=c.feature_title),
+ cast(i.identity_id%40+1 as varchar) as i_imdb, case when i.identity_id%2=0 then '' else cast(i.identity_id%25+1 as varchar) end as i_tmdb from candidate c join identity i on i.title=c.feature_title and i.year=c.feature_year),
 m as (select *, c_imdb<>'' and i_imdb<>'' as b1, c_tmdb<>'' and i_tmdb<>'' as b2 from p)
 select identity_id, file_id, (b1 or b2) and (not b1 or c_imdb=i_imdb) and (not b2 or c_tmdb=i_tmdb) as strong, (b1 and c_imdb<>i_imdb) or (b2 and c_tmdb<>i_tmdb) as conflict from m""")
 def multi_id_match(spark, sf_dir):
     f, i = F.col("file_id"), F.col("identity_id")
-    pairs = candidate(spark, sf_dir).join(identity(spark, sf_dir), F.col("feature_title") == F.col("title")).withColumns({
+    pairs = candidate(spark, sf_dir).join(identity(spark, sf_dir), (F.col("feature_title") == F.col("title")) & (F.col("feature_year") == F.col("year"))).withColumns({
         "c_imdb": F.when(f % 3 == 0, "unknown").otherwise(F.concat(F.lit("tt00"), f % 40 + 1)), "c_tmdb": F.when(f % 4 == 0, "").otherwise((f % 25 + 1).cast("string")),
         "i_imdb": F.concat(F.lit("tt"), i % 40 + 1), "i_tmdb": F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("0"), i % 25 + 1))})
     ids = [(tt.provider_id(F.col(f"c_{n}")), tt.provider_id(F.col(f"i_{n}"))) for n in ("imdb", "tmdb")]
@@ -210,15 +213,15 @@ def shared_ids(spark, sf_dir):
 
 
 @query("c17_prefix_profiles", "candidate identity", """
-p as (select file_id as profile_id, feature_year as year, lower(feature_title) as k, lower(case when file_id%2=0 then feature_title||' saga' else feature_title||' again' end) as a from candidate where file_id%5<>0 and file_id%7<>0),
+p as (select file_id as profile_id, feature_year as year, lower(case when file_id%3=0 then feature_title||' saga' else feature_title end) as k, lower(case when file_id%2=0 then feature_title||' saga' else feature_title||' again' end) as a from candidate where file_id%5<>0 and file_id%7<>0),
 i as (select identity_id, year, lower(title||' saga') as k from identity)
-select distinct profile_id, identity_id from p join i on i.year=p.year and ((starts_with(i.k, p.k||' ') and contains(p.k,' ')) or p.a=i.k)""")
+select distinct profile_id, identity_id from p join i on i.year=p.year and ((starts_with(i.k, p.k||' ') and contains(p.k,' ')) or p.a=i.k or p.k=i.k)""")
 def prefix_profiles(spark, sf_dir):
     f = F.col("file_id")
     profiles = candidate(spark, sf_dir).select(
-        f.alias("profile_id"), F.col("feature_year").alias("year"), F.col("feature_title").alias("title"),
+        f.alias("profile_id"), F.col("feature_year").alias("year"), F.when(f % 3 == 0, F.concat("feature_title", F.lit(" saga"))).otherwise(F.col("feature_title")).alias("title"),
         F.array(F.concat("feature_title", F.when(f % 2 == 0, " saga").otherwise(" again"))).alias("aliases"),
-        F.when(f % 5 == 0, "series").otherwise("movie").alias("kind"), F.when(f % 7 == 0, "").otherwise(f.cast("string")).alias("imdb_id"), f.cast("string").alias("tmdb_id"))
+        F.when(f % 5 == 0, "series").when(f % 5 == 1, "Feature").when(f % 5 == 2, "").otherwise("movie").alias("kind"), F.when(f % 7 == 0, "").otherwise(f.cast("string")).alias("imdb_id"), f.cast("string").alias("tmdb_id"))
     works = identity(spark, sf_dir).withColumn("title", F.concat("title", F.lit(" saga")))
     return ct.prefix_profiles(profiles, works)
 
@@ -353,14 +356,14 @@ def funnel(spark, sf_dir):
 
 
 @query("e10_candidate_priority", "candidate identity", REL_SQL + f""",
-pr as (select i.identity_id, c.file_id as seq, case when c.file_id%10=0 then 'SubDL' else c.author end as author, c.release, replace(i.title,' ','.')||'.'||i.year||'.Theatrical.BluRay.x264-Brand3' as own, c.file_id%89=0 as hm from rel c join identity i on i.title=c.feature_title),
+pr as (select i.identity_id, c.file_id as seq, case when c.file_id%10=0 then 'SubDL' else c.author end as author, c.release, replace(i.title,' ','.')||'.'||i.year||'.Theatrical.BluRay.x264-Brand3' as own, c.file_id%89=0 as hm from rel c join identity i on i.title=c.feature_title and i.year=c.feature_year),
 sg as (select *, case when hm then 16 else 0 end + case when lower(own)=lower(release) then 8 else 0 end + case when {ED_SQL.format('release')}='theatrical' then 4 else 0 end + case when contains(release,'BluRay') then 2 else 0 end
  + case when regexp_extract(release,'-([A-Za-z0-9]+)$',1)='Brand3' then 1 else 0 end as signals from pr),
 tn as (select *, case when lower(author)='subdl' then 0 else row_number() over (partition by identity_id, signals, author order by seq)-1 end as turn from sg)
 select identity_id, seq, cast(signals as int) as signals, turn, row_number() over (partition by identity_id order by signals desc, turn, seq) as place from tn""")
 def candidate_priority(spark, sf_dir):
     own = F.concat(F.replace("title", F.lit(" "), F.lit(".")), F.lit("."), "year", F.lit(".Theatrical.BluRay.x264-Brand3"))
-    pairs = _releases(spark, sf_dir).join(identity(spark, sf_dir), F.col("feature_title") == F.col("title")).select(
+    pairs = _releases(spark, sf_dir).join(identity(spark, sf_dir), (F.col("feature_title") == F.col("title")) & (F.col("feature_year") == F.col("year"))).select(
         "identity_id", F.col("file_id").alias("seq"), F.when(F.col("file_id") % 10 == 0, "SubDL").otherwise(F.col("author")).alias("author"),
         own.alias("own_name"), "release", (F.col("file_id") % 89 == 0).alias("hash_match"))
     return ct.prioritise(pairs)
@@ -368,8 +371,8 @@ def candidate_priority(spark, sf_dir):
 
 @query("g1_provider_quota", "candidate", """
 t as (select *, row_number() over (partition by provider order by feature_year desc, file_id) as place, count(*) over (partition by provider) as total from candidate)
-select provider, file_id, cast(place as int) as place, total, total>25 as truncated from t where place<=25""")
+select provider, file_id, cast(place as int) as place, total, total>greatest(1, total//2) as truncated from t where place<=greatest(1, total//2)""")
 def provider_quota(spark, sf_dir):
     rows = candidate(spark, sf_dir).select("provider", "file_id", "feature_year")
-    kept = ct.provider_quota(rows, "provider", [F.col("feature_year").desc(), F.col("file_id")], 25)
+    kept = ct.provider_quota(rows, "provider", [F.col("feature_year").desc(), F.col("file_id")])
     return kept.select("provider", "file_id", "place", "total", "truncated")

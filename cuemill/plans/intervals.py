@@ -118,7 +118,7 @@ n as (select a.media_id, n_candidate, n_anchor from (select media_id, count(*) a
 s as (select c.media_id, c.start_ms, n_candidate, n_anchor, row_number() over (partition by c.media_id order by start_ms, event_id) as ix
   from shifted_cue c join n on n.media_id=c.media_id),
 d as (select s.media_id, s.ix, any_value(n_candidate) as n_candidate, any_value(n_anchor) as n_anchor, min(abs(s.start_ms-r.start_ms)) as distance
-  from s join speech r on r.media_id=s.media_id where (ix-1)%greatest(1, n_candidate//120)=0 group by 1,2),
+  from s join speech r on r.media_id=s.media_id group by 1,2),
 f as (select media_id, any_value(n_candidate) as n_candidate, any_value(n_anchor) as n_anchor, count(*) as sampled,
   count(*) filter (distance<=1500) as close, median(distance) as median_ms from d group by 1)
 select *, n_candidate>=20 and n_anchor>=20 and close/sampled>=0.55::double and median_ms<=800 as aligned from f""")

@@ -131,7 +131,7 @@ _SECRET = "case cue_ix%5 when 0 then 'GET http://x.io/a?api_key=abc'||cue_ix||'&
 
 
 @query("b18_redaction", "doc_cue", """
-select track_id, cue_ix, case cue_ix%5 when 0 then 'GET http://x.io/a?api_key=[REDACTED]&page=2' when 1 then 'https://[REDACTED]@host/x' when 2 then 'Authorization: Bearer [REDACTED]' when 3 then 'reason: access_token="[REDACTED]" signature=ok' else 'password = [REDACTED], done' end as text from doc_cue""")
+select track_id, cue_ix, case cue_ix%5 when 0 then 'GET http://x.io/a?api_key=[REDACTED]&page=2' when 1 then 'https://[REDACTED]@host/x' when 2 then 'Authorization: Bearer [REDACTED]' when 3 then 'reason: access_token="[REDACTED]" signature=[REDACTED]' else 'password = [REDACTED], done' end as text from doc_cue""")
 def redaction(spark, sf_dir):
     return doc_cue(spark, sf_dir).select("track_id", "cue_ix", rd.redact(F.expr(_SECRET)).alias("text"))
 

@@ -85,17 +85,21 @@ def reconciliation(spark, sf_dir):
 
 
 @query("c21_preserved_tracks", "track", """
-b as (select media_id, track_id, language, case when media_id%19=0 then name||'!' else name end as name, codec, is_default, case when media_id%23=0 then not is_forced else is_forced end as is_forced from track where not (media_id%29=0 and track_id=1)),
-j as (select a.media_id, a.track_id, b.media_id is null as gone, array_to_string(list_filter([case when a.language is distinct from b.language then 'language' end, case when a.name is distinct from b.name then 'name' end, case when a.codec is distinct from b.codec then 'codec' end,
- case when a.is_default is distinct from b.is_default then 'is_default' end, case when a.is_forced is distinct from b.is_forced then 'is_forced' end], lambda x: x is not null), ',') as d from track a left join b on b.media_id=a.media_id and b.track_id=a.track_id),
-k as (select media_id, track_id, case when gone then 'missing' when (media_id+track_id)%4=0 then '' else d end as diff from j)
+a as (select *, row_number() over (partition by media_id order by track_id) as place from track),
+b as (select media_id, track_id, language, case when media_id%19=0 then name||'!' else name end as name, codec, is_default, case when media_id%23=0 then not is_forced else is_forced end as is_forced,
+ frames+case when media_id%31=0 then 1 else 0 end as frames, row_number() over (partition by media_id order by track_id) as place from track where not (media_id%29=0 and track_id=1)),
+j as (select coalesce(a.media_id,b.media_id) as media_id, coalesce(a.track_id,b.track_id) as track_id, b.media_id is null as gone, array_to_string(list_filter([case when a.language is distinct from b.language then 'language' end, case when a.name is distinct from b.name then 'name' end, case when a.codec is distinct from b.codec then 'codec' end,
+ case when a.is_default is distinct from b.is_default then 'is_default' end, case when a.is_forced is distinct from b.is_forced then 'is_forced' end, case when (a.media_id+a.track_id)%4<>0 and a.frames is distinct from b.frames then 'frames' end], lambda x: x is not null), ',') as d
+ from a full join b on b.media_id=a.media_id and b.place=a.place),
+k as (select media_id, track_id, case when gone then 'missing' else d end as diff from j)
 select * from k where diff<>''""")
 def preserved_tracks(spark, sf_dir):
     rows, m = track(spark, sf_dir), F.col("media_id")
     after = rows.filter(~((m % 29 == 0) & (F.col("track_id") == 1))).withColumns({
-        "name": F.when(m % 19 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")), "is_forced": F.when(m % 23 == 0, ~F.col("is_forced")).otherwise(F.col("is_forced"))})
+        "name": F.when(m % 19 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")), "is_forced": F.when(m % 23 == 0, ~F.col("is_forced")).otherwise(F.col("is_forced")),
+        "frames": F.col("frames") + F.when(m % 31 == 0, 1).otherwise(0)})
     replaced = rows.filter("(media_id + track_id) % 4 = 0").select("media_id", "track_id")
-    return sl.preserved_audit(rows, after, replaced, ["language", "name", "codec", "is_default", "is_forced"])
+    return sl.preserved_audit(rows, after, replaced, ["language", "name", "codec", "is_default", "is_forced"], ["frames"])
 
 
 @query("d33_media_health", "track media", """
@@ -209,14 +213,14 @@ def complete_source(spark, sf_dir):
 
 
 @query("h8_replacement_plan", "track media", ROWS_SQL.replace("rx as materialized (select *,", "rx0 as materialized (select *,") + """,
-fl as (select media_id, track_id, case (media_id+track_id)%6 when 0 then 'offset' when 1 then 'drift' when 2 then 'timeout' else 'none' end as kind from rw where type='subtitles'),
-pv as (select media_id, track_id from fl where kind in ('offset','drift','other_cut')),
+fl as (select media_id, track_id, case (media_id+track_id)%6 when 0 then 'non_fixed_offset' when 1 then 'outside_automatic_offset_range' when 2 then 'timeout' else 'none' end as kind from rw where type='subtitles'),
+pv as (select media_id, track_id from fl where kind in ('non_fixed_offset','outside_automatic_offset_range')),
 rx as (select rx0.* from rx0 where not exists (select 1 from pv where pv.media_id=rx0.media_id and pv.track_id=rx0.track_id)),""" + COVER_SQL.format(eq=NOT_EQ) + """,
 ct as (select media_id, count(*) as replaced from pv group by 1)
 select cv.media_id, coalesce(replaced,0) as replaced, array_to_string(missing,',') as targets from cv left join ct on ct.media_id=cv.media_id""")
 def replacement_plan(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    kind = F.expr("case (media_id + track_id) % 6 when 0 then 'offset' when 1 then 'drift' when 2 then 'timeout' else 'none' end")
+    kind = F.expr("case (media_id + track_id) % 6 when 0 then 'non_fixed_offset' when 1 then 'outside_automatic_offset_range' when 2 then 'timeout' else 'none' end")
     failures = rows.filter("type = 'subtitles'").select("media_id", "track_id", kind.alias("kind"))
     return sl.replacement_plan(rows, failures, DESIRED)
 

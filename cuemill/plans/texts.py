@@ -32,11 +32,11 @@ def dialogue_text(spark, sf_dir):
 
 
 @query("b7_language_detection", "doc_cue", """
-w as (select track_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ]+')) as w from doc_cue where cue_ix<=300),
+w as (select track_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ]+')) as w from doc_cue),
 c as (select d.track_id, count(*) filter (w in ('the','and','you','that','this','what','with','have','not','are','for')) as en, count(*) filter (w in ('que','los','las','una','por','para','con','como','pero','está','del')) as es,
  count(*) filter (w in ('les','des','une','est','pas','pour','avec','dans','mais','vous','que')) as fr, count(*) filter (w in ('der','die','das','und','ist','nicht','mit','für','auf','ich','sie')) as de,
  count(*) filter (w in ('que','uma','não','por','para','com','como','mas','você','está','dos')) as pt from (select distinct track_id from doc_cue) d left join w on w.track_id=d.track_id group by 1),
-k as (select track_id, bool_or(regexp_matches(text,'[぀-ヿ]')) as ja, bool_or(regexp_matches(text,'[가-힯]')) as ko, bool_or(regexp_matches(text,'[Ѐ-ӿ]')) as ru, bool_or(regexp_matches(text,'[㐀-鿿]')) as zh from doc_cue where cue_ix<=300 group by 1),
+k as (select track_id, bool_or(regexp_matches(text,'[぀-ヿ]')) as ja, bool_or(regexp_matches(text,'[가-힯]')) as ko, bool_or(regexp_matches(text,'[Ѐ-ӿ]')) as ru, bool_or(regexp_matches(text,'[㐀-鿿]')) as zh from doc_cue group by 1),
 m as (select c.*, ja, ko, ru, zh, greatest(en,es,fr,de,pt) as top from c join k on k.track_id=c.track_id)
 select track_id, case when ja then 'ja' when ko then 'ko' when ru then 'ru' when zh then 'zh-CN' when top<3 then 'und' when en=top then 'en' when es=top then 'es' when fr=top then 'fr' when de=top then 'de' else 'pt' end as language, top as evidence from m""")
 def language_detection(spark, sf_dir):
@@ -236,13 +236,13 @@ _IN = {k: "('" + "','".join(v.split()) + "')" for k, v in _D5.items()}
 
 
 @query("d5_content_conflict", "doc_cue", f"""
-n as (select track_id, count(*) as n, count(*) filter (cue_ix<=600 and regexp_matches(text,'�|锟斤拷|脡|脿|â€')) as mk, sum(len(regexp_extract_all(text,'[ÃÂ]'))) filter (cue_ix<=600) as lm,
- sum(len(regexp_extract_all(text,'[㐀-鿿぀-ヿ가-힯Ѐ-ӿ]'))) filter (cue_ix<=600) as os, string_agg(case when cue_ix<=80 then lower(text) end,' ' order by cue_ix) as o from doc_cue group by 1),
-w as (select track_id, unnest(regexp_extract_all(lower(text),'[A-Za-zÀ-ÿ]+')) as w from doc_cue where cue_ix<=600),
+n as (select track_id, count(*) as n, count(*) filter (cue_ix<=600 and regexp_matches(text,'�|锟斤拷|脡|脿|â€')) as mk, sum(len(regexp_extract_all(text,'[ÃÂ]'))) as lm,
+ sum(len(regexp_extract_all(text,'[㐀-鿿぀-ヿ가-힯Ѐ-ӿ]'))) as os, bool_or(regexp_matches(lower(text),'\\b(?:audio|director(?:''s)?|filmmaker) commentary\\b|\\bwelcome to (?:the|this) commentary\\b') or (regexp_matches(lower(text),'\\b(?:my name is|i am|i''m)\\b') and regexp_matches(lower(text),'\\bwriter\\b')::int+regexp_matches(lower(text),'\\bdirector\\b')::int+regexp_matches(lower(text),'\\bproducer\\b')::int+regexp_matches(lower(text),'\\bexecutive producer\\b')::int>=2)) as o from doc_cue group by 1),
+w as (select track_id, unnest(regexp_extract_all(lower(text),'[A-Za-zÀ-ÿ]+')) as w from doc_cue),
 c as (select n.track_id, count(w) as letters, count(*) filter (w in ('the','and','you','that','this','what','with','have','not','are','for','your','was','but','they','his','her','she','he','we','to','of','in','is','it','on','be','as','at','do','my','there','here','know','get','go','come','will','would','could','should')) as english,
  {",".join(f"count(*) filter (w in {v}) as s_{k}, count(distinct case when w in {v} then w end) as k_{k}" for k, v in _IN.items())} from n left join w on w.track_id=n.track_id group by 1),
 t as (select c.*, n, mk, lm, os, o, list_sort([{",".join(f"{{'s':s_{k},'k':k_{k}}}" for k in _IN)}])[-1] as top from c join n on n.track_id=c.track_id)
-select track_id, n as cues, english, top.s as foreign, case when n<20 then '' when regexp_matches(o,'\\b(?:audio|director(?:''s)?|filmmaker) commentary\\b|\\bwelcome to (?:the|this) commentary\\b') then 'commentary' when mk>0 or lm>=3 then 'mojibake'
+select track_id, n as cues, english, top.s as foreign, case when n<20 then '' when o then 'commentary' when mk>0 or lm>=3 then 'mojibake'
  when os>=greatest(12, letters//20) then 'foreign_script' when top.s>=greatest(18, floor(english*0.18::double)) and top.k>=3 then 'foreign_language' else '' end as reason from t""")
 def content_conflict(spark, sf_dir):
     return mt.content_conflict(doc_cue(spark, sf_dir))
@@ -273,14 +273,13 @@ def independent_evidence(spark, sf_dir):
     return mt.independent_evidence(rows, ["track_id"])
 
 
-@query("d36_burn_in_verdict", "doc_cue", _EVID_SQL.replace("as key from doc_cue)", "as key from doc_cue where track_id%3=0)") + """,
+@query("d36_burn_in_verdict", "doc_cue", _EVID_SQL + """,
 po as (select track_id, count(*) filter (cue_ix%9<>0) as valid, bool_or(cue_ix%41=0) as unresolved from doc_cue group by 1), er as (select track_id, count(*) as n from ev group by 1)
 select po.track_id, valid, case when coalesce(ind,false) then 'detected' when coalesce(n,0)>0 or unresolved or valid<12 then 'uncertain' else 'not_detected' end as status from po left join pr on pr.track_id=po.track_id left join er on er.track_id=po.track_id""")
 def burn_in_verdict(spark, sf_dir):
     cues = doc_cue(spark, sf_dir)
     positions = cues.select("track_id", (F.col("cue_ix") % 9 != 0).alias("valid"), (F.col("cue_ix") % 41 == 0).alias("unresolved"))
-    # Only every third film has shown text at all.
-    evidence = cues.filter("track_id % 3 = 0").select(
+    evidence = cues.select(
         "track_id", (F.col("cue_ix") % 5).alias("position"), F.col("start_ms").alias("at_ms"), "text", (F.col("cue_ix") % 3 != 0).alias("stable"))
     return mt.burn_in_verdict(positions, evidence, ["track_id"])
 

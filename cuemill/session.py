@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 def local_session(cpus: str = "8", app: str = "cuemill") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    # workers start from other folders and unpickle functions by their module
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -20,6 +23,8 @@ def local_session(cpus: str = "8", app: str = "cuemill") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cuemill.documentPartitions", cpus if cpus.isdigit() else "8")
+        .config("spark.executorEnv.PYTHONPATH", root)
         .config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .config("spark.checkpoint.dir", f"{scratch}/checkpoint")

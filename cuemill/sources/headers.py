@@ -58,7 +58,7 @@ def read_candidates(json_a: DataFrame, json_b: DataFrame, key: str = "media_id",
     f = F.get("files", F.lit(0))
     d = F.col("feature_details")
     rows_a = a.filter(f["file_id"].isNotNull()).select(
-        key, F.lit("a").alias("provider"), F.col("seq").cast("bigint").alias("seq"), f["file_id"].cast("string").alias("file_id"), F.coalesce(F.nullif(f["file_name"], empty), F.concat(F.lit("subtitle-"), f["file_id"], F.lit(".srt"))).alias("file_name"),
+        key, F.lit("a").alias("provider"), F.struct(F.col("seq").cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")).alias("seq"), f["file_id"].cast("string").alias("file_id"), F.coalesce(F.nullif(f["file_name"], empty), F.concat(F.lit("subtitle-"), f["file_id"], F.lit(".srt"))).alias("file_name"),
         F.coalesce(F.nullif("release", empty), F.nullif(f["file_name"], empty), empty).alias("release"), F.coalesce("download_count", F.lit(0).cast("bigint")).alias("downloads"),
         F.coalesce("ratings", F.lit(0.0)).alias("rating"), F.coalesce("from_trusted", F.lit(False)).alias("trusted"), F.coalesce(F.col("uploader.name"), empty).alias("author"), empty.alias("url"),
         F.coalesce(F.nullif(d["movie_name"], empty), d["title"], empty).alias("feature_title"), F.coalesce(d["year"], empty).alias("feature_year"))
@@ -68,12 +68,13 @@ def read_candidates(json_a: DataFrame, json_b: DataFrame, key: str = "media_id",
         return F.coalesce(F.col(f"c.{name}"), F.col(f"p.{name}"))
 
     url = F.coalesce(inherited("url"), empty)
-    seq = (F.col("i") * 100 + F.coalesce("j", F.lit(0))).cast("bigint")
-    name = F.coalesce(F.nullif(inherited("name"), empty), F.nullif(F.regexp_extract(url, "([^/?]+)(?:\\?.*)?$", 1), empty), F.concat(F.lit("subtitle-"), seq, F.lit(".zip")))
-    listed = F.array_join(F.slice(inherited("releases"), 1, 3), " / ")
+    place = F.struct(F.col("i").cast("bigint").alias("i"), F.coalesce("j", F.lit(0)).cast("bigint").alias("j"))
+    number = F.concat_ws("-", place["i"], F.when(place["j"] > 0, place["j"]))
+    name = F.coalesce(F.nullif(inherited("name"), empty), F.nullif(F.regexp_extract(url, "([^/?]+)(?:\\?.*)?$", 1), empty), F.concat(F.lit("subtitle-"), number, F.lit(".zip")))
+    listed = F.array_join(inherited("releases"), " / ")
     downloads, rating = F.coalesce(inherited("download_count"), F.lit(0).cast("bigint")), F.coalesce(inherited("rating"), F.lit(0.0))
     rows_b = b.select(
-        key, F.lit("b").alias("provider"), seq.alias("seq"), F.coalesce(F.nullif(inherited("n_id"), empty), F.nullif(url, empty), seq.cast("string")).alias("file_id"), name.alias("file_name"),
+        key, F.lit("b").alias("provider"), place.alias("seq"), F.coalesce(F.nullif(inherited("n_id"), empty), F.nullif(url, empty), number).alias("file_id"), name.alias("file_name"),
         F.coalesce(F.nullif(inherited("release_name"), empty), F.nullif(listed, empty), name).alias("release"), downloads.alias("downloads"), rating.alias("rating"),
         ((rating >= 8) | (downloads >= 1000)).alias("trusted"), F.coalesce(F.nullif(inherited("author"), empty), empty).alias("author"), url.alias("url"), empty.alias("feature_title"), empty.alias("feature_year"))
     rows = rows_a.unionByName(rows_b)

@@ -7,7 +7,8 @@ number or accumulate rows per key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from cuemill.operators.ordered import Ordered
 from cuemill.config import CHUNK_MS
@@ -17,17 +18,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread rows that come from fewer splits than there are cores (a few large row groups).
-
-    Text work is costly per byte. Inputs with enough splits are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark, sf_dir):
-    return spread_small(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    """Documents as they are stored. A session can ask for more partitions than the files have row groups."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    wanted = spark.conf.get("spark.cuemill.documentPartitions", None)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def doc_cue(spark, sf_dir):
@@ -74,10 +69,9 @@ _TRACK_COLUMNS = """case l_partkey%4 when 0 then 'audio' else 'subtitles' end as
 
 def track(spark, sf_dir):
     items = load(spark, sf_dir, "lineitem")
-    numbered = Ordered(
-        items, ["l_orderkey"], "l_linenumber", 1,
-        ties=["l_partkey", "l_suppkey", "l_extendedprice"],
-    ).row_number("track_id").result()
+    # a film has a few dozen tracks, so a plain window does
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    numbered = items.withColumn("track_id", F.row_number().over(order))
     return spark.sql(
         "select l_orderkey as media_id, cast(track_id as int) as track_id, " + _TRACK_COLUMNS + " from {t}",
         t=numbered,
@@ -105,9 +99,8 @@ def candidate(spark, sf_dir):
 
 def identity(spark, sf_dir):
     return spark.sql(
-        """select s_suppkey as identity_id, p_name as title, cast(1950+p_size as varchar(8)) as year
-        from {s} join {p} on p_partkey=s_suppkey*17%200""",
-        s=load(spark, sf_dir, "supplier"), p=load(spark, sf_dir, "part"),
+        """select p_partkey as identity_id, p_name as title, cast(1950+p_size as varchar(8)) as year from {p}""",
+        p=load(spark, sf_dir, "part"),
     )
 
 
@@ -154,8 +147,7 @@ DUCKDB_VIEWS = {
  ||'.x264-'||replace(p_brand,'#','') as release,
  p_name as feature_title, cast(1950+p_size as varchar(8)) as feature_year,
  'u'||cast(p_partkey%9 as varchar(8)) as author from part""",
-    "identity": """select s_suppkey as identity_id, p_name as title, cast(1950+p_size as varchar(8)) as year
- from supplier join part on p_partkey=s_suppkey*17%200""",
+    "identity": "select p_partkey as identity_id, p_name as title, cast(1950+p_size as varchar(8)) as year from part",
     "cache_log": """select user_id%20 as cue_ix, case user_id%3 when 0 then 'zh-CN' when 1 then 'de' else 'es' end
  as target, event_id as seq, event_type<>'error' as is_valid, 'tr '||event_id as translation from events""",
     "progress": """select media_id as proc_id, event_id as seq, start_ms as arrived_ms,
