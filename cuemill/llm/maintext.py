@@ -184,9 +184,9 @@ def main_text(source: str | None) -> str:
         chosen[whole] = True
     else:
         chosen[best] = True
-        least = min(density[i] for i in path)
-        for i in range(n):  # other subtrees as dense as the sparsest step of the path, with few links
-            if inside[i] and i not in path and parent[i] in path and density[i] >= least and link_chars[i] * 3 < chars[i]:
+        least, steps = min(density[i] for i in path), set(path)
+        for i in range(n):  # the headline, and other subtrees as dense as the sparsest step of the path, with few links
+            if inside[i] and i not in steps and parent[i] in steps and (tag[i] == "h1" or density[i] >= least and link_chars[i] * 3 < chars[i]):
                 chosen[i] = True
     for i in range(1, n):
         chosen[i] = chosen[i] or chosen[parent[i]]

@@ -20,6 +20,8 @@ from cuemill.llm import simhash
 from cuemill.llm.shared import components, roots, saved
 
 WORDS64, SEED = 4, 42
+#: Rows under one key that are compared in one task; more are dealt block against block.
+RUN = 16_384
 RECALL = 0.98
 #: Documents of a candidate group that are compared in one task, at most against as many others.
 BLOCK = 512
@@ -173,8 +175,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
     mean = 128 * bit_rate(similarity)
     most = int(mean + 3.5 * math.sqrt(mean * (1 - mean / 128)))
     total = n * sum(1 + t * len(g) // 2 for _, g, t in plan)
-    bucket = F.pmod(F.xxhash64("part", "key"), F.lit(max(64, total // per_bucket)))
-    found = _probes(vertices, plan).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda x: _candidate_links(x, most), "a long, b long")
+    rows = _probes(vertices, plan)
+    # keys with more than RUN rows: at most one for each RUN rows there are, usually none, so this table stays small
+    long_runs = saved(rows.groupBy("part", "key").count().where(F.col("count") > RUN).select("part", "key", F.ceil(F.col("count") / RUN).cast("int").alias("g")), "long-runs")
+    rows = rows.join(long_runs, ["part", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    shared = F.pmod(F.xxhash64("part", "key"), F.lit(max(64, total // per_bucket)))
+    bucket = F.when(F.col("g") == 1, shared).otherwise(F.xxhash64("part", "key", F.least("i", "j"), F.greatest("i", "j")))
+    found = rows.select("part", "key", "id", "w0", "w1", "away", bucket.alias("bucket")).groupBy("bucket").applyInPandas(lambda x: _candidate_links(x, most), "a long, b long")
     groups = saved(components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group")), "candidate-groups")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
 

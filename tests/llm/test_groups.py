@@ -85,6 +85,7 @@ def test_similar_documents_against_all_pairs(small, make):
 
 def test_large_candidate_groups_meet_block_by_block(make, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 8)
+    monkeypatch.setattr(similar, "RUN", 8)
     base = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join(base[: 100 + k] + [f"own{k}"] + base[100 + k :])) for k in range(40)] + [(90, "something else entirely " * 9)]
     found = similar.near_duplicates(make(rows)).toPandas().set_index("doc_id").component_id

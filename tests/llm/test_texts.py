@@ -64,6 +64,7 @@ def test_main_text_of_pages(spark):
         "<body><div class='ad'>Buy now, a lot of text that is an advert and nothing else</div><article><p>Text of the page.</p><div class=comments><p>I agree with all of it</p></div></article></body>": "Text of the page.",
         "<body><div id=main><p>A long paragraph with many words in it, so that it is dense.</p><p>And a second one, of about the same size, to follow it.</p></div><ul><li><a href=1>one</a><li><a href=2>two</a></ul></body>": "A long paragraph with many words in it, so that it is dense. And a second one, of about the same size, to follow it.",
         "<article><p>x &lt;b&gt; &#233;<script>var a='<p>no</p>'</script><style>p{}</style><form><input><label>Name</label></form></article>": "x <b> é",
+        "<body><div id=page><div id=c><h1>Head</h1><div><p>Words of the first paragraph, quite a few of them here.</p><p>Words of the second paragraph, quite a few as well.</p></div></div><div><ul><li><a href=1>l</a></ul></div></div></body>": "Head Words of the first paragraph, quite a few of them here. Words of the second paragraph, quite a few as well.",
         "plain words only": "plain words only",
         "<body><nav>only a menu</nav></body>": "",
         "<!-- nothing --": "",
