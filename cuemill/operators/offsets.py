@@ -254,15 +254,11 @@ def best_shift(reference: DataFrame, candidate: DataFrame, keys) -> DataFrame:
     coarse = _overlap_curve(coarse_ref, coarse_cand, keys, -240, 240).groupBy(*keys).agg(first().alias("coarse"))
     fine_ref, fine_cand = (activity_cells(df, keys, 100) for df in (reference, candidate))
     base = F.col("coarse") * 5
-    # Twenty-one shifts are few enough to try cell by cell, which reads either side once.
-    tried = fine_cand.join(coarse, keys).withColumn("k", F.explode(F.sequence(F.lit(-10), F.lit(10))))
-    met = tried.select(*keys, "coarse", "k", (F.col("cell") + base + F.col("k")).alias("cell")).join(
-        fine_ref.withColumn("hit", F.lit(1)), [*keys, "cell"], "left")
-    counted = met.groupBy(*keys, "coarse", "k").agg(F.count("hit").alias("c"), F.count(F.lit(1)).alias("n_cand"))
-    best = counted.groupBy(*keys).agg(
-        F.max_by("k", F.struct("c", -F.col("k"))).alias("k"), F.max("c").alias("overlap"), F.first("n_cand").alias("n_cand"), F.first("coarse").alias("coarse"))
-    sizes = fine_ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ref"))
-    return best.join(sizes, keys).select(
+    # The candidate is moved to the coarse winner; the curve around it comes from edges again.
+    near = fine_cand.join(coarse, keys).select(*keys, (F.col("cell") + base).alias("cell"))
+    best = _overlap_curve(fine_ref, near, keys, -10, 10).groupBy(*keys).agg(
+        first().alias("k"), F.max("c").alias("overlap"), F.first("n_cand").alias("n_cand"), F.first("n_ref").alias("n_ref"))
+    return best.join(coarse, keys).select(
         *keys, ((base + F.col("k")) * 100).cast("long").alias("shift_ms"), "overlap", (F.col("overlap") / F.least("n_ref", "n_cand")).alias("score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuemill.config import CHUNK_MS
 from cuemill.functions import text as T
-from cuemill.operators.intervals import gaps, interval_join, merge_intervals
+from cuemill.operators.intervals import interval_join
 from cuemill.operators.ordered import Ordered
 
 HALO_SLICE = 1_000
@@ -109,12 +109,17 @@ def review_windows(cues: DataFrame, media: DataFrame, key: str = "media_id") ->
     ).withColumn("second_half", F.col("dialogue_count") - F.col("first_half")).filter(
         (F.col("dialogue_count") >= 6) & (F.least("first_half", "second_half") >= 2)
     )
-    merged = merge_intervals(pairs.filter("spoken"), slot, chunk=CHUNK_MS)
-    occupied = merged.groupBy(*slot).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("occupied_ms"))
-    pauses = gaps(merged, slot).groupBy(*slot).agg(
-        F.count_if((F.col("gap_ms") >= 2_000) & (F.col("gap_ms") <= 8_000)).alias("pauses")
+    # A slot is one minute long: what each cue adds to the occupied time, and the pause before it, follow from the
+    # latest end among the cues before it.
+    order = Window.partitionBy(*slot).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("end_ms").over(order), F.col("start_ms"))
+    sounding = pairs.filter("spoken and end_ms > start_ms").withColumn("reached", reached)
+    pause = F.col("start_ms") - F.col("reached")
+    filled = sounding.groupBy(*slot).agg(
+        F.sum(F.greatest(F.lit(0), F.col("end_ms") - F.greatest("start_ms", "reached"))).alias("occupied_ms"),
+        F.count_if((pause >= 2_000) & (pause <= 8_000)).alias("pauses"),
     )
-    rows = counts.join(occupied, slot).join(pauses, slot, "left").withColumn("pauses", F.coalesce("pauses", F.lit(0)))
+    rows = counts.join(filled, slot)
     preferred = (
         F.col("dialogue_count").between(8, 16) & F.col("occupied_ms").between(15_000, 40_000)
         & (F.col("pauses") >= 2) & (F.least("first_half", "second_half") >= 3)
