@@ -23,7 +23,6 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "cuemill-bench")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:

@@ -20,6 +20,7 @@ def local_session(cpus: str = "8", app: str = "cuemill") -> SparkSession:
         .config("spark.sql.shuffle.partitions", os.environ.get("CUEMILL_SHUFFLE", "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")

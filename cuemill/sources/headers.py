@@ -41,42 +41,56 @@ def explode_tracks(media_json: DataFrame, key: str = "media_id", text: str = "js
 
 
 PROVIDER_A = """data array<struct<attributes:struct<release:string,language:string,download_count:bigint,ratings:double,from_trusted:boolean,hearing_impaired:boolean,
- moviehash_match:boolean,uploader:struct<name:string>,feature_details:struct<movie_name:string,title:string,year:string,imdb_id:string,tmdb_id:string>,
- files:array<struct<file_id:bigint,file_name:string>>>>>"""
-_B_ITEM = "n_id:string,url:string,name:string,release_name:string,releases:array<string>,language:string,download_count:bigint,rating:double,hi:boolean,author:string"
+ moviehash_match:boolean,uploader:struct<name:string>,feature_details:struct<movie_name:string,title:string,name:string,year:string,feature_id:string,feature_type:string,
+ imdb_id:string,tmdb_id:string,season_number:string,episode_number:string,parent_imdb_id:string,parent_tmdb_id:string>,files:array<struct<file_id:bigint,file_name:string>>>>>"""
+# Names under which provider b gives a value, in order of preference (fixed values).
+B_NAMES = {
+    "url": ("url", "download_url"), "file_id": ("file_n_id", "n_id", "id"), "name": ("name", "file_name"), "release": ("release_name",), "language": ("language", "lang"),
+    "downloads": ("download_count", "downloads", "downloaded"), "rating": ("rating", "rate", "score"), "hearing": ("hi", "hearing_impaired"), "author": ("author",),
+}
+_B_ITEM = ",".join(f"{n}:string" for names in B_NAMES.values() for n in names) + ",releases:array<string>"
 PROVIDER_B = f"subtitles array<struct<{_B_ITEM},unpack_files:array<struct<{_B_ITEM}>>>>"
+_FEATURE = ("feature_id", "imdb_id", "tmdb_id", "feature_type", "season_number", "episode_number", "parent_imdb_id", "parent_tmdb_id")
 
 
-def read_candidates(json_a: DataFrame, json_b: DataFrame, key: str = "media_id", text: str = "json") -> DataFrame:
-    """Two providers' results as one candidate table.
+def read_candidates(json_a: DataFrame, json_b: DataFrame, key: str = "media_id", text: str = "json", language: str = "") -> DataFrame:
+    """Two providers' results as one candidate table; `language` stands for a missing one.
 
     Provider a gives its first file; provider b's unpacked files inherit from their parent. Of equal
-    ids the last record counts, at the place of the first (`seq`).
+    ids the last record counts, at the place (`seq`: item, file) of the first.
     """
-    empty = F.lit("")
-    a = json_a.select(key, F.posexplode(F.from_json(text, PROVIDER_A)["data"]).alias("seq", "d")).select(key, "seq", "d.attributes.*")
-    f = F.get("files", F.lit(0))
-    d = F.col("feature_details")
+    empty, none = F.lit(""), F.lit(False)
+    def given(*values):
+        return F.coalesce(*[F.nullif(v, empty) for v in values])
+
+    a = json_a.select(key, F.posexplode(F.from_json(text, PROVIDER_A)["data"]).alias("i", "d")).select(key, "i", "d.attributes.*")
+    f, d = F.get("files", F.lit(0)), F.col("feature_details")
+    feature = {n if n.startswith("feature") else f"feature_{n}": F.coalesce(d[n], empty) for n in _FEATURE}
+    feature["feature_imdb_id"] = F.regexp_replace(feature["feature_imdb_id"], "^tt", "")
     rows_a = a.filter(f["file_id"].isNotNull()).select(
-        key, F.lit("a").alias("provider"), F.struct(F.col("seq").cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")).alias("seq"), f["file_id"].cast("string").alias("file_id"), F.coalesce(F.nullif(f["file_name"], empty), F.concat(F.lit("subtitle-"), f["file_id"], F.lit(".srt"))).alias("file_name"),
-        F.coalesce(F.nullif("release", empty), F.nullif(f["file_name"], empty), empty).alias("release"), F.coalesce("download_count", F.lit(0).cast("bigint")).alias("downloads"),
-        F.coalesce("ratings", F.lit(0.0)).alias("rating"), F.coalesce("from_trusted", F.lit(False)).alias("trusted"), F.coalesce(F.col("uploader.name"), empty).alias("author"), empty.alias("url"),
-        F.coalesce(F.nullif(d["movie_name"], empty), d["title"], empty).alias("feature_title"), F.coalesce(d["year"], empty).alias("feature_year"))
+        key, F.lit("a").alias("provider"), F.struct(F.col("i").cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")).alias("seq"),
+        f["file_id"].cast("string").alias("file_id"), F.coalesce(given(f["file_name"]), F.concat(F.lit("subtitle-"), f["file_id"], F.lit(".srt"))).alias("file_name"),
+        F.coalesce(given("release", f["file_name"]), empty).alias("release"), F.coalesce(given("language"), F.lit(language)).alias("language"),
+        F.coalesce("download_count", F.lit(0).cast("bigint")).alias("downloads"), F.coalesce("ratings", F.lit(0.0)).alias("rating"), F.coalesce("from_trusted", none).alias("trusted"),
+        F.coalesce("hearing_impaired", none).alias("hearing_impaired"), F.coalesce("moviehash_match", none).alias("moviehash_match"),
+        F.coalesce(F.col("uploader.name"), empty).alias("author"), empty.alias("url"), F.coalesce(given(d["movie_name"], d["title"], d["name"]), empty).alias("feature_title"),
+        F.coalesce(d["year"], empty).alias("feature_year"), *[v.alias(n) for n, v in feature.items()])
     b = json_b.select(key, F.posexplode(F.from_json(text, PROVIDER_B)["subtitles"]).alias("i", "p")).select(
-        key, "i", "p", F.posexplode_outer("p.unpack_files").alias("j", "c"))
-    def inherited(name):
-        return F.coalesce(F.col(f"c.{name}"), F.col(f"p.{name}"))
-
-    url = F.coalesce(inherited("url"), empty)
-    place = F.struct(F.col("i").cast("bigint").alias("i"), F.coalesce("j", F.lit(0)).cast("bigint").alias("j"))
-    number = F.concat_ws("-", place["i"], F.when(place["j"] > 0, place["j"]))
-    name = F.coalesce(F.nullif(inherited("name"), empty), F.nullif(F.regexp_extract(url, "([^/?]+)(?:\\?.*)?$", 1), empty), F.concat(F.lit("subtitle-"), number, F.lit(".zip")))
-    listed = F.array_join(inherited("releases"), " / ")
-    downloads, rating = F.coalesce(inherited("download_count"), F.lit(0).cast("bigint")), F.coalesce(inherited("rating"), F.lit(0.0))
+        key, F.col("i").cast("bigint").alias("i"), "p", F.posexplode_outer("p.unpack_files").alias("j", "c"))
+    def inherited(what):
+        return given(*[F.coalesce(F.col(f"c.{n}"), F.col(f"p.{n}")) for n in B_NAMES[what]])
+
+    url, j = F.coalesce(inherited("url"), empty), F.coalesce("j", F.lit(0)).cast("bigint")
+    number = (F.col("i") * 100 + j).cast("string")  # stands in names only; the order goes by (i, j)
+    name = F.coalesce(inherited("name"), given(F.regexp_extract(url, "([^/?]+)(?:\\?.*)?$", 1)), F.concat(F.lit("subtitle-"), number, F.lit(".zip")))
+    listed = F.array_join(F.slice(F.coalesce(F.col("c.releases"), F.col("p.releases")), 1, 3), " / ")  # the rule names three
+    downloads, rating = F.coalesce(inherited("downloads").try_cast("bigint"), F.lit(0).cast("bigint")), F.coalesce(inherited("rating").try_cast("double"), F.lit(0.0))
     rows_b = b.select(
-        key, F.lit("b").alias("provider"), place.alias("seq"), F.coalesce(F.nullif(inherited("n_id"), empty), F.nullif(url, empty), number).alias("file_id"), name.alias("file_name"),
-        F.coalesce(F.nullif(inherited("release_name"), empty), F.nullif(listed, empty), name).alias("release"), downloads.alias("downloads"), rating.alias("rating"),
-        ((rating >= 8) | (downloads >= 1000)).alias("trusted"), F.coalesce(F.nullif(inherited("author"), empty), empty).alias("author"), url.alias("url"), empty.alias("feature_title"), empty.alias("feature_year"))
+        key, F.lit("b").alias("provider"), F.struct("i", j.alias("j")).alias("seq"), F.coalesce(inherited("file_id"), given(url), number).alias("file_id"), name.alias("file_name"),
+        F.coalesce(inherited("release"), given(listed), name).alias("release"), F.coalesce(inherited("language"), F.lit(language)).alias("language"), downloads.alias("downloads"),
+        rating.alias("rating"), ((rating >= 8) | (downloads >= 1000)).alias("trusted"), F.coalesce(~F.lower(inherited("hearing")).isin("false", "0"), none).alias("hearing_impaired"),
+        none.alias("moviehash_match"), F.coalesce(inherited("author"), empty).alias("author"), url.alias("url"), empty.alias("feature_title"), empty.alias("feature_year"),
+        *[empty.alias(n) for n in feature])
     rows = rows_a.unionByName(rows_b)
     kept = [c for c in rows.columns if c not in (key, "provider", "file_id", "url", "seq")]
     return rows.groupBy(key, "provider", "file_id", "url").agg(F.min("seq").alias("seq"), F.max_by(F.struct(*kept), "seq").alias("r")).select(

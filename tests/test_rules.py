@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import redaction, similarity, titles
 from cuemill.operators import matching, parallel, selection
+from cuemill.sources import headers
 
 SECRETS = {
     'token="abcdef': 'token="[REDACTED]',
@@ -46,6 +47,20 @@ def test_runs_beyond_the_basic_plane(spark):
     assert rows.select(F.size(parallel._all(F.col("t"), parallel.CJK_RUN))).first()[0] == 1
 
 
+def test_a_letter_has_one_role(spark):
+    cases = {"区域A": ["label|section|A"], "“A” 计划": ["label|plan|A"], "A + “B” 等于 C": ["formula|A+B=C"], "第一 “A”": ["quoted|A"], "U.S. 门B": ["initialism|U.S.", "label|gate|B"]}
+    assert column(spark, cases, lambda v: parallel.identifier_roles(v, True)) == list(cases.values())
+
+
+def test_candidates_keep_what_providers_say(spark):
+    a = '{"data":[{"attributes":{"release":"R","language":"en","moviehash_match":true,"feature_details":{"title":"T","imdb_id":"tt05","season_number":"2"},"files":[{"file_id":7}]}}]}'
+    b = '{"subtitles":[{"id":"9","lang":"de","downloaded":"1500","hearing_impaired":true,"releases":["x","y"],"unpack_files":[{"file_name":"f1"},{"file_n_id":"10"}]}]}'
+    found = {r.file_id: r for r in headers.read_candidates(spark.createDataFrame([(1, a)], "media_id int, json string"), spark.createDataFrame([(1, b)], "media_id int, json string")).collect()}
+    assert set(found) == {"7", "9", "10"}
+    assert (found["7"].language, found["7"].feature_imdb_id, found["7"].feature_season_number, found["7"].moviehash_match, found["7"].file_name) == ("en", "05", "2", True, "subtitle-7.srt")
+    assert (found["9"].language, found["9"].downloads, found["9"].trusted, found["9"].hearing_impaired, found["9"].file_name, found["10"].release) == ("de", 1500, True, True, "f1", "x / y")
+
+
 def test_common_subsequence_against_the_table(spark):
     draw = random.Random(1)
     rows = [([draw.choice("abcd") for _ in range(draw.randint(0, 12))], [draw.choice("abcd") for _ in range(draw.randint(0, 12))]) for _ in range(120)]
