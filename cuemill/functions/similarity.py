@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-_WORD = re.compile(r"[a-z0-9']{2,}")
+WORD = re.compile(r"[a-z0-9']{2,}")
 _CJK = re.compile("[㐀-鿿぀-ヿ가-힯]")
 
 
@@ -23,20 +23,21 @@ def _f1(common: int, n: int, m: int) -> float:
     return 2 * common / (n + m) if n + m else 0.0
 
 
-@F.pandas_udf(t.DoubleType())
-def dialogue_score(expected: pd.Series, observed: pd.Series) -> pd.Series:
+def dialogue_similarity(a: str | None, b: str | None) -> float:
     """Order-sensitive similarity of two cleaned texts: words, characters, bag of words."""
-    def one(a, b):
-        if not a or not b:
-            return 0.0
-        u, v = _WORD.findall(a), _WORD.findall(b)
-        chars = _ratio(a, b)
-        if not u or not v:
-            return chars * 0.7
-        bag = _f1(sum((Counter(u) & Counter(v)).values()), len(u), len(v))
-        return 0.50 * _ratio(u, v) + 0.30 * chars + 0.20 * bag
+    if not a or not b:
+        return 0.0
+    u, v = WORD.findall(a), WORD.findall(b)
+    chars = _ratio(a, b)
+    if not u or not v:
+        return chars * 0.7
+    bag = _f1(sum((Counter(u) & Counter(v)).values()), len(u), len(v))
+    return 0.50 * _ratio(u, v) + 0.30 * chars + 0.20 * bag
 
-    return pd.Series([one(a, b) for a, b in zip(expected, observed)], dtype=float)
+
+@F.pandas_udf(t.DoubleType())
+def dialogue_score(expected: pd.Series, observed: pd.Series) -> pd.Series:
+    return pd.Series([dialogue_similarity(a, b) for a, b in zip(expected, observed)], dtype=float)
 
 
 @F.pandas_udf(t.DoubleType())
@@ -49,7 +50,7 @@ def semantic_score(expected: pd.Series, observed: pd.Series) -> pd.Series:
             u, v = ({text[i:i + 2] for i in range(max(0, len(text) - 1))} for text in (a, b))
             weight = 1.0
         else:
-            u, v = set(_WORD.findall(a)), set(_WORD.findall(b))
+            u, v = set(WORD.findall(a)), set(WORD.findall(b))
             weight = 0.6
         return max(_ratio(a, b) * weight, _f1(len(u & v), len(u), len(v)) if u and v else 0.0)
 

@@ -54,8 +54,9 @@ def cue_word_offsets(spark, sf_dir):
 @query("c15_phrase_matches")
 def phrase_matches(spark, sf_dir):
     at = F.floor((F.col("start_ms") + (F.col("media_id") % 7 - 3) * 700) / 400_000)
-    cues = shifted_cue(spark, sf_dir).select("media_id", at.alias("clip_ix"), F.col("event_id").alias("cue_id"), "start_ms", F.col("text").alias("words"))
-    found = gr.phrase_matches(cues, _words(spark, sf_dir), KEY)
+    cues = shifted_cue(spark, sf_dir).select("media_id", at.alias("clip_ix"), F.col("event_id").alias("cue_id"), "start_ms", "end_ms", F.col("text").alias("words"))
+    clips = cues.select("media_id", "clip_ix").distinct().withColumns({"clip_start_ms": F.col("clip_ix") * 400_000, "clip_end_ms": (F.col("clip_ix") + 1) * 400_000})
+    found = gr.phrase_matches(cues, _words(spark, sf_dir), clips, KEY)
     return found.withColumns({c: F.round(c, 6) for c in ("score", "margin", "probability")})
 
 
