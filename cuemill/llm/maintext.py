@@ -32,9 +32,9 @@ WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "footer", "breadcrumb",
     "breadcrumbs", "comment", "comments", "commentlist", "disqus", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "promo",
     "promotion", "sponsor", "sponsored", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login",
-    "pagination", "pager", "widget", "masthead", "topbar", "toolbar", "copyright", "replies", "reply", "respond", "skip", "alert", "paywall",
+    "pagination", "pager", "widget", "masthead", "header", "disclaimer", "topbar", "toolbar", "copyright", "replies", "reply", "respond", "skip", "alert", "paywall",
 }
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.shared import ASCII_SPACE
+from cuemill.llm.shared import ASCII_SPACE, saved
 
 #: Words of a window, words of an inner run, hashes of a fingerprint.
 K, S, KEPT = 4, 2, 128
@@ -75,9 +75,10 @@ def text_of(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, carried: list[str], per_range: int | None = None) -> DataFrame:
-    """`docs` (doc_id, text and the columns `carried`) with `next`, a struct of text and `carried` of the document that
-    follows by descending doc_id; the first follows the last.
+def with_next(docs: DataFrame, derive=None, carried: tuple[str, ...] = (), per_range: int | None = None) -> DataFrame:
+    """`docs` (doc_id, text) with `next`, a struct of text and `carried` of the document that follows by descending doc_id;
+    the first follows the last. `derive` adds the columns `carried` from the text once the rows are dealt out, so only
+    ids and texts are moved, and those once.
 
     Ids are dealt into ranges of about `per_range` documents (the square root of their number, 256 at least), so no task
     orders more than a range or two. The last document of a range is followed by the first of the next range: those
@@ -91,14 +92,15 @@ def with_next(docs: DataFrame, carried: list[str], per_range: int | None = None)
     range_ = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), -1 - F.pmod(F.xxhash64("text"), F.lit(n // per_range + 1)))
     ranged = docs.withColumn("range", range_.cast("long"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id"))
+    tops = saved(ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id")), "range-tops")  # small, and of a size that is known
     before = tops.select("range", F.lag("range").over(Window.orderBy(F.col("range").desc())).alias("to"))
     lowest = tops.agg(F.min("range")).first()[0]
     sent_on = before.select("range", F.coalesce("to", F.lit(lowest)).alias("to"))
     found = ranged.join(tops.withColumnRenamed("doc_id", "top"), "range").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    firsts = found.groupBy("range").agg(F.min_by(F.struct("text", *carried), F.struct(F.xxhash64("text"), "text")).alias("item"))
-    extra = firsts.join(sent_on, "range").select(F.col("to").alias("range"), F.lit(True).alias("extra"), "item.*")
-    rows = ranged.withColumn("extra", F.lit(False)).unionByName(extra, allowMissingColumns=True)
+    firsts = found.groupBy("range").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    extra = firsts.join(sent_on, "range").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("range"), F.lit(True).alias("extra"))
+    rows = ranged.withColumn("extra", F.lit(False)).unionByName(extra).repartition("range")
+    rows = derive(rows) if derive else rows
     following = F.lead(F.struct("text", *carried)).over(Window.partitionBy("range").orderBy("extra", *order))
     return rows.withColumn("next", following).where("not extra").drop("extra", "range")
 
@@ -119,7 +121,7 @@ def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, kept: int = KEPT
     are ignored. Long texts are read whole.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(fingerprinted(own, "text", "_own", k, s, kept), ["_own"])
+    pairs = with_next(own, lambda rows: fingerprinted(rows, "text", "_own", k, s, kept), ("_own",))
     pairs = pairs.withColumn("edited_text", edited(F.col("text"), F.col("next.text")))
     pairs = fingerprinted(pairs, "edited_text", "_edit", k, s, kept)
     return pairs.select(

@@ -65,6 +65,7 @@ def test_main_text_of_pages(spark):
         "<body><div id=main><p>A long paragraph with many words in it, so that it is dense.</p><p>And a second one, of about the same size, to follow it.</p></div><ul><li><a href=1>one</a><li><a href=2>two</a></ul></body>": "A long paragraph with many words in it, so that it is dense. And a second one, of about the same size, to follow it.",
         "<article><p>x &lt;b&gt; &#233;<script>var a='<p>no</p>'</script><style>p{}</style><form><input><label>Name</label></form></article>": "x <b> é",
         "<body><div id=page><div id=c><h1>Head</h1><div><p>Words of the first paragraph, quite a few of them here.</p><p>Words of the second paragraph, quite a few as well.</p></div></div><div><ul><li><a href=1>l</a></ul></div></div></body>": "Head Words of the first paragraph, quite a few of them here. Words of the second paragraph, quite a few as well.",
+        "<body><div id=header><p>Site name and motto of the site</p></div><main><div class='article-header'><h1>Top</h1></div><p title='a hidden id'>Body text.</p><p hidden>Not seen</p></main></body>": "Top Body text.",
         "plain words only": "plain words only",
         "<body><nav>only a menu</nav></body>": "",
         "<!-- nothing --": "",
@@ -258,7 +259,7 @@ def test_edits_over_many_ranges_and_odd_rows(make):
     docs = make(rows)
     plain = docs.toPandas()
     check_edits(plain, syncmers.compare_with_edits(docs).toPandas())
-    near = syncmers.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), [], per_range=5).toPandas().set_index("doc_id")
+    near = syncmers.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), per_range=5).toPandas().set_index("doc_id")
     ordered = plain.sort_values("doc_id", ascending=False)
     texts = ordered.text.fillna("").tolist()
     assert [near.next[d]["text"] for d in ordered.doc_id] == texts[1:] + texts[:1]
