@@ -11,6 +11,7 @@ MIN_PROBE_QUALITY = 0.18
 # A character score of 0.7 times the ratio 2 * matched / (n + m) passes 0.50 only with a ratio over 0.714: then the
 # shorter text has at least 0.55 of the longer one's characters, and beyond 8 characters two matched ones are adjacent.
 SHORT, MIN_LENGTH_SHARE = 8, 0.55
+GRAM = "\x02"
 
 
 def dialogue_quality(cues: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,30 +52,25 @@ def shortlist(probes: DataFrame, windows: DataFrame, keys=(), first: int = 8, wi
     from pyspark.sql import Window
 
     keys = list(keys)
-    def tokens(df, name):
-        return df.select(*keys, name, F.explode(F.array_distinct(T.words(T.clean_dialogue(F.col("text"))))).alias("word"))
-
-    held, asked = tokens(windows, "window_id"), tokens(probes, "probe_id")
+    def tokens(df, name, size):
+        """Distinct words of a text; of one without words its marked character pairs, and its characters if it is short."""
+        c, n = F.col("_c"), F.char_length("_c")
+        pairs = F.filter(F.transform(F.split("_c", ""), lambda _, i: F.substring(c, i + 1, F.lit(2))), lambda g: F.char_length(g) == 2)
+        single = F.when(n <= SHORT, F.filter(F.split("_c", ""), lambda g: g != "")).otherwise(F.array().cast("array<string>"))
+        grams = F.transform(F.array_distinct(F.concat(single, pairs)), lambda g: F.concat(F.lit(GRAM), g))
+        rows = df.select(*keys, name, T.clean_dialogue(F.col("text")).alias("_c")).withColumn("_w", F.array_distinct(T.words(F.col("_c"))))
+        return rows.select(*keys, name, n.alias(size), F.explode(F.when(F.size("_w") > 0, F.col("_w")).otherwise(grams)).alias("word"))
+
+    held, asked = tokens(windows, "window_id", "m"), tokens(probes, "probe_id", "n")
+    gram = F.col("word").startswith(GRAM)
     frequency = held.join(asked.select(*keys, "word").distinct(), [*keys, "word"], "left_semi").groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
     rarity = Window.partitionBy(*keys, "probe_id").orderBy("df", "word")
-    ranked = asked.join(frequency, [*keys, "word"]).withColumn("rank", F.row_number().over(rarity)).filter(F.col("rank") <= widened)
-    met = ranked.select(*keys, "probe_id", "word", "rank").join(held, [*keys, "word"]).groupBy(*keys, "probe_id", "window_id").agg(
+    ranked = asked.join(frequency, [*keys, "word"]).withColumn("rank", F.when(gram, 0).otherwise(F.row_number().over(rarity))).filter(F.col("rank") <= widened)
+    alike = (F.least("n", "m") >= F.greatest("n", "m") * MIN_LENGTH_SHARE) & ((F.char_length("word") == 3) | ((F.col("n") <= SHORT) & (F.col("m") <= SHORT)))
+    met = ranked.select(*keys, "probe_id", "word", "rank", "n").join(held, [*keys, "word"]).filter(~gram | alike).groupBy(*keys, "probe_id", "window_id").agg(
         F.min("rank").alias("rank"))
     found = met.groupBy(*keys, "probe_id").agg(F.count_if(F.col("rank") <= first).alias("found"))
-    by_word = met.join(found, [*keys, "probe_id"]).filter((F.col("rank") <= first) | (F.col("found") < enough)).select(*keys, "probe_id", "window_id")
-
-    def grams(df, name, side):
-        clean = T.clean_dialogue(F.col("text"))
-        size = F.char_length("_c")
-        bare = df.select(*keys, name, clean.alias("_c")).filter((F.size(T.words(F.col("_c"))) == 0) & (size > 0))
-        short = F.when(size <= SHORT, F.filter(F.split("_c", ""), lambda c: c != "")).otherwise(F.array().cast("array<string>"))
-        pairs = F.filter(F.transform(F.split("_c", ""), lambda c, i: F.substring(F.col("_c"), i + 1, F.lit(2))), lambda g: F.char_length(g) == 2)
-        return bare.select(*keys, name, size.alias(side), F.explode(F.array_distinct(F.concat(short, pairs))).alias("gram"))
-
-    asked_grams, held_grams = grams(probes, "probe_id", "n"), grams(windows, "window_id", "m")
-    alike = (F.least("n", "m") >= F.greatest("n", "m") * MIN_LENGTH_SHARE) & ((F.char_length("gram") == 2) | ((F.col("n") <= SHORT) & (F.col("m") <= SHORT)))
-    by_gram = asked_grams.join(held_grams, [*keys, "gram"]).filter(alike).select(*keys, "probe_id", "window_id").distinct()
-    return by_word.unionByName(by_gram)
+    return met.join(found, [*keys, "probe_id"]).filter((F.col("rank") <= first) | (F.col("found") < enough)).select(*keys, "probe_id", "window_id")
 
 
 def rank_anchors(scored: DataFrame, keys, limit: int = 6, spacing: int = 400, apart: int = 15_000) -> DataFrame:
