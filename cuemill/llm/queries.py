@@ -26,6 +26,19 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages"))
 
 
+OP4_SQL = """
+with recursive usable as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit as (select vec_id, e, sqrt(list_inner_product(e, e)) as norm from usable),
+link as (select a.vec_id as a, b.vec_id as b from unit a join unit b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach as (select a, b from link union select reach.a, link.b from reach join link on link.a = reach.b),
+low as (select a, min(b) as b from reach group by a), many as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(low.b, vec_id)) as component_id, vec_id = least(vec_id, coalesce(low.b, vec_id)) as kept
+from embeddings left join low on low.a = vec_id left join many on many.a = vec_id
+"""
+
+
 def op5_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents on 64 shards."""
     return sharding.place(table(spark, sf_dir, "documents"), [f"shard-{k:02}" for k in range(64)]).select("doc_id", "slot", "shard")
@@ -91,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_quantised_vectors": OP4_SQL, "op8_line_dedup": OP8_SQL}
