@@ -3,7 +3,7 @@
 A window of `k` words is an anchor if the smallest hash among its runs of `s` words stands at its first or last run.
 Whether a window is one depends on its own words alone, so an edit moves no anchor beyond its reach, and the anchors
 of two texts can be matched with their positions. A fingerprint keeps the smallest distinct anchor hashes.
-Everything is column expressions over arrays of a row; texts meet only in the neighbour search.
+Everything is column expressions over arrays of a row; texts are moved once, in the neighbour search.
 """
 
 from __future__ import annotations
