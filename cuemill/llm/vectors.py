@@ -1,10 +1,12 @@
 """Near-duplicate vectors by product quantisation over inverted lists.
 
 Unit vectors are assigned to the nearest of some centroids and their residuals are coded by subspace; both codebooks
-are fitted on a bounded sample, and every vector is indexed. A vector searches all lists that can hold a neighbour
-within the distance: with the nearest centroid a and another b, none does if the vector is further from the plane
-between a and b than that. In a list, distances to the coded vectors come from tables; those within the distance plus
-the coded vector's own error are held against the vectors themselves in double precision. Neither step can lose a link.
+are fitted on a bounded sample, and every vector is indexed. With a the nearest centroid of a vector and b another, the
+list of b can only hold a neighbour whose difference reaches across the plane between a and b. A vector searches the
+lists whose planes are nearer than four standard deviations of a difference of the full distance in any direction (up
+to 16 components: nearer than the distance itself, which loses nothing). In a list, distances to the coded vectors come
+from tables; those within the distance plus the coded vector's own error, which loses nothing either, are held against
+the vectors themselves in double precision.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from cuemill.llm.shared import components, roots, saved
 #: Vectors that the codebooks are fitted on at most, chosen by hash, and the bounds of the index.
 SAMPLE, MOST_LISTS, PER_LIST = 16_384, 4096, 256
 SUBSPACES, CODES = 8, 256
+#: Standard deviations of a random direction's share along a plane's normal that probes allow for.
+DEVIATIONS = 4.0
 DATA_BLOCK, QUERY_BLOCK = 2048, 4096
 
 
@@ -155,7 +159,7 @@ def linked(distinct: DataFrame, cosine: float) -> DataFrame:
     sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     fitted = _unit(_rows(pd.Series([r[0] for r in sample]), width))
     index = Index(fitted, int(min(MOST_LISTS, max(1, n // PER_LIST), max(1, len(sample) // 4))))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) * min(1.0, DEVIATIONS / np.sqrt(width))
 
     def assign(batches):
         for batch in batches:

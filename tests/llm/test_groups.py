@@ -92,6 +92,18 @@ def test_large_candidate_groups_meet_block_by_block(make, monkeypatch):
     assert found[90] == 90 and set(found.drop(90)) == {0}
 
 
+def test_recall_of_probes_at_the_limit():
+    draw = np.random.default_rng(2)
+    x = vectors._unit(draw.normal(size=(6000, 64)))
+    z = draw.normal(size=x.shape)
+    z = vectors._unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * z
+    index = vectors.Index(x, 60)
+    probes = index.probes(x[:2000], vectors.nearest(x[:2000], index.centres), np.sqrt(0.1) * vectors.DEVIATIONS / 8)
+    there = vectors.nearest(y[:2000], index.centres)
+    assert np.mean([b in p for b, p in zip(there, probes)]) > 0.99 and np.mean([len(p) for p in probes]) < 30
+
+
 def test_vectors_against_all_pairs(spark):
     draw = np.random.default_rng(5)
     centres = draw.normal(size=(40, 16))
