@@ -182,9 +182,13 @@ def fit(docs: DataFrame, per_label: int = 320, chars: int = 480, units: int = 8,
     documents, null labels and texts without letters are not learned from; without any labelled text there is no model."""
     text = F.col("text").cast("string")
     pool = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(text))
-    # by hash, about four times as many as wanted of each label, before any are ordered: a frequent label stays cheap
-    per = pool.groupBy("lang").agg(F.count("*").alias("_n"))
-    pool = pool.join(per, "lang").where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)).cast("double") * F.col("_n") < F.lit(4.0 * per_label * (1 << 30)))
+    # By hash, about four times as many as wanted of each label, before any are moved: a frequent label stays cheap. One
+    # number for each label, of which the network has an output each, is known to the driver.
+    sizes = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}
+    if not sizes:
+        return None
+    limits = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, 4.0 * per_label * (1 << 30) / n)])
+    pool = pool.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)) < limits[F.col("lang")])
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.char_length(text) - chars)).cast("int") + 1
     slices = pool.select("lang", F.xxhash64("doc_id").alias("_h"), F.col("doc_id").alias("_d"), text.substr(start, F.lit(chars)).alias("_t"))
     order = Window.partitionBy("lang").orderBy("_h", "_d", "_t")
