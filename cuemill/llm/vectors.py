@@ -2,11 +2,11 @@
 
 Unit vectors are assigned to the nearest of some centroids and their residuals are coded by subspace; both codebooks
 are fitted on a bounded sample, and every vector is indexed. With a the nearest centroid of a vector and b another, the
-list of b can only hold a neighbour whose difference reaches across the plane between a and b. A vector searches the
-lists whose planes are nearer than four standard deviations of a difference of the full distance in any direction (up
-to 16 components: nearer than the distance itself, which loses nothing). In a list, distances to the coded vectors come
-from tables; those within the distance plus the coded vector's own error, which loses nothing either, are held against
-the vectors themselves in double precision.
+list of b can only hold a neighbour if the distances of both from the plane between a and b add up to no more than the
+distance, so one of the two is within half of it. A vector searches the lists whose planes are within half the distance;
+a link that only one end finds counts for both, so none is lost in any number of components. In a list, distances to the
+coded vectors come from tables; those within the distance plus the coded vector's own error, which loses nothing either,
+are held against the vectors themselves in double precision.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from cuemill.llm.shared import components, roots, saved
 #: Vectors that the codebooks are fitted on at most, chosen by hash, and the bounds of the index.
 SAMPLE, MOST_LISTS, PER_LIST = 16_384, 4096, 256
 SUBSPACES, CODES = 8, 256
-#: Standard deviations of a random direction's share along a plane's normal that probes allow for.
+#: Standard deviations of a random direction's share along a plane's normal within half a distance, for 64 components;
+#: probes do not depend on it.
 DEVIATIONS = 4.0
 DATA_BLOCK, QUERY_BLOCK = 2048, 4096
 
@@ -69,7 +70,7 @@ class Index:
         return codes, np.sqrt(error)
 
     def probes(self, x: np.ndarray, own: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Lists that can hold a vector within `reach` of each of x, its own included."""
+        """Lists that can hold a vector within `reach` of each of x, its own included, in order."""
         norms = (self.centres**2).sum(axis=1)
         out = []
         for at in range(0, len(x), 1024):
@@ -119,8 +120,11 @@ def _meet(index: Index, cosine: float):
         y, x = _unit(_rows(held["embedding"], index.width)), _unit(_rows(asks["embedding"], index.width))
         codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
         limit = (reach + held["error"].to_numpy() + 1e-4) ** 2
-        y_ids, x_ids, weights = held["vec_id"].to_numpy(np.int64), asks["vec_id"].to_numpy(np.int64), held["copies"].to_numpy(np.int64)
-        counts, pairs, kept = np.zeros(len(x), dtype=np.int64), [], 0
+        y_ids, x_ids = held["vec_id"].to_numpy(np.int64), asks["vec_id"].to_numpy(np.int64)
+        y_copies, x_copies, x_own = held["copies"].to_numpy(np.int64), asks["copies"].to_numpy(np.int64), asks["own"].to_numpy(np.int64)
+        lists = len(index.centres)
+        back = np.repeat(np.arange(len(y)), [len(p) for p in held["probes"]]) * lists + np.concatenate(list(held["probes"]))  # in order
+        counts, y_counts, pairs, kept = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64), [], 0
         label = np.arange(len(x) + len(y))
         for at in range(0, len(x), 256):
             lookup = index.tables(x[at : at + 256], key[1])
@@ -134,7 +138,11 @@ def _meet(index: Index, cosine: float):
                 near[k : k + (1 << 16)] = np.einsum("ij,ij->i", x[i[k : k + (1 << 16)]], y[j[k : k + (1 << 16)]]) >= cosine
             near &= x_ids[i] != y_ids[j]
             i, j = i[near], j[near]
-            counts += np.bincount(i, weights=weights[j], minlength=len(x)).astype(np.int64)
+            counts += np.bincount(i, weights=y_copies[j], minlength=len(x)).astype(np.int64)
+            # a held vector that does not search the asker's list will not find the link itself
+            asked = j * lists + x_own[i]
+            once = back[np.minimum(np.searchsorted(back, asked), len(back) - 1)] != asked
+            y_counts += np.bincount(j[once], weights=x_copies[i[once]], minlength=len(y)).astype(np.int64)
             pairs.append(np.stack([i, j + len(x)]))
             kept += len(i)
             if kept > 1 << 20:  # forget all but a spanning tree
@@ -144,8 +152,9 @@ def _meet(index: Index, cosine: float):
         ends = np.concatenate(pairs, axis=1)
         root, ids = roots(len(label), ends[0], ends[1]), np.concatenate([x_ids, y_ids])
         moved = np.flatnonzero((root != np.arange(len(root))) & (ids != ids[root]))
+        counts = np.concatenate([counts, y_counts])
         linked = np.flatnonzero(counts)
-        return pd.DataFrame({"a": np.concatenate([ids[moved], x_ids[linked]]), "b": pd.array([*ids[root[moved]], *[None] * len(linked)], "Int64"), "n": np.concatenate([np.zeros(len(moved), np.int64), counts[linked]])})
+        return pd.DataFrame({"a": np.concatenate([ids[moved], ids[linked]]), "b": pd.array([*ids[root[moved]], *[None] * len(linked)], "Int64"), "n": np.concatenate([np.zeros(len(moved), np.int64), counts[linked]])})
 
     return run
 
@@ -159,7 +168,7 @@ def linked(distinct: DataFrame, cosine: float) -> DataFrame:
     sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     fitted = _unit(_rows(pd.Series([r[0] for r in sample]), width))
     index = Index(fitted, int(min(MOST_LISTS, max(1, n // PER_LIST), max(1, len(sample) // 4))))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) * min(1.0, DEVIATIONS / np.sqrt(width))
+    half = float(np.sqrt(max(0.0, 2 - 2 * cosine))) / 2
 
     def assign(batches):
         for batch in batches:
@@ -168,11 +177,11 @@ def linked(distinct: DataFrame, cosine: float) -> DataFrame:
                 x = _unit(_rows(rows["embedding"], index.width))
                 own = nearest(x, index.centres)
                 codes, error = index.encode(x, own)
-                yield pd.DataFrame({"vec_id": rows["vec_id"], "copies": rows["copies"], "embedding": rows["embedding"], "size": rows["embedding"].map(len), "list": own, "codes": [c.tobytes() for c in codes], "error": error, "probes": index.probes(x, own, reach)})
+                yield pd.DataFrame({"vec_id": rows["vec_id"], "copies": rows["copies"], "embedding": rows["embedding"], "size": rows["embedding"].map(len), "list": own, "codes": [c.tobytes() for c in codes], "error": error, "probes": index.probes(x, own, half)})
 
     kind = dict(distinct.dtypes)["embedding"]
     coded = saved(distinct.select("vec_id", "copies", "embedding").mapInPandas(assign, f"vec_id long, copies long, embedding {kind}, size int, list int, codes binary, error double, probes array<int>"), "coded-vectors")
-    asks = coded.select("vec_id", "embedding", "size", F.explode("probes").alias("list"))
+    asks = coded.select("vec_id", "copies", "embedding", "size", F.col("list").alias("own"), F.explode("probes").alias("list"))
     # at most MOST_LISTS rows for each vector size: how many blocks a list's vectors and its askers are dealt into
     held = coded.groupBy("size", "list").agg(F.ceil(F.count("*") / DATA_BLOCK).cast("int").alias("held"))
     blocks = saved(held.join(asks.groupBy("size", "list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("asked")), ["size", "list"]), "list-blocks")
@@ -182,7 +191,7 @@ def linked(distinct: DataFrame, cosine: float) -> DataFrame:
         return sized.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
 
     keys = ["size", "list", "_held", "_asked"]
-    left, right = dealt(coded.drop("probes"), "held", "asked"), dealt(asks, "asked", "held")
+    left, right = dealt(coded, "held", "asked"), dealt(asks, "asked", "held")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own beside those of `left`
     return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_meet(index, cosine), "a long, b long, n long")
 

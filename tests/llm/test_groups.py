@@ -127,3 +127,15 @@ def test_vectors_against_all_pairs(spark):
     rest = found[found.vec_id >= 3000].set_index("vec_id")
     assert rest.n_links.to_dict() == {k: int(k in (3006, 3007)) for k in range(3000, 3008)} and rest.kept.to_dict()[3007] == False  # noqa: E712
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_no_link_of_low_rank_vectors_is_lost_beside_a_longer_one(spark):
+    draw = np.random.default_rng(8)
+    x = vectors._unit(draw.normal(size=(3000, 6)) @ draw.normal(size=(6, 128)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i % 3000].tolist()) for i in range(3000, 3200)] + [(9000, [1.0] * 1024)]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    y = np.concatenate([x, x[:200]])
+    near = y @ y.T >= 0.95
+    assert near.sum() > 5000 and found.loc[range(3200)].n_links.tolist() == (near.sum(axis=1) - 1).tolist() and found.n_links[9000] == 0
+    near[np.diag_indices(3200)] = False
+    assert found.loc[range(3200)].component_id.tolist() == closure(3200, np.argwhere(np.triu(near, 1)))
