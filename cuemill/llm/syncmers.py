@@ -2,7 +2,8 @@
 
 A window of `k` words is an anchor if the smallest hash among its runs of `s` words stands at its first or last run.
 Whether a window is one depends on its own words alone, so an edit moves no anchor beyond its reach, and the anchors
-of two texts can be matched with their positions. A fingerprint keeps the smallest distinct anchor hashes.
+of two texts can be matched with their positions. A fingerprint holds all anchors of a text with their positions.
+Words of scripts without spaces, and very long ones, are cut into their characters, which then count as words.
 Everything is column expressions over arrays of a row; texts are moved once, in the neighbour search.
 """
 
@@ -15,14 +16,22 @@ from pyspark.sql import functions as F
 
 from cuemill.llm.shared import ASCII_SPACE, saved
 
-#: Words of a window, words of an inner run, hashes of a fingerprint.
-K, S, KEPT = 4, 2, 128
+#: Words of a window, words of an inner run.
+K, S = 4, 2
+#: Scripts that put no space between words: Thai, Lao, Tibetan, Burmese, Khmer, Chinese and Japanese characters.
+UNSPACED = r"[\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{312F}\x{31A0}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{3FFFF}]"
+#: A word of more characters than any language writes together.
+LONG = r"[^\x20\x09-\x0D]{65}"
 
 
 def words(text: Column) -> Column:
-    """Words of a text: what stands between ASCII white space."""
+    """Words of a text: what stands between ASCII white space, or its characters if it has more than 64 or any of a
+    script without spaces."""
     inner = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(ASCII_SPACE))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+", -1))
+    spaced = F.split(inner, r"[\x20\x09-\x0D]+", -1)
+    cut = F.flatten(F.transform(spaced, lambda w: F.when((F.char_length(w) > 64) | w.rlike(UNSPACED), F.split(w, "")).otherwise(F.array(w))))
+    uncommon = inner.rlike(LONG) | ((F.octet_length(inner) > F.char_length(inner)) & inner.rlike(UNSPACED))
+    return F.when(inner == "", F.array().cast("array<string>")).when(uncommon, cut).otherwise(spaced)
 
 
 def run_hashes(tokens: Column, length: int) -> Column:
@@ -46,13 +55,12 @@ def anchors(runs: str, k: int = K, s: int = S) -> Column:
     return F.transform(F.col(runs), pick)
 
 
-def fingerprinted(df: DataFrame, text: str, out: str, k: int = K, s: int = S, kept: int = KEPT) -> DataFrame:
-    """`df` with `out`: the `kept` smallest different anchor hashes of the text, in order. A text with 1 to k - 1 words has
-    one anchor, of all its words; one without words has none."""
+def fingerprinted(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """`df` with `out`: all anchor hashes of the text, each at its position, with null where there is none. A text with 1
+    to k - 1 words has one anchor, of all its words; one without words has none."""
     spread = df.withColumn("_words", words(F.col(text))).withColumn("_runs", run_hashes(F.col("_words"), s))
     short = F.when(F.size("_words") > 0, F.array(F.xxhash64(F.lit("short"), F.array_join("_words", " ")))).otherwise(F.array().cast("array<bigint>"))
-    marks = F.when(F.size("_words") >= k, F.array_compact(anchors("_runs", k, s))).otherwise(short)
-    return spread.withColumn(out, F.slice(F.array_sort(F.array_distinct(marks)), 1, kept)).drop("_words", "_runs")
+    return spread.withColumn(out, F.when(F.size("_words") >= k, anchors("_runs", k, s)).otherwise(short)).drop("_words", "_runs")
 
 
 def anchor_positions(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -62,17 +70,27 @@ def anchor_positions(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     return marks.where("anchor is not null").select("doc_id", F.col("position").cast("long").alias("position"), "anchor")
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Share of two fingerprints' texts that match, 0 to 1: among the smallest hashes of both, twice the common ones over
-    the sum of each side's. Two texts without anchors are alike."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, kept)
-    common = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    sides = F.size(F.array_intersect(both, a)) + F.size(F.array_intersect(both, b))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(2.0 * common / sides)
+def likeness(a: Column, b: Column) -> Column:
+    """Share of two fingerprints' anchors that match, 0 to 1: the n-th place of an anchor in one text is matched with the
+    n-th in the other, and twice the matches are divided by the anchors of both. Two texts without anchors are alike."""
+    # sorted, the first text's places of an anchor (last bit 0) come right before the second's (last bit 1)
+    sides = [F.transform(F.array_compact(a), lambda h: h.bitwiseAND(F.lit(-2))), F.transform(F.array_compact(b), lambda h: h.bitwiseOR(F.lit(1)))]
+
+    def step(state: Column, mark: Column) -> Column:
+        anchor, first = mark.bitwiseAND(F.lit(-2)), mark.bitwiseAND(F.lit(1)) == 0
+        same, held = state["anchor"] == anchor, state["held"]
+        hit = ~first & same & (held > 0)
+        left = F.when(first & same, held + 1).when(first, F.lit(1)).when(hit, held - 1).otherwise(held)
+        return F.struct(F.when(first, anchor).otherwise(state["anchor"]).alias("anchor"), left.alias("held"), (state["common"] + hit.cast("int")).alias("common"), (state["n"] + 1).alias("n"))
+
+    start = F.struct(F.lit(1).cast("bigint").alias("anchor"), F.lit(0).alias("held"), F.lit(0).alias("common"), F.lit(0).alias("n"))
+    return F.aggregate(F.sort_array(F.concat(*sides)), start, step, lambda x: F.when(x["n"] == 0, F.lit(1.0)).otherwise(2.0 * x["common"] / x["n"]))
 
 
 def text_of(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    """Position (8 hexadecimal digits) and hash (16) of each anchor in the order of the text."""
+    parts = F.transform(fingerprint, lambda h, i: F.when(h.isNotNull(), F.concat(F.lpad(F.hex(i), 8, "0"), F.lpad(F.hex(h), 16, "0"))))
+    return F.lower(F.array_join(parts, ""))
 
 
 def with_next(docs: DataFrame, derive=None, carried: tuple[str, ...] = (), per_range: int | None = None) -> DataFrame:
@@ -112,7 +130,7 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(other, F.lit(1), half))
 
 
-def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, kept: int = KEPT) -> DataFrame:
+def compare_with_edits(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint (hexadecimal), near_edited, near_next.
 
     Null texts are empty; a text without words has the empty fingerprint, and two of these are fully alike. Equal texts
@@ -121,15 +139,15 @@ def compare_with_edits(docs: DataFrame, k: int = K, s: int = S, kept: int = KEPT
     are ignored. Long texts are read whole.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(own, lambda rows: fingerprinted(rows, "text", "_own", k, s, kept), ("_own",))
+    pairs = with_next(own, lambda rows: fingerprinted(rows, "text", "_own", k, s), ("_own",))
     pairs = pairs.withColumn("edited_text", edited(F.col("text"), F.col("next.text")))
-    pairs = fingerprinted(pairs, "edited_text", "_edit", k, s, kept)
+    pairs = fingerprinted(pairs, "edited_text", "_edit", k, s)
     return pairs.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         "edited_text",
         text_of(F.col("_own")).alias("fingerprint"),
         text_of(F.col("_edit")).alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_edit"), kept).alias("near_edited"),
-        likeness(F.col("_own"), F.col("next._own"), kept).alias("near_next"),
+        likeness(F.col("_own"), F.col("_edit")).alias("near_edited"),
+        likeness(F.col("_own"), F.col("next._own")).alias("near_next"),
     )

@@ -1,5 +1,6 @@
 """Jobs on single texts against plain versions."""
 
+import collections
 import hashlib
 import json
 import random
@@ -269,3 +270,23 @@ def test_edits_over_many_ranges_and_odd_rows(make):
     assert alone.edited_text == "one two three " + "one two three"[:13] and alone.near_next == 1
     assert syncmers.compare_with_edits(make([])).count() == 0
     assert json.loads(json.dumps(alone.fingerprint))
+
+
+def test_likeness_counts_all_anchors_and_texts_without_spaces(make):
+    draw = random.Random(9)
+    a, b = ([f"{c}{draw.randrange(300 if c == 'a' else 10**6)}" for _ in range(3000)] for c in "ab")
+    b[1500:1520], b[2000:2600] = a[40:60], a[40:640]
+    han = ["".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(400)) for _ in range(2)]
+    junk = "".join(draw.choice("0123456789abcdef") for _ in range(900))
+    texts = {6: " ".join(a), 5: " ".join(b), 4: han[0], 3: han[0][:300] + han[1], 2: junk, 1: "😀 " + junk}
+    docs = make(list(texts.items()))
+    found = syncmers.compare_with_edits(docs).toPandas().set_index("doc_id")
+    places = syncmers.anchor_positions(docs).toPandas()
+    of = {k: collections.Counter(places[places.doc_id == k].anchor) for k in texts}
+    for k in range(6, 1, -1):
+        common = (of[k] & of[k - 1]).total()
+        assert abs(found.near_next[k] - 2 * common / (of[k].total() + of[k - 1].total())) < 1e-9
+        mine = places[places.doc_id == k].sort_values("position")
+        assert found.fingerprint[k] == "".join(f"{p:08x}{h % 2**64:016x}" for p, h in zip(mine.position, mine.anchor))
+    assert 0.15 < found.near_next[6] < 0.25 and found.near_next[4] > 0.5 and found.near_next[2] > 0.95
+    assert found.near_edited[4] > 0.4 and found.near_edited[3] > 0.4
