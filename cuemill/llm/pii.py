@@ -26,11 +26,11 @@ BASE = {
 }
 #: Looser formats. Each needs one of the given marks in the text before its pattern is tried.
 LOOSE = {
-    "secret": (r"""(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)["']?\x20?[:=]\x20?["']?[A-Za-z0-9+/_.=-]{8,200}""", ["=", ":"]),
+    "secret": (r"""(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)["']?\x20?[:=]\x20?["']?[A-Za-z0-9+/_.=-]{8,}+""", ["=", ":"]),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", []),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ["-"]),
     "national_phone": (r"(?<![0-9+.(-])\(?[0-9]{3,5}\)?[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,5}(?![0-9.-])", []),
-    "spelled_email": (r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[a-z0-9-]{1,64}\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[a-z]{2,12}(?![a-z0-9])", ["at]", "at)", " at "]),
+    "spelled_email": (r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[a-z0-9-]++\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[a-z]{2,12}(?![a-z0-9])", ["at]", "at)", " at "]),
     "ipv6": (r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){3,7}(?::?[0-9a-f]{1,4}){1,4}(?![0-9a-f:])", [":"]),
 }
 KINDS = [*BASE, *LOOSE]

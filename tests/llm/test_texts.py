@@ -290,3 +290,11 @@ def test_likeness_counts_all_anchors_and_texts_without_spaces(make):
         assert found.fingerprint[k] == "".join(f"{p:08x}{h % 2**64:016x}" for p, h in zip(mine.position, mine.anchor))
     assert 0.15 < found.near_next[6] < 0.25 and found.near_next[4] > 0.5 and found.near_next[2] > 0.95
     assert found.near_edited[4] > 0.4 and found.near_edited[3] > 0.4
+
+
+def test_long_secrets_and_addresses_are_redacted_whole(make):
+    draw = random.Random(3)
+    token = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789_-") for _ in range(1000))
+    rows = [(1, f'login token = "{token}" end'), (2, f"mail {'long.name' * 9}1 [at] {'host-' * 15}x [dot] org now")]
+    found = pii.redact(make(rows)).toPandas().set_index("doc_id").text
+    assert found[1] == 'login [SECRET]" end' and "long.name" not in found[2] and "host-" not in found[2]
