@@ -194,7 +194,7 @@ def audit(docs: DataFrame, documents: int = 30, top: int = 50, limit: int = HELD
         F.greatest(F.lit(1), F.col("total") + ADDED * F.col("terms")).cast("long").alias("total"),
     )
     by = ["lang", "a", "b", "salt"]
-    blocks = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare, "lang string, source string, item string, value long")
+    blocks = left.groupBy(*by).cogroup(right.toDF(*right.columns).groupBy(*by)).applyInPandas(_compare, "lang string, source string, item string, value long")
     pair = blocks.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pair = pair.unionByName(pair.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     pair = pair.withColumn("rank", F.row_number().over(order))

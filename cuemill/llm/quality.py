@@ -135,6 +135,7 @@ def learn(counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shar
     weighted so that the sample, which is even, speaks for them."""
     found, seen = np.unique(np.concatenate([c[0] for c in counted]), return_counts=True)
     often = seen >= min(2, len(counted))
+    often = often if often.any() else seen > 0
     if often.sum() > _KEPT:
         often &= seen >= np.sort(seen)[-_KEPT]
     terms, rarity = found[often], np.log((1 + len(counted)) / seen[often]) + 1e-3
@@ -214,7 +215,7 @@ def score(docs: DataFrame, model: Neighbours | None, threshold: float = 0.3) ->
     def run(batches):
         for batch in batches:
             value = votes(shared.value, [bytes(x) for x in batch["text"]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": value, "predicted": (value >= threshold).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": value, "predicted": (value >= threshold).astype(np.int32)})
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text)
