@@ -2,7 +2,9 @@
 
 Each node of the page's tree gets its characters per tag, discounted by the share of its characters and tags that
 are links. The subtree whose children's densities add up to the most holds the article; the smallest density on its
-path from the body is the threshold that other subtrees must reach to belong to it.
+path from the body is the threshold that other subtrees must reach to belong to it. Tags and names say only what is left
+out before (menus, forms, adverts, comments), never which subtree is the article; a name that a subtree merely shares a
+part of ("has-sidebar", "share-price") leaves it out only where it is small or mostly links.
 """
 
 from __future__ import annotations
@@ -10,12 +12,14 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# possessive, and stopped by the next tag: one look at each character, however broken the page
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][^\s/><]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 #: Elements whose content is not markup, up to their end tag.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -25,6 +29,9 @@ INLINE = {
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
+#: Elements that stand in an article's text beside its paragraphs.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre", "figure", "table", "section", "article", "hgroup", "details", "address"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Never part of an article's text.
 DROPPED = {"head", "script", "style", "title", "textarea", "noscript", "iframe", "template", "nav", "footer", "aside", "form", "button", "select", "option", "object", "svg", "canvas", "menu", "dialog", "audio", "video", "datalist", "xmp", "noembed"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
@@ -34,12 +41,15 @@ WORDS = {
     "promotion", "sponsor", "sponsored", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login",
     "pagination", "pager", "widget", "masthead", "header", "disclaimer", "topbar", "toolbar", "copyright", "replies", "reply", "respond", "skip", "alert", "paywall",
 }
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+#: Shares of a page's text up to which a subtree goes by part of a name, and as comments.
+SMALL, MOST = 0.3, 0.8
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    """Whether tag or attributes name something beside the article."""
+def _hidden(tag: str, attributes: str) -> bool:
+    """Whether the markup itself says that the element is no text of the page."""
     if tag in DROPPED:
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -48,21 +58,38 @@ def _unwanted(tag: str, attributes: str) -> bool:
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.strip().lower() in ROLES:
-            return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and not WORDS.isdisjoint(x.lower() for x in PARTS.findall(value)):
-            return True
     return False
 
 
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role name something beside the article: by a whole name, by part of one, and as comments.
+    Names of what an element has or lacks ("has-sidebar") name something else."""
+    whole = part = comments = False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "role":
+            whole = whole or value.strip().lower() in ROLES
+        elif name in ("class", "id"):
+            for token in value.split():
+                words = [x.lower() for x in PARTS.findall(token)]
+                if not words or words[0] in ("has", "with", "without", "no", "is", "not"):
+                    continue
+                found = WORDS.intersection(words)
+                whole = whole or bool(found) and len([w for w in words if not w.isdigit()]) == 1
+                part = part or bool(found)
+                comments = comments or not COMMENTS.isdisjoint(words)
+    return whole, part, comments
+
+
 class Page:
     """The page's tree in arrays: a node's number is larger than its parent's."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.attributes = ["#root"], [-1], [""]
         self.texts: list[tuple[int, str]] = []  # (node, text) in page order; (node, " ") where a block begins or ends
+        self.open: Counter = Counter()  # names on the stack, and None for its blocks
         stack, at = [0], 0
         while True:
             m = TOKEN.search(source, at)
@@ -82,27 +109,34 @@ class Page:
             if name in RAW and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
-                stack.pop()
+                self._pop(stack)
 
     def _text(self, node: int, text: str) -> None:
         if text:
             self.texts.append((node, text))
 
+    def _pop(self, stack: list[int]) -> str:
+        name = self.tag[stack.pop()]
+        self.open[name] -= 1
+        return name
+
     def _close(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
-            if self.tag[stack.pop()] not in INLINE:
+            if self._pop(stack) not in INLINE:
                 self.texts.append((stack[-1], " "))
 
     def _begin(self, stack: list[int], name: str, attributes: str) -> None:
-        ends = CLOSES.get(name)
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[depth]]
-            if ends and tag in ends or tag == "p" and name not in INLINE and name != "br":
-                self._close(stack, depth)
-                if not ends:
+        ends = CLOSES.get(name, ())
+        paragraph = name not in INLINE and name != "br" and self.open["p"]
+        if paragraph or any(self.open[x] for x in ends):
+            for depth in range(len(stack) - 1, 0, -1):
+                tag = self.tag[stack[depth]]
+                if tag in ends or tag == "p" and paragraph:
+                    self._close(stack, depth)
+                    if not ends:
+                        break
+                elif tag not in INLINE and tag != "p" and not (ends and tag not in SCOPES):
                     break
-            elif tag not in INLINE and tag != "p" and not (ends and tag not in SCOPES):
-                break
         if name not in INLINE:
             self.texts.append((stack[-1], " "))
         self.tag.append(name)
@@ -110,9 +144,10 @@ class Page:
         self.attributes.append(attributes or "")
         if name not in VOID:
             stack.append(len(self.tag) - 1)
+            self.open[name] += 1
 
     def _end(self, stack: list[int], name: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
+        for depth in range(len(stack) - 1, 0, -1) if self.open[name] else ():
             if self.tag[stack[depth]] == name:
                 self._close(stack, depth)
                 return
@@ -122,37 +157,17 @@ class Page:
             self.texts.append((stack[-1], " "))
 
 
-def main_text(source: str | None) -> str:
-    """Text of the article in a page; empty for a page without one. Character references are decoded, white space
-    within a block is one space, blocks are joined by one space in page order."""
-    page = Page(source or "")
+def _totals(page: Page, off: list[bool], kept: list[tuple[int, str]]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Characters, tags, and those of both in links, of every subtree without what is off."""
     n, tag, parent = len(page.tag), page.tag, page.parent
-    under: list[set] = [set() for _ in range(n)]
-    for i in range(n - 1, 0, -1):
-        if tag[i] in ("article", "main", "h1"):
-            under[i].add(tag[i])
-        under[parent[i]] |= under[i]
-    off, comments = [False] * n, re.compile(r"comment|repl(?:y|ies)", re.I)
-    for i in range(1, n):
-        if off[parent[i]]:
-            off[i] = True
-        elif _unwanted(tag[i], page.attributes[i]):
-            # a wrapper named after something it contains is kept if it holds the article as well
-            holds = under[i] - {tag[i]} if tag[i] != "article" else under[i] & {"h1"}
-            off[i] = tag[i] in DROPPED or not holds or bool(comments.search(page.attributes[i]) and "h1" not in under[i])
-        elif tag[i] == "header":
-            inside, up = False, parent[i]
-            while up > 0 and not inside:
-                inside, up = tag[up] in ("article", "main", "section"), parent[up]
-            off[i] = not inside
-    kept = [(i, entities.unescape(t)) for i, t in page.texts if not off[i]]
     chars, tags, link_chars, link_tags, linked = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
         linked[i] = linked[parent[i]] or tag[i] == "a"
     for i, text in kept:
-        size = len(text) - text.count(" ")
-        chars[i] += size
-        link_chars[i] += size if linked[i] else 0
+        if not off[i]:
+            size = len(text) - text.count(" ")
+            chars[i] += size
+            link_chars[i] += size if linked[i] else 0
     for i in range(n - 1, 0, -1):
         if not off[i]:
             up = parent[i]
@@ -160,6 +175,69 @@ def main_text(source: str | None) -> str:
             link_chars[up] += link_chars[i]
             tags[up] += tags[i] + 1
             link_tags[up] += link_tags[i] + (tag[i] == "a")
+    return chars, tags, link_chars, link_tags
+
+
+def _left_out(page: Page, texts: list[tuple[int, str]], under: list[set]) -> list[bool]:
+    """Nodes that are not the page's text: by their markup, then by their names, whole ones unless nothing else is left."""
+    n, tag, parent = len(page.tag), page.tag, page.parent
+    hard = [False] * n
+    for i in range(1, n):
+        hard[i] = hard[parent[i]] or tag[i] != "form" and _hidden(tag[i], page.attributes[i])
+    chars, _, link_chars, _ = _totals(page, hard, texts)
+    for i in range(1, n):  # a form with paragraphs that holds nearly all text is a wrapper round the page
+        hard[i] = hard[i] or hard[parent[i]] or tag[i] == "form" and not (under[i] and chars[i] > MOST * chars[0])
+    chars, _, link_chars, _ = _totals(page, hard, texts)
+    total = max(1, chars[0])
+    for by_whole_names in (True, False):
+        off = hard[:]
+        for i in range(1, n):
+            off[i] = off[i] or off[parent[i]]
+            if off[i]:
+                continue
+            links = link_chars[i] * 2 > chars[i]
+            if page.attributes[i] and tag[i] not in ("html", "body", "main"):
+                whole, part, comments = _named(page.attributes[i])
+                # a wrapper named after something it contains is kept if it holds the headline or the article as well
+                holds = under[i] & {"article", "main", "h1"} - {tag[i]} if tag[i] != "article" else under[i] & {"h1"}
+                if part and (not holds or comments and "h1" not in under[i]):
+                    share = chars[i] / total
+                    off[i] = whole and by_whole_names or share <= SMALL or links or comments and share <= MOST
+                elif whole and not part and not holds:  # a role
+                    off[i] = True
+            if not off[i] and tag[i] == "header":
+                inside, up = False, parent[i]
+                while up > 0 and not inside:
+                    inside, up = tag[up] in ("article", "main", "section"), parent[up]
+                off[i] = not inside and (links or tag[parent[i]] in ("body", "html", "#root") or not under[i] & HEADINGS)
+        if any(not off[i] and text.strip() for i, text in texts):
+            break
+    return off
+
+
+def main_text(source: str | None) -> str:
+    """Text of the article in a page; empty for a page without one. Character references are decoded, white space
+    within a block is one space, blocks are joined by one space in page order.
+
+    The subtree with the largest sum of densities is taken with: subtrees beside its path that reach the smallest density
+    on that path and are not mostly links; paragraphs, headings, lists and the like beside its path within the smallest
+    step that holds half of the text; and the first headline beside its path. Lists of links inside are left out."""
+    page = Page(source or "")
+    n, tag, parent = len(page.tag), page.tag, page.parent
+    under: list[set] = [set() for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        if tag[i] in ("article", "main", "p", *HEADINGS):
+            under[i].add(tag[i])
+        if under[i]:
+            under[parent[i]] |= under[i]
+    texts = [(i, entities.unescape(t)) for i, t in page.texts]
+    off = _left_out(page, texts, under)
+    for _ in range(2):
+        chars, tags, link_chars, link_tags = _totals(page, off, texts)
+        # lists of links inside the text, by their own share of links: no part of it, and no weight in any density
+        for i in range(1, n):
+            listed = tag[i] not in INLINE and tag[i] not in ("p", "body", "html") and tag[i] not in HEADINGS and link_tags[i] > 2 and link_chars[i] * 10 > chars[i] * 7
+            off[i] = off[i] or off[parent[i]] or listed
     body = next((i for i in range(n) if tag[i] == "body"), 0)
     density, sums = [0.0] * n, [0.0] * n
     share = link_chars[body] / max(1, chars[body])
@@ -178,19 +256,24 @@ def main_text(source: str | None) -> str:
     path = [best]
     while path[-1] != body and parent[path[-1]] >= 0:
         path.append(parent[path[-1]])
-    whole = next((i for i in reversed(path) if tag[i] == "article"), None) or next((i for i in path if tag[i] == "main"), None)
-    chosen = [False] * n
-    if whole is not None:
-        chosen[whole] = True
-    else:
-        chosen[best] = True
-        least, steps = min(density[i] for i in path), set(path)
-        for i in range(n):  # the headline, and other subtrees as dense as the sparsest step of the path, with few links
-            if inside[i] and i not in steps and parent[i] in steps and (tag[i] == "h1" or density[i] >= least and link_chars[i] * 3 < chars[i]):
-                chosen[i] = True
+    boxes = [tag[i] not in INLINE and (tag[i] not in TEXTUAL or tag[i] in ("section", "article")) and tag[i] not in ("li", "dt", "dd", "tr", "td", "th", "tbody") for i in path]
+    region = next((k for k, i in enumerate(path) if boxes[k] and chars[i] * 2 >= chars[body]), len(path) - 1)
+    least, steps, near = min(density[i] for i in path), set(path), set(path[: region + 1])
+    chosen, headline = [False] * n, "h1" in under[best]
+    chosen[best] = True
+    for i in range(n):
+        if inside[i] and i not in steps and parent[i] in steps:
+            few_links = link_chars[i] * 3 < chars[i] or not chars[i]
+            dense = density[i] >= least and few_links
+            beside = parent[i] in near and few_links and (tag[i] in TEXTUAL or tag[i] in INLINE)
+            titled = not headline and i < best and "h1" in under[i] and few_links
+            headline = headline or titled
+            chosen[i] = dense or beside or titled
+    # text that stands directly in a step of the path, between its elements
+    own = near - {body} if tag[best] != "body" else near
     for i in range(1, n):
         chosen[i] = chosen[i] or chosen[parent[i]]
-    return " ".join("".join(t for i, t in kept if chosen[i]).split())
+    return " ".join("".join(t for i, t in texts if not off[i] and (chosen[i] or i in own or t.isspace())).split())
 
 
 def extract(pages: DataFrame) -> DataFrame:

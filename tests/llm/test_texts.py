@@ -87,6 +87,39 @@ def test_every_test_page_gives_its_article(spark):
         assert row.text == " ".join(html.unescape(re.sub(r"<(/?)(\w+)[^>]*>", lambda m: "" if m[2] == "b" else " ", body)).split())
 
 
+def test_main_text_without_telling_tags(spark):
+    """The density alone finds the article: the given pages with article made div and h1 made h2 give the same text."""
+    for page in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = maintext.main_text(page.html)
+        plain = re.sub(r"<(/?)article", r"<\1div", page.html)
+        assert maintext.main_text(plain) == want
+        assert maintext.main_text(re.sub(r"<(/?)h1", r"<\1h2", plain)) == want
+
+
+def test_main_text_in_named_wrappers():
+    p = "<p>" + " ".join(["word"] * 100) + "</p>"
+    words, links = " ".join(["word"] * 200), "<ul>" + "".join(f"<li><a href=x>link {i}</a></li>" for i in range(20)) + "</ul>"
+    pages = {
+        f'<article class="post has-sidebar"><h2>Head</h2>{p}{p}</article>': "Head " + words,
+        f'<body><div class="layout has-sidebar">{p}{p}</div></body>': words,
+        f'<div class="story share-price"><h2>Head</h2>{p}{p}</div>': "Head " + words,
+        f"<body><article><h1>H</h1>{p}{links}{p}</article>": "H " + words,
+        f"<body><form><div>{p}{p}</div><input></form>": words,
+        f'<body><article><h1>H</h1><p>short one.</p></article><section class="comments">{p}{p}</section>': "H short one.",
+        f'<body><header><nav><a href=1>x</a></nav></header><div id=w><h1>T</h1><div>{p}</div><div>{p}</div></div><div class="cookie-notice">We use cookies</div>': "T " + words,
+        f"<body><div><section><h2>One</h2>{p}</section><section><h2>Two</h2>{p}</section><p>End.</p></div><div class=related><a href=1>q</a></div>": f"One {words[:499]} Two {words[:499]} End.",
+    }
+    for html, text in pages.items():
+        assert maintext.main_text(html) == text, html[:60]
+
+
+def test_main_text_of_broken_pages_in_linear_time():
+    for part in ('<a "', "<!", "<a '\"", "<p><b><i>", "<li><div>", "<div>"):
+        started = time.perf_counter()
+        maintext.main_text(part * 40_000 + "</x></section></span>" * 10_000)
+        assert time.perf_counter() - started < 8, part
+
+
 def test_piece_paths_are_the_models_own(small):
     machine, model = pieces.Transducer(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     draw = random.Random(2)
