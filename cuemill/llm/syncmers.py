@@ -10,6 +10,7 @@ Everything is column expressions over arrays of a row; texts are moved once, in
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from cuemill.llm.shared import ASCII_SPACE, saved
 
 #: Words of a window, words of an inner run.
 K, S = 4, 2
+#: Ranges of ids in the neighbour search; their bounds are known to the driver.
+MOST_RANGES = 16_384
 #: Scripts that put no space between words: Thai, Lao, Tibetan, Burmese, Khmer, Chinese and Japanese characters.
 UNSPACED = r"[\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{312F}\x{31A0}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{3FFFF}]"
 #: A word of more characters than any language writes together.
@@ -93,22 +96,47 @@ def text_of(fingerprint: Column) -> Column:
     return F.lower(F.array_join(parts, ""))
 
 
+def _ranges(docs: DataFrame, per_range: int | None) -> Column:
+    """Number of the range of `doc_id` of each row, rising with the id, by approximate quantiles of the ids: a range holds
+    about as many rows wherever the ids lie. An id that fills several ranges by itself is dealt among them by the hash of
+    its text (small hashes to high numbers, as rows go by falling numbers). Null ids come below, by the same hash."""
+    n = docs.count()
+    wanted = min(MOST_RANGES, n // (per_range or max(256, math.isqrt(n))) + 1)
+    points = [k / wanted for k in range(1, wanted)]
+    found = docs.agg(F.percentile_approx("doc_id", points, 8 * MOST_RANGES)).first()[0] if points else None
+    times = Counter(found or ())
+    bounds = sorted(times)
+    text_hash, id_ = F.xxhash64("text"), F.col("doc_id")
+    nulls = -1 - F.pmod(text_hash, F.lit(wanted))
+    if not bounds:
+        return F.when(id_.isNull(), nulls).otherwise(F.lit(0)).cast("long")
+    step = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    below = lambda xs: F.size(F.filter(xs, lambda b: b <= id_))
+    array = lambda xs: F.lit(xs).cast("array<bigint>")
+    chunk = below(array([c[0] for c in chunks]))
+    place = F.when(chunk == 0, 0).otherwise((chunk - 1) * step + below(F.element_at(F.array(*[array(c) for c in chunks]), F.greatest(chunk, F.lit(1)))))
+    width = max(times.values()) + 1
+    many = {b: m for b, m in times.items() if m > 1}
+    own = F.lit(width - 1)
+    if many:
+        share = F.create_map(*[F.lit(x).cast("bigint") for b, m in many.items() for x in (b, m)])[id_]
+        part = F.shiftright((F.shiftright(text_hash, 32) + F.lit(1 << 31)) * share, 32)
+        own = F.when(share.isNotNull(), share - 1 - part).otherwise(own)
+    return F.when(id_.isNull(), nulls).otherwise(place.cast("long") * width + own).cast("long")
+
+
 def with_next(docs: DataFrame, derive=None, carried: tuple[str, ...] = (), per_range: int | None = None) -> DataFrame:
     """`docs` (doc_id, text) with `next`, a struct of text and `carried` of the document that follows by descending doc_id;
     the first follows the last. `derive` adds the columns `carried` from the text once the rows are dealt out, so only
     ids and texts are moved, and those once.
 
-    Ids are dealt into ranges of about `per_range` documents (the square root of their number, 256 at least), so no task
-    orders more than a range or two. The last document of a range is followed by the first of the next range: those
-    firsts are one row for each range, looked up by their ids and sent on to the range before. Null ids come last, in
-    ranges by the hash of their text.
+    Ids are dealt into ranges of about `per_range` documents (the square root of their number, 256 at least; `MOST_RANGES`
+    ranges at most), so no task orders more than a range or two. The last document of a range is followed by the first of
+    the next range: those firsts are one row for each range, looked up by their ids and sent on to the range before. Null
+    ids come last, in ranges by the hash of their text.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    per_range = per_range or max(256, math.isqrt(n))
-    low, high, n = low or 0, high or 0, max(1, n)
-    width = max(1, (high - low + 1) * per_range // n)
-    range_ = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), -1 - F.pmod(F.xxhash64("text"), F.lit(n // per_range + 1)))
-    ranged = docs.withColumn("range", range_.cast("long"))
+    ranged = docs.withColumn("range", _ranges(docs, per_range))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     tops = saved(ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id")), "range-tops")  # small, and of a size that is known
     before = tops.select("range", F.lag("range").over(Window.orderBy(F.col("range").desc())).alias("to"))

@@ -5,11 +5,13 @@ import hashlib
 import json
 import random
 import re
+import struct
 import time
 
 import numpy as np
 import public_tokenizers
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -249,9 +251,32 @@ def test_language_on_held_out_documents(spark, make):
     assert [r.doc_id for r in kept.collect()] == [3, 3] and len(kept.columns) == 9
 
 
-def plain_anchors(words, k=4, s=2):
-    """Places of the closed syncmers, with SHA-1 in place of the job's hash only where places do not matter."""
-    return [i for i in range(len(words) - k + 1)]
+def signed(data: bytes, seed: int) -> int:
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def chained(values) -> int:
+    seed = 42
+    for v in values:
+        seed = signed(struct.pack("<q", v), seed % (1 << 64))
+    return seed
+
+
+def plain_anchors(text: str) -> list[tuple[int, int]]:
+    """(place, hash) of the closed syncmers of a text, by a plain loop."""
+    words = [x for w in re.findall(r"[^\x20\x09-\x0D]+", text) for x in (w if len(w) > 64 else [w])]
+    if len(words) < 4:
+        return [(0, None)] if words else []
+    runs = [chained([signed(a.encode(), 42), signed(b.encode(), 42)]) for a, b in zip(words, words[1:])]
+    return [(i, chained(runs[i : i + 3])) for i in range(len(words) - 3) if min(runs[i : i + 3]) in (runs[i], runs[i + 2])]
+
+
+def plain_likeness(a: str, b: str) -> float | None:
+    x, y = ([h if h is None else h & -2 for _, h in plain_anchors(t)] for t in (a, b))
+    if None in x or None in y:
+        return None
+    return 2 * (collections.Counter(x) & collections.Counter(y)).total() / (len(x) + len(y)) if x or y else 1.0
 
 
 def test_syncmers_are_closed_and_context_free(spark, make):
@@ -278,7 +303,9 @@ def check_edits(docs, found):
         edit = text[: len(text) - half] + other[:half]
         row = found[found.doc_id == doc].iloc[0]
         assert row.edited_text == edit and row.n_chars == len(text)
-        assert (row.near_edited == 1) or edit != text
+        for near, second in ((row.near_edited, edit), (row.near_next, other)):
+            want = plain_likeness(text, second)
+            assert want is None or abs(near - want) < 1e-9, doc
 
 
 def test_edits_against_a_plain_loop(small):
@@ -305,6 +332,21 @@ def test_edits_over_many_ranges_and_odd_rows(make):
     assert json.loads(json.dumps(alone.fingerprint))
 
 
+def test_edits_of_ids_spread_over_all_longs(make):
+    draw = random.Random(4)
+    rows = [(draw.randrange(-(2**63), 2**63), f"some text {k} " + "word " * (k % 9)) for k in range(300)] + [(-9 * 10**18, "low"), (0, "zero"), (9 * 10**18, "high")]
+    docs = make(rows)
+    check_edits(docs.toPandas(), syncmers.compare_with_edits(docs).toPandas())
+    hot = make(rows + [(77, f"hot {draw.random()}") for _ in range(400)]).select("doc_id", "text")
+    plain = hot.withColumn("h", F.xxhash64("text")).toPandas().sort_values(["doc_id", "h"], ascending=[False, True])
+    near = syncmers.with_next(hot, per_range=20).toPandas()
+    follows = {r.text: r.next["text"] for r in near.itertuples()}
+    texts = plain.text.tolist()
+    assert [follows[t] for t in texts] == texts[1:] + texts[:1]
+    spread = hot.select(syncmers._ranges(hot, 20).alias("range")).groupBy("range").count().toPandas()
+    assert len(spread) > 20 and spread["count"].max() <= 60
+
+
 def test_likeness_counts_all_anchors_and_texts_without_spaces(make):
     draw = random.Random(9)
     a, b = ([f"{c}{draw.randrange(300 if c == 'a' else 10**6)}" for _ in range(3000)] for c in "ab")
