@@ -31,12 +31,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, a similarity of
-    0.8 or more). Rows without an id cannot be told apart and all stay."""
-    found = similar.near_duplicates(docs, words=5, similarity=0.8)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One document of each group of near duplicates (five words, a similarity of 0.8 or more): the one with the smallest
+    doc_id, nulls last, and among rows that share it the one with the least checksum. Rows are told apart by a number of
+    their own, so rows that share an id, or have none, are documents like all others."""
+    numbered = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("number")), "numbered")
+    found = similar.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"), words=5, similarity=0.8)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "number")
+    groups = numbered.select("number", order.alias("order")).join(found.withColumnRenamed("doc_id", "number"), "number").groupBy("component_id")
+    return numbered.join(groups.agg(F.min_by("number", "order").alias("number")).select("number"), "number", "left_semi").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

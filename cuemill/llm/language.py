@@ -241,18 +241,17 @@ def accepted(docs: DataFrame, net: Network | None, over_chance: float = 1.2) ->
     labelled to learn from) everything with a letter stays."""
     import pyarrow as pa
 
-    names = docs.columns
     least = over_chance / len(net.labels) if net and len(net.labels) > 1 else 0.0
+    at, row = docs.columns.index("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
 
     def run(batches):
         for batch in batches:
-            letters = batch.column(len(names)).to_pylist()
-            _, score = label(net, batch.column(names.index("text")).to_pylist(), letters)
-            keep = np.array(letters, dtype=bool) & (score >= least)
-            yield batch.select(range(len(names))).filter(pa.array(keep, pa.bool_()))
+            letters = batch.column(1).to_pylist()
+            _, score = label(net, batch.column(0).field(at).to_pylist(), letters)
+            yield batch.filter(pa.array(np.array(letters, dtype=bool) & (score >= least), pa.bool_()))
 
-    rows = docs.withColumn("_letters", has_letter(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in names], "_letters")
-    return rows.mapInArrow(run, docs.schema)
+    rows = docs.select(row.alias("row"), has_letter(F.col("text").cast("string")).alias("letters"))
+    return rows.mapInArrow(run, rows.schema).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def identify(docs: DataFrame, **sample: int) -> DataFrame:

@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.shared import ASCII_SPACE, ascii_lower, saved
+from cuemill.llm.shared import ASCII_SPACE, Carried, ascii_lower, saved
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: References of a shard that one filter screens, and of those in one task.
+SHARD, TASK = 2_000_000, 250_000
 SLOTS, KICKS = 4, 500
 KEY = ["k1", "k2"]
 
@@ -117,11 +119,15 @@ class LineIndex:
     min_docs: int
 
 
-def references(docs: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """A row for each document row and each different key of its lines with at least `min_chars` code points."""
+def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, k1, k2): each document row and each different key of its lines with at least `min_chars` code points."""
     keys = F.filter(F.transform(text_lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(keys, key_hashes))).alias("key"))
-    return held.select("doc_id", F.pmod("key.k1", F.lit(shards)).cast("int").alias("shard"), "key.k1", "key.k2")
+    return held.select("doc_id", "key.k1", "key.k2")
+
+
+def _sharded(refs: DataFrame, shards: int) -> DataFrame:
+    return refs.select("doc_id", F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), *KEY)
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -136,9 +142,11 @@ def _filters(frequent: DataFrame) -> DataFrame:
     return frequent.select("shard", *KEY).groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
-def build_index(docs: DataFrame, shards: int = 64, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
-    """Index of a corpus. `shards` bounds what one filter holds: choose about one for each million frequent keys."""
-    refs = saved(references(docs, shards, min_chars), "line-references")
+def build_index(docs: DataFrame, shards: int | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+    """Index of a corpus, of one shard for each `SHARD` references there are (64 at least) unless `shards` says else."""
+    refs = saved(references(docs, min_chars), "line-references")
+    shards = shards or max(64, -(-refs.count() // SHARD))
+    refs = _sharded(refs, shards)
     counts = saved(_counted(refs).where(F.col("n_docs") >= min_docs), "line-counts")
     return LineIndex(refs, counts, saved(_filters(counts), "line-filters"), shards, min_docs)
 
@@ -167,7 +175,7 @@ def _changed(index: LineIndex, refs: DataFrame, touched: DataFrame) -> LineIndex
 
 
 def insert_documents(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
-    more = saved(references(docs, index.shards, min_chars), "line-references")
+    more = _sharded(saved(references(docs, min_chars), "line-references"), index.shards)
     return _changed(index, index.references.unionByName(more), more)
 
 
@@ -179,19 +187,21 @@ def delete_documents(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     return _changed(index, kept, gone)
 
 
-def screened(refs: DataFrame, index: LineIndex, salts: int = 8) -> DataFrame:
-    """References whose key the filter of their shard may hold. A shard with a very frequent line is dealt out in
-    `salts` parts by document, each with a copy of the filter."""
-    dealt = refs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k2"), F.lit(salts)).cast("int"))
-    copies = index.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def screened(refs: DataFrame, index: LineIndex, most: int = TASK) -> DataFrame:
+    """References whose key the filter of their shard may hold. A shard, and one with a very frequent line more so, is
+    dealt by document into parts of about `most` references, each with a copy of the filter."""
+    # one row for each shard
+    parts = saved(refs.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")), "line-parts")
+    dealt = refs.join(parts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "k2"), F.col("parts")).cast("int"))
+    copies = index.filters.join(parts, "shard").select("shard", "filter", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
 
     def pass_on(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[["doc_id", *KEY]]
+        rows = rows[["doc_id", *KEY]]  # of about `most` references
         if not len(rows) or not len(filters):
             return rows[:0]
         return rows[CuckooFilter.loads(filters["filter"].iloc[0]).contains(rows["k1"].to_numpy(), rows["k2"].to_numpy())].astype({"doc_id": "Int64"})
 
-    return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(pass_on, "doc_id long, k1 long, k2 long")
+    return dealt.drop("parts").groupBy("shard", "salt").cogroup(copies.toDF(*copies.columns).groupBy("shard", "salt")).applyInPandas(pass_on, "doc_id long, k1 long, k2 long")
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
@@ -206,12 +216,11 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     index = index or build_index(docs)
     suspects = screened(index.references, index)
     decided = suspects.join(index.counts.select(*KEY, "keep_doc"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
-    gone = decided.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    kept = docs.drop(*{"n_lines", "n_dropped", "_gone", "_doc"})
-    joined = kept.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
+    gone = decided.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("gone")).withColumnRenamed("doc_id", "gone_doc")
+    own = Carried(docs, "doc_id", "text")
+    joined = own.df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc")), "left")
     lines = text_lines(F.col("text"))
-    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), key_hashes(line_key(x))))
-    left = F.when(F.col("_gone").isNull(), lines).otherwise(stays)
-    out = joined.withColumn("_lines", lines).withColumn("_left", left)
-    others = [F.col(f"`{c}`") if c != "text" else F.array_join("_left", "\n").alias("text") for c in kept.columns]
-    return out.select(*others, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_left")).cast("long").alias("n_dropped"))
+    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), key_hashes(line_key(x))))
+    out = joined.withColumn("lines", lines).withColumn("left", F.when(F.col("gone").isNull(), lines).otherwise(stays))
+    kept = own.restored(("n_lines", "n_dropped"), text=F.array_join("left", "\n"))
+    return out.select(*kept, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.llm.shared import Carried
+
 #: The formats that are always redacted, in the order of their kinds (fixed values). A run that a match could begin in
 #: is only tried at its start or where the last match ended, and is never given back: the matches are the same as of
 #: the plain patterns, in time that grows with the text.
@@ -79,12 +81,9 @@ def _with_found(df: DataFrame, text: Column, kind: str, pattern: str, mark: Colu
     df = df.withColumn("_gaps", F.when(F.size("_values") > 0, F.split(text, pattern, -1)).otherwise(_array("string")))
     sizes = F.zip_with(gaps, values, lambda g, v: F.struct(F.char_length(g).alias("gap"), F.char_length(v).alias("value")))
 
-    def step(state: Column, size: Column) -> Column:
-        start = state["at"] + size["gap"]
-        return F.struct((start + size["value"]).alias("at"), F.concat(state["starts"], F.array(start)).alias("starts")).cast("struct<at:bigint,starts:array<bigint>>")
-
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), _array("bigint").alias("starts"))
-    df = df.withColumn("_starts", F.aggregate(F.slice(sizes, F.lit(1), F.size("_values")), empty, step, lambda s: s["starts"]))
+    df = df.withColumn("_sizes", F.slice(sizes, F.lit(1), F.size("_values")))
+    long = F.flatten(F.zip_with(_chunks(F.col("_sizes")), _starts(F.transform(_chunks(F.col("_sizes")), _extent)), lambda sizes, at: _starts(sizes, at)))
+    df = df.withColumn("_starts", F.when(F.size("_sizes") <= CHUNK, _starts(F.col("_sizes"))).otherwise(long)).drop("_sizes")
 
     def candidate(start: Column, i: Column) -> Column:
         value = F.get(values, i)
@@ -96,6 +95,32 @@ def _with_found(df: DataFrame, text: Column, kind: str, pattern: str, mark: Colu
     return df.withColumn(f"_{kind}", F.transform("_starts", candidate)).drop("_values", "_gaps", "_starts")
 
 
+#: Elements that one fold copies at each step; longer arrays are folded chunk by chunk.
+CHUNK = 256
+
+
+def _chunks(values: Column) -> Column:
+    """`values` in arrays of `CHUNK`."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _extent(sizes: Column) -> Column:
+    """Gaps and values of a chunk as one gap before nothing, for the places of the chunks."""
+    whole = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda n, x: n + x["gap"] + x["value"])
+    return F.struct(F.lit(0).alias("gap"), whole.alias("value"))
+
+
+def _starts(sizes: Column, at: Column | None = None) -> Column:
+    """Where each value begins, from `at` on, with its gap before it."""
+
+    def step(state: Column, size: Column) -> Column:
+        start = state["at"] + size["gap"]
+        return F.struct((start + size["value"]).alias("at"), F.concat(state["starts"], F.array(start)).alias("starts")).cast("struct<at:bigint,starts:array<bigint>>")
+
+    empty = F.struct((F.lit(0) if at is None else at).cast("bigint").alias("at"), _array("bigint").alias("starts"))
+    return F.aggregate(sizes, empty, step, lambda s: s["starts"])
+
+
 def _array(of: str) -> Column:
     return F.array().cast(f"array<{of}>")
 
@@ -116,8 +141,13 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     passed, failed = [held(k, True) for k in BASE], [held(k, False) for k in ("ip", "card", "phone")]
     out = out.withColumn("_base", F.array_sort(F.transform(F.concat(*passed), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))))
     loose = F.concat(*[F.col(f"_{k}") for k in LOOSE], *failed)
-    apart = F.filter(loose, lambda c: ~F.exists(F.col("_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn("_loose", apart).drop(*[f"_{k}" for k in KINDS])
+    # base spans by their start, in chunks with their reach: a candidate meets only the chunks that reach it
+    reach = lambda spans: F.struct(F.array_min(F.transform(spans, lambda b: b["start"])).alias("start"), F.array_max(F.transform(spans, lambda b: b["end"])).alias("end"), spans.alias("spans"))
+    out = out.withColumn("_reach", F.when(F.size("_base") > 0, F.transform(_chunks(F.col("_base")), reach)))
+    meets = lambda a, c: (a["start"] < c["end"]) & (c["start"] < a["end"])
+    met = lambda c: F.exists("_reach", lambda chunk: meets(chunk, c) & F.exists(chunk["spans"], lambda b: meets(b, c)))
+    apart = F.when(F.col("_reach").isNull(), loose).otherwise(F.filter(loose, lambda c: ~met(c)))
+    return out.withColumn("_loose", apart).drop("_reach").drop(*[f"_{k}" for k in KINDS])
 
 
 #: Words before a span that speak for personal data, or against it (features, not rules).
@@ -286,16 +316,26 @@ def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span in `text` replaced by its kind in brackets; overlapping spans become one, named after the
     first. Texts without spans, null ones included, stay as they are, and so do all other columns."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    body = F.col("text")
-
-    def step(state: Column, s: Column) -> Column:
-        begins = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring(body, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.get(names, s["kind"]))
-        return F.struct(F.when(begins, piece).otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    empty = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    rest = lambda s: F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), F.char_length(body)))
-    kept = docs.drop("_base", "_spans", "_loose", "_scored")
-    out = with_spans(kept)
-    changed = F.when(F.size("_spans") > 0, F.aggregate("_spans", empty, step, rest)).otherwise(body)
-    return out.select(*[changed.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept.columns])
+    own = Carried(docs, "text")
+    body, spans = F.col("text"), F.col("_spans")
+
+    def mended(text: Column, spans: Column, first: Column) -> Column:
+        """`text`, which begins at place `first` of the body, up to the end of the last of the spans, and these replaced."""
+
+        def step(state: Column, s: Column) -> Column:
+            begins = s["start"] >= state["at"]
+            piece = F.concat(state["out"], F.substring(text, (state["at"] - first + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.get(names, s["kind"]))
+            return F.struct(F.when(begins, piece).otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
+
+        return F.aggregate(spans, F.struct(F.lit("").alias("out"), first.alias("at")), step, lambda s: s["out"])
+
+    # many spans go chunk by chunk, each over its own part of the text: from the reach of those before to its own
+    ends = lambda chunk: F.array_max(F.transform(chunk, lambda s: s["end"]))
+    reach = lambda state, end: F.struct(F.greatest(state["at"], end).alias("at"), F.concat(state["held"], F.array(state["at"])).alias("held"))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), _array("bigint").alias("held"))
+    from_ = F.aggregate(F.transform(_chunks(spans), ends), nothing, reach, lambda s: s["held"])
+    part = lambda chunk, at: mended(F.substring(body, (at + 1).cast("int"), (ends(chunk) - at).cast("int")), chunk, at)
+    long = F.array_join(F.zip_with(_chunks(spans), from_, part), "")
+    changed = F.when(F.size(spans) <= CHUNK, mended(body, spans, F.lit(0).cast("bigint"))).otherwise(long)
+    whole = F.when(F.size(spans) > 0, F.concat(changed, F.substring(body, (ends(spans) + 1).cast("int"), F.char_length(body)))).otherwise(body)
+    return with_spans(own.df).select(*own.restored(text=whole))

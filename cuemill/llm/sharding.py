@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.llm.shared import Carried
+
 #: Prime number of slots; over a hundred for each of up to 600 shards.
 SLOTS = 65_537
 
@@ -61,7 +63,8 @@ def place(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int =
     owners = lookup_table(shards, slots)
     spark: SparkSession = docs.sparkSession
     table = spark.createDataFrame([(slot, shards[k]) for slot, k in enumerate(owners)], "slot long, shard string")
-    kept = docs.drop(*{"slot", "shard"} - {key})
-    placed = kept.withColumn("_slot", slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(table.select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))), "_slot")
-    others = [F.col(f"`{c}`") for c in kept.columns if c not in ("slot", "shard")]
-    return placed.select(*others, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    own = Carried(docs, key)
+    held = F.struct("slot", "shard").alias("at")
+    keyed = own.df.select(F.col(f"`{key}`").alias("key"), "carried", slot_of(F.col(f"`{key}`"), slots).alias("slot"))
+    placed = keyed.join(F.broadcast(table.select("slot", held)), "slot")
+    return placed.select(*own.restored(("slot", "shard"), **{key: F.col("key")}), "at.slot", "at.shard")

@@ -28,6 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Carried:
+    """A table with the columns that a job reads, and all others in one struct under numbered names: whatever they are
+    called, they meet none of the job's own columns."""
+
+    def __init__(self, docs: DataFrame, *read: str):
+        self.columns, self.read = docs.columns, read
+        inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in read]
+        self.df = docs.select(*[F.col(f"`{c}`") for c in read], F.struct(F.lit(0).alias("none"), *inner).alias("carried"))
+
+    def restored(self, leave_out: tuple[str, ...] = (), **changed) -> list:
+        """The columns in their own order and names, those in `changed` with new values."""
+        kept = [(i, c) for i, c in enumerate(self.columns) if c not in leave_out]
+        return [(changed[c] if c in changed else F.col(c) if c in self.read else F.col(f"carried.c{i}")).alias(c) for i, c in kept]
+
+
 def ascii_lower(column):
     return F.translate(column, UPPER, UPPER.lower())
 

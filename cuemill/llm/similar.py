@@ -20,6 +20,8 @@ from cuemill.llm import simhash
 from cuemill.llm.shared import components, roots, saved
 
 WORDS64, SEED = 4, 42
+#: Texts of at most so many different shingles are also met by their shingles: their fingerprints scatter too much.
+SHORT = 64
 #: Rows under one key that are compared in one task; more are dealt block against block.
 RUN = 16_384
 RECALL = 0.98
@@ -37,19 +39,22 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, w0, w1 ..): WORDS64 fingerprints of each text over different hashes of its distinct shingles."""
+def long_fingerprints(docs: DataFrame, words: int, short: int) -> DataFrame:
+    """(doc_id, w0, w1 .., shingles): WORDS64 fingerprints of each text over different hashes of its distinct shingles, and
+    the shingles themselves where there are at most `short` of them."""
 
     def run(batches):
         for batch in batches:
-            out = np.zeros((WORDS64, len(batch)), dtype=np.uint64)
+            out, held = np.zeros((WORDS64, len(batch)), dtype=np.uint64), []
             for i, text in enumerate(batch["text"]):
                 hashes = np.unique(simhash.shingle_hashes(text, words, SEED))
                 if len(hashes):
                     out[:, i] = [simhash.majority(mixed(hashes, k)) for k in range(WORDS64)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {f"w{k}": out[k].view(np.int64) for k in range(WORDS64)})
+                held.append(hashes.view(np.int64) if len(hashes) <= short else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {f"w{k}": out[k].view(np.int64) for k in range(WORDS64)} | {"shingles": held})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, " + ", ".join(f"w{k} long" for k in range(WORDS64)))
+    columns = ", ".join(f"w{k} long" for k in range(WORDS64))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id long, {columns}, shingles array<long>")
 
 
 def bit_rate(similarity: float) -> float:
@@ -156,18 +161,35 @@ def _similar_in_block(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate(out_a) if out_a else none, "b": np.concatenate(out_b) if out_b else none})
 
 
+def short_links(held: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(a, b): spanning links of similarity among sets (id, shingles). None is lost: with shingles in one order, rare ones
+    first, two similar sets share one of the first that either has to spare. Shingles that many sets begin with are
+    compared block against block."""
+    least = 1 - similarity + 1e-9
+    each = held.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
+    # a shingle of one text alone leads its order and meets nothing; it takes up its place all the same
+    ranked = each.join(often, "shingle", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)), "shingle"))).alias("order"))
+    first = ranked.select("id", F.explode(F.slice("order", F.lit(1), F.floor(F.col("size") * least).cast("int") + 1)).alias("key")).where("key.col1 > 1").select("id", F.col("key.shingle").alias("key"))
+    blocks = first.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    dealt = first.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(max(64, n // 20_000)))).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.select("id", F.col("key").alias("group"), task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return dealt.join(held, "id").groupBy("task").applyInPandas(lambda x: _similar_in_block(x, similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, per_bucket: int = 200_000) -> DataFrame:
     """(doc_id, component_id): documents connected by steps of a Jaccard similarity of `similarity` or more between their
     sets of word shingles share the smallest doc_id of their group.
 
-    Candidates are found with the probability `recall` at exactly that similarity and more often above; what is found is
-    compared exactly. Texts with one and the same long fingerprint count as copies; they meet in an aggregate. Groups of
+    Pairs of which one text has at most `SHORT` different shingles are found without loss. Longer ones are candidates with the probability
+    `recall` at exactly that similarity and more often above; what is found is compared exactly. Texts with one and the same long fingerprint count as copies; they meet in an aggregate. Groups of
     more than BLOCK candidates are compared block against block, in as many tasks. Null texts count as empty, and
     documents without words are copies of each other; rows with a null doc_id are left out; repeated rows come back as
     often as they came; an empty table gives an empty result; further columns are ignored.
     """
     named = docs.where("doc_id is not null")
-    prints = saved(long_fingerprints(named, words), "long-fingerprints")
+    prints = saved(long_fingerprints(named, words, math.ceil(SHORT / similarity)), "long-fingerprints")
     keys = [f"w{k}" for k in range(WORDS64)]
     vertices = saved(prints.groupBy(*keys).agg(F.min("doc_id").alias("id")), "fingerprint-classes")
     stats = [simhash.bit_counts(vertices.select(F.col(k).alias("fp"))) for k in keys]
@@ -199,6 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(max(64, n // 20_000)))).otherwise(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
     dealt = dealt.select("id", "group", task.alias("task"), ((F.col("own") != F.col("other")) & (F.col("own") > F.col("other"))).cast("int").alias("side"), "shingles")
     links = dealt.groupBy("task").applyInPandas(lambda x: _similar_in_block(x, similarity), "a long, b long")
-    linked = components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+    held = prints.where(F.size("shingles") > 0).select(F.col("doc_id").alias("id"), "shingles").join(vertices.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    short = short_links(saved(held, "short-texts"), similarity, n)
+    linked = components(links.unionByName(short), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("component_id"))
     classes = vertices.join(linked, "id", "left").select(*keys, F.coalesce("component_id", "id").alias("component_id"))
     return prints.join(classes, keys).select("doc_id", "component_id")
