@@ -1,8 +1,6 @@
 """The pipeline and the registered queries of the subpackage."""
 
 import random
-import re
-import time
 
 import pytest
 
@@ -96,15 +94,3 @@ def test_near_copies_of_short_texts_are_all_found(spark):
     for k in other:  # and nothing is linked that is not similar to some member of its group
         group = [g for g in found.index[found == found[k]] if g != k]
         assert any(len(sets[k] & sets[g]) >= 0.8 * len(sets[k] | sets[g]) - 1e-9 for g in group)
-
-
-def test_many_spans_in_one_text_in_little_time(spark):
-    text = " ".join(f"a{k}@b.org 10.0.{k % 256}.{k % 200} x" for k in range(20_000))
-    docs = spark.createDataFrame([(1, text), (2, "one a@b.org and 4111 1111 1111 1111 é a@b.org")], "doc_id long, text string")
-    started = time.perf_counter()
-    found = {r.doc_id: r for r in pii.find(docs).collect()}
-    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    assert time.perf_counter() - started < 120 and found[1].n_email == 20_000 and found[1].n_ip == 20_000
-    assert clean[1] == " ".join(["[EMAIL] [IP] x"] * 20_000) and clean[2] == "one [EMAIL] and [CARD] é [EMAIL]"
-    want = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+@b\.org", text)]
-    assert [tuple(map(int, s.split(":")[1:])) for s in found[1].base.split(",") if s.startswith("email")] == want
