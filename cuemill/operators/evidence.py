@@ -57,21 +57,46 @@ def frame_runs(intervals: DataFrame, keys) -> DataFrame:
     return merge_intervals(frames, keys, start="a", end="b", chunk=60_000)
 
 
-def correlation_peaks(reference, candidate, domain, keys, radius: int = 1_000, narrow: int = 1_000) -> DataFrame:
-    """Peak of the +-1 correlation of two binary signals over shifts in (-radius, +radius] frames.
+# Fixed values, in frames: shifts that may be applied, shifts that are looked at besides, and from which length on.
+APPLIED, LOOKED_AT, LOOKED_AT_FROM = 1_000, 6_000, 20_000
 
-    `reference`, `candidate`: merged runs; `domain(keys, n_ref, n_cand)`: frames of either signal.
-    Outside its own frames a signal is zero, inside it is +1 or -1. The curve is restored from edge
-    products; its two start values from interval overlaps at the lowest two shifts.
+
+def correlation_peaks(reference, candidate, domain, keys, narrow: int = APPLIED, wide: int = LOOKED_AT, wide_from: int = LOOKED_AT_FROM) -> DataFrame:
+    """Peak of the +-1 correlation of two binary signals over shifts in (-narrow, +narrow] frames, and for references of
+    `wide_from` frames or more whether a stronger one lies outside, in (-wide, +wide].
+
+    `reference`, `candidate`: merged runs; `domain(keys, n_ref, n_cand)`: frames of either signal. Outside its own frames a
+    signal is zero, inside it is +1 or -1. A peak outside counts if it is a second or more away and the one inside gains
+    at most 0.95 as much over the median of all shifts; both ranges are slices of one curve.
     """
     # The runs are read several times below and are far smaller than what they were merged from.
     ensure_checkpoint_dir(reference.sparkSession)
     reference, candidate, domain = (df.checkpoint() for df in (reference, candidate, domain))
+    short, long = domain.filter(F.col("n_ref") < wide_from), domain.filter(F.col("n_ref") >= wide_from)
+    curve = signal_curve(reference, candidate, long, keys, wide)
+    inside = F.col("k").between(1 - narrow, narrow)
+    peaks = peak_metrics(curve.filter(inside).unionByName(signal_curve(reference, candidate, short, keys, narrow)), keys)
+    whole = curve.groupBy(*keys).agg(
+        F.max("c").alias("top"), F.median("c").alias("level"), F.max_by("k", F.struct("c", "k")).alias("at"), F.max(F.when(inside, F.col("c"))).alias("near"))
+    gain = F.col("top") - F.col("level")
+    ratio = F.when(gain > 1e-6, (F.col("near") - F.col("level")) / gain)
+    rows = peaks.join(whole, keys, "left").withColumn("ratio", ratio)
+    apart = ~F.col("at").between(1 - narrow, narrow) & (F.abs(F.col("at") - F.col("offset_ms") / 10) >= 100)
+    return rows.select(
+        *keys, "offset_ms", "rival_ratio", "width_ms", "contrast", (F.col("at") * 10).cast("long").alias("wide_offset_ms"),
+        F.col("ratio").alias("outside_ratio"), F.coalesce(apart & (F.col("ratio") <= 0.95), F.lit(False)).alias("outside_peak"))
+
+
+def signal_curve(reference, candidate, domain, keys, radius: int) -> DataFrame:
+    """(keys, k, c): the +-1 correlation of every key of `domain` at every shift in (-radius, +radius] at which the signals
+    can meet. The curve is restored from edge products; its two start values come from interval overlaps at the lowest two
+    shifts."""
+    reference, candidate = (df.join(domain.select(*keys), keys, "left_semi") for df in (reference, candidate))
     low, high = 1 - radius, radius
     size = F.explode(F.array(F.lit(0), F.lit(1)))
     spans = domain.withColumn("i", size).withColumn("k", F.lit(low) + F.col("i"))
     left, right = F.greatest(F.lit(0).cast("long"), F.col("k")), F.least("n_ref", F.col("n_cand") + F.col("k"))
-    spans = spans.select(*keys, "i", "k", left.alias("lo"), F.greatest(left, right).alias("hi"))
+    spans = spans.select(*keys, "n_cand", "i", "k", left.alias("lo"), F.greatest(left, right).alias("hi"))
     slot = [*keys, "i"]
 
     def inside(runs):
@@ -86,7 +111,7 @@ def correlation_peaks(reference, candidate, domain, keys, radius: int = 1_000, n
     start = (
         spans.join(both, slot, "left").join(inside(reference).withColumnRenamed("n", "nr"), slot, "left")
         .join(_inside_moved(moved, spans, slot), slot, "left")
-        .groupBy(*keys).agg(F.max(F.when(F.col("i") == 0, value)).alias("c0"), F.max(F.when(F.col("i") == 1, value)).alias("c1")))
+        .groupBy(*keys, "n_cand").agg(F.max(F.when(F.col("i") == 0, value)).alias("c0"), F.max(F.when(F.col("i") == 1, value)).alias("c1")))
 
     def edges(runs, length):
         frame = domain.select(*keys, F.explode(F.array(
@@ -95,7 +120,7 @@ def correlation_peaks(reference, candidate, domain, keys, radius: int = 1_000, n
         return _edges(runs, keys, 2).unionByName(frame)
 
     curve = shift_curve(edges(reference, "n_ref"), edges(candidate, "n_cand"), start, keys, low, high)
-    return peak_metrics(curve, keys)
+    return curve.filter(F.col("k") >= -F.col("n_cand")).drop("n_cand")
 
 
 def _inside_moved(moved, spans, slot):
@@ -126,27 +151,23 @@ def peak_metrics(curve: DataFrame, keys, apart: int = 100) -> DataFrame:
                        ((right - left) * 10).cast("long").alias("width_ms"), "contrast")
 
 
-def regional_support(cues, speech, media, offsets, keys) -> DataFrame:
-    """Does a proposed shift hold in disjoint fifths of the film, beyond chance occupancy?
-
-    `offsets(keys, offset_ms)`; cues need `dialogue`. Two supporting regions are asked for later.
-    """
+def _fifths(media, keys) -> DataFrame:
+    """(keys, n, region, first, last): the five regions of a film in frames."""
     frames = F.floor(F.col("duration_ms") / 10)
     at = F.explode(F.sequence(F.lit(0), F.lit(REGION_COUNT - 1)))
-    regions = media.select(*keys, frames.alias("n"), at.alias("region")).select(
+    return media.select(*keys, frames.alias("n"), at.alias("region")).select(
         *keys, "region", F.floor(F.col("n") * F.col("region") / REGION_COUNT).alias("first"),
         F.floor(F.col("n") * (F.col("region") + 1) / REGION_COUNT).alias("last"))
-    slot = [*keys, "region"]
-    local = cues.filter("dialogue").withColumn("end_ms", F.least("end_ms", F.col("start_ms") + 10_000)).join(regions, keys).filter(
-        (F.col("start_ms") >= (F.col("first") + 1_000) * 10) & (F.col("end_ms") <= (F.col("last") - 1_000) * 10))
-    counts = local.groupBy(*slot).agg(F.count(F.lit(1)).alias("cue_count"), F.count_distinct("start_ms").alias("starts"))
 
-    def cut(runs):
-        met = interval_join(runs, regions, keys, ("a", "b"), ("first", "last"), width=60_000)
-        return met.select(*slot, F.greatest("a", "first").alias("a"), F.least("b", "last").alias("b"))
 
-    voiced = cut(frame_runs(speech, keys))
-    moved = local.join(offsets, keys).withColumn("d", F.bround(F.col("offset_ms") / 10).cast("long"))
+def _regions_at(cues, speech, media, offsets, keys) -> DataFrame:
+    """Counts and overlap of every region under `offsets(keys [, region], offset_ms)`."""
+    regions = _fifths(media, keys)
+    slot = [*keys, "region"]
+    local = _local_cues(cues, regions, keys)
+    counts = local.groupBy(*slot).agg(F.count(F.lit(1)).alias("cue_count"), F.count_distinct("start_ms").alias("starts"))
+    voiced = _cut(frame_runs(speech, keys), regions, keys)
+    moved = local.join(offsets, slot if "region" in offsets.columns else keys).withColumn("d", F.bround(F.col("offset_ms") / 10).cast("long"))
     runs = frame_runs(moved.select(*slot, "first", "last", F.col("start_ms") + F.col("d") * 10, F.col("end_ms") + F.col("d") * 10)
                       .toDF(*slot, "first", "last", "start_ms", "end_ms"), [*slot, "first", "last"])
     shown = runs.select(*slot, F.greatest("a", "first").alias("a"), F.least("b", "last").alias("b")).filter("b > a")
@@ -160,30 +181,145 @@ def regional_support(cues, speech, media, offsets, keys) -> DataFrame:
     smaller, expected = F.least("voiced", "shown"), F.col("voiced") * F.col("shown") / size
     ratio = F.col("overlap") / F.greatest(F.lit(1), smaller)
     gain = (F.col("overlap") - expected) / F.greatest(F.lit(1.0), smaller - expected)
-    enough = (F.col("starts") >= 8) & (F.least(F.col("voiced"), size - F.col("voiced")) >= 500)
-    return rows.select(
-        *slot, "cue_count", enough.alias("enough"), F.when(enough, ratio).alias("overlap_ratio"), F.when(enough, gain).alias("overlap_gain"),
-        F.coalesce(enough & (ratio >= 0.65) & (gain >= 0.35), F.lit(False)).alias("supported"))
+    return rows.withColumns({"ratio": ratio, "gain": gain, "enough": (F.col("starts") >= 8) & (F.least(F.col("voiced"), size - F.col("voiced")) >= 500)})
+
+
+def _local_cues(cues, regions, keys) -> DataFrame:
+    """Dialogue cues that lie in a region with ten seconds to spare on either side."""
+    return cues.filter("dialogue").withColumn("end_ms", F.least("end_ms", F.col("start_ms") + 10_000)).join(regions, keys).filter(
+        (F.col("start_ms") >= (F.col("first") + 1_000) * 10) & (F.col("end_ms") <= (F.col("last") - 1_000) * 10))
+
+
+def _cut(runs, regions, keys) -> DataFrame:
+    met = interval_join(runs, regions, keys, ("a", "b"), ("first", "last"), width=60_000)
+    return met.select(*keys, "region", F.greatest("a", "first").alias("a"), F.least("b", "last").alias("b"))
 
 
-def evidence_verdict(pre, peaks, support, tool, keys) -> DataFrame:
+def regional_support(cues, speech, media, offsets, keys) -> DataFrame:
+    """Does a proposed shift hold in disjoint fifths of the film, beyond chance occupancy?
+
+    `offsets(keys, offset_ms)`; cues need `dialogue`. Two supporting regions are asked for later.
+    """
+    enough = F.col("enough")
+    return _regions_at(cues, speech, media, offsets, keys).select(
+        *keys, "region", "cue_count", "enough", F.when(enough, F.col("ratio")).alias("overlap_ratio"), F.when(enough, F.col("gain")).alias("overlap_gain"),
+        F.coalesce(enough & (F.col("ratio") >= 0.65) & (F.col("gain") >= 0.35), F.lit(False)).alias("supported"))
+
+
+def regional_offsets(cues, speech, media, keys) -> DataFrame:
+    """(keys, region, offset_ms, overlap_ratio, overlap_gain, trusted): the shift that each fifth of a film would choose by
+    itself. A region is judged if it has 8 different dialogue starts and 5 s of speech and of quiet; its shift is trusted
+    if its peak is inside the range, distinct, narrow and without a rival of 0.8, and the cues moved by it overlap speech
+    well beyond chance."""
+    ensure_checkpoint_dir(cues.sparkSession)
+    slot = [*keys, "region"]
+    regions = _fifths(media, keys)
+    still = regions.select(*slot, F.lit(0).cast("long").alias("offset_ms"))
+    judged = _regions_at(cues, speech, media, still, keys).filter("enough").select(*slot, "first", (F.col("last") - F.col("first")).alias("n_ref")).checkpoint()
+    inner = lambda runs: runs.join(judged, slot).select(*slot, (F.col("a") - F.col("first")).alias("a"), (F.col("b") - F.col("first")).alias("b"))
+    voiced = inner(_cut(frame_runs(speech, keys), regions, keys))
+    shown = inner(frame_runs(_local_cues(cues, regions, keys).select(*slot, "start_ms", "end_ms"), slot))
+    domain = judged.select(*slot, "n_ref", F.col("n_ref").alias("n_cand"))
+    peaks = peak_metrics(signal_curve(voiced.checkpoint(), shown.checkpoint(), domain, slot, APPLIED), slot)
+    clear = (F.abs("offset_ms") < 9_900) & (F.col("contrast") > 1e-6) & (F.col("rival_ratio") < 0.8) & (F.col("width_ms") < 1_000)
+    peaks = peaks.withColumn("clear", F.coalesce(clear, F.lit(False))).select(*slot, "offset_ms", "clear").checkpoint()
+    moved = _regions_at(cues, speech, media, peaks.filter("clear").select(*slot, "offset_ms"), keys).select(*slot, "ratio", "gain")
+    found = peaks.join(moved, slot, "left")
+    return found.select(*slot, "offset_ms", F.when(F.col("clear"), F.col("ratio")).alias("overlap_ratio"), F.when(F.col("clear"), F.col("gain")).alias("overlap_gain"),
+                        F.coalesce(F.col("clear") & (F.col("ratio") >= 0.65) & (F.col("gain") >= 0.35), F.lit(False)).alias("trusted"))
+
+
+def evidence_verdict(pre, peaks, support, tool, keys, regional: DataFrame | None = None) -> DataFrame:
     """Ordered reasons for and against a tool's shift, and whether more coverage could help.
 
-    `pre` from `precheck`, `peaks` from `correlation_peaks`, `support` from `regional_support`,
-    `tool(keys, tool_ms)`.
+    `pre` from `precheck`, `peaks` from `correlation_peaks`, `support` from `regional_support`, `tool(keys, tool_ms)`,
+    `regional` from `regional_offsets`. Shifts at the limit of the range, a tool that does not agree with the curve, a
+    stronger peak outside the range and trusted regions that contradict are errors, which more coverage does not mend.
     """
     backed = support.groupBy(*keys).agg(F.count_if("supported").alias("supporting"))
     rows = pre.join(tool, keys).join(peaks, keys, "left").join(backed, keys, "left")
+    if regional is None:
+        rows = rows.withColumns({"trusted": F.lit(0), "spread": F.lit(None).cast("long"), "off": F.lit(None).cast("long")})
+    else:
+        each = regional.filter("trusted").join(tool, keys).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("trusted"), (F.max("offset_ms") - F.min("offset_ms")).alias("spread"), F.max(F.abs(F.col("offset_ms") - F.col("tool_ms"))).alias("off"))
+        rows = rows.join(each, keys, "left")
     limited = F.abs("tool_ms") >= 9_900
-    invalid = ~limited & (F.abs(F.col("offset_ms") - F.col("tool_ms")) > 50)
-    measured = ~limited & ~invalid & F.col("offset_ms").isNotNull()
-    peak = (
-        F.when(F.col("contrast") <= 1e-6, "no_distinct_peak").when(F.col("rival_ratio") >= 0.95, "alternative_peak"))
+    known = F.col("offset_ms").isNotNull()
+    invalid = ~limited & known & (F.abs(F.col("offset_ms") - F.col("tool_ms")) > 50)
+    measured = ~limited & known & ~invalid
+    outside = measured & F.coalesce("outside_peak", F.lit(False))
+    conflict = measured & ~outside & F.coalesce((F.col("trusted") >= 2) & ((F.col("spread") > 1_000) | (F.col("off") > 1_000)), F.lit(False))
+    peak = F.when(F.col("contrast") <= 1e-6, "no_distinct_peak").when(F.col("rival_ratio") >= 0.95, "alternative_peak")
     reasons = F.array_compact(F.concat(
         F.filter(F.split("reasons", ","), lambda r: r != ""),
         F.array(
-            F.when(limited, "range_limited"), F.when(invalid, "tool_coordinate_invalid"), F.when(measured, peak),
-            F.when(measured & (F.col("width_ms") >= 1_000), "broad_peak"),
-            F.when(measured & (F.coalesce("supporting", F.lit(0)) < 2), "insufficient_independent_regional_support"))))
+            F.when(limited, "range_limited"), F.when(invalid, "tool_coordinate_invalid"), F.when(outside, "outside_range_peak"), F.when(measured, peak),
+            F.when(measured & (F.col("width_ms") >= 1_000), "broad_peak"), F.when(conflict, "regional_offset_conflict"),
+            F.when(measured & ~outside & ~conflict & (F.coalesce("supporting", F.lit(0)) < 2), "insufficient_independent_regional_support"))))
     return rows.select(*keys, "tool_ms", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("sufficient"),
-                       ((F.size(reasons) > 0) & ~limited).alias("expandable"))
+                       ((F.size(reasons) > 0) & ~limited & ~invalid & ~outside & ~conflict).alias("expandable"))
+
+
+# The coverage ladder --------------------------------------------------------------------------
+
+#: Parts of the film around its middle that are tried one after another, in hundredths.
+RUNGS = (50, 60, 75)
+
+
+def spoken_flag(text: str = "text", edge: str = "edge"):
+    """Cues that take part in the signal: as `dialogue_flag`, but lyrics with words stay."""
+    bare = F.trim(F.regexp_replace(F.col(text), r"<[^>]+>", ""))
+    pairs = r"^(\(.*\)|\{.*\}|\[.*\]|（.*）|【.*】|「.*」)$"
+    credit = F.col(edge) & (F.lower(bare).contains("english") | bare.contains(" - "))
+    return ~((F.length(bare) == 0) | bare.rlike("(?s)" + pairs) | credit | bare.rlike(r"^(?:\s|" + MUSIC + ")*$"))
+
+
+def middle_sample(cues, speech, media, keys, hundredths: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cues, speech and length of the middle of each film, on the sample's own clock. Cues are whole and keep ten seconds
+    from its ends, or seventy where it is long enough for shifts of a minute; its ends are on 10 ms, halves up."""
+    end = lambda part: F.floor((F.col("duration_ms") * (100 + part) + 1_000) / 2_000).cast("long") * 10
+    span = media.select(*keys, end(-hundredths).alias("low_ms"), end(hundredths).alias("high_ms"))
+    size = F.col("high_ms") - F.col("low_ms")
+    guard = F.when(size >= LOOKED_AT_FROM * 10, 70_000).otherwise(10_000)
+    kept = cues.join(span, keys).filter((F.col("start_ms") >= F.col("low_ms") + guard) & (F.col("end_ms") <= F.col("high_ms") - guard))
+    own = lambda df: df.withColumns({"start_ms": F.col("start_ms") - F.col("low_ms"), "end_ms": F.col("end_ms") - F.col("low_ms")}).drop("low_ms", "high_ms")
+    heard = speech.join(span, keys).withColumns({"start_ms": F.greatest("start_ms", "low_ms"), "end_ms": F.least("end_ms", "high_ms")})
+    return own(kept), own(heard.filter("end_ms > start_ms")), span.select(*keys, size.alias("duration_ms"))
+
+
+def sample_verdict(cues, speech, media, tool, keys, order: str) -> DataFrame:
+    """`evidence_verdict` over one sample: `cues(keys, order, start_ms, end_ms, text)`, the first and last of which by start
+    and `order` may be credits, `speech(keys, start_ms, end_ms)`, `media(keys, duration_ms)`, `tool(keys, tool_ms)`."""
+    place = F.struct("start_ms", order)
+    ends = cues.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    edged = cues.join(ends, keys).withColumn("edge", (place == F.col("first")) | (place == F.col("last")))
+    ensure_checkpoint_dir(cues.sparkSession)
+    marked = edged.select(*keys, "start_ms", F.least("end_ms", F.col("start_ms") + 10_000).alias("end_ms"), dialogue_flag().alias("dialogue"), spoken_flag().alias("signal")).checkpoint()
+    length = marked.groupBy(*keys).agg((F.floor(F.max("end_ms") / 10) + 2).alias("n_cand"))
+    tried = tool.filter(F.abs("tool_ms") < 9_900).select(*keys)
+    domain = media.select(*keys, F.floor(F.col("duration_ms") / 10).alias("n_ref")).join(length, keys).join(tried, keys, "left_semi")
+    peaks = correlation_peaks(frame_runs(speech, keys), frame_runs(marked.filter("signal"), keys), domain, keys)
+    support = regional_support(marked, speech, media, tool.select(*keys, F.col("tool_ms").alias("offset_ms")), keys)
+    return evidence_verdict(precheck(marked, speech, media, keys), peaks, support, tool, keys, regional_offsets(marked, speech, media, keys))
+
+
+def evidence_ladder(cues, speech, media, tool, keys, order: str, rungs=RUNGS) -> DataFrame:
+    """(keys, coverage, reasons, outcome): each film is judged on its middle half, and only films whose evidence is
+    insufficient without being wrong on a wider middle. Outcomes: `accepted`, `invalid` (no wider sample would mend it),
+    `manual` (at the widest, all that lacks is support in two regions) and `rejected`.
+
+    Every rung is a written table of a row for each film still in question, so that later rungs read only their samples.
+    """
+    ensure_checkpoint_dir(cues.sparkSession)
+    open_, judged = media.select(*keys), None
+    for rung in rungs:
+        part = [df.join(open_, keys, "left_semi") for df in (cues, speech, media, tool)]
+        found = sample_verdict(*middle_sample(*part[:3], keys, rung), part[3], keys, order).withColumn("coverage", F.lit(rung)).checkpoint()
+        more = F.col("expandable") & F.lit(rung != rungs[-1])
+        done = found.filter(~more)
+        judged = done if judged is None else judged.unionByName(done)
+        open_ = found.filter(more).select(*keys)
+    alone = F.col("reasons") == "insufficient_independent_regional_support"
+    outcome = F.when(F.col("sufficient"), "accepted").when(~F.col("expandable"), "invalid").when(alone, "manual").otherwise("rejected")
+    return judged.select(*keys, "coverage", "reasons", outcome.alias("outcome"))

@@ -204,7 +204,7 @@ def _peaks(spark, sf_dir):
 
 @query("d17_correlation_peaks")
 def correlation_peaks(spark, sf_dir):
-    return _peaks(spark, sf_dir).withColumn("rival_ratio", F.round("rival_ratio", 6))
+    return _peaks(spark, sf_dir).withColumns({"rival_ratio": F.round("rival_ratio", 6), "outside_ratio": F.round("outside_ratio", 6)})
 
 
 _SUPPORT_SQL = """
@@ -240,4 +240,19 @@ def evidence_verdict(spark, sf_dir):
     films = _durations(spark, sf_dir)
     pre = ev.precheck(_cue_dialogue(spark, sf_dir), speech(spark, sf_dir), films, KEY)
     tool = films.select("media_id", ((F.col("media_id") % 7 - 3) * 700 + F.when(F.col("media_id") % 10 == 9, 9_000).otherwise(0)).alias("tool_ms"))
-    return ev.evidence_verdict(pre, _peaks(spark, sf_dir), _support(spark, sf_dir), tool, KEY)
+    regional = ev.regional_offsets(_cue_dialogue(spark, sf_dir), speech(spark, sf_dir), films, KEY)
+    return ev.evidence_verdict(pre, _peaks(spark, sf_dir), _support(spark, sf_dir), tool, KEY, regional)
+
+
+@query("d18_regional_offsets")
+def regional_offsets(spark, sf_dir):
+    found = ev.regional_offsets(_cue_dialogue(spark, sf_dir), speech(spark, sf_dir), _durations(spark, sf_dir), KEY)
+    return found.withColumns({c: F.round(c, 6) for c in ("overlap_ratio", "overlap_gain")})
+
+
+@query("h3_coverage_ladder")
+def coverage_ladder(spark, sf_dir):
+    films = _durations(spark, sf_dir)
+    tool = films.select("media_id", ((F.col("media_id") % 7 - 3) * 700).alias("tool_ms"))
+    cues = shifted_cue(spark, sf_dir).select("media_id", "event_id", "start_ms", "end_ms", "text")
+    return ev.evidence_ladder(cues, speech(spark, sf_dir), films, tool, KEY, "event_id")
