@@ -229,10 +229,20 @@ def prioritise(pairs: DataFrame, key: str = "identity_id", slice_width: int = 10
         key, "seq", "signals", F.col("turn").cast("long").alias("turn"), (F.col("before") + F.col("_inside")).alias("place"))
 
 
-def provider_quota(rows: DataFrame, by: str, order: list[Column], share: float = 0.5) -> DataFrame:
-    """The first `share` of every provider's rows, one at least, and whether any were left out."""
-    place = Window.partitionBy(by).orderBy(*order)
-    totals = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+def provider_quota(rows: DataFrame, by: str, order: str, tie: str, share: float = 0.5, slice_width: int = 1) -> DataFrame:
+    """The first `share` of every provider's rows by `order` and `tie`, one at least, and whether any were left out.
+
+    Few providers may hold all rows, so places are numbered in slices of the integer column `order` and `slice_width`, and
+    inside those in slices of the integer column `tie` of 65,536; the counts of the slices before are added.
+    """
+    cut = rows.withColumns({"_outer": F.floor(F.col(order) / slice_width), "_inner": F.floor(F.col(tie) / 65_536)})
+    sizes = cut.groupBy(by, "_outer", order, "_inner").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each slice of each provider
+    before = Window.partitionBy(by).orderBy("_outer", order, "_inner").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(by, "_outer", order, "_inner", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("total"))
     quota = F.greatest(F.lit(1), F.floor(F.col("total") * share))
-    kept = rows.withColumn("place", F.row_number().over(place)).join(totals, by).filter(F.col("place") <= quota)
-    return kept.withColumn("truncated", F.col("total") > quota)
+    # slices that begin beyond the quota hold none of it and are not ordered
+    needed = starts.filter(F.col("_before") < quota)
+    inside = F.row_number().over(Window.partitionBy(by, "_outer", order, "_inner").orderBy(tie))
+    placed = cut.join(needed, [by, "_outer", order, "_inner"]).withColumn("place", (F.col("_before") + inside).cast("int"))
+    return placed.filter(F.col("place") <= quota).withColumn("truncated", F.col("total") > quota).drop("_outer", "_inner", "_before")

@@ -76,15 +76,22 @@ def title_keys(spark, sf_dir):
         tt.connector_alias(t).alias("connector"), tt.camel_split(t).alias("split_title"), F.array_join(tt.query_variants(t), "|").alias("variants"))
 
 
-@query("b12_number_words", "", """
-select o_orderkey%10000 as n, list_contains(['7','10','21','305','1917','2001','2012','9999'], cast(o_orderkey%10000 as varchar)) as probed,
- case o_orderkey%10000 when 7 then 'seven' when 10 then 'ten' when 21 then 'twenty one' when 305 then 'three hundred five' when 1917 then 'nineteen seventeen|one thousand nine hundred seventeen'
- when 2001 then 'two thousand one' when 2012 then 'twenty twelve|two thousand twelve' when 9999 then 'nine thousand nine hundred ninety nine' end as words from orders group by 1""")
+_WORDS_SQL = """
+w as (select ['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'] as s,
+ ['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] as t),
+h(v, x) as (select v, case when v<20 then s[v+1] when v%10=0 then t[v//10-1] else t[v//10-1]||' '||s[v%10+1] end from w, range(100) r(v)),
+k(v, x) as (select r.v, case when r.v<100 then h.x when r.v%100=0 then s[r.v//100+1]||' hundred' else s[r.v//100+1]||' hundred '||h.x end from w, range(1000) r(v) join h on h.v=r.v%100)"""
+
+
+@query("b12_number_words", "", _WORDS_SQL + """,
+o as (select distinct o_orderkey%10000 as n from orders),
+c as (select n, case when n<1000 then low.x when n%1000=0 then up.x||' thousand' else up.x||' thousand '||low.x end as cardinal,
+ case when n between 1100 and 1999 or n between 2010 and 2099 then ha.x||' '||case when n%100=0 then 'hundred' when n%100<10 then 'oh '||ta.x else ta.x end end as yearly
+ from o join k low on low.v=o.n%1000 join k up on up.v=o.n//1000 join h ha on ha.v=o.n//100 join h ta on ta.v=o.n%100)
+select n, case when yearly is null then cardinal else yearly||'|'||cardinal end as words from c""")
 def number_words(spark, sf_dir):
     n = (F.col("o_orderkey") % 10_000).alias("n")
-    probed = F.col("n").isin(7, 10, 21, 305, 1917, 2001, 2012, 9999)
-    words = F.array_join(tt.number_words(F.col("n").cast("string")), "|")
-    return load(spark, sf_dir, "orders").select(n).distinct().select("n", probed.alias("probed"), F.when(probed, words).alias("words"))
+    return load(spark, sf_dir, "orders").select(n).distinct().select("n", F.array_join(tt.number_words(F.col("n").cast("string")), "|").alias("words"))
 
 
 @query("b13_sequel_number", "candidate", _TITLE_SQL + """
@@ -103,16 +110,13 @@ def provider_id(spark, sf_dir):
 
 _CONFLICT_SQL = """
 pr as (select i.identity_id, c.file_id, c.release, i.title, i.year, c.feature_year, replace(i.title,' ','.')||'.'||i.year||case i.identity_id%3 when 0 then '.BluRay.x264' when 1 then '.Extended.Cut.BluRay.x264' else '.WEB-DL.x264' end as own
- from rel c join identity i on i.title=c.feature_title and cast(i.year as int)-cast(c.feature_year as int) in (0,5))"""
+ from rel c join identity i on i.title=c.feature_title)"""
 
 
 def _conflict_pairs(spark, sf_dir):
+    """Every candidate with every work of its title, whatever the years."""
     own = F.expr("replace(title, ' ', '.') || '.' || year || case identity_id % 3 when 0 then '.BluRay.x264' when 1 then '.Extended.Cut.BluRay.x264' else '.WEB-DL.x264' end")
-    works = identity(spark, sf_dir)
-    # works of the candidate's own year and of one that conflicts with it
-    years = F.explode(F.array(F.lit(0), F.lit(5))).alias("later")
-    rows = _releases(spark, sf_dir).select("*", years).withColumn("other_year", (F.col("feature_year").cast("int") + F.col("later")).cast("string")).drop("later")
-    return rows.join(works, (F.col("feature_title") == F.col("title")) & (F.col("other_year") == F.col("year"))).drop("other_year").withColumn("own", own)
+    return _releases(spark, sf_dir).join(identity(spark, sf_dir), F.col("feature_title") == F.col("title")).withColumn("own", own)
 
 
 @query("b16_conflicts", "candidate identity", REL_SQL + "," + _CONFLICT_SQL + """
@@ -127,6 +131,29 @@ def conflicts(spark, sf_dir):
         tt.recut_conflict(own, rel, F.col("title")).alias("recut"))
 
 
+_YEARS_SQL = """
+y as (select distinct title, feature_year, year from (select i.title, c.feature_year, i.year from candidate c join identity i on i.title=c.feature_title)),
+q as (select title, feature_year, year, place, case place when 0 then title||' '||feature_year when 1 then title||' '||feature_year||' '||cast(cast(year as int)+1 as varchar) when 2 then title else title||' 1234' end as release from y, (select unnest([0,1,2,3]) as place)),
+n as (select *, cast(year as int) as own, cast(feature_year as int) as site from q)
+"""
+
+
+@query("b16_year_conflicts", "candidate identity", _YEARS_SQL + """
+select title, feature_year, year, place, case when place=0 and abs(site-own)>=2 then 'release_year' when place>=2 and abs(site-own)>=2 then 'site_year' else '' end as stated,
+ case when abs(site-own)>=2 then 'container_year' else '' end as container from n""")
+def year_conflicts(spark, sf_dir):
+    """Each title's candidate years against its works' years, once for each pair of years: with the year in the release
+    name, with the work's next year beside it (which is near enough), without a year, and with digits that are none."""
+    works = identity(spark, sf_dir).select("title", "year").distinct()
+    sites = candidate(spark, sf_dir).select(F.col("feature_title").alias("title"), "feature_year").distinct()
+    pairs = sites.join(works, "title").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    named = F.when(F.col("place") == 0, F.concat_ws(" ", "title", "feature_year")).when(
+        F.col("place") == 1, F.concat_ws(" ", "title", "feature_year", (F.col("year").cast("int") + 1).cast("string"))).when(F.col("place") == 2, F.col("title")).otherwise(F.concat("title", F.lit(" 1234")))
+    return pairs.select(
+        "title", "feature_year", "year", "place", tt.year_conflict(F.col("year"), named, F.col("feature_year")).alias("stated"),
+        tt.container_conflict(F.col("feature_year"), F.col("year")).alias("container"))
+
+
 @query("b27_media_specification", "candidate", REL_SQL + f"""
 select file_id, coalesce(nullif({ED_SQL.format('release')},''),'edition unmarked')||' · '||case when contains(release,'BluRay') then 'Blu-ray' when contains(release,'WEB-DL') then 'WEB-DL' else 'source unmarked' end
  ||' · '||printf('%d:%02d:%02d', (file_id*37+60)//3600, (file_id*37+60)%3600//60, (file_id*37+60)%60)||' · '||printf('%.2fG', file_id*12345678/1073741824.0::double) as spec from rel""")
@@ -373,6 +400,6 @@ def candidate_priority(spark, sf_dir):
 t as (select *, row_number() over (partition by provider order by feature_year desc, file_id) as place, count(*) over (partition by provider) as total from candidate)
 select provider, file_id, cast(place as int) as place, total, total>greatest(1, total//2) as truncated from t where place<=greatest(1, total//2)""")
 def provider_quota(spark, sf_dir):
-    rows = candidate(spark, sf_dir).select("provider", "file_id", "feature_year")
-    kept = ct.provider_quota(rows, "provider", [F.col("feature_year").desc(), F.col("file_id")])
+    rows = candidate(spark, sf_dir).select("provider", "file_id", "feature_year").withColumn("age", -F.col("feature_year").cast("int"))
+    kept = ct.provider_quota(rows, "provider", "age", "file_id")
     return kept.select("provider", "file_id", "place", "total", "truncated")

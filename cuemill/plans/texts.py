@@ -236,7 +236,7 @@ _IN = {k: "('" + "','".join(v.split()) + "')" for k, v in _D5.items()}
 
 
 @query("d5_content_conflict", "doc_cue", f"""
-n as (select track_id, count(*) as n, count(*) filter (cue_ix<=600 and regexp_matches(text,'�|锟斤拷|脡|脿|â€')) as mk, sum(len(regexp_extract_all(text,'[ÃÂ]'))) as lm,
+n as (select track_id, count(*) as n, count(*) filter (regexp_matches(text,'�|锟斤拷|脡|脿|â€')) as mk, sum(len(regexp_extract_all(text,'[ÃÂ]'))) as lm,
  sum(len(regexp_extract_all(text,'[㐀-鿿぀-ヿ가-힯Ѐ-ӿ]'))) as os, bool_or(regexp_matches(lower(text),'\\b(?:audio|director(?:''s)?|filmmaker) commentary\\b|\\bwelcome to (?:the|this) commentary\\b') or (regexp_matches(lower(text),'\\b(?:my name is|i am|i''m)\\b') and regexp_matches(lower(text),'\\bwriter\\b')::int+regexp_matches(lower(text),'\\bdirector\\b')::int+regexp_matches(lower(text),'\\bproducer\\b')::int+regexp_matches(lower(text),'\\bexecutive producer\\b')::int>=2)) as o from doc_cue group by 1),
 w as (select track_id, unnest(regexp_extract_all(lower(text),'[A-Za-zÀ-ÿ]+')) as w from doc_cue),
 c as (select n.track_id, count(w) as letters, count(*) filter (w in ('the','and','you','that','this','what','with','have','not','are','for','your','was','but','they','his','her','she','he','we','to','of','in','is','it','on','be','as','at','do','my','there','here','know','get','go','come','will','would','could','should')) as english,
