@@ -103,7 +103,7 @@ def _ranges(docs: DataFrame, per_range: int | None) -> Column:
     n = docs.count()
     wanted = min(MOST_RANGES, n // (per_range or max(256, math.isqrt(n))) + 1)
     points = [k / wanted for k in range(1, wanted)]
-    found = docs.agg(F.percentile_approx("doc_id", points, 8 * MOST_RANGES)).first()[0] if points else None
+    found = docs.agg(F.percentile_approx("doc_id", points, 16 * wanted)).first()[0] if points else None
     times = Counter(found or ())
     bounds = sorted(times)
     text_hash, id_ = F.xxhash64("text"), F.col("doc_id")
