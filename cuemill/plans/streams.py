@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuemill.operators.grouped import spread
 from cuemill.plans.intervals import union_sql
 from cuemill.plans.registry import query
-from cuemill.sources.tables import progress, speech
+from cuemill.session import ensure_checkpoint_dir
+from cuemill.sources.tables import cache_log, progress, speech
 from cuemill.streaming import progress as st
 
 
@@ -35,6 +38,19 @@ def deadline_risk(spark, sf_dir):
     return spread(reports(spark, sf_dir), "proc_id").groupBy("proc_id").applyInPandas(walk, st.ALERT)
 
 
+@query("s4_merged_log", "cache_log", """
+select cue_ix, target, seq, translation from (select *, row_number() over (partition by cue_ix, target order by seq desc) as r from cache_log) where r=1 and is_valid""")
+def merged_log(spark, sf_dir):
+    """The log in four batches by its order, folded one after another; the first one comes twice, as after a failure."""
+    log = cache_log(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    snapshot = f"{ensure_checkpoint_dir(spark).rstrip('/')}/merged-log-{uuid.uuid4().hex}"
+    merge = st.merge_log(spark, snapshot, ["cue_ix", "target"], buckets=16)
+    for epoch in (0, 0, 1, 2, 3):
+        merge(log.filter(F.floor(F.col("seq") * 4 / (last + 1)) == epoch), epoch)
+    return st.current_log(spark, snapshot, log.schema).select("cue_ix", "target", "seq", "translation")
+
+
 def percents(spark, sf_dir):
     return progress(spark, sf_dir).select(
         "proc_id", "seq", F.floor(F.col("out_ms") / 500).alias("percent"), (F.col("arrived_ms") + 1).alias("elapsed_ms"), ((F.col("proc_id") + 1) * 1_000_000_000).alias("input_bytes"))

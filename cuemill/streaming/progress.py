@@ -126,24 +126,76 @@ def closed_intervals(frames: DataFrame, key: str = "media_id", watermark: str =
     return spans.select(key, F.unix_millis("w.start").alias("start_ms"), "end_ms").filter("end_ms - start_ms >= 100")
 
 
-def merge_log(spark: SparkSession, snapshot: str, keys, order: str = "seq"):
+# The merged log -------------------------------------------------------------------------------
+
+
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system that Spark reaches, none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in system.listStatus(path)] if system.exists(path) else []
+
+
+def _generations(spark: SparkSession, snapshot: str) -> list[int]:
+    """Epochs whose marker was written to its end, in order."""
+    epochs = sorted(int(name.split("=")[1]) for name in _children(spark, f"{snapshot}/markers") if name.startswith("epoch="))
+    return [e for e in epochs if "_SUCCESS" in _children(spark, f"{snapshot}/markers/epoch={e}")]
+
+
+def _places(spark: SparkSession, snapshot: str, epoch: int | None = None) -> dict[int, int]:
+    """The epoch that wrote each bucket's current rows, as of a generation (the last one)."""
+    known = [e for e in _generations(spark, snapshot) if epoch is None or e <= epoch]
+    if not known:
+        return {}
+    marker = spark.read.schema("bucket int, written long").parquet(f"{snapshot}/markers/epoch={known[-1]}")
+    return {r["bucket"]: r["written"] for r in marker.collect()}
+
+
+def merge_log(spark: SparkSession, snapshot: str, keys, order: str = "seq", buckets: int = 64):
     """foreachBatch body: fold a batch of log records into a keyed Parquet snapshot.
 
-    The snapshot holds the last record of every key, valid or not, in numbered generations; a new
-    one is written beside the old one and named current by its marker, so a lost executor or a
-    repeated batch changes nothing.
+    The snapshot holds the last record of every key, valid or not, in `buckets` by the hash of the key. A batch rewrites
+    the buckets of its own keys only, beside those it replaces, and writes its marker last: a row for each bucket that
+    names the epoch that wrote it. What a lost executor or driver left without a marker is not read and is written over
+    when the batch comes again; a batch whose marker stands changes nothing. An empty batch writes only the marker.
     """
+
     def merge(batch: DataFrame, epoch: int) -> None:
-        target = f"{snapshot}/epoch={epoch}"
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{snapshot}/epoch={epoch - 1}").unionByName(batch)
-        kept = [c for c in batch.columns if c not in keys]
-        rows.groupBy(*keys).agg(F.max_by(F.struct(*kept), order).alias("r")).select(*keys, "r.*").write.mode("overwrite").parquet(target)
+        if epoch in _generations(spark, snapshot):
+            return
+        places = _places(spark, snapshot, epoch - 1)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("bucket", bucket)
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # at most `buckets`
+        if touched:
+            old = [f"{snapshot}/rows/epoch={places[b]}/bucket={b}" for b in touched if b in places]
+            if old:
+                rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", bucket))
+            kept = [c for c in batch.columns if c not in keys]
+            last = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*kept), order).alias("r")).select("bucket", *keys, "r.*")
+            last.write.mode("overwrite").partitionBy("bucket").parquet(f"{snapshot}/rows/epoch={epoch}")
+        marker = spark.createDataFrame(sorted((places | dict.fromkeys(touched, epoch)).items()), "bucket int, written long")
+        marker.coalesce(1).write.mode("overwrite").parquet(f"{snapshot}/markers/epoch={epoch}")
 
     return merge
 
 
-def current_log(spark: SparkSession, snapshot: str, epoch: int, schema) -> DataFrame:
-    """Valid last records of a snapshot generation."""
-    return spark.read.schema(schema).parquet(f"{snapshot}/epoch={epoch}").filter("is_valid")
+def current_log(spark: SparkSession, snapshot: str, schema, epoch: int | None = None) -> DataFrame:
+    """Valid last records of a snapshot, as of a generation (the last one); none before the first."""
+    paths = [f"{snapshot}/rows/epoch={written}/bucket={bucket}" for bucket, written in _places(spark, snapshot, epoch).items()]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.filter("is_valid")
+
+
+def drop_generations(spark: SparkSession, snapshot: str, keep: int = 2) -> list[int]:
+    """Removes what only generations before the last `keep` read; returns the epochs whose rows went."""
+    done = _generations(spark, snapshot)
+    last = done[-keep:]
+    used = {written for e in last for written in _places(spark, snapshot, e).values()}
+    jvm, gone = spark._jvm.org.apache.hadoop.fs, []
+    for e in done:
+        for folder, stale in ((f"{snapshot}/markers/epoch={e}", e not in last), (f"{snapshot}/rows/epoch={e}", e not in used and e < last[0])):
+            path = jvm.Path(folder)
+            if stale and path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True) and "/rows/" in folder:
+                gone.append(e)
+    return gone

@@ -74,8 +74,36 @@ def test_log_merge(spark):
     query.awaitTermination(180)
     assert query.exception() is None
     last = query.lastProgress["batchId"]
-    got = st.current_log(spark, snapshot, last, log.schema).select("cue_ix", "target", "seq", "translation")
-    assert rows(got) == rows(all_queries()["e14_log_compaction"].build(spark, SF))
+    got = lambda e=None: rows(st.current_log(spark, snapshot, log.schema, e).select("cue_ix", "target", "seq", "translation"))
+    assert got() == got(last) == rows(all_queries()["e14_log_compaction"].build(spark, SF))
+    # removing what no kept generation reads changes nothing
+    st.drop_generations(spark, snapshot, keep=1)
+    assert got() == rows(all_queries()["e14_log_compaction"].build(spark, SF))
+
+
+def test_log_merge_rewrites_touched_buckets_and_survives_failures(spark):
+    snapshot = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    merge = st.merge_log(spark, snapshot, ["key"], buckets=8)
+    batch = lambda *r: spark.createDataFrame(list(r), "key long, seq long, is_valid boolean, value string")
+    merge(batch(*[(k, k, True, f"a{k}") for k in range(40)]), 0)
+    first = st._places(spark, snapshot)
+    merge(batch((1, 100, True, "b1"), (2, 101, False, "b2")), 1)
+    second = st._places(spark, snapshot)
+    assert sum(first[b] != second[b] for b in first) <= 2 and set(first) == set(second)
+    want = {k: f"a{k}" for k in range(40) if k != 2} | {1: "b1"}
+    current = lambda e=None: {r.key: r.value for r in st.current_log(spark, snapshot, batch().schema, e).collect()}
+    assert current() == want and current(0) == {k: f"a{k}" for k in range(40)}
+    merge(batch((3, 200, True, "other")), 1)  # the marker stands: nothing changes
+    assert current() == want
+    # rows without a marker, as a lost driver leaves them, are not read and are written over
+    batch((5, 300, True, "torn")).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{snapshot}/rows/epoch=2")
+    assert current() == want
+    merge(batch((6, 301, True, "c6"), (1, 50, True, "old")), 2)  # and an older record does not win
+    assert current() == want | {6: "c6"}
+    merge(batch(), 3)
+    assert current() == want | {6: "c6"}
+    assert st.drop_generations(spark, snapshot, keep=1) == [e for e in range(3) if e not in st._places(spark, snapshot).values()]
+    assert current() == want | {6: "c6"}
 
 
 def test_poll_rules():
