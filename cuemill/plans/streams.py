@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cuemill.operators.grouped import spread
 from cuemill.plans.intervals import union_sql
 from cuemill.plans.registry import query
 from cuemill.session import ensure_checkpoint_dir
@@ -20,22 +19,26 @@ def reports(spark, sf_dir):
         "proc_id", "seq", F.floor(F.col("arrived_ms") / 100).alias("arrived_ms"), "out_ms", F.lit(600_000).cast("long").alias("total_ms"), (F.lit(90_000) + F.col("proc_id") % 7 * 20_000).alias("budget_ms"))
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 @query("s1_deadline_risk")
 def deadline_risk(spark, sf_dir):
-    # The state store of the streaming operator belongs to a stream; the batch twin walks the same
-    # rule over one process's reports, whose number is bounded by its run time.
-    def walk(pdf):
-        import pandas as pd
-
-        state, samples, alerts = st.FRESH, [], []
-        for now, poll in pdf.sort_values(["arrived_ms", "seq"], kind="stable").groupby("arrived_ms", sort=True):
-            last = poll.iloc[-1]
-            state, samples, alert = st.observe(state, samples, int(now), [int(v) for v in poll["out_ms"]], int(last["total_ms"]), int(last["budget_ms"]))
-            if alert:
-                alerts.append((int(last["proc_id"]), *alert))
-        return pd.DataFrame(alerts, columns=st.ALERT.names).astype("int64")
-
-    return spread(reports(spark, sf_dir), "proc_id").groupBy("proc_id").applyInPandas(walk, st.ALERT)
+    """The stream itself over the written reports, and its alerts as a table. A report far in the future, of a process
+    that has no other, moves the watermark past all others."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/deadlines-{uuid.uuid4().hex}"
+    rows = reports(spark, sf_dir)
+    last = spark.createDataFrame([(-1, 0, 10**12, 0, 1, 1)], rows.schema)
+    rows.unionByName(last).write.parquet(f"{base}/reports")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/reports")
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        alerts = st.deadline_alerts(stream, delay="2 minutes").writeStream.outputMode("append").format("parquet").option("path", f"{base}/alerts")
+        alerts.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
+    return spark.read.schema(st.ALERT).parquet(f"{base}/alerts")
 
 
 @query("s4_merged_log", "cache_log", """

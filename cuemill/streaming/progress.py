@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,16 @@ ALERT = t.StructType([
 _SCALARS = t.StructType([
     t.StructField("last_poll", t.LongType()), t.StructField("last_out", t.LongType()), t.StructField("valid", t.IntegerType()), t.StructField("risk", t.IntegerType()),
     t.StructField("dead", t.BooleanType()), t.StructField("alerted", t.BooleanType())])
+_REPORT = t.StructType([t.StructField(c, t.LongType()) for c in ("arrived_ms", "seq", "out_ms", "total_ms", "budget_ms", "future_ms")])
 _SAMPLE = t.StructType([t.StructField("at", t.LongType()), t.StructField("out", t.LongType())])
 FRESH = (-1, -1, 0, 0, False, False)
 
 
-def observe(scalars: tuple, samples: list, now: int, reports: list, total_ms: int, budget_ms: int) -> tuple[tuple, list, tuple | None]:
+def observe(scalars: tuple, samples: list, now: int, reports: list, total_ms: int, budget_ms: int, future_ms: int = 0) -> tuple[tuple, list, tuple | None]:
     """One poll of one process: the new state and an alert, if the deadline is at risk for the third time.
 
-    Reports of one poll count once. A gap between polls clears the evidence; output that goes back
-    ends the process's evidence for good.
+    Reports of one poll count once. A gap between polls clears the evidence; output that goes back ends the process's
+    evidence for good. `future_ms` is media that is still to come after `total_ms` and takes its time as well.
     """
     last_poll, last_out, valid, risk, dead, alerted = scalars
     if last_poll >= 0 and now - last_poll > FRESH_GAP_MS:
@@ -40,7 +42,7 @@ def observe(scalars: tuple, samples: list, now: int, reports: list, total_ms: in
     out = reports[-1]
     if len(reports) > 1:
         risk = 0
-    if out is None or out < 0 or out > total_ms + 1_000 or out == last_out:
+    if out is None or out < 0 or out > total_ms + 1_000 or future_ms < 0 or out == last_out:
         return (now, last_out, valid, 0, dead, alerted), samples, None
     if out < last_out:
         return (now, last_out, 0, 0, True, alerted), [], None
@@ -56,45 +58,76 @@ def observe(scalars: tuple, samples: list, now: int, reports: list, total_ms: in
         return (now, out, valid, risk, dead, alerted), samples, None
     if remaining <= 0 or now < WARM_UP_MS or back is None or out <= back[1]:
         return (now, out, valid, 0, dead, alerted), samples, None
-    eta = int((total_ms - out) * (now - back[0]) / (out - back[1])) + RESERVE_MS
+    eta = int((total_ms - out + future_ms) * (now - back[0]) / (out - back[1])) + RESERVE_MS
     risk = risk + 1 if eta > remaining else 0
     alert = (now, out, eta, remaining) if risk >= RISKY_REPORTS else None
     return (now, out, valid, risk, dead, alerted or alert is not None), samples, alert
 
 
 class DeadlineRisk(StatefulProcessor):
-    """State of one process: scalars and the samples of the last 25 s."""
+    """State of one process: scalars, the samples of the last 25 s, and the polls that the watermark has not passed.
+
+    A poll is judged once the watermark has passed it, when no more of its reports can come, so batches of any cut give
+    the same alerts. A process without polls for `expire_ms` is forgotten.
+    """
+
+    def __init__(self, expire_ms: int):
+        self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.scalars = handle.getValueState("scalars", _SCALARS)
         self.samples = handle.getListState("samples", _SAMPLE)
+        self.open = handle.getListState("open", _REPORT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["arrived_ms", "seq"], kind="stable")
+        seen = self.scalars.get()[0] if self.scalars.exists() else -1
+        new = [tuple(int(v) for v in r) for frame in rows for r in frame[_REPORT.names].itertuples(index=False) if r.arrived_ms > seen]
+        if new:
+            self.open.appendList(new)
+        for at in sorted({r[0] for r in new}):
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        held = sorted(tuple(r) for r in self.open.get()) if self.open.exists() else []
         scalars = tuple(self.scalars.get()) if self.scalars.exists() else FRESH
         samples = [tuple(s) for s in self.samples.get()] if self.samples.exists() else []
         alerts = []
-        for now, poll in frame.groupby("arrived_ms", sort=True):
-            last = poll.iloc[-1]
-            scalars, samples, alert = observe(scalars, samples, int(now), [int(v) for v in poll["out_ms"]], int(last["total_ms"]), int(last["budget_ms"]))
+        for now, poll in groupby((r for r in held if r[0] <= passed), key=lambda r: r[0]):
+            poll = list(poll)
+            if scalars[0] >= 0 and now - scalars[0] > self.expire_ms:  # forgotten, whatever the batches
+                scalars, samples = FRESH, []
+            scalars, samples, alert = observe(scalars, samples, now, [r[2] for r in poll], *poll[-1][3:])
             if alert:
                 alerts.append((int(key[0]), *alert))
-        self.scalars.update(scalars)
-        self.samples.put([tuple(int(v) for v in s) for s in samples])
-        if alerts:
-            yield pd.DataFrame(alerts, columns=ALERT.names)
+        later = [r for r in held if r[0] > passed]
+        if not later and passed >= scalars[0] + self.expire_ms:
+            for state in (self.scalars, self.samples, self.open):
+                state.clear()
+        else:
+            self.scalars.update(scalars)
+            self.samples.put([tuple(int(v) for v in s) for s in samples])
+            self.open.put(later)
+            if not later:
+                self.handle.registerTimer(scalars[0] + self.expire_ms)
+        return iter([pd.DataFrame(alerts, columns=ALERT.names)] if alerts else ())
 
     def close(self) -> None:
         pass
 
 
-def deadline_alerts(reports: DataFrame) -> DataFrame:
-    """One alert per process whose deadline stays at risk for three reports. Streaming or batch.
+def deadline_alerts(reports: DataFrame, delay: str = "10 seconds", expire_ms: int = 3_600_000) -> DataFrame:
+    """One alert per process whose deadline stays at risk for three reports, from a stream in event time.
 
-    `reports(proc_id, seq, arrived_ms, out_ms, total_ms, budget_ms)`.
+    `reports(proc_id, seq, arrived_ms, out_ms, total_ms, budget_ms [, future_ms])`, which may come out of order by up to
+    `delay`; later ones are dropped. Needs the RocksDB state store.
     """
-    return reports.groupBy("proc_id").transformWithStateInPandas(
-        statefulProcessor=DeadlineRisk(), outputStructType=ALERT, outputMode="Append", timeMode="None")
+    future = F.col("future_ms") if "future_ms" in reports.columns else F.lit(0).cast("long")
+    timed = reports.withColumns({"future_ms": future, "at": F.timestamp_millis("arrived_ms")}).withWatermark("at", delay)
+    return timed.groupBy("proc_id").transformWithStateInPandas(
+        statefulProcessor=DeadlineRisk(expire_ms), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
 
 
 def progress_state(reports: DataFrame, key: str = "proc_id") -> DataFrame:

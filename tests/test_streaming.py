@@ -39,10 +39,45 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_deadline_alerts(spark):
+def plain_alerts(listed):
+    """Alerts by a plain walk over all reports of each process."""
+    found = []
+    for proc, own in listed.groupby("proc_id"):
+        state, samples = st.FRESH, []
+        for now, poll in own.sort_values(["arrived_ms", "seq"], kind="stable").groupby("arrived_ms", sort=True):
+            last = poll.iloc[-1]
+            state, samples, alert = st.observe(state, samples, int(now), poll.out_ms.tolist(), int(last.total_ms), int(last.budget_ms), int(last.get("future_ms", 0)))
+            if alert:
+                found.append((int(proc), *alert))
+    return sorted(found)
+
+
+FAR = [(-1, 0, 10**12, 0, 1, 1)]
+
+
+def test_deadline_alerts_over_any_batches(spark):
     source = reports(spark, SF)
-    name = run(st.deadline_alerts(as_stream(spark, source, 2, ["arrived_ms", "seq"])), "append")
-    assert rows(spark.table(name)) == rows(all_queries()["s1_deadline_risk"].build(spark, SF))
+    want = plain_alerts(source.toPandas())
+    assert want and rows(all_queries()["s1_deadline_risk"].build(spark, SF)) == want
+    # in batches whose rows overlap in time, with polls cut in two
+    order = F.col("arrived_ms") + F.xxhash64("proc_id", "seq") % 20_000
+    mixed = source.withColumn("o", order).unionByName(spark.createDataFrame([(*FAR[0], 10**12)], source.schema.add("o", "long"))).orderBy("o").drop("o")
+    name = run(st.deadline_alerts(as_stream(spark, mixed, 3), delay="60 seconds"), "append")
+    assert rows(spark.table(name)) == want
+
+
+def test_deadline_state_is_dropped_and_media_to_come_counts(spark):
+    schema = "proc_id long, seq long, arrived_ms long, out_ms long, total_ms long, budget_ms long, future_ms long"
+    slow = [(1, k, 4_000 * k, 100 * k, 10_000, 90_000, 0) for k in range(12)]
+    calm = [(2, k, 4_000 * k, 900 * k, 10_000, 90_000, 0) for k in range(12)]
+    ahead = [(3, k, 4_000 * k, 900 * k, 10_000, 90_000, 60_000) for k in range(12)]
+    again = [(1, 100 + k, 10_000_000 + 4_000 * k, 100 * k, 10_000, 10_090_000, 0) for k in range(12)]  # after it was forgotten
+    table = spark.createDataFrame(slow + calm + ahead + again + [(*FAR[0], 0)], schema)
+    name = run(st.deadline_alerts(as_stream(spark, table, 3, ["arrived_ms", "seq"]), expire_ms=600_000), "append")
+    found = rows(spark.table(name))
+    assert [(r[0], r[1] >= 10_000_000) for r in found] == [(1, False), (1, True), (3, False)]
+    first = [r for r in plain_alerts(table.filter("arrived_ms < 1000000").toPandas())]
+    assert [r for r in found if r[1] < 10_000_000] == first
 
 
 def test_progress_state(spark):
