@@ -272,7 +272,21 @@ def catalogue_queries(title: Column, year: Column) -> Column:
 # Conflicts: each is empty or the reason ------------------------------------------------------
 
 
-def source_conflict(own: Column, other: Column) -> Column:
+def release_metadata(value: Column, titles: Column) -> Column:
+    """A release or file name less the longest of the known film titles (an array) that it begins with, so that the title's
+    words and numbers are taken for no label. Words in the title's place only: a label of the same words stays behind it.
+    Case and what stands between words do not matter; null or wordless titles are passed over."""
+    words = F.filter(F.transform(titles, lambda t: _extract(t, r"[\p{L}\p{N}]+")), lambda w: F.size(w) > 0)
+    begins = lambda w: F.concat(F.lit(r"(?i)^[^\p{L}\p{N}]*"), F.array_join(w, r"[^\p{L}\p{N}]+"), F.lit(r"(?![\p{L}\p{N}])"))
+    fits = F.filter(F.transform(words, begins), lambda p: F.regexp_like(value, p))
+    longest = F.array_max(F.transform(fits, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
+    return F.when(longest.isNull(), value).otherwise(F.regexp_replace(value, F.coalesce(longest, F.lit("$")), F.lit("")))
+
+
+def source_conflict(own: Column, other: Column, titles: Column | None = None) -> Column:
+    """A disc's own file against subtitles of a theatrical recording; `titles` (an array) are no part of either name."""
+    if titles is not None:
+        own, other = release_metadata(own, titles), release_metadata(other, titles)
     clash = F.arrays_overlap(release_tags(own), _list(DISC_SOURCES)) & F.arrays_overlap(release_tags(other), _list(THEATRICAL_SOURCES))
     return F.when(clash, "theatrical_source").otherwise("")
 

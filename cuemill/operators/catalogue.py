@@ -189,10 +189,10 @@ def screen(pairs: DataFrame) -> DataFrame:
     first = pairs.filter("duplicate_key is not null").groupBy("identity_id", "duplicate_key").agg(F.min("file_id").alias("first_id"))
     r = F.col("release")
     release = F.coalesce(*[F.nullif(c, F.lit("")) for c in (
-        tt.source_conflict(F.col("own_name"), r), tt.edition_conflict(F.col("own_name"), r), tt.recut_conflict(F.col("own_name"), r, F.col("title")),
+        tt.source_conflict(F.col("own_name"), r, F.array("title")), tt.edition_conflict(F.col("own_name"), r), tt.recut_conflict(F.col("own_name"), r, F.col("title")),
         tt.year_conflict(F.col("year"), r, F.col("feature_year")), tt.language_label_conflict(r))])
     reason = (
-        F.when(F.coalesce(F.col("first_id") != F.col("file_id"), F.lit(False)), "duplicate").when(~subtitle_role(r).isin("main", "sdh"), "role")
+        F.when(F.coalesce(F.col("first_id") != F.col("file_id"), F.lit(False)), "duplicate").when(~subtitle_role(r, titles=F.array("title")).isin("main", "sdh"), "role")
         .when(F.col("admission") != "auto", "identity").when(release.isNotNull(), "release").otherwise(""))
     return pairs.join(first, ["identity_id", "duplicate_key"], "left").select(
         "identity_id", "file_id", "provider", reason.alias("reason"), F.when(reason == "release", release).otherwise("").alias("detail"))

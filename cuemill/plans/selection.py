@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuemill.functions import titles as tt
 from cuemill.functions import tracks as tr
 from cuemill.operators import selection as sl
 from cuemill.plans.foundations import _D1_SQL, _profile
 from cuemill.plans.registry import query
-from cuemill.sources.tables import media, track
+from cuemill.sources.tables import candidate, media, track
 
 DESIRED = ["zh-CN", "en", "de"]
 LANG_SQL = """case when type='audio' then case language when 'chi' then 'zh-CN' when 'zh-Hant' then 'zh-TW' when 'eng' then 'en' when 'ger' then 'de' when 'fre' then 'fr' else 'und' end
@@ -38,6 +39,36 @@ def subtitle_role(spark, sf_dir):
     return rows.select("media_id", "track_id", tr.subtitle_role(F.col("name"), F.col("is_forced")).alias("role"))
 
 
+_NAMED_SQL = """
+nm as (select file_id, 'Trailer '||feature_title||' CAM' as title, replace(feature_title,' ','.') as dotted, file_id%8 as kind from candidate),
+lb as (select *, case kind when 0 then 'trailer.'||dotted||'.cam.1999.BluRay' when 1 then 'Trailer_'||dotted||'_CAM_1999_Forced' when 2 then 'Trailer.'||dotted||'.CAM.1999.Trailer' when 3 then 'Trailer.'||dotted||'.CAMERA.1999'
+ when 4 then '- Trailer: '||replace(dotted,'.',' ')||' (CAM) HDTS' when 5 then 'The.Trailer.'||dotted||'.CAM.1999' when 6 then 'Trailer.'||dotted||'.CAM' else 'Trailer.'||dotted||'.CAM.1999.CAM' end as label from nm)
+"""
+
+
+@query("b8_title_removed", "candidate", _NAMED_SQL + """
+select file_id, case kind when 0 then '.1999.BluRay' when 1 then '_1999_Forced' when 2 then '.1999.Trailer' when 4 then ') HDTS' when 6 then '' when 7 then '.1999.CAM' else label end as metadata,
+ case when kind=1 then 'partial' when kind in (2,3,5) then 'trailer' else 'main' end as role, 'trailer' as role_untitled,
+ case when kind in (4,5,7) then 'theatrical_source' else '' end as source from lb""")
+def title_removed(spark, sf_dir):
+    """Labels of films whose title has words of a purpose and of a source, before and after the title is taken off."""
+    f = F.col("file_id") % 8
+    dotted, plain = F.replace("feature_title", F.lit(" "), F.lit(".")), F.col("feature_title")
+    named = [
+        F.concat(F.lit("trailer."), dotted, F.lit(".cam.1999.BluRay")), F.concat(F.lit("Trailer_"), dotted, F.lit("_CAM_1999_Forced")),
+        F.concat(F.lit("Trailer."), dotted, F.lit(".CAM.1999.Trailer")), F.concat(F.lit("Trailer."), dotted, F.lit(".CAMERA.1999")),
+        F.concat(F.lit("- Trailer: "), plain, F.lit(" (CAM) HDTS")), F.concat(F.lit("The.Trailer."), dotted, F.lit(".CAM.1999")),
+        F.concat(F.lit("Trailer."), dotted, F.lit(".CAM")), F.concat(F.lit("Trailer."), dotted, F.lit(".CAM.1999.CAM")),
+    ]
+    label = F.get(F.array(*named), f.cast("int"))
+    # the shorter title is known as well; the longest that fits goes
+    titles = F.array(F.lit("Trailer"), F.concat(F.lit("Trailer "), plain, F.lit(" CAM")), F.lit(None), F.lit("..."))
+    rows = candidate(spark, sf_dir).select("file_id", label.alias("label"), F.when(f.isin(3, 5), F.slice(titles, 2, 3)).otherwise(titles).alias("titles"))
+    disc = F.lit("Other.Film.2001.BluRay.x264")
+    return rows.select("file_id", tt.release_metadata(F.col("label"), F.col("titles")).alias("metadata"), tr.subtitle_role(F.col("label"), titles=F.col("titles")).alias("role"),
+                       tr.subtitle_role(F.col("label")).alias("role_untitled"), tt.source_conflict(disc, F.col("label"), F.col("titles")).alias("source"))
+
+
 @query("b9_audio_exclusion", "track", "select media_id, track_id, case when name='Commentary' then 'commentary' else '' end as reason from track where type='audio'")
 def audio_exclusion(spark, sf_dir):
     return track(spark, sf_dir).filter("type = 'audio'").select("media_id", "track_id", tr.audio_exclusion(F.col("name")).alias("reason"))
