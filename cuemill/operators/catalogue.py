@@ -147,6 +147,64 @@ def resolve_unique(observations: DataFrame, expected: str = "identity_id") -> Da
                       F.when(reason == "", F.col("lo.imdb_id")).alias("imdb_id"), F.when(reason == "", F.col("lo.tmdb_id")).alias("tmdb_id"))
 
 
+#: Kinds of feature that may be a film; others speak against it.
+FILM_TYPES = ("movie", "feature", "")
+
+
+def resolve_profiles(works: DataFrame, profiles: DataFrame, official: DataFrame) -> DataFrame:
+    """One work or none for each film name, from profiles that catalogues have returned.
+
+    `works(identity_id, key, year)` with the expected title key; `profiles(profile_id, source, keys, year, imdb_id, tmdb_id,
+    kind)` with the keys of a title and its aliases, sources `primary`, `primary_incomplete` and `secondary`;
+    `official(tmdb_id, key, year)` from the public page of a work. Empty ids and years are unknown.
+
+    Primary profiles of the expected key and year must name exactly one pair of ids, and nothing observed may contradict
+    it: another id, another kind, or any primary profile that shares one of the two ids and differs in the other, in year
+    or in kind, under whatever title. Where a secondary profile of both ids is one year off, shares a name and the one
+    official page agrees with its year under a shared name, the year is corrected, and the two years count as the same.
+    Every name of a profile is a row, so names meet by equal keys; conflicts meet by equal ids. Titles that many films share
+    are spread by their years.
+    """
+    primary = profiles.filter(F.col("source").isin("primary", "primary_incomplete"))
+    odd = ~F.lower("kind").isin(*FILM_TYPES)
+    some = lambda c: F.nullif(c, F.lit(""))
+    named = primary.select("profile_id", "source", "year", "imdb_id", "tmdb_id", odd.alias("odd"), F.explode(F.array_distinct("keys")).alias("key"))
+    pair = F.when((F.col("source") == "primary") & some("imdb_id").isNotNull() & some("tmdb_id").isNotNull(), F.struct("imdb_id", "tmdb_id"))
+    seen = works.join(named, ["key", "year"]).groupBy("identity_id").agg(
+        F.count_if(F.col("source") == "primary").alias("exact"), F.min(pair).alias("lo"), F.max(pair).alias("hi"), F.bool_or("odd").alias("odd"),
+        F.min(some("imdb_id")).alias("i_lo"), F.max(some("imdb_id")).alias("i_hi"), F.min(some("tmdb_id")).alias("t_lo"), F.max(some("tmdb_id")).alias("t_hi"))
+    rivals = F.coalesce(F.col("i_lo") != F.col("i_hi"), F.lit(False)) | F.coalesce(F.col("t_lo") != F.col("t_hi"), F.lit(False))
+    first = F.when(F.coalesce("exact", F.lit(0)) == 0, "no_profile").when(
+        F.col("lo").isNull(), F.when(rivals | F.col("odd"), "competing_ids").otherwise("incomplete_ids")).when(
+        F.col("lo") != F.col("hi"), "no_unique_pair").when(rivals | F.col("odd"), "competing_ids").otherwise("")
+    told = works.join(seen, "identity_id", "left").select("identity_id", "key", "year", first.alias("reason"), "lo.imdb_id", "lo.tmdb_id")
+    chosen = told.filter("reason = ''").drop("reason")
+
+    # the year beside: both catalogues name the work, and its page decides
+    mine = named.filter("source = 'primary' and not odd").select(F.col("key").alias("name"), "year", "imdb_id", "tmdb_id").distinct()
+    theirs = profiles.filter("source = 'secondary' and lower(kind) = 'movie'").select(
+        F.explode(F.array_distinct("keys")).alias("name"), F.col("year").alias("other"), "imdb_id", "tmdb_id").distinct()
+    beside = chosen.join(mine, ["year", "imdb_id", "tmdb_id"]).join(theirs, ["name", "imdb_id", "tmdb_id"]).filter(F.abs(F.col("year").try_cast("int") - F.col("other").try_cast("int")) == 1)
+    agreed = beside.join(official.select("tmdb_id", F.col("key").alias("name"), F.col("year").alias("other")).distinct(), ["tmdb_id", "name", "other"])
+    # pages of one work with several years decide nothing
+    one = agreed.groupBy("identity_id").agg(F.min("other").alias("other"), F.max("other").alias("last")).filter("other = last").select("identity_id", "other")
+
+    wanted = chosen.join(one, "identity_id", "left").select("identity_id", F.col("year").alias("asked"), "other", F.col("imdb_id").alias("imdb"), F.col("tmdb_id").alias("tmdb"))
+    every = primary.select("profile_id", "year", "imdb_id", "tmdb_id", odd.alias("odd")).unionByName(
+        profiles.filter("source = 'secondary'").select("profile_id", "year", "imdb_id", "tmdb_id", F.lit(None).cast("boolean").alias("odd")))
+    met = [wanted.join(every.filter(some(c).isNotNull()), F.col(c) == F.col(w)) for c, w in (("imdb_id", "imdb"), ("tmdb_id", "tmdb"))]
+    other_id = F.coalesce(some("imdb_id") != F.col("imdb"), F.lit(False)) | F.coalesce(some("tmdb_id") != F.col("tmdb"), F.lit(False))
+    # a secondary profile contradicts by its year alone, unless it is the one that corrects it
+    other_year = F.coalesce(some("year") != F.col("asked"), F.lit(False)) & ~F.coalesce(F.col("odd").isNull() & (F.col("year") == F.col("other")), F.lit(False))
+    against = met[0].unionByName(met[1]).filter(F.when(F.col("odd").isNull(), other_year).otherwise(other_id | other_year | F.col("odd"))).select("identity_id").distinct()
+    marked = told.join(one, "identity_id", "left").join(against.withColumn("against", F.lit(True)), "identity_id", "left")
+    reason = F.when(F.col("reason") != "", F.col("reason")).when(F.col("against"), "conflicting_profile").otherwise("")
+    good = reason == ""
+    return marked.select(
+        "identity_id", F.when(good, "confirmed").otherwise("pending").alias("state"), reason.alias("reason"), F.when(good, F.col("imdb_id")).alias("imdb_id"),
+        F.when(good, F.col("tmdb_id")).alias("tmdb_id"), F.when(good, F.coalesce("other", "year")).alias("year"), (good & F.col("other").isNotNull()).alias("corrected"))
+
+
 def choose_by_runtime(works: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """The one work whose runtime fits, if all its rivals are clearly outside. `actual(key, actual_s)`."""
     delta, listed = F.abs(F.col("actual_s") - F.col("runtime_s")), F.col("runtime_s")

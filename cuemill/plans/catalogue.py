@@ -311,6 +311,57 @@ def unique_resolution(spark, sf_dir):
     return ct.resolve_unique(seen)
 
 
+_PROFILE_SQL = """
+wk as (select identity_id, lower(title) as key, year from identity),
+pb as (select file_id, lower(feature_title) as key, feature_year as year, 'i'||substr(md5(feature_title||feature_year),1,8) as im, 't'||substr(md5(feature_year||feature_title),1,8) as tm from candidate),
+pf as (select file_id as profile_id, 'primary' as source, case when file_id%3=0 then [key||' again', key] else [key] end as keys, year,
+  case when file_id%11=0 then '' when file_id%37=0 then 'i0' else im end as imdb_id, case when file_id%13=0 then '' else tm end as tmdb_id, case when file_id%41=0 then 'episode' when file_id%2=0 then 'Movie' else '' end as kind from pb
+ union all select 1000000000+file_id, 'primary_incomplete', ['other name'], case when file_id%23=0 then cast(cast(year as int)+3 as varchar) when file_id%2=0 then year else '' end, im, case when file_id%29=0 then 't1' else '' end, 'feature' from pb where file_id%5=0
+ union all select 2000000000+file_id, 'secondary', [key, 'x'], case when file_id%4<2 then cast(cast(year as int)+1 as varchar) else year end, im, tm, 'movie' from pb where file_id%3>0),
+oc as (select distinct tm as tmdb_id, key, cast(cast(year as int)+1 as varchar) as year from pb where file_id%4=0 union select distinct tm, key, cast(cast(year as int)-1 as varchar) from pb where file_id%28=0),
+"""
+
+
+@query("d23_profiles", "candidate identity", _PROFILE_SQL + """
+pr as (select *, lower(kind) not in ('movie','feature','') as odd from pf where source<>'secondary'),
+sn as (select w.identity_id, w.key, w.year, p.* exclude (keys, year) from wk w join (select *, unnest(list_distinct(keys)) as name from pr) p on p.name=w.key and p.year=w.year),
+ag as (select identity_id, count(*) filter (source='primary') as exact, count(distinct {'i':imdb_id,'t':tmdb_id}) filter (source='primary' and imdb_id<>'' and tmdb_id<>'') as pairs,
+ min(imdb_id) filter (source='primary' and imdb_id<>'' and tmdb_id<>'') as im, min(tmdb_id) filter (source='primary' and imdb_id<>'' and tmdb_id<>'') as tm,
+ count(distinct nullif(imdb_id,''))>1 or count(distinct nullif(tmdb_id,''))>1 as rival, bool_or(odd) as odd from sn group by 1),
+f as (select wk.*, im, tm, case when coalesce(exact,0)=0 then 'no_profile' when pairs=0 then case when rival or odd then 'competing_ids' else 'incomplete_ids' end when pairs>1 then 'no_unique_pair' when rival or odd then 'competing_ids' else '' end as reason
+ from wk left join ag on ag.identity_id=wk.identity_id),
+cr as (select f.identity_id, count(distinct s.year) as n, min(s.year) as other from f join pr p on p.source='primary' and not p.odd and p.year=f.year and p.imdb_id=f.im and p.tmdb_id=f.tm
+ join pf s on s.source='secondary' and s.imdb_id=f.im and s.tmdb_id=f.tm and abs(cast(s.year as int)-cast(f.year as int))=1
+ join oc on oc.tmdb_id=f.tm and oc.year=s.year and list_contains(p.keys, oc.key) and list_contains(s.keys, oc.key) where f.reason='' group by 1),
+c1 as (select identity_id, other from cr where n=1),
+ct as (select distinct f.identity_id from f join pf p on (p.imdb_id=f.im or p.tmdb_id=f.tm) left join c1 on c1.identity_id=f.identity_id where f.reason='' and
+ ((p.source<>'secondary' and ((p.imdb_id<>'' and p.imdb_id<>f.im) or (p.tmdb_id<>'' and p.tmdb_id<>f.tm) or (p.year<>'' and p.year<>f.year) or lower(p.kind) not in ('movie','feature','')))
+ or (p.source='secondary' and p.year<>'' and p.year<>f.year and p.year is distinct from c1.other))),
+r as (select f.*, other, case when reason<>'' then reason when ct.identity_id is not null then 'conflicting_profile' else '' end as why from f left join c1 on c1.identity_id=f.identity_id left join ct on ct.identity_id=f.identity_id)
+select identity_id, case when why='' then 'confirmed' else 'pending' end as state, why as reason, case when why='' then im end as imdb_id, case when why='' then tm end as tmdb_id,
+ case when why='' then coalesce(other, year) end as year, why='' and other is not null as corrected from r""")
+def profile_resolution(spark, sf_dir):
+    works = identity(spark, sf_dir).select("identity_id", F.lower("title").alias("key"), "year")
+    base = candidate(spark, sf_dir).select(
+        F.col("file_id").alias("f"), F.lower("feature_title").alias("key"), F.col("feature_year").alias("y"),
+        F.concat(F.lit("i"), F.substring(F.md5(F.concat("feature_title", "feature_year")), 1, 8)).alias("im"),
+        F.concat(F.lit("t"), F.substring(F.md5(F.concat("feature_year", "feature_title")), 1, 8)).alias("tm"))
+    f, none = F.col("f"), F.lit("")
+    later = lambda n: (F.col("y").cast("int") + n).cast("string")
+    # full profiles with gaps and strays, half known ones, and those of a second catalogue that is often a year later
+    full = base.select(
+        f.alias("profile_id"), F.lit("primary").alias("source"), F.when(f % 3 == 0, F.array(F.concat("key", F.lit(" again")), "key")).otherwise(F.array("key")).alias("keys"), F.col("y").alias("year"),
+        F.when(f % 11 == 0, none).when(f % 37 == 0, "i0").otherwise(F.col("im")).alias("imdb_id"), F.when(f % 13 == 0, none).otherwise(F.col("tm")).alias("tmdb_id"),
+        F.when(f % 41 == 0, "episode").when(f % 2 == 0, "Movie").otherwise("").alias("kind"))
+    half = base.filter(f % 5 == 0).select(
+        f + 1_000_000_000, F.lit("primary_incomplete"), F.array(F.lit("other name")), F.when(f % 23 == 0, later(3)).when(f % 2 == 0, F.col("y")).otherwise(""), "im",
+        F.when(f % 29 == 0, "t1").otherwise(""), F.lit("feature"))
+    second = base.filter(f % 3 > 0).select(
+        f + 2_000_000_000, F.lit("secondary"), F.array("key", F.lit("x")), F.when(f % 4 < 2, later(1)).otherwise(F.col("y")), "im", "tm", F.lit("movie"))
+    pages = base.filter(f % 4 == 0).select(F.col("tm").alias("tmdb_id"), "key", later(1).alias("year")).union(base.filter(f % 28 == 0).select("tm", "key", later(-1)))
+    return ct.resolve_profiles(works, full.union(half).union(second), pages)
+
+
 @query("d24_runtime_choice", "", """
 w as (select o_custkey as title_id, o_orderkey as work_id, case when o_orderkey%41=0 then null else cast(3000+o_orderkey*977%6000 as double) end as runtime_s from orders),
 a as (select c_custkey as title_id, case when c_custkey%29=0 then null else cast(3000+c_custkey*331%6000 as double) end as actual_s from customer),
