@@ -173,6 +173,70 @@ def inspect(rows: DataFrame, required: list[str]) -> DataFrame:
     return joined.select("media_id", F.array_join(missing, ",").alias("missing"), F.coalesce("rejected", zero).alias("rejected"), status.alias("status"))
 
 
+def inspected_tracks(rows: DataFrame, profiles: DataFrame, required: list[str]) -> DataFrame:
+    """Subtitle tracks with what speaks against each, in order.
+
+    `rows` from `profiled` with `format` (text, image, or anything else); `profiles(media_id, track_id, events, accepted,
+    end_s)` of the texts that could be read. A text without a profile could not be read; forced tracks and parts are not
+    read at all, nor are images. Unknown lengths (null or 0) judge no end.
+    """
+    subs = rows.filter("type = 'subtitles'").join(profiles, ["media_id", "track_id"], "left")
+    text, part = F.col("format") == "text", F.col("is_forced") | (F.col("role") == "partial")
+    unread, d = F.col("events").isNull(), F.coalesce("duration_s", F.lit(0.0))
+    late = (d > 0) & (F.col("end_s") > d + F.greatest(F.lit(180.0), d * 0.12))
+    lacking = F.when(F.col("events") == 0, "subtitle_text_empty").when(~F.col("accepted"), "subtitle_incomplete")
+    content = F.when(~text, F.array(F.lit("image_subtitle_not_allowed"))).when(part, F.array(F.lit("forced_or_fragment_subtitle"))).when(
+        unread, F.array(F.lit("subtitle_extraction_failed"))).otherwise(F.array_compact(F.array(lacking, F.when(late, "subtitle_timeline_too_long"))))
+    reasons = F.concat(content, F.array_compact(F.array(F.when(~F.col("lang").isin(*required), "subtitle_language_not_required"))))
+    complete = text & ~part & ~unread & (F.size(content) == 0)
+    return subs.select(
+        "media_id", "track_id", "lang", "format", "is_default", part.alias("part"), (F.col("role") == "sdh").alias("accessible"), complete.alias("complete"),
+        (complete & (F.col("lang") == "en")).alias("translatable"), F.coalesce("events", F.lit(0).cast("long")).alias("events"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def inspect_library(rows: DataFrame, tracks: DataFrame, films: DataFrame, required: list[str]) -> DataFrame:
+    """Status of every film of `films(media_id, has_video, burned)` with the selected track of each required language,
+    what is missing and forbidden, and the reasons in order.
+
+    `tracks` from `inspected_tracks`. `burned` (detected, uncertain, absent, or null where the check failed) counts only
+    for films without a usable subtitle. A film's tracks, which are few, meet once; all else is array work in its row.
+    """
+    kept = F.struct("track_id", "lang", "format", "is_default", "part", "accessible", "complete")
+    subs = tracks.groupBy("media_id").agg(F.array_sort(F.collect_list(kept)).alias("subs"))
+    heard = rows.groupBy("media_id").agg(F.bool_or(F.col("type") == "audio").alias("has_audio"))
+    none = F.array().cast(subs.schema["subs"].dataType)
+    film = films.join(subs, "media_id", "left").join(heard, "media_id", "left").withColumns(
+        {"subs": F.coalesce("subs", none), "has_audio": F.coalesce("has_audio", F.lit(False))})
+
+    def choice(lang):
+        fit = F.filter("subs", lambda t: (t["lang"] == lang) & t["complete"])
+        rank = F.transform(fit, lambda t: F.struct(t["accessible"].cast("int").alias("a"), (~t["is_default"]).cast("int").alias("d"), t["track_id"].alias("id")))
+        return F.array_min(rank)["id"]
+
+    film = film.withColumns({f"_s{k}": choice(lang) for k, lang in enumerate(required)})
+    picks = [F.col(f"_s{k}") for k in range(len(required))]
+    usable = F.exists("subs", lambda t: ~t["part"] & t["format"].isin("text", "image"))
+    burned = F.when(usable | (F.col("burned") == "absent"), "").when(F.col("burned") == "detected", "burned_confirmed").otherwise("burned_check_failed")
+    missing = F.array_compact(F.array(*[F.when(p.isNull(), lang) for p, lang in zip(picks, required)]))
+    chosen = F.array_compact(F.array(*picks))
+    forbidden = F.transform(F.filter("subs", lambda t: ~F.array_contains(chosen, t["track_id"])), lambda t: t["track_id"])
+    defaults = F.filter("subs", lambda t: t["is_default"])
+    english = picks[required.index("en")] if "en" in required else F.lit(None).cast("long")
+    led = F.coalesce((F.size(defaults) == 1) & (defaults[0]["track_id"] == english), F.lit(False))
+    film = film.withColumns({"burn": burned, "missing": missing, "forbidden": forbidden, "led": F.when(F.size(defaults) == 0, False).otherwise(led)})
+    review = (F.col("burn") != "") | ~F.col("has_video") | ~F.col("has_audio")
+    lacks, more = F.size("missing") > 0, F.size("forbidden") > 0
+    reasons = F.concat(
+        F.array_compact(F.array(F.when(~F.col("has_video"), "video_track_missing"), F.when(~F.col("has_audio"), "audio_track_missing"), F.nullif("burn", F.lit("")))),
+        F.transform("missing", lambda x: F.concat(F.lit("missing_complete_text_subtitle:"), x)),
+        F.array_compact(F.array(F.when(more, "forbidden_or_extra_subtitle_tracks_present"), F.when(~lacks & ~F.col("led"), "default_subtitle_must_be_english"))))
+    named = F.array_compact(F.array(*[F.when(p.isNotNull(), F.concat(F.lit(lang + ":"), p.cast("string"))) for p, lang in zip(picks, required)]))
+    return film.select(
+        "media_id", F.when(review, "needs_review").when(lacks | more | ~F.col("led"), "needs_processing").otherwise("accepted").alias("status"),
+        F.array_join(named, ",").alias("selected"), F.array_join("missing", ",").alias("missing"), F.array_join(F.transform("forbidden", lambda x: x.cast("string")), ",").alias("forbidden"),
+        F.array_join(reasons, ",").alias("reasons"))
+
+
 def library_plan(rows: DataFrame, desired: list[str], script_equivalent: bool = True) -> DataFrame:
     """What to keep and what to make per film: audio, subtitles, conversion and translation source, status.
 

@@ -214,6 +214,50 @@ def track_inspection(spark, sf_dir):
     return sl.inspect(_rows(spark, sf_dir), ["en", "zh-TW"])
 
 
+_INSPECT_SQL = ROWS_SQL + """,
+it as (select *, case when codec in ('SubRip/SRT','AAC') then 'text' when codec='TrueHD' then 'image' else 'other' end as format, is_forced or role='partial' as part,
+ case when track_id%17>0 then frames end as events, frames>=100 as accepted, span_s/3 as end_s, case when media_id%13=0 then 0 else duration_s end as d from rx where type='subtitles'),
+ir as (select *, case when format<>'text' then ['image_subtitle_not_allowed'] when part then ['forced_or_fragment_subtitle'] when events is null then ['subtitle_extraction_failed']
+ else list_filter([case when events=0 then 'subtitle_text_empty' when not accepted then 'subtitle_incomplete' end, case when d>0 and end_s>d+greatest(180, d*0.12::double) then 'subtitle_timeline_too_long' end], lambda x: x is not null) end as content from it),
+ic as (select *, format='text' and not part and events is not null and len(content)=0 as complete, list_concat(content, case when lang in ('en','zh-CN') then []::varchar[] else ['subtitle_language_not_required'] end) as why from ir)"""
+
+
+def _inspected(spark, sf_dir):
+    m, t = F.col("media_id"), F.col("track_id")
+    format_ = F.when(F.col("codec").isin("SubRip/SRT", "AAC"), "text").when(F.col("codec") == "TrueHD", "image").otherwise("other")
+    rows = _rows(spark, sf_dir).withColumns({"format": format_, "duration_s": F.when(m % 13 == 0, 0.0).otherwise(F.col("duration_s"))})
+    profiles = track(spark, sf_dir).filter((F.col("type") == "subtitles") & (t % 17 > 0)).select(
+        "media_id", "track_id", F.col("frames").alias("events"), (F.col("frames") >= 100).alias("accepted"), (F.col("span_s") / 3).alias("end_s"))
+    return rows, sl.inspected_tracks(rows, profiles, ["en", "zh-CN"])
+
+
+@query("h4_inspected_tracks", "track media", _INSPECT_SQL + """
+select media_id, track_id, lang, format, is_default, part, role='sdh' as accessible, complete, complete and lang='en' as translatable, coalesce(events,0) as events, array_to_string(why,',') as reasons from ic""")
+def inspected_tracks(spark, sf_dir):
+    return _inspected(spark, sf_dir)[1]
+
+
+@query("h4_inspected_library", "track media", _INSPECT_SQL + """,
+rk as (select *, row_number() over (partition by media_id, lang order by (role='sdh')::int, (not is_default)::int, track_id) as n from ic where complete and lang in ('en','zh-CN')),
+pk as (select media_id, max(track_id) filter (lang='en') as en, max(track_id) filter (lang='zh-CN') as zh from rk where n=1 group by 1),
+fl as (select media_id, media_id%19>0 as has_video, case media_id%5 when 0 then 'detected' when 1 then 'uncertain' when 2 then null else 'absent' end as burned from media),
+ag as (select media_id, bool_or(not part and format in ('text','image')) as usable, count(*) filter (is_default) as defaults, max(track_id) filter (is_default) as led from ic group by 1),
+au as (select distinct media_id from track where type='audio'),
+fb as (select ic.media_id, string_agg(cast(track_id as varchar), ',' order by track_id) as forbidden from ic left join pk on pk.media_id=ic.media_id where track_id is distinct from en and track_id is distinct from zh group by 1),
+al as (select fl.media_id, has_video, au.media_id is not null as has_audio, case when coalesce(usable,false) or burned='absent' then '' when burned='detected' then 'burned_confirmed' else 'burned_check_failed' end as burn,
+ en, zh, coalesce(forbidden,'') as forbidden, coalesce(defaults=1 and led=en, false) as led from fl left join ag on ag.media_id=fl.media_id left join au on au.media_id=fl.media_id left join pk on pk.media_id=fl.media_id left join fb on fb.media_id=fl.media_id)
+select media_id, case when burn<>'' or not has_video or not has_audio then 'needs_review' when en is null or zh is null or forbidden<>'' or not led then 'needs_processing' else 'accepted' end as status,
+ concat_ws(',', 'en:'||en, 'zh-CN:'||zh) as selected, concat_ws(',', case when en is null then 'en' end, case when zh is null then 'zh-CN' end) as missing, forbidden,
+ concat_ws(',', case when not has_video then 'video_track_missing' end, case when not has_audio then 'audio_track_missing' end, nullif(burn,''), case when en is null then 'missing_complete_text_subtitle:en' end,
+ case when zh is null then 'missing_complete_text_subtitle:zh-CN' end, case when forbidden<>'' then 'forbidden_or_extra_subtitle_tracks_present' end, case when en is not null and zh is not null and not led then 'default_subtitle_must_be_english' end) as reasons from al""")
+def inspected_library(spark, sf_dir):
+    rows, tracks = _inspected(spark, sf_dir)
+    m = F.col("media_id")
+    burned = F.when(m % 5 == 0, "detected").when(m % 5 == 1, "uncertain").when(m % 5 > 2, "absent")
+    films = media(spark, sf_dir).select("media_id", (m % 19 > 0).alias("has_video"), burned.alias("burned"))
+    return sl.inspect_library(rows, tracks, films, ["en", "zh-CN"])
+
+
 @query("h5_library_plan", "track media", ROWS_SQL + "," + AUDIO_SQL + "," + ANCHOR_SQL + "," + COVER_SQL.format(eq=EQ) + f""",
 kp as (select media_id, count(*) filter (type='audio' and dialogue) as kept_audio, count(*) filter (type='subtitles' and not incomplete and lang in ('zh-CN','en','de')) as kept_subtitles from rx group by 1),
 sr as (select media_id, arg_min(track_id, tier*1000+track_id) as source_id from sa group by 1),
