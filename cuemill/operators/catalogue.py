@@ -87,11 +87,19 @@ def consistent_parents(rows: DataFrame, parent: str, facts: list[str]) -> DataFr
     return agg.filter(agree).select(parent, "rows", *[F.col(f"_lo_{f}").alias(f) for f in facts])
 
 
-def funnel(screened: DataFrame, by: str = "provider") -> DataFrame:
-    """Loaded, filtered by reason and queued candidates per provider."""
-    return screened.groupBy(by).agg(
-        F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("reason") == "").alias("queued"),
+def funnel(screened: DataFrame, totals: DataFrame, by: str = "provider") -> DataFrame:
+    """Loaded, filtered by reason, pending and queued candidates per provider, with what the provider says it has.
+
+    `totals(by, total, truncated)`: a total below what was loaded, or none, is unknown; `truncated` tells that results
+    remain unloaded. Providers that returned nothing are listed with zeros.
+    """
+    counts = screened.groupBy(by).agg(
+        F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("reason") == "").alias("queued"), F.count_if(F.col("reason") == "pending").alias("pending"),
         *[F.count_if(F.col("reason") == r).alias(f"by_{r}") for r in ("duplicate", "role", "identity", "release")])
+    names = [c for c in counts.columns if c != by]
+    rows = counts.join(totals, by, "full_outer").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names})
+    filtered = F.col("loaded") - F.col("queued") - F.col("pending")
+    return rows.select(by, F.when(F.col("total") >= F.col("loaded"), F.col("total")).alias("total"), *names, filtered.alias("filtered"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 def build_works(claims: DataFrame) -> DataFrame:
@@ -239,7 +247,8 @@ def admission(rows: DataFrame, key: str = "identity_id") -> DataFrame:
 
 
 def screen(pairs: DataFrame) -> DataFrame:
-    """First reason against a candidate: duplicate, purpose, identity, release; empty means queued.
+    """First reason against a candidate: duplicate, purpose, identity (or pending, if it may still turn out), release; empty
+    means queued.
 
     `pairs(identity_id, file_id, provider, release, own_name, title, year, feature_year, admission, duplicate_key)`.
     The first candidate of a duplicate key stays; it is found by aggregation, not by ordering the group.
@@ -251,7 +260,7 @@ def screen(pairs: DataFrame) -> DataFrame:
         tt.year_conflict(F.col("year"), r, F.col("feature_year")), tt.language_label_conflict(r))])
     reason = (
         F.when(F.coalesce(F.col("first_id") != F.col("file_id"), F.lit(False)), "duplicate").when(~subtitle_role(r, titles=F.array("title")).isin("main", "sdh"), "role")
-        .when(F.col("admission") != "auto", "identity").when(release.isNotNull(), "release").otherwise(""))
+        .when(F.col("admission") == "pending", "pending").when(F.col("admission") != "auto", "identity").when(release.isNotNull(), "release").otherwise(""))
     return pairs.join(first, ["identity_id", "duplicate_key"], "left").select(
         "identity_id", "file_id", "provider", reason.alias("reason"), F.when(reason == "release", release).otherwise("").alias("detail"))
 

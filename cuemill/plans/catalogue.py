@@ -407,7 +407,7 @@ pp as (select ad.identity_id, ad.file_id, r.provider, case when ad.file_id%17=0
 fd as (select identity_id, dk, min(file_id) as f0 from pp group by 1,2),
 sg as (select pp.*, f0<>file_id as dup, coalesce(nullif(case when e<2 and contains(release,'HDTS') then 'theatrical_source' else '' end,''), nullif(case when e=1 and regexp_matches(release,'Theatrical|Final|[.]DC[.]') and not contains(release,'Extended') then 'edition' else '' end,'')) as rc
  from pp join fd on fd.identity_id=pp.identity_id and fd.dk=pp.dk),
-sr as (select identity_id, file_id, provider, case when dup then 'duplicate' when contains(release,'Commentary') then 'role' when state<>'auto' then 'identity' when rc is not null then 'release' else '' end as reason, rc from sg),
+sr as (select identity_id, file_id, provider, case when dup then 'duplicate' when contains(release,'Commentary') then 'role' when state='pending' then 'pending' when state<>'auto' then 'identity' when rc is not null then 'release' else '' end as reason, rc from sg),
 so as (select identity_id, file_id, provider, reason, case when reason='release' then rc else '' end as detail from sr)"""
 
 
@@ -426,11 +426,17 @@ def screening(spark, sf_dir):
     return _screened(spark, sf_dir)
 
 
-@query("d20_funnel", "candidate identity", _SCREEN_SQL + """
-select provider, count(*) as loaded, count(*) filter (reason='') as queued, count(*) filter (reason='duplicate') as by_duplicate, count(*) filter (reason='role') as by_role,
- count(*) filter (reason='identity') as by_identity, count(*) filter (reason='release') as by_release from so group by 1""")
+@query("d20_funnel", "candidate identity", _SCREEN_SQL + """,
+tt as (select provider, count(*) as total, bool_or(file_id%1000=999) as truncated from candidate group by 1 union all select 'c', null, true),
+ct as (select provider, count(*) as loaded, count(*) filter (reason='') as queued, count(*) filter (reason='pending') as pending, count(*) filter (reason='duplicate') as by_duplicate, count(*) filter (reason='role') as by_role,
+ count(*) filter (reason='identity') as by_identity, count(*) filter (reason='release') as by_release from so group by 1)
+select provider, case when total>=coalesce(loaded,0) then total end as total, coalesce(loaded,0) as loaded, coalesce(queued,0) as queued, coalesce(pending,0) as pending, coalesce(by_duplicate,0) as by_duplicate, coalesce(by_role,0) as by_role,
+ coalesce(by_identity,0) as by_identity, coalesce(by_release,0) as by_release, coalesce(loaded-queued-pending,0) as filtered, coalesce(truncated,false) as truncated from ct full join tt using (provider)""")
 def funnel(spark, sf_dir):
-    return ct.funnel(_screened(spark, sf_dir))
+    """With the providers' own totals, and a third provider that answered nothing and says there is more."""
+    totals = candidate(spark, sf_dir).groupBy("provider").agg(F.count(F.lit(1)).alias("total"), F.bool_or(F.col("file_id") % 1_000 == 999).alias("truncated"))
+    silent = totals.limit(1).select(F.lit("c").alias("provider"), F.lit(None).cast("long").alias("total"), F.lit(True).alias("truncated"))
+    return ct.funnel(_screened(spark, sf_dir), totals.unionByName(silent))
 
 
 @query("e10_candidate_priority", "candidate identity", REL_SQL + f""",

@@ -5,11 +5,14 @@ The landed documents are built by Spark from the given tables, then read back by
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuemill.functions.timecode import format_ms
 from cuemill.plans.catalogue import _claims
 from cuemill.plans.registry import query
+from cuemill.session import ensure_checkpoint_dir
 from cuemill.sources import headers as hd
 from cuemill.sources.subtitles import parse_subtitles
 from cuemill.sources.tables import candidate, documents, load, media, shifted_cue, speech, track
@@ -105,6 +108,25 @@ def incremental_manifest(spark, sf_dir):
     return hd.incremental_manifest(files.drop("media_id"), known)
 
 
+@query("a7_manifest_runs", "media", """
+f as (select media_id, 'm/'||media_id||'.mkv' as path, cast(floor(duration_s*1000) as bigint) as size, media_id*10 as mtime_ns from media)
+select 1 as run, path, size, mtime_ns from f where media_id%3=0 union all select 2, path, size+case when media_id%5=0 then 1 else 0 end, mtime_ns from f where media_id%3>0 or media_id%5=0
+union all select 3, path, size, mtime_ns from f where media_id%5=0""")
+def manifest_runs(spark, sf_dir):
+    """What three listings leave to analyse, each recorded before the next: a third of the files; all, of which some
+    changed; all again, with those changed back."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    m = F.col("media_id")
+    files = media(spark, sf_dir).select("media_id", F.concat(F.lit("m/"), "media_id", F.lit(".mkv")).alias("path"), F.floor(F.col("duration_s") * 1_000).alias("size"), (m * 10).alias("mtime_ns"))
+    listings = [files.filter(m % 3 == 0), files.withColumn("size", F.col("size") + F.when(m % 5 == 0, 1).otherwise(0)), files]
+    found = []
+    for run, listed in enumerate(listings, 1):
+        new = hd.incremental_manifest(listed.drop("media_id"), hd.read_manifest(spark, folder)).checkpoint()
+        hd.record_manifest(folder, new, run, buckets=8)
+        found.append(new.select(F.lit(run).alias("run"), "path", "size", "mtime_ns"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("a11_file_fingerprint")
 def file_fingerprint(spark, sf_dir):
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir)

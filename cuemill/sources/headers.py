@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import collapse
 from cuemill.operators.intervals import interval_join, merge_intervals
+from cuemill.streaming.progress import current_log, merge_log
 
 TRACK_JSON = """tracks array<struct<id:bigint,type:string,codec:string,properties:struct<language_ietf:string,language:string,track_name:string,
  default_track:boolean,forced_track:boolean,text_subtitles:boolean,codec_id:string,tag_number_of_frames:string,tag_duration:string,
@@ -128,6 +129,18 @@ def incremental_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"], "left_anti")
 
 
+def record_manifest(folder: str, analysed: DataFrame, run: int, buckets: int = 64) -> None:
+    """Writes analysed files (path, size, mtime_ns) back to the manifest in `folder` as run `run`; a path's last run counts.
+    Only the buckets of these paths are rewritten, and a run that was recorded to its end is not recorded again."""
+    merge = merge_log(analysed.sparkSession, folder, ["path"], "run", buckets)
+    merge(analysed.select("path", "size", "mtime_ns", F.lit(run).cast("long").alias("run"), F.lit(True).alias("is_valid")), run)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a manifest as last recorded; empty before the first run."""
+    return current_log(spark, folder, "path string, size long, mtime_ns long, run long, is_valid boolean").select("path", "size", "mtime_ns")
+
+
 _SLICE = 64 * 1024
 
 
