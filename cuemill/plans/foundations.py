@@ -184,14 +184,15 @@ def repeated_cues(spark, sf_dir):
 
 
 @query("d28_repeated_block", "", r"""
-l as (select doc_id as track_id, string_split(text, chr(10)) as a from documents),
+l as (select doc_id as track_id, string_split(case doc_id%4 when 0 then text||chr(10)||text when 1 then text||chr(10)||text||chr(10)||text when 2 then text||chr(10)||text||chr(10)||'end' else text end, chr(10)) as a from documents),
 p as (select track_id, len(a) as n, case when not list_contains(a,'') then
  list_filter(range(1, greatest(len(a)//2,1)+1), lambda k: len(a)>=2 and len(a)%k=0 and a[k+1:]=a[:len(a)-k])[1] end as period from l)
 select track_id, n as lines, period as block_lines, n//period as copies from p where period is not null""")
 def repeated_block(spark, sf_dir):
-    lines = load(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("track_id"), F.split("text", "\n").alias("a")
-    )
+    # texts as they are, doubled, trebled, and doubled with a line more
+    k, once = F.col("doc_id") % 4, F.col("text")
+    copied = F.when(k == 0, F.concat_ws("\n", once, once)).when(k == 1, F.concat_ws("\n", once, once, once)).when(k == 2, F.concat_ws("\n", once, once, F.lit("end"))).otherwise(once)
+    lines = load(spark, sf_dir, "documents").filter(once.isNotNull()).select(F.col("doc_id").alias("track_id"), F.split(copied, "\n").alias("a"))
     return (
         lines.select("track_id", F.size("a").cast("long").alias("lines"), T.repeated_block(F.col("a")).cast("long").alias("block_lines"))
         .filter("block_lines is not null")

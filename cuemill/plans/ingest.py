@@ -98,6 +98,27 @@ def page_works(spark, sf_dir):
     return hd.read_public_pages(load(spark, sf_dir, "pages")).select("page_id", "page_title", "reject_reason")
 
 
+@query("a6_public_works", "", r"""
+k as (select page_id, page_id%8 as kind, cast(1950+page_id%60 as varchar) as y, trim(regexp_replace(regexp_extract(html,'(?is)<title[^>]*>(.*?)</title>',1),'\s+',' ','g')) as page_title from pages where html is not null),
+r as (select *, case kind when 0 then 'no_movie_record' when 2 then 'several_movie_records' when 3 then 'header_year' when 4 then 'year_conflict' when 5 then 'address_conflict' else '' end as reject_reason from k)
+select page_id, page_title, reject_reason, case when reject_reason='' then 'Work '||page_id end as title, case when reject_reason='' then y end as year, case when reject_reason='' then 'About '||page_id end as tagline,
+ case when reject_reason='' then case kind when 6 then 'First name|Second name' when 7 then 'Other|First name' else '' end end as aliases from r""")
+def public_works(spark, sf_dir):
+    """The given pages with records, header years, addresses and names put in, eight kinds of them."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 8
+    year = (F.lit(1950) + F.col("page_id") % 60).cast("string")
+    script = lambda type_, more="": F.concat(F.lit('<script type="application/ld+json">{"@type":"' + type_ + '","name":"Work '), n, F.lit('","datePublished":"'), F.when(kind == 4, "1931").otherwise(year), F.lit('-05-01","description":"About '), n, F.lit('"' + more + "}</script>"))
+    address = lambda own, other: F.lit(f'<link rel="canonical" href="/w/{own}"><meta property="og:url" content="/w/{other}">')
+    names = F.lit('<table class="x aliases"><tr><td><b>First</b> name</td><td>de</td></tr><tr><td>Second\n name</td></tr></table>')
+    put = F.when(kind == 0, F.lit("")).when(kind == 2, F.concat(script("Movie"), script("Movie"))).when(kind == 5, F.concat(script("Movie"), address("a", "b"))).when(
+        kind == 6, F.concat(address("a", "a"), script("Movie"), names)).when(
+        kind == 7, F.concat(script("Person"), script("Movie", ',"alternateName":["Other","First name"]'), F.lit("<table class='aliases'><tr><td>First name</td></tr></table>"))).otherwise(script("Movie"))
+    head = F.regexp_replace("html", "</head>", "\u0001</head>")
+    html = F.replace(F.replace(head, F.lit("\u0001"), put), F.lit("</h1>"), F.when(kind == 3, "</h1>").otherwise(F.concat(F.lit(" ("), year, F.lit(")</h1>"))))
+    found = hd.read_public_pages(load(spark, sf_dir, "pages").filter("html is not null").select("page_id", html.alias("html")))
+    return found.select("page_id", "page_title", "reject_reason", "title", "year", "tagline", F.array_join("aliases", "|").alias("aliases"))
+
+
 @query("a7_incremental_manifest", "media", """
 select 'm/'||media_id||'.mkv' as path, cast(floor(duration_s*1000) as bigint) as size, media_id*10 as mtime_ns from media where media_id%5 in (0,1)""")
 def incremental_manifest(spark, sf_dir):
