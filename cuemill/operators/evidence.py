@@ -264,7 +264,7 @@ def evidence_verdict(pre, peaks, support, tool, keys, regional: DataFrame | None
 # The coverage ladder --------------------------------------------------------------------------
 
 #: Parts of the film around its middle that are tried one after another, in hundredths.
-RUNGS = (50, 60, 75)
+RUNGS = ((50,), (60,), (75,))
 
 
 def spoken_flag(text: str = "text", edge: str = "edge"):
@@ -275,17 +275,19 @@ def spoken_flag(text: str = "text", edge: str = "edge"):
     return ~((F.length(bare) == 0) | bare.rlike("(?s)" + pairs) | credit | bare.rlike(r"^(?:\s|" + MUSIC + ")*$"))
 
 
-def middle_sample(cues, speech, media, keys, hundredths: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cues, speech and length of the middle of each film, on the sample's own clock. Cues are whole and keep ten seconds
-    from its ends, or seventy where it is long enough for shifts of a minute; its ends are on 10 ms, halves up."""
+def middle_samples(cues, speech, media, keys, rungs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cues, speech and length of the middle of each film at each rung (`coverage`), on the sample's own clock. Cues are
+    whole and keep ten seconds from its ends, or seventy where it is long enough for shifts of a minute; its ends are on
+    10 ms, halves up."""
     end = lambda part: F.floor((F.col("duration_ms") * (100 + part) + 1_000) / 2_000).cast("long") * 10
-    span = media.select(*keys, end(-hundredths).alias("low_ms"), end(hundredths).alias("high_ms"))
+    tried = media.select(*keys, "duration_ms", F.explode(F.array(*[F.lit(r) for r in rungs])).alias("coverage"))
+    span = tried.select(*keys, "coverage", end(-F.col("coverage")).alias("low_ms"), end(F.col("coverage")).alias("high_ms"))
     size = F.col("high_ms") - F.col("low_ms")
     guard = F.when(size >= LOOKED_AT_FROM * 10, 70_000).otherwise(10_000)
     kept = cues.join(span, keys).filter((F.col("start_ms") >= F.col("low_ms") + guard) & (F.col("end_ms") <= F.col("high_ms") - guard))
     own = lambda df: df.withColumns({"start_ms": F.col("start_ms") - F.col("low_ms"), "end_ms": F.col("end_ms") - F.col("low_ms")}).drop("low_ms", "high_ms")
     heard = speech.join(span, keys).withColumns({"start_ms": F.greatest("start_ms", "low_ms"), "end_ms": F.least("end_ms", "high_ms")})
-    return own(kept), own(heard.filter("end_ms > start_ms")), span.select(*keys, size.alias("duration_ms"))
+    return own(kept), own(heard.filter("end_ms > start_ms")), span.select(*keys, "coverage", size.alias("duration_ms"))
 
 
 def sample_verdict(cues, speech, media, tool, keys, order: str) -> DataFrame:
@@ -309,17 +311,21 @@ def evidence_ladder(cues, speech, media, tool, keys, order: str, rungs=RUNGS) ->
     insufficient without being wrong on a wider middle. Outcomes: `accepted`, `invalid` (no wider sample would mend it),
     `manual` (at the widest, all that lacks is support in two regions) and `rejected`.
 
-    Every rung is a written table of a row for each film still in question, so that later rungs read only their samples.
+    `rungs` are groups of parts in rising order. A group's samples are judged in the same jobs, and the first that ends a
+    film counts; a group's verdicts are a written table, so the next group reads only the films still in question. One group
+    saves jobs where films are few, single rungs save work where they are many.
     """
     ensure_checkpoint_dir(cues.sparkSession)
-    open_, judged = media.select(*keys), None
-    for rung in rungs:
+    open_, judged, slot, widest = media.select(*keys), None, [*keys, "coverage"], rungs[-1][-1]
+    for group in rungs:
         part = [df.join(open_, keys, "left_semi") for df in (cues, speech, media, tool)]
-        found = sample_verdict(*middle_sample(*part[:3], keys, rung), part[3], keys, order).withColumn("coverage", F.lit(rung)).checkpoint()
-        more = F.col("expandable") & F.lit(rung != rungs[-1])
-        done = found.filter(~more)
+        samples = middle_samples(*part[:3], keys, group)
+        shifts = part[3].join(samples[2].select(*slot), keys)
+        found = sample_verdict(*samples, shifts, slot, order).filter(~F.col("expandable") | (F.col("coverage") == widest))
+        first = F.min_by(F.struct("coverage", "reasons", "sufficient", "expandable"), "coverage").alias("v")
+        done = found.groupBy(*keys).agg(first).select(*keys, "v.*").checkpoint()
         judged = done if judged is None else judged.unionByName(done)
-        open_ = found.filter(more).select(*keys)
+        open_ = open_.join(done, keys, "left_anti")
     alone = F.col("reasons") == "insufficient_independent_regional_support"
     outcome = F.when(F.col("sufficient"), "accepted").when(~F.col("expandable"), "invalid").when(alone, "manual").otherwise("rejected")
     return judged.select(*keys, "coverage", "reasons", outcome.alias("outcome"))

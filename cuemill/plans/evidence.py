@@ -255,4 +255,4 @@ def coverage_ladder(spark, sf_dir):
     films = _durations(spark, sf_dir)
     tool = films.select("media_id", ((F.col("media_id") % 7 - 3) * 700).alias("tool_ms"))
     cues = shifted_cue(spark, sf_dir).select("media_id", "event_id", "start_ms", "end_ms", "text")
-    return ev.evidence_ladder(cues, speech(spark, sf_dir), films, tool, KEY, "event_id")
+    return ev.evidence_ladder(cues, speech(spark, sf_dir), films, tool, KEY, "event_id", rungs=((50, 60, 75),))

@@ -161,7 +161,7 @@ def test_ladder_against_arrays(spark):
     cues = table([(m, k, a, b, t) for m, f in films.items() for k, (a, b, t) in enumerate(f[1])], "event_id long, start_ms long, end_ms long, text string")
     media = table([(m, f[3]) for m, f in films.items()], "duration_ms long")
     tool = table([(m, f[2]) for m, f in films.items()], "tool_ms long")
-    found = {r.media_id: (r.coverage, r.reasons, r.outcome) for r in ev.evidence_ladder(cues, speech, media, tool, KEY, "event_id").collect()}
+    found = {r.media_id: (r.coverage, r.reasons, r.outcome) for r in ev.evidence_ladder(cues, speech, media, tool, KEY, "event_id", rungs=((50,), (60, 75))).collect()}
     want = {m: ladder(*f) for m, f in films.items()}
     assert found == want
     assert want[1][2] == "accepted" and want[2][0] > 50 and "outside_range_peak" in want[3][1] and "regional_offset_conflict" in want[4][1]
