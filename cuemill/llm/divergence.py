@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,22 +90,32 @@ def _fold(limit: int):
 
 
 def _merge(least: int):
-    """Merges the stripes of a key, which come one after another; keeps those in `least` documents."""
+    """Merges the stripes of a key, which come one after another; keeps those in `least` documents. Document counts are
+    summed for whole batches, and counts by source are only read of keys that may be kept or go on in the next batch."""
 
     def merged(batches):
         key, n, counts = None, 0, {}
         for batch in batches:
-            pairs = batch.column("counts")
-            sources, numbers, ends = pairs.keys.to_pylist(), pairs.items.to_pylist(), pairs.offsets.to_pylist()
-            for row, (lang, term, documents) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("term").to_pylist(), batch.column("documents").to_pylist())):
-                if (lang, term) != key:
-                    if key and n >= least:
+            if not batch.num_rows:
+                continue
+            lang, term, pairs = batch.column("lang"), batch.column("term"), batch.column("counts")
+            same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+            starts = np.append(0, np.flatnonzero(~same.astype(bool)) + 1)
+            ends = np.append(starts[1:], batch.num_rows)
+            sums = np.add.reduceat(batch.column("documents").to_numpy(), starts)
+            sources, numbers, offsets = pairs.keys, pairs.items.to_numpy(), pairs.offsets.to_numpy()
+            for k in np.unique(np.concatenate([[0, len(starts) - 1], np.flatnonzero(sums >= least)])):
+                row = int(starts[k])
+                own = (lang[row].as_py(), term[row].as_py())
+                if own != key:
+                    if key is not None and n >= least:
                         yield (*key, n, counts)
-                    key, n, counts = (lang, term), 0, {}
-                n += documents
-                for at in range(ends[row], ends[row + 1]):
-                    counts[sources[at]] = counts.get(sources[at], 0) + numbers[at]
-        if key and n >= least:
+                    key, n, counts = own, 0, {}
+                n += int(sums[k])
+                first, last = int(offsets[row]), int(offsets[ends[k]])
+                for source, count in zip(sources.slice(first, last - first).to_pylist(), numbers[first:last].tolist()):
+                    counts[source] = counts.get(source, 0) + count
+        if key is not None and n >= least:
             yield (*key, n, counts)
 
     return lambda batches: _batches(merged(batches))
