@@ -166,9 +166,13 @@ def camel_split(title: Column) -> Column:
     return F.regexp_replace(title, "(?<=[a-z])(?=[A-Z])", " ")
 
 
-_SMALL = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
-          "sixteen seventeen eighteen nineteen").split()
-_TENS = "- - twenty thirty forty fifty sixty seventy eighty ninety".split()
+_SMALL = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
+    "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+]
+_TENS = [
+    "-", "-", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety",
+]
 
 
 def number_words(text: Column) -> Column:

@@ -169,8 +169,11 @@ def content_conflict(cues: DataFrame, key: str = "track_id") -> DataFrame:
         "fr": "avec dans elle est mais nous pas pour que une vous", "de": "aber das der die ein eine ich ist nicht und wir",
         "es": "como con ella esta los para pero por que una", "it": "che con della non per sono una", "pt": "com ela não para por que uma",
     }
-    english = ("the and you that this what with have not are for your was but they his her she he we to of in is it on be as at do my "
-               "there here know get go come will would could should").split()
+    english = [
+        "the", "and", "you", "that", "this", "what", "with", "have", "not", "are", "for", "your", "was", "but",
+        "they", "his", "her", "she", "he", "we", "to", "of", "in", "is", "it", "on", "be", "as", "at", "do", "my",
+        "there", "here", "know", "get", "go", "come", "will", "would", "could", "should",
+    ]
     broken = ("�", "锟斤拷", "脡", "脿", "â€")
     found = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
     marks = F.lit(False)
