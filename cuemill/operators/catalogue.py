@@ -19,17 +19,20 @@ def id_match(pairs: list[tuple[Column, Column]]) -> tuple[Column, Column]:
     return any_both & all_agree, differ
 
 
-def title_year_join(candidates: DataFrame, identities: DataFrame) -> DataFrame:
-    """Candidate-work pairs of one year by equal title, by one-letter typo, or by title prefix.
+def title_year_kinds(candidates: DataFrame, identities: DataFrame) -> DataFrame:
+    """(year, feature_title, title, kind) of all different titles of one year that are equal, differ by a one-letter typo, or
+    of which one is the start of the other.
 
-    Typos meet on deletion-neighbourhood keys (a token with one letter left out), prefixes on every
-    leading part of the longer title, so both stay equi-joins.
+    Typos meet on deletion-neighbourhood keys (a token with one letter left out), prefixes on every leading part of the
+    longer title, so both stay equi-joins. Only different titles meet, so this work does not grow with the films that share
+    one. Exploded rows are joined by merging: their size is not known when the plan is made, and none may go to the driver.
     """
-    c = candidates.select("file_id", F.col("feature_year").alias("year"), tt.title_tokens(F.col("feature_title")).alias("c_tokens")).filter(F.size("c_tokens") > 0)
-    i = identities.select("identity_id", "year", tt.title_tokens(F.col("title")).alias("i_tokens")).filter(F.size("i_tokens") > 0)
+    c = candidates.select("feature_title", F.col("feature_year").alias("year")).distinct().withColumn("c_tokens", tt.title_tokens(F.col("feature_title"))).filter(F.size("c_tokens") > 0)
+    i = identities.select("title", "year").distinct().withColumn("i_tokens", tt.title_tokens(F.col("title"))).filter(F.size("i_tokens") > 0)
     key = lambda tokens: F.array_join(tokens, " ")
-    exact = c.withColumn("k", key(F.col("c_tokens"))).join(i.withColumn("k", key(F.col("i_tokens"))), ["year", "k"]).select(
-        "file_id", "identity_id", F.lit("exact").alias("kind"))
+    found = ["year", "feature_title", "title"]
+    whole_i = i.withColumn("k", key(F.col("i_tokens")))
+    exact = c.withColumn("k", key(F.col("c_tokens"))).join(whole_i.hint("merge"), ["year", "k"]).select(*found, F.lit("exact").alias("kind"))
 
     def neighbourhood(df, tokens):
         at = df.select("*", F.posexplode(tokens).alias("at", "token")).filter(~F.col("token").rlike("^[0-9]+$"))
@@ -39,21 +42,36 @@ def title_year_join(candidates: DataFrame, identities: DataFrame) -> DataFrame:
         rest = F.array_join(F.transform(tokens, lambda t, j: F.when(j == F.col("at"), "*").otherwise(t)), " ")
         return at.withColumn("rest", rest).withColumn("form", F.explode(forms))
 
-    cn = neighbourhood(c, F.col("c_tokens")).select("file_id", "year", "at", "rest", "form", F.col("token").alias("c_token"))
-    ini = neighbourhood(i, F.col("i_tokens")).select("identity_id", "year", "at", "rest", "form", F.col("token").alias("i_token"))
-    typo = cn.join(ini, ["year", "at", "rest", "form"]).filter(F.levenshtein("c_token", "i_token") == 1).select(
-        "file_id", "identity_id", F.lit("typo").alias("kind")).distinct()
+    cn = neighbourhood(c, F.col("c_tokens")).select("feature_title", "year", "at", "rest", "form", F.col("token").alias("c_token"))
+    ini = neighbourhood(i, F.col("i_tokens")).select("title", "year", "at", "rest", "form", F.col("token").alias("i_token"))
+    typo = cn.join(ini.hint("merge"), ["year", "at", "rest", "form"]).filter(F.levenshtein("c_token", "i_token") == 1).select(
+        *found, F.lit("typo").alias("kind")).distinct()
 
     def proper_prefixes(df, tokens):
         return df.withColumn("n", F.explode(F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)))).withColumn(
             "k", key(F.slice(tokens, 1, F.col("n"))))
 
-    longer_i = c.withColumn("k", key(F.col("c_tokens"))).join(proper_prefixes(i, F.col("i_tokens")), ["year", "k"])
-    longer_c = proper_prefixes(c, F.col("c_tokens")).join(i.withColumn("k", key(F.col("i_tokens"))), ["year", "k"])
-    prefix = longer_i.select("file_id", "identity_id").unionByName(longer_c.select("file_id", "identity_id")).withColumn("kind", F.lit("prefix"))
+    longer_i = c.withColumn("k", key(F.col("c_tokens"))).join(proper_prefixes(i, F.col("i_tokens")).hint("merge"), ["year", "k"])
+    longer_c = proper_prefixes(c, F.col("c_tokens")).join(whole_i.hint("merge"), ["year", "k"])
+    prefix = longer_i.select(*found).unionByName(longer_c.select(*found)).withColumn("kind", F.lit("prefix"))
     return exact.unionByName(typo).unionByName(prefix)
 
 
+def with_members(met: DataFrame, candidates: DataFrame, works: DataFrame) -> DataFrame:
+    """All candidates and works of pairs of titles `met(year, feature_title, title, ...)`. Pairs leave the last join as they
+    are, so nothing may be shuffled by pair behind it."""
+    near = met.join(candidates.withColumnRenamed("feature_year", "year").hint("merge"), ["feature_title", "year"])
+    return near.join(works.hint("merge"), ["title", "year"])
+
+
+def title_year_join(candidates: DataFrame, identities: DataFrame) -> DataFrame:
+    """Candidate-work pairs of one year by equal title, by one-letter typo, or by title prefix. Titles meet first
+    (`title_year_kinds`), and the films that bear them are joined to the result."""
+    return with_members(
+        title_year_kinds(candidates, identities), candidates.select("file_id", "feature_title", "feature_year"),
+        identities.select("identity_id", "title", "year")).select("file_id", "identity_id", "kind")
+
+
 def shared_id_issues(ids: DataFrame, work: str = "work_id") -> DataFrame:
     """Works that share a provider id with another work. `ids(work_id, namespace, id)`."""
     clean = ids.filter("id <> ''").select(work, "namespace", "id").distinct()
