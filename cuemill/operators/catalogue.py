@@ -105,16 +105,17 @@ def consistent_parents(rows: DataFrame, parent: str, facts: list[str]) -> DataFr
     return agg.filter(agree).select(parent, "rows", *[F.col(f"_lo_{f}").alias(f) for f in facts])
 
 
-def funnel(screened: DataFrame, totals: DataFrame, by: str = "provider") -> DataFrame:
+def funnel(screened: DataFrame, totals: DataFrame, by: str = "provider", weight: str | None = None) -> DataFrame:
     """Loaded, filtered by reason, pending and queued candidates per provider, with what the provider says it has.
 
     `totals(by, total, truncated)`: a total below what was loaded, or none, is unknown; `truncated` tells that results
-    remain unloaded. Providers that returned nothing are listed with zeros.
+    remain unloaded. Providers that returned nothing are listed with zeros. A row stands for as many as its column `weight` says.
     """
-    counts = screened.groupBy(by).agg(
-        F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("reason") == "").alias("queued"), F.count_if(F.col("reason") == "pending").alias("pending"),
-        *[F.count_if(F.col("reason") == r).alias(f"by_{r}") for r in ("duplicate", "role", "identity", "release")])
-    names = [c for c in counts.columns if c != by]
+    each = F.col(weight) if weight else F.lit(1)
+    sums = {"loaded": each, **{n: F.when(F.col("reason") == r, each) for n, r in (
+        ("queued", ""), ("pending", "pending"), *[(f"by_{r}", r) for r in ("duplicate", "role", "identity", "release")])}}
+    counts = screened.groupBy(by).agg(*[F.sum(c).cast("long").alias(n) for n, c in sums.items()])
+    names = list(sums)
     rows = counts.join(totals, by, "full_outer").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names})
     filtered = F.col("loaded") - F.col("queued") - F.col("pending")
     return rows.select(by, F.when(F.col("total") >= F.col("loaded"), F.col("total")).alias("total"), *names, filtered.alias("filtered"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
@@ -245,42 +246,62 @@ def choose_by_runtime(works: DataFrame, actual: DataFrame, key: str) -> DataFram
     return agg.select(key, "works", "matches", reason.alias("reason"), F.when(reason == "", F.col("winner")).alias("work_id"))
 
 
+def rival_ids(named: DataFrame, key: str = "identity_id") -> DataFrame:
+    """(key, rival): do the exactly named rows `named(key, c_imdb, c_tmdb)` bring different ids? Rows that are alike may be given once."""
+    rivals = named.groupBy(key).agg(*[
+        (F.min(F.nullif(c, F.lit(""))) != F.max(F.nullif(c, F.lit("")))).alias(f"rival_{c}") for c in ("c_imdb", "c_tmdb")])
+    return rivals.select(key, (F.coalesce("rival_c_imdb", F.lit(False)) | F.coalesce("rival_c_tmdb", F.lit(False))).alias("rival"))
+
+
 def admission(rows: DataFrame, key: str = "identity_id") -> DataFrame:
-    """Auto, pending or filtered per candidate of a work.
+    """Auto, pending or filtered per candidate of a work, as `state` and `reason` beside the columns given.
 
     `rows(identity_id, file_id, exact, prefix, blank, hash_match, c_imdb, c_tmdb, i_imdb, i_tmdb, episodic)`.
-    Rival ids among the exactly named rows make their title match pending.
+    Rival ids among the exactly named rows make their title match pending; a column `rival` of the work (`rival_ids`) is
+    taken as it is, so that pairs need not be shuffled for it.
     """
     strong, differ = id_match([(F.col("c_imdb"), F.col("i_imdb")), (F.col("c_tmdb"), F.col("i_tmdb"))])
-    named = rows.filter("exact").groupBy(key).agg(*[
-        (F.min(F.nullif(c, F.lit(""))) != F.max(F.nullif(c, F.lit("")))).alias(f"rival_{c}") for c in ("c_imdb", "c_tmdb")])
-    rival = F.coalesce("rival_c_imdb", F.lit(False)) | F.coalesce("rival_c_tmdb", F.lit(False))
+    if "rival" not in rows.columns:
+        rows = rows.join(rival_ids(rows.filter("exact"), key), key, "left")
+    rival = F.coalesce("rival", F.lit(False))
     state = (
         F.when(differ | F.col("episodic"), "filtered").when(F.col("hash_match") | strong, "auto")
         .when(F.col("exact"), F.when(rival, "pending").otherwise("auto")).when(F.col("blank") | F.col("prefix"), "pending").otherwise("filtered"))
     reason = (
         F.when(differ, "id_conflict").when(F.col("episodic"), "episode").when(F.col("hash_match"), "hash").when(strong, "ids")
         .when(F.col("exact"), F.when(rival, "rival_ids").otherwise("title_year")).when(F.col("blank") | F.col("prefix"), "incomplete").otherwise("no_evidence"))
-    return rows.join(named, key, "left").select(key, "file_id", state.alias("state"), reason.alias("reason"))
+    return rows.withColumns({"state": state, "reason": reason})
 
 
-def screen(pairs: DataFrame) -> DataFrame:
-    """First reason against a candidate: duplicate, purpose, identity (or pending, if it may still turn out), release; empty
-    means queued.
+def screening_facts(pairs: DataFrame, keys) -> DataFrame:
+    """What speaks against a candidate whatever its admission, as `repeated`, `role` and `conflict`.
 
-    `pairs(identity_id, file_id, provider, release, own_name, title, year, feature_year, admission, duplicate_key)`.
-    The first candidate of a duplicate key stays; it is found by aggregation, not by ordering the group.
+    `pairs(keys, file_id, release, own_name, title, year, feature_year, duplicate_key)`, with works that see the same
+    candidates under the same name as one key. The first candidate of a duplicate key stays; it is found by aggregation, not
+    by ordering the group.
     """
-    first = pairs.filter("duplicate_key is not null").groupBy("identity_id", "duplicate_key").agg(F.min("file_id").alias("first_id"))
+    first = pairs.filter("duplicate_key is not null").groupBy(*keys, "duplicate_key").agg(F.min("file_id").alias("first_id"))
     r = F.col("release")
     release = F.coalesce(*[F.nullif(c, F.lit("")) for c in (
         tt.source_conflict(F.col("own_name"), r, F.array("title")), tt.edition_conflict(F.col("own_name"), r), tt.recut_conflict(F.col("own_name"), r, F.col("title")),
         tt.year_conflict(F.col("year"), r, F.col("feature_year")), tt.language_label_conflict(r))])
+    # many candidates are called alike, so rules on names are applied to different names
+    texts = ["title", "year", "own_name", "release", "feature_year"]
+    told = pairs.select(*texts).distinct().select(*[F.col(c).alias(f"_{c}") for c in texts], subtitle_role(r, titles=F.array("title")).alias("role"), release.alias("conflict"))
+    same = F.lit(True)
+    for c in texts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    marked = pairs.join(first.hint("merge"), [*keys, "duplicate_key"], "left").join(told.hint("merge"), same, "left")
+    return marked.withColumn("repeated", F.coalesce(F.col("first_id") != F.col("file_id"), F.lit(False))).drop("first_id", *[f"_{c}" for c in texts])
+
+
+def screen(pairs: DataFrame) -> DataFrame:
+    """First reason against a candidate: duplicate, purpose, identity (or pending, if it may still turn out), release; empty
+    means queued. `pairs(identity_id, file_id, provider, admission, repeated, role, conflict)` from `screening_facts`."""
     reason = (
-        F.when(F.coalesce(F.col("first_id") != F.col("file_id"), F.lit(False)), "duplicate").when(~subtitle_role(r, titles=F.array("title")).isin("main", "sdh"), "role")
-        .when(F.col("admission") == "pending", "pending").when(F.col("admission") != "auto", "identity").when(release.isNotNull(), "release").otherwise(""))
-    return pairs.join(first, ["identity_id", "duplicate_key"], "left").select(
-        "identity_id", "file_id", "provider", reason.alias("reason"), F.when(reason == "release", release).otherwise("").alias("detail"))
+        F.when(F.col("repeated"), "duplicate").when(~F.col("role").isin("main", "sdh"), "role")
+        .when(F.col("admission") == "pending", "pending").when(F.col("admission") != "auto", "identity").when(F.col("conflict").isNotNull(), "release").otherwise(""))
+    return pairs.withColumns({"reason": reason, "detail": F.when(reason == "release", F.col("conflict")).otherwise("")})
 
 
 def prioritise(pairs: DataFrame, key: str = "identity_id", slice_width: int = 10_000) -> DataFrame:

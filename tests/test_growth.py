@@ -12,7 +12,7 @@ def plan_of(spark, name):
     return all_queries()[name].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["c9_title_year_join"])
+@pytest.mark.parametrize("name", ["c9_title_year_join", "d25_identity_admission", "h6_screening"])
 def test_nothing_exploded_goes_to_the_driver(spark, name):
     assert "BroadcastExchange" not in plan_of(spark, name)
 
@@ -23,3 +23,10 @@ def test_titles_meet_once_for_all_their_films(spark):
     kinds = {(r["feature_title"], r["kind"]) for r in catalogue.title_year_kinds(films, works).collect()}
     assert kinds == {("red ring", "exact"), ("red rings", "typo"), ("red", "prefix")}
     assert catalogue.title_year_join(films, works).groupBy("kind").count().orderBy("kind").collect() == [("exact", 600), ("prefix", 20), ("typo", 20)]
+
+
+def test_a_row_of_the_funnel_stands_for_its_weight(spark):
+    rows = spark.createDataFrame([("a", "", 5), ("a", "role", 2), ("b", "pending", 3)], "provider string, reason string, n long")
+    totals = spark.createDataFrame([("a", 9, False), ("b", 1, True)], "provider string, total long, truncated boolean")
+    got = catalogue.funnel(rows, totals, weight="n").orderBy("provider").select("provider", "total", "loaded", "queued", "pending", "by_role", "filtered").collect()
+    assert got == [("a", 9, 7, 5, 0, 2, 2), ("b", None, 3, 0, 3, 0, 0)]
