@@ -81,16 +81,20 @@ def shared_id_issues(ids: DataFrame, work: str = "work_id") -> DataFrame:
 
 def prefix_profiles(profiles: DataFrame, identities: DataFrame) -> DataFrame:
     """Film profiles with both ids whose title or alias is the title of a work of that year, or whose title is a proper
-    prefix (two tokens up) of it. A profile without a kind counts as a film."""
+    prefix (two tokens up) of it. A profile without a kind counts as a film. Different names meet first, once for all
+    profiles and works that bear them; no pair of these is shuffled."""
     ready = profiles.filter("lower(kind) in ('movie', 'feature', '') and imdb_id <> '' and tmdb_id <> ''").select(
-        "profile_id", "year", tt.title_key(F.col("title")).alias("k"), F.transform("aliases", tt.title_key).alias("a"))
-    wanted = identities.select("identity_id", "year", F.split(tt.title_key(F.col("title")), " ").alias("w"))
-    heads = wanted.withColumn("n", F.explode(F.when(F.size("w") > 2, F.sequence(F.lit(2), F.size("w") - 1)))).select(
-        "identity_id", "year", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("k"))
-    by_prefix = ready.select("profile_id", "year", "k").join(heads, ["year", "k"]).select("profile_id", "identity_id")
-    whole = wanted.select("identity_id", "year", F.array_join("w", " ").alias("k"))
-    by_alias = ready.select("profile_id", "year", F.explode(F.array_append("a", F.col("k"))).alias("k")).join(whole, ["year", "k"]).select("profile_id", "identity_id")
-    return by_prefix.unionByName(by_alias).distinct()
+        "profile_id", "year", tt.title_key(F.col("title")).alias("k"), F.array_sort(F.array_distinct(F.transform("aliases", tt.title_key))).alias("a")).distinct()
+    works = identities.select("identity_id", "year", tt.title_key(F.col("title")).alias("work")).distinct()
+    wanted = works.select("year", "work").distinct()
+    words = F.split("work", " ")
+    heads = wanted.withColumn("n", F.explode(F.when(F.size(words) > 2, F.sequence(F.lit(2), F.size(words) - 1)))).select(
+        "year", "work", F.array_join(F.slice(words, 1, F.col("n")), " ").alias("name"))
+    names = ready.select("year", "k", "a").distinct()
+    by_prefix = names.withColumn("name", F.col("k")).join(heads.hint("merge"), ["year", "name"])
+    by_alias = names.withColumn("name", F.explode(F.array_append("a", F.col("k")))).join(wanted.withColumn("name", F.col("work")).hint("merge"), ["year", "name"])
+    met = by_prefix.select("year", "k", "a", "work").unionByName(by_alias.select("year", "k", "a", "work")).distinct()
+    return met.join(ready.hint("merge"), ["year", "k", "a"]).join(works.hint("merge"), ["year", "work"]).select("profile_id", "identity_id")
 
 
 def consistent_parents(rows: DataFrame, parent: str, facts: list[str]) -> DataFrame:
@@ -158,14 +162,16 @@ def build_works(claims: DataFrame) -> DataFrame:
         F.array_join(issues, ",").alias("issues"))
 
 
-def resolve_unique(observations: DataFrame, expected: str = "identity_id") -> DataFrame:
+def resolve_unique(observations: DataFrame, expected: str = "identity_id", weight: str | None = None) -> DataFrame:
     """Confirm a work only if all its evidence names one id pair and nothing contradicts it.
 
     `observations(identity_id, imdb_id, tmdb_id, conflict)`; conflicting rows are counted, never dropped.
+    A row stands for as many as its column `weight` says.
     """
+    each = F.col(weight) if weight else F.lit(1)
     pair = F.when((F.col("imdb_id") != "") & (F.col("tmdb_id") != ""), F.struct("imdb_id", "tmdb_id"))
     agg = observations.groupBy(expected).agg(
-        F.count(F.lit(1)).alias("observed"), F.count_if(pair.isNotNull()).alias("complete"), F.min(pair).alias("lo"), F.max(pair).alias("hi"),
+        F.sum(each).cast("long").alias("observed"), F.sum(F.when(pair.isNotNull(), each).otherwise(0)).cast("long").alias("complete"), F.min(pair).alias("lo"), F.max(pair).alias("hi"),
         F.min(F.nullif("imdb_id", F.lit(""))).alias("i_lo"), F.max(F.nullif("imdb_id", F.lit(""))).alias("i_hi"),
         F.min(F.nullif("tmdb_id", F.lit(""))).alias("t_lo"), F.max(F.nullif("tmdb_id", F.lit(""))).alias("t_hi"), F.bool_or("conflict").alias("conflict"))
     rival = F.coalesce(F.col("i_lo") != F.col("i_hi"), F.lit(False)) | F.coalesce(F.col("t_lo") != F.col("t_hi"), F.lit(False))
@@ -189,22 +195,24 @@ def resolve_profiles(works: DataFrame, profiles: DataFrame, official: DataFrame)
     it: another id, another kind, or any primary profile that shares one of the two ids and differs in the other, in year
     or in kind, under whatever title. Where a secondary profile of both ids is one year off, shares a name and the one
     official page agrees with its year under a shared name, the year is corrected, and the two years count as the same.
-    Every name of a profile is a row, so names meet by equal keys; conflicts meet by equal ids. Titles that many films share
-    are spread by their years.
+    Every name of a profile is a row, so names meet by equal keys; conflicts meet by equal ids. The answer depends on key and
+    year alone, so it is found once for each and joined to the works that bear them; profiles that are alike count once
+    where only their presence matters.
     """
     primary = profiles.filter(F.col("source").isin("primary", "primary_incomplete"))
     odd = ~F.lower("kind").isin(*FILM_TYPES)
     some = lambda c: F.nullif(c, F.lit(""))
     named = primary.select("profile_id", "source", "year", "imdb_id", "tmdb_id", odd.alias("odd"), F.explode(F.array_distinct("keys")).alias("key"))
     pair = F.when((F.col("source") == "primary") & some("imdb_id").isNotNull() & some("tmdb_id").isNotNull(), F.struct("imdb_id", "tmdb_id"))
-    seen = works.join(named, ["key", "year"]).groupBy("identity_id").agg(
+    asked = works.select("key", "year").distinct()
+    seen = named.groupBy("key", "year").agg(
         F.count_if(F.col("source") == "primary").alias("exact"), F.min(pair).alias("lo"), F.max(pair).alias("hi"), F.bool_or("odd").alias("odd"),
         F.min(some("imdb_id")).alias("i_lo"), F.max(some("imdb_id")).alias("i_hi"), F.min(some("tmdb_id")).alias("t_lo"), F.max(some("tmdb_id")).alias("t_hi"))
     rivals = F.coalesce(F.col("i_lo") != F.col("i_hi"), F.lit(False)) | F.coalesce(F.col("t_lo") != F.col("t_hi"), F.lit(False))
     first = F.when(F.coalesce("exact", F.lit(0)) == 0, "no_profile").when(
         F.col("lo").isNull(), F.when(rivals | F.col("odd"), "competing_ids").otherwise("incomplete_ids")).when(
         F.col("lo") != F.col("hi"), "no_unique_pair").when(rivals | F.col("odd"), "competing_ids").otherwise("")
-    told = works.join(seen, "identity_id", "left").select("identity_id", "key", "year", first.alias("reason"), "lo.imdb_id", "lo.tmdb_id")
+    told = asked.join(seen.hint("merge"), ["key", "year"], "left").select("key", "year", first.alias("reason"), "lo.imdb_id", "lo.tmdb_id")
     chosen = told.filter("reason = ''").drop("reason")
 
     # the year beside: both catalogues name the work, and its page decides
@@ -214,17 +222,17 @@ def resolve_profiles(works: DataFrame, profiles: DataFrame, official: DataFrame)
     beside = chosen.join(mine, ["year", "imdb_id", "tmdb_id"]).join(theirs, ["name", "imdb_id", "tmdb_id"]).filter(F.abs(F.col("year").try_cast("int") - F.col("other").try_cast("int")) == 1)
     agreed = beside.join(official.select("tmdb_id", F.col("key").alias("name"), F.col("year").alias("other")).distinct(), ["tmdb_id", "name", "other"])
     # pages of one work with several years decide nothing
-    one = agreed.groupBy("identity_id").agg(F.min("other").alias("other"), F.max("other").alias("last")).filter("other = last").select("identity_id", "other")
+    one = agreed.groupBy("key", "year").agg(F.min("other").alias("other"), F.max("other").alias("last")).filter("other = last").select("key", "year", "other")
 
-    wanted = chosen.join(one, "identity_id", "left").select("identity_id", F.col("year").alias("asked"), "other", F.col("imdb_id").alias("imdb"), F.col("tmdb_id").alias("tmdb"))
-    every = primary.select("profile_id", "year", "imdb_id", "tmdb_id", odd.alias("odd")).unionByName(
-        profiles.filter("source = 'secondary'").select("profile_id", "year", "imdb_id", "tmdb_id", F.lit(None).cast("boolean").alias("odd")))
+    wanted = chosen.join(one, ["key", "year"], "left").select("key", F.col("year").alias("asked"), "other", F.col("imdb_id").alias("imdb"), F.col("tmdb_id").alias("tmdb"))
+    every = primary.select("year", "imdb_id", "tmdb_id", odd.alias("odd")).unionByName(
+        profiles.filter("source = 'secondary'").select("year", "imdb_id", "tmdb_id", F.lit(None).cast("boolean").alias("odd"))).distinct()
     met = [wanted.join(every.filter(some(c).isNotNull()), F.col(c) == F.col(w)) for c, w in (("imdb_id", "imdb"), ("tmdb_id", "tmdb"))]
     other_id = F.coalesce(some("imdb_id") != F.col("imdb"), F.lit(False)) | F.coalesce(some("tmdb_id") != F.col("tmdb"), F.lit(False))
     # a secondary profile contradicts by its year alone, unless it is the one that corrects it
     other_year = F.coalesce(some("year") != F.col("asked"), F.lit(False)) & ~F.coalesce(F.col("odd").isNull() & (F.col("year") == F.col("other")), F.lit(False))
-    against = met[0].unionByName(met[1]).filter(F.when(F.col("odd").isNull(), other_year).otherwise(other_id | other_year | F.col("odd"))).select("identity_id").distinct()
-    marked = told.join(one, "identity_id", "left").join(against.withColumn("against", F.lit(True)), "identity_id", "left")
+    against = met[0].unionByName(met[1]).filter(F.when(F.col("odd").isNull(), other_year).otherwise(other_id | other_year | F.col("odd"))).select("key", F.col("asked").alias("year")).distinct()
+    marked = works.select("identity_id", "key", "year").join(told.join(one, ["key", "year"], "left").join(against.withColumn("against", F.lit(True)), ["key", "year"], "left").hint("merge"), ["key", "year"], "left")
     reason = F.when(F.col("reason") != "", F.col("reason")).when(F.col("against"), "conflicting_profile").otherwise("")
     good = reason == ""
     return marked.select(
@@ -304,7 +312,7 @@ def screen(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"reason": reason, "detail": F.when(reason == "release", F.col("conflict")).otherwise("")})
 
 
-def prioritise(pairs: DataFrame, key: str = "identity_id", slice_width: int = 10_000) -> DataFrame:
+def prioritise(pairs: DataFrame, key: str | list[str] = "identity_id", slice_width: int = 10_000) -> DataFrame:
     """Search order of a work's candidates: match signals, then one turn per author, then provider order.
 
     `pairs(identity_id, seq, author, own_name, release, hash_match)`. Turns are counted per author
@@ -322,17 +330,18 @@ def prioritise(pairs: DataFrame, key: str = "identity_id", slice_width: int = 10
         + F.when((src != "") & (src == tt.source_family(tt.release_tags(rel))), 2).otherwise(0) + F.when((grp != "") & (grp == tt.release_group(rel)), 1).otherwise(0))
     author = F.lower(F.trim(F.coalesce("author", F.lit(""))))
     known = ~author.isin("", "anonymous", "unknown", "os-auto", "opensubtitles", "subdl", "n/a")
-    rows = pairs.select(key, "seq", "author", signals.alias("signals"), F.when(known, author).otherwise(F.lit("")).alias("_author"))
-    counted = Ordered(rows, [key, "signals", "_author"], "seq", slice_width).row_number("_turn").result()
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = pairs.select(*keys, "seq", "author", signals.alias("signals"), F.when(known, author).otherwise(F.lit("")).alias("_author"))
+    counted = Ordered(rows, [*keys, "signals", "_author"], "seq", slice_width).row_number("_turn").result()
     turn = F.when(F.col("_author") == "", 0).otherwise(F.col("_turn") - 1)
     # Place inside a work: its tiers are few, so counts per (tier, turn) replace one long sort.
     placed = counted.withColumn("turn", turn)
-    blocks = placed.groupBy(key, "signals", "turn").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(key).orderBy(F.col("signals").desc(), "turn").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy(*keys, "signals", "turn").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.col("signals").desc(), "turn").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
-    inside = Ordered(placed, [key, "signals", "turn"], "seq", slice_width).row_number("_inside").result()
-    return inside.join(starts, [key, "signals", "turn"]).select(
-        key, "seq", "signals", F.col("turn").cast("long").alias("turn"), (F.col("before") + F.col("_inside")).alias("place"))
+    inside = Ordered(placed, [*keys, "signals", "turn"], "seq", slice_width).row_number("_inside").result()
+    return inside.join(starts.hint("merge"), [*keys, "signals", "turn"]).select(
+        *keys, "seq", "signals", F.col("turn").cast("long").alias("turn"), (F.col("before") + F.col("_inside")).alias("place"))
 
 
 def provider_quota(rows: DataFrame, by: str, order: str, tie: str, share: float = 0.5, slice_width: int = 1) -> DataFrame:

@@ -12,7 +12,7 @@ def plan_of(spark, name):
     return all_queries()[name].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["c9_title_year_join", "d25_identity_admission", "h6_screening"])
+@pytest.mark.parametrize("name", ["c9_title_year_join", "d25_identity_admission", "h6_screening", "b16_conflicts", "c8_multi_id_match", "c17_prefix_profiles", "d23_unique_resolution"])
 def test_nothing_exploded_goes_to_the_driver(spark, name):
     assert "BroadcastExchange" not in plan_of(spark, name)
 
@@ -30,3 +30,16 @@ def test_a_row_of_the_funnel_stands_for_its_weight(spark):
     totals = spark.createDataFrame([("a", 9, False), ("b", 1, True)], "provider string, total long, truncated boolean")
     got = catalogue.funnel(rows, totals, weight="n").orderBy("provider").select("provider", "total", "loaded", "queued", "pending", "by_role", "filtered").collect()
     assert got == [("a", 9, 7, 5, 0, 2, 2), ("b", None, 3, 0, 3, 0, 0)]
+
+
+def test_observations_that_are_alike_may_be_one_row(spark):
+    rows = spark.createDataFrame([(1, "i", "t", False, 4), (1, "i", "", False, 3), (2, "", "t", False, 2)], "identity_id long, imdb_id string, tmdb_id string, conflict boolean, n long")
+    got = catalogue.resolve_unique(rows, weight="n").orderBy("identity_id").select("observed", "complete", "reason").collect()
+    assert got == [(7, 4, ""), (2, 0, "incomplete_ids")]
+
+
+def test_candidates_are_ordered_once_for_all_works_of_a_name(spark):
+    rows = spark.createDataFrame([("t", "1999", n, "a" if n % 2 else "b", "t.1999.x264", "t.1999.x264", False) for n in range(4)],
+                                 "title string, year string, seq long, author string, own_name string, release string, hash_match boolean")
+    got = catalogue.prioritise(rows, ["title", "year"]).orderBy("place").select("seq", "turn", "place").collect()
+    assert got == [(0, 0, 1), (1, 0, 2), (2, 1, 3), (3, 1, 4)]
