@@ -198,13 +198,13 @@ def shift_curve(ref_edges, cand_edges, first_two, keys, low: int, high: int) ->
         "_bucket", F.floor(F.col("rt") / width))
     k = F.col("rt") - F.col("at")
     steps = (
-        left.join(right, [*keys, "_bucket"]).filter(k.between(low, high))
+        left.join(right.hint("merge"), [*keys, "_bucket"]).filter(k.between(low, high))
         .groupBy(*keys, k.alias("k")).agg(F.sum(F.col("w") * F.col("rw")).alias("x"))
     )
     grid = first_two.withColumn("k", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))))
     along = Window.partitionBy(*keys).orderBy("k")
     bend = F.when(F.col("k") > low, F.coalesce("x", F.lit(0))).otherwise(0)
-    sloped = grid.join(steps, [*keys, "k"], "left").withColumn(
+    sloped = grid.join(steps.hint("merge"), [*keys, "k"], "left").withColumn(
         "slope", F.col("c1") - F.col("c0") - F.sum(bend).over(along)
     )
     kept = [c for c in first_two.columns if c not in keys and c not in ("c0", "c1")]
@@ -233,12 +233,13 @@ def _overlap_curve(reference, candidate, keys, low, high) -> DataFrame:
     """Common active cells at every shift of the candidate in [low, high] cells."""
     two = F.explode(F.array(F.lit(0), F.lit(1)))
     moved = candidate.withColumn("i", two).withColumn("cell", F.col("cell") + low + F.col("i"))
-    start = moved.join(reference, [*keys, "cell"], "left_semi").groupBy(*keys).agg(
+    # cells are exploded rows whose size no plan can tell, so none of these joins may broadcast
+    start = moved.join(reference.hint("merge"), [*keys, "cell"], "left_semi").groupBy(*keys).agg(
         F.count_if(F.col("i") == 0).alias("c0"), F.count_if(F.col("i") == 1).alias("c1"))
     zero = F.lit(0).cast("long")
     sizes = candidate.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cand")).join(
-        reference.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ref")), keys)
-    first_two = sizes.join(start, keys, "left").select(
+        reference.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ref")).hint("merge"), keys)
+    first_two = sizes.join(start.hint("merge"), keys, "left").select(
         *keys, "n_cand", "n_ref", F.coalesce("c0", zero).alias("c0"), F.coalesce("c1", zero).alias("c1"))
     return shift_curve(_cell_edges(reference, keys), _cell_edges(candidate, keys), first_two, keys, low, high)
 
@@ -255,10 +256,10 @@ def best_shift(reference: DataFrame, candidate: DataFrame, keys) -> DataFrame:
     fine_ref, fine_cand = (activity_cells(df, keys, 100) for df in (reference, candidate))
     base = F.col("coarse") * 5
     # The candidate is moved to the coarse winner; the curve around it comes from edges again.
-    near = fine_cand.join(coarse, keys).select(*keys, (F.col("cell") + base).alias("cell"))
+    near = fine_cand.join(coarse.hint("merge"), keys).select(*keys, (F.col("cell") + base).alias("cell"))
     best = _overlap_curve(fine_ref, near, keys, -10, 10).groupBy(*keys).agg(
         first().alias("k"), F.max("c").alias("overlap"), F.first("n_cand").alias("n_cand"), F.first("n_ref").alias("n_ref"))
-    return best.join(coarse, keys).select(
+    return best.join(coarse.hint("merge"), keys).select(
         *keys, ((base + F.col("k")) * 100).cast("long").alias("shift_ms"), "overlap", (F.col("overlap") / F.least("n_ref", "n_cand")).alias("score"))
 
 

@@ -12,7 +12,7 @@ def plan_of(spark, name):
     return all_queries()[name].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["c9_title_year_join", "d25_identity_admission", "h6_screening", "b16_conflicts", "c8_multi_id_match", "c17_prefix_profiles", "d23_unique_resolution"])
+@pytest.mark.parametrize("name", ["c9_title_year_join", "d25_identity_admission", "h6_screening", "b16_conflicts", "c8_multi_id_match", "c17_prefix_profiles", "d23_unique_resolution", "d15_best_shift"])
 def test_nothing_exploded_goes_to_the_driver(spark, name):
     assert "BroadcastExchange" not in plan_of(spark, name)
 
