@@ -9,34 +9,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill import config as C
+from cuemill.operators.grouped import spread
 
 # Fixed values.
 FIXED_TOLERANCE_MS = 850
 AFFINE_TOLERANCE_MS = 1_200
 
 
-def _select(anchors: DataFrame, models: DataFrame, keys, offset: str) -> DataFrame:
-    """Per model and clip the best anchor near the model's line.
+#: Width of the blocks of offsets in which anchors and models meet.
+BLOCK_MS = 24_000
 
-    Anchors meet a model only where their own offsets are within the tolerance: both are laid on a
-    grid of one tolerance and joined on neighbouring cells.
-    """
-    slot = [*keys, "scale_ix"]
-    cell = F.floor(F.col("own") / AFFINE_TOLERANCE_MS)
-    near = anchors.withColumn("_cell", cell)
-    at = F.floor(F.col(offset) / AFFINE_TOLERANCE_MS)
-    asked = models.withColumn("_cell", F.explode(F.array(at - 1, at, at + 1)))
-    residual = F.abs(F.col("own") - F.col(offset))
+
+def _rounded(value, digits: int):
+    """Rounded as a product. Medians of thousandths lie half way between two of them again and again, and there
+    `round(value, digits)` goes by the shortest decimal of a double, other engines by its product."""
+    return F.round(F.col(value) * 10**digits) / 10**digits
+
+
+def _once(df: DataFrame, **values) -> DataFrame:
+    """Adds columns that are evaluated once for each row; in a plain projection they would be copied into the lambda
+    functions that read them."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
+def _select(models: DataFrame, offset: str, name: str) -> DataFrame:
+    """Adds `name`: per clip the best anchor of `near` that lies near the model's line."""
     tolerance = F.when(F.col("scale_ix") == 0, FIXED_TOLERANCE_MS).otherwise(AFFINE_TOLERANCE_MS)
-    # Weights are fixed values (per second of residual).
-    goal = F.col("score") + 0.10 * F.col("margin") - 0.08 * residual / 1_000
-    row = F.struct("anchor_id", "own", "movie_ms", "score")
-    return (
-        asked.join(near, [*slot, "_cell"]).filter(residual <= tolerance)
-        .groupBy(*slot, "model", "clip_ix")
-        .agg(F.max_by(row, F.struct(F.round(goal, 9).alias("goal"), (-residual).alias("near"), (-F.col("anchor_id")).alias("first"))).alias("a"))
-        .select(*slot, "model", "clip_ix", "a.*")
-    )
+
+    def ranked(a):
+        residual = F.abs(a["own"] - F.col(offset))
+        # Weights are fixed values (per second of residual).
+        goal = a["score"] + 0.10 * a["margin"] - 0.08 * residual / 1_000
+        return F.struct(a["clip_ix"].alias("clip_ix"), (-F.round(goal, 9)).alias("goal"), residual.alias("residual"), a["anchor_id"].alias("anchor_id"),
+                        a["own"].alias("own"), a["movie_ms"].alias("movie_ms"), a["score"].alias("score"))
+
+    met = F.filter("near", lambda a: F.abs(a["own"] - F.col(offset)) <= F.col("tolerance"))
+    rows = _once(_once(models, tolerance=tolerance), _ranked=F.array_sort(F.transform(met, ranked)))
+    first = F.filter("_ranked", lambda a, i: (i == 0) | (F.get("_ranked", i - 1)["clip_ix"] != a["clip_ix"]))
+    return _once(rows.filter(F.size("_ranked") >= 2), **{name: first}).drop("_ranked", "tolerance").filter(F.size(name) >= 2)
+
+
+def _middle(name: str):
+    """Median of a sorted array."""
+    n = F.size(name)
+    return (F.element_at(name, F.floor((n + 1) / 2).cast("int")) + F.element_at(name, (F.floor(n / 2) + 1).cast("int"))) / 2
+
+
+def _refit(models: DataFrame, picks: str, offset: str) -> DataFrame:
+    """Adds `offset`: the median of the anchors' own offsets."""
+    owns = _once(models, _owns=F.array_sort(F.transform(picks, lambda a: a["own"])))
+    return _once(owns, **{offset: _middle("_owns")}).drop("_owns")
 
 
 def timeline_models(anchors: DataFrame, keys) -> DataFrame:
@@ -45,33 +67,44 @@ def timeline_models(anchors: DataFrame, keys) -> DataFrame:
     Every anchor proposes an offset per scale (equal proposals once); the offset is refitted as the
     median of the selected anchors, the anchors are selected again, and models with the same
     anchors are one model.
+
+    Offsets are cut into blocks. A refit moves a model by a tolerance at most, so all its anchors lie within two of its
+    start: a block holds the anchors that far beyond its ends too, and a model is one row that is fitted inside its block.
+    Pairs of models and anchors are neither shuffled nor sorted.
     """
     slot = [*keys, "scale_ix"]
+    block, width, reach = [*slot, "_block"], BLOCK_MS, 2 * AFFINE_TOLERANCE_MS + 1
     scales = F.explode(F.array(*[
         F.struct(F.lit(i).alias("scale_ix"), F.lit(s).alias("scale")) for i, (_, s) in enumerate(C.TIMELINE_SCALES)
     ]))
-    scaled = anchors.withColumn("s", scales).select(
-        *keys, "s.scale_ix", "clip_ix", "anchor_id", "movie_ms", "score", "margin",
-        F.round(F.col("movie_ms") - F.col("s.scale") * F.col("subtitle_ms"), 3).alias("own"))
-    start = scaled.select(*slot, F.col("own").alias("offset")).distinct().withColumn("model", F.col("offset"))
-    first = _select(scaled, start, keys, "offset").groupBy(*slot, "model").agg(
-        F.median("own").alias("offset"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    second = _select(scaled, first.select(*slot, "model", "offset"), keys, "offset")
-    refit = second.groupBy(*slot, "model").agg(F.median("own").alias("offset"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    residual = F.abs(F.col("own") - F.col("offset"))
-    models = second.join(refit.select(*slot, "model", "offset"), [*slot, "model"]).groupBy(*slot, "model").agg(
-        F.first("offset").alias("offset_ms"), F.count(F.lit(1)).alias("probes"),
-        F.median(residual).alias("median_residual"), F.max(residual).alias("max_residual"),
-        (F.max("movie_ms") - F.min("movie_ms")).alias("span_ms"), F.avg("score").alias("mean_score"),
-        F.count_if(F.col("score") >= 0.60).alias("strong"), F.avg(F.when(F.col("score") >= 0.60, F.col("score"))).alias("strong_mean"),
-        F.count_if(F.col("score") >= 0.50).alias("corroborating"),
-        F.array_join(F.array_sort(F.collect_list("anchor_id")), ",").alias("anchors"))
-    order = [F.col("probes").desc(), F.round("median_residual", 3), F.col("span_ms").desc(),
-             F.round("mean_score", 9).desc(), F.round("max_residual", 3), F.col("model")]
-    best = Window.partitionBy(*slot, "anchors").orderBy(*order)
-    distinct = models.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-    place = Window.partitionBy(*slot).orderBy(*order)
-    return distinct.withColumn("place", F.row_number().over(place))
+    own = F.round(F.col("movie_ms") - F.col("s.scale") * F.col("subtitle_ms"), 3)
+    scaled = anchors.withColumn("s", scales).select(*keys, "s.scale_ix", "clip_ix", "anchor_id", "movie_ms", "score", "margin", own.alias("own"))
+    held = F.explode(F.sequence(F.floor((F.col("own") - reach) / width), F.floor((F.col("own") + reach) / width)))
+    blocks = spread(scaled.withColumn("_block", held), *block).groupBy(*block).agg(
+        F.collect_list(F.struct("clip_ix", "anchor_id", "movie_ms", "score", "margin", "own")).alias("near")).filter(F.size("near") >= 2)
+    inside = F.filter("near", lambda a: F.floor(a["own"] / width) == F.col("_block"))
+    start = blocks.select("*", F.explode(F.array_distinct(F.transform(inside, lambda a: a["own"]))).alias("model"))
+    first = _refit(_select(start, "model", "picks"), "picks", "first").drop("picks")
+    models = _refit(_select(first, "first", "picks"), "picks", "offset_ms").drop("near", "first")
+    models = _once(models, residuals=F.array_sort(F.transform("picks", lambda a: F.abs(a["own"] - F.col("offset_ms")))),
+                   times=F.transform("picks", lambda a: a["movie_ms"]), scores=F.transform("picks", lambda a: a["score"]),
+                   strong_scores=F.transform(F.filter("picks", lambda a: a["score"] >= 0.60), lambda a: a["score"]),
+                   ids=F.array_sort(F.transform("picks", lambda a: a["anchor_id"])))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x) / F.size(c)
+    models = _once(models, probes=F.size("picks").cast("long"), median_residual=_middle("residuals"), max_residual=F.element_at("residuals", -1),
+                   span_ms=F.array_max("times") - F.array_min("times"), mean_score=mean("scores"), strong=F.size("strong_scores").cast("long"),
+                   strong_mean=F.when(F.size("strong_scores") > 0, mean("strong_scores")),
+                   corroborating=F.size(F.filter("scores", lambda x: x >= 0.50)).cast("long"), anchors=F.array_join("ids", ","))
+    order = F.struct((-F.col("probes")).alias("o1"), _rounded("median_residual", 3).alias("o2"), (-F.col("span_ms")).alias("o3"),
+                     (-F.round("mean_score", 9)).alias("o4"), _rounded("max_residual", 3).alias("o5"), F.col("model").alias("o6"))
+    kept = ["model", "offset_ms", "probes", "median_residual", "max_residual", "span_ms", "mean_score", "strong", "strong_mean", "corroborating", "order"]
+    best = F.min_by(F.struct(*kept), "order").alias("m")
+    # Nearly all equal models share a block, so few are left to be dealt out by film.
+    local = models.withColumn("order", order).groupBy(*block, "anchors").agg(best).select(*slot, "anchors", "m.*")
+    distinct = local.repartition(*slot).groupBy(*slot, "anchors").agg(best).select(*slot, "m.*", "anchors")
+    place = Window.partitionBy(*slot).orderBy("order")
+    return distinct.withColumn("place", F.row_number().over(place)).select(
+        *slot, "model", "offset_ms", "probes", "median_residual", "max_residual", "span_ms", "mean_score", "strong", "strong_mean", "corroborating", "anchors", "place")
 
 
 def accept_models(models: DataFrame, anchors: DataFrame, durations: DataFrame, keys) -> DataFrame:
@@ -89,7 +122,7 @@ def accept_models(models: DataFrame, anchors: DataFrame, durations: DataFrame, k
         .when(F.round("strong_mean", 9) < F.when(fixed, 0.70).otherwise(0.68), "mean_score"),
         F.when(fixed & (F.col("corroborating") < 2), "corroboration"),
         F.when(F.col("span_ms") < F.when(fixed, F.greatest(F.lit(300_000), d * 0.25)).otherwise(F.greatest(F.lit(900_000), d * 0.20)), "span"),
-        F.when(F.round("max_residual", 3) > F.when(fixed, FIXED_TOLERANCE_MS).otherwise(AFFINE_TOLERANCE_MS), "residual"),
+        F.when(_rounded("max_residual", 3) > F.when(fixed, FIXED_TOLERANCE_MS).otherwise(AFFINE_TOLERANCE_MS), "residual"),
     ))
     return models.filter("place = 1").join(strong_probes, keys).join(durations, keys).withColumn(
         "reasons", F.array_join(reasons, ","))
@@ -99,7 +132,7 @@ def choose_model(accepted: DataFrame, keys) -> DataFrame:
     """The model of every film: most evidence first, but a fixed offset before invented drift."""
     kept = accepted.filter("reasons = ''")
     order = Window.partitionBy(*keys).orderBy(
-        F.col("probes").desc(), F.round("median_residual", 3), F.col("span_ms").desc(), F.round("mean_score", 9).desc(), "scale_ix")
+        F.col("probes").desc(), _rounded("median_residual", 3), F.col("span_ms").desc(), F.round("mean_score", 9).desc(), "scale_ix")
     whole = Window.partitionBy(*keys)
     row = F.struct("scale_ix", "offset_ms", "probes", "median_residual", "span_ms")
     best = kept.withColumn("_r", F.row_number().over(order)).groupBy(*keys).agg(

@@ -12,6 +12,7 @@ from cuemill.operators import windows as wn
 from cuemill.plans.intervals import union_sql
 from cuemill.plans.offsets import _CLIP_SQL, clip_values
 from cuemill.plans.registry import query
+from cuemill.session import ensure_checkpoint_dir
 from cuemill.sources.tables import shifted_cue, speech
 
 KEY = ["media_id"]
@@ -116,7 +117,8 @@ re as (select cm.media_id, scale_ix, offset_ms, probes, ro as competing_ms, case
 select media_id, cast(scale_ix as int) as scale_ix, round(offset_ms,4) as offset_ms, probes, round(competing_ms,4) as competing_ms, reason, case when reason='' then 'HIGH' else 'BORDERLINE' end as status from re""")
 def production_safety(spark, sf_dir):
     anchors = _anchors(spark, sf_dir)
-    models = _models(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    models = _models(spark, sf_dir).filter("place <= 3").checkpoint()  # read three times
     accepted = cs.accept_models(models, anchors, _durations(spark, sf_dir), KEY)
     verdict = cs.production_safety(cs.choose_model(accepted, KEY), models, anchors, KEY)
     return verdict.withColumns({c: F.round(c, 4) for c in ("offset_ms", "competing_ms")})
