@@ -104,9 +104,19 @@ def contained(cues: DataFrame, spans: DataFrame, keys, guard_ms: int) -> DataFra
     )
 
 
-def frames_to_intervals(frames: DataFrame, keys, frame: str = "frame") -> DataFrame:
-    """Active 10 ms frames to intervals: gaps up to 150 ms closed, pieces under 100 ms dropped."""
-    unit = frames.select(*keys, F.col(frame).alias("start_f"), (F.col(frame) + 1).alias("end_f"))
+def frame_spans(intervals: DataFrame, keys, start="start_ms", end="end_ms") -> DataFrame:
+    """Active 10 ms frames of intervals as spans [frame, until): runs of frames need not be listed one by one."""
+    first, last = F.floor(F.col(start) / 10), F.floor(F.col(end) / 10)
+    return intervals.filter(last > first).select(*keys, first.alias("frame"), last.alias("until"))
+
+
+def frames_to_intervals(frames: DataFrame, keys, frame: str = "frame", until: str | None = None) -> DataFrame:
+    """Active 10 ms frames to intervals: gaps up to 150 ms closed, pieces under 100 ms dropped.
+
+    A row is one frame, or with `until` the frames from `frame` up to it, which costs two edges whatever its length.
+    """
+    end = F.col(until) if until else F.col(frame) + 1
+    unit = frames.select(*keys, F.col(frame).alias("start_f"), end.alias("end_f"))
     runs = merge_intervals(unit, keys, bridge=15, start="start_f", end="end_f", chunk=CHUNK_MS // 10)
     return runs.filter("end_f - start_f >= 10").select(
         *keys, (F.col("start_f") * 10).alias("start_ms"), (F.col("end_f") * 10).alias("end_ms")
