@@ -144,18 +144,22 @@ def latest_stage(events: DataFrame, key: str = "candidate_id") -> DataFrame:
     return events.groupBy(key, "stage").agg(F.max(F.struct("seq", "state", "reason")).alias("s")).select(key, "stage", "s.seq", "s.state", "s.reason")
 
 
-def closed_intervals(frames: DataFrame, key: str = "media_id", watermark: str = "10 seconds") -> DataFrame:
+def closed_intervals(frames: DataFrame, key: str = "media_id", watermark: str = "10 seconds", until: str | None = None) -> DataFrame:
     """Active 10 ms frames to intervals as they close.
 
     Frames are event times; a gap of 161 ms between frame starts closes an interval, which equals a
     gap of more than 150 ms between frames. Pieces under 100 ms are dropped.
+
+    A row is one frame, or with `until` the frames from `frame` up to it: its session lasts until 161 ms after the start
+    of its last frame, and its event time is that of its first.
     """
     start = F.timestamp_millis(F.col("frame") * 10)
-    timed = frames.select(key, start.alias("at"))
+    after = F.col(until) if until else F.col("frame") + 1
+    timed = frames.select(key, start.alias("at"), (after * 10).alias("end_ms"), ((after - 1 - F.col("frame")) * 10 + 161).alias("gap_ms"))
     if frames.isStreaming:
         timed = timed.withWatermark("at", watermark)
-    last = F.unix_millis(F.max("at")) + 10
-    spans = timed.groupBy(key, F.session_window("at", "161 milliseconds").alias("w")).agg(last.alias("end_ms"))
+    gap = F.make_interval(secs=(F.col("gap_ms") / 1_000).cast("decimal(18,6)")) if until else "161 milliseconds"
+    spans = timed.groupBy(key, F.session_window("at", gap).alias("w")).agg(F.max("end_ms").alias("end_ms"))
     return spans.select(key, F.unix_millis("w.start").alias("start_ms"), "end_ms").filter("end_ms - start_ms >= 100")
 
 

@@ -2,8 +2,9 @@
 
 import pytest
 
-from cuemill.operators import catalogue
+from cuemill.operators import catalogue, intervals
 from cuemill.plans import all_queries
+from cuemill.streaming import progress as st
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,6 +18,20 @@ def test_nothing_exploded_goes_to_the_driver(spark, name):
     assert "BroadcastExchange" not in plan_of(spark, name)
 
 
+@pytest.mark.parametrize("name", ["e2_frames_to_intervals", "s5_closed_intervals"])
+def test_frames_are_not_listed_one_by_one(spark, name):
+    assert "sequence(" not in plan_of(spark, name)
+
+
+def test_spans_of_frames_give_what_their_frames_give(spark):
+    rows = [(1, 0, 9), (1, 25, 40), (1, 41, 50), (1, 66, 67), (1, 200, 209), (2, 5, 900), (2, 10, 20), (2, 916, 917), (3, 0, 30), (3, 46, 60)]
+    spans = spark.createDataFrame(rows, "media_id long, frame long, until long")
+    frames = spans.selectExpr("media_id", "explode(sequence(frame, until - 1)) as frame")
+    want = sorted(intervals.frames_to_intervals(frames, ["media_id"]).collect())
+    assert sorted(intervals.frames_to_intervals(spans, ["media_id"], until="until").collect()) == want
+    assert sorted(st.closed_intervals(spans, until="until").collect()) == want == sorted(st.closed_intervals(frames).collect())
+
+
 def test_titles_meet_once_for_all_their_films(spark):
     films = spark.createDataFrame([(n, "red ring", "1999") for n in range(30)] + [(30, "red rings", "1999"), (31, "red", "1999")], "file_id long, feature_title string, feature_year string")
     works = spark.createDataFrame([(n, "red ring", "1999") for n in range(20)] + [(20, "red ring", "2000")], "identity_id long, title string, year string")

@@ -4,10 +4,11 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from cuemill.operators.intervals import frame_spans
 from cuemill.plans import all_queries
 from cuemill.plans.parallel import audit_events
 from cuemill.plans.streams import frames, percents, reports
-from cuemill.sources.tables import cache_log
+from cuemill.sources.tables import cache_log, speech
 from cuemill.streaming import progress as st
 
 SF = "/root/testdata/sf0.001"
@@ -100,6 +101,14 @@ def test_closed_intervals(spark):
     assert rows(spark.table(name)) == rows(st.closed_intervals(few))
 
 
+def test_closed_intervals_of_spans(spark):
+    few = frame_spans(speech(spark, SF), ["media_id"]).filter("media_id < 5")
+    far = spark.createDataFrame([(-1, 10_000_000, 10_000_001)], few.schema)
+    late = as_stream(spark, few.unionByName(far), 3, ["frame"])
+    name = run(st.closed_intervals(late, until="until"), "append")
+    assert rows(spark.table(name)) == rows(st.closed_intervals(frames(spark, SF).filter("media_id < 5")))
+
+
 def test_log_merge(spark):
     log = cache_log(spark, SF)
     snapshot = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
