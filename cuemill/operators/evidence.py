@@ -5,11 +5,14 @@ Speech and cues are intervals on 10 ms frames; nothing is exploded to frames.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.operators.intervals import interval_join, merge_intervals
-from cuemill.operators.offsets import _edges, run_overlap, shift_curve
+from cuemill.operators.grouped import spread
+from cuemill.operators.offsets import _edges, curve_steps, run_overlap
 from cuemill.session import ensure_checkpoint_dir
 
 # Fixed values.
@@ -73,14 +76,11 @@ def correlation_peaks(reference, candidate, domain, keys, narrow: int = APPLIED,
     ensure_checkpoint_dir(reference.sparkSession)
     reference, candidate, domain = (df.checkpoint() for df in (reference, candidate, domain))
     short, long = domain.filter(F.col("n_ref") < wide_from), domain.filter(F.col("n_ref") >= wide_from)
-    curve = signal_curve(reference, candidate, long, keys, wide)
-    inside = F.col("k").between(1 - narrow, narrow)
-    peaks = peak_metrics(curve.filter(inside).unionByName(signal_curve(reference, candidate, short, keys, narrow)), keys)
-    whole = curve.groupBy(*keys).agg(
-        F.max("c").alias("top"), F.median("c").alias("level"), F.max_by("k", F.struct("c", "k")).alias("at"), F.max(F.when(inside, F.col("c"))).alias("near"))
+    peaks = peak_metrics(signal_curve(reference, candidate, long, keys, wide), keys, wide, narrow).unionByName(
+        peak_metrics(signal_curve(reference, candidate, short, keys, narrow), keys, narrow), allowMissingColumns=True)
     gain = F.col("top") - F.col("level")
     ratio = F.when(gain > 1e-6, (F.col("near") - F.col("level")) / gain)
-    rows = peaks.join(whole, keys, "left").withColumn("ratio", ratio)
+    rows = peaks.withColumn("ratio", ratio)
     apart = ~F.col("at").between(1 - narrow, narrow) & (F.abs(F.col("at") - F.col("offset_ms") / 10) >= 100)
     return rows.select(
         *keys, "offset_ms", "rival_ratio", "width_ms", "contrast", (F.col("at") * 10).cast("long").alias("wide_offset_ms"),
@@ -88,9 +88,9 @@ def correlation_peaks(reference, candidate, domain, keys, narrow: int = APPLIED,
 
 
 def signal_curve(reference, candidate, domain, keys, radius: int) -> DataFrame:
-    """(keys, k, c): the +-1 correlation of every key of `domain` at every shift in (-radius, +radius] at which the signals
-    can meet. The curve is restored from edge products; its two start values come from interval overlaps at the lowest two
-    shifts."""
+    """(keys, n_cand, c0, c1, ks, xs): the +-1 correlation of every key of `domain` over shifts in (-radius, +radius], as its
+    values at the lowest two shifts, which come from interval overlaps, and the products of edges `xs` at the shifts `ks` where
+    its slope changes. That is a row for each key, and far fewer numbers than shifts."""
     reference, candidate = (df.join(domain.select(*keys), keys, "left_semi") for df in (reference, candidate))
     low, high = 1 - radius, radius
     size = F.explode(F.array(F.lit(0), F.lit(1)))
@@ -119,8 +119,11 @@ def signal_curve(reference, candidate, domain, keys, radius: int) -> DataFrame:
             F.struct(F.col(length).alias("at"), F.lit(1).cast("long").alias("w")))).alias("e")).select(*keys, "e.at", "e.w")
         return _edges(runs, keys, 2).unionByName(frame)
 
-    curve = shift_curve(edges(reference, "n_ref"), edges(candidate, "n_cand"), start, keys, low, high)
-    return curve.filter(F.col("k") >= -F.col("n_cand")).drop("n_cand")
+    steps = curve_steps(edges(reference, "n_ref"), edges(candidate, "n_cand"), keys, low, high).filter("x <> 0")
+    bends = steps.groupBy(*keys).agg(F.collect_list(F.struct("k", "x")).alias("v"))
+    empty = F.array().cast("array<bigint>")
+    return start.join(bends.hint("merge"), keys, "left").select(
+        *keys, "n_cand", "c0", "c1", F.coalesce("v.k", empty).alias("ks"), F.coalesce("v.x", empty).alias("xs"))
 
 
 def _inside_moved(moved, spans, slot):
@@ -129,26 +132,57 @@ def _inside_moved(moved, spans, slot):
     return met.groupBy(*slot).agg(F.sum(part).alias("nc"))
 
 
-def peak_metrics(curve: DataFrame, keys, apart: int = 100) -> DataFrame:
-    """Best shift (the largest on a tie), rival peak ratio, peak width and contrast.
+def restored(low: int, high: int, c0: int, c1: int, ks: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """The curve at the shifts low .. high from its first two values and the changes of its slope."""
+    bend = np.zeros(high - low + 1, dtype=np.int64)
+    bend[ks - low] = xs
+    bend[0] = 0
+    slope = c1 - c0 - np.cumsum(bend)
+    return c0 + np.concatenate(([0], np.cumsum(slope[:-1])))
 
-    A curve has as many values as there are shifts, so it is gathered per key and read once.
+
+def _peak(k: np.ndarray, c: np.ndarray, apart: int) -> tuple:
+    """Best shift (the largest on a tie), rival peak ratio, peak width and contrast of one curve."""
+    peak, middle = int(c.max()), float(np.median(c))
+    at = len(c) - 1 - int(np.argmax(c[::-1] == peak))
+    contrast = peak - middle
+    far = c[np.abs(k - k[at]) >= apart]
+    low = np.flatnonzero(c < peak - 0.05 * max(contrast, 0.0))
+    right = k[low[low > at][0]] - 1 if (low > at).any() else k[-1]
+    left = k[low[low < at][-1]] + 1 if (low < at).any() else k[0]
+    rival = (int(far.max()) - middle) / contrast if contrast > 1e-6 and len(far) else np.nan
+    return int(k[at]) * 10, rival, int(right - left) * 10, contrast
+
+
+def peak_metrics(curves: DataFrame, keys, radius: int, narrow: int | None = None, apart: int = 100) -> DataFrame:
+    """Best shift (the largest on a tie), rival peak ratio, peak width and contrast of `signal_curve(..., radius)`.
+
+    With `narrow` they are those of the shifts in (-narrow, +narrow], and `top`, `level`, `at` and `near` tell of the whole
+    curve: its peak, its median, the shift of the peak and the highest value inside. A key's curve is restored, read and
+    dropped row by row, so only its outcome is written.
     """
-    rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("v"))
-    values = F.array_sort(F.transform("v", lambda x: x["c"]))
-    n = F.size("s")
-    middle = (F.element_at("s", F.floor((n + 1) / 2).cast("int")) + F.element_at("s", (F.floor(n / 2) + 1).cast("int"))) / 2
-    rows = rows.withColumn("s", values).select(*keys, "v", F.element_at("s", -1).alias("peak"), middle.alias("middle"))
-    best = F.element_at(F.filter("v", lambda x: x["c"] == F.col("peak")), -1)["k"]
-    rows = rows.withColumns({"best": best, "contrast": F.col("peak") - F.col("middle")})
-    far = F.transform(F.filter("v", lambda x: F.abs(x["k"] - F.col("best")) >= apart), lambda x: x["c"])
-    floor = F.col("peak") - 0.05 * F.greatest(F.col("contrast"), F.lit(0.0))
-    rows = rows.withColumn("low", F.transform(F.filter("v", lambda x: x["c"] < floor), lambda x: x["k"]))
-    right = F.coalesce(F.get(F.filter("low", lambda k: k > F.col("best")), F.lit(0)) - 1, F.element_at("v", -1)["k"])
-    left = F.coalesce(F.try_element_at(F.filter("low", lambda k: k < F.col("best")), F.lit(-1)) + 1, F.element_at("v", 1)["k"])
-    ratio = F.when(F.col("contrast") > 1e-6, (F.array_max(far) - F.col("middle")) / F.col("contrast"))
-    return rows.select(*keys, (F.col("best") * 10).cast("long").alias("offset_ms"), ratio.alias("rival_ratio"),
-                       ((right - left) * 10).cast("long").alias("width_ms"), "contrast")
+    types = dict(curves.dtypes)
+    names = ["offset_ms long", "rival_ratio double", "width_ms long", "contrast double"]
+    names += ["top long", "level double", "at long", "near long"] if narrow else []
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + names)
+    columns = [*keys, *[x.split()[0] for x in names]]
+
+    def metrics(parts):
+        for part in parts:
+            found = []
+            for row in part.itertuples(index=False):
+                low = max(1 - radius, -row.n_cand)
+                c = restored(1 - radius, radius, row.c0, row.c1, np.asarray(row.ks, np.int64), np.asarray(row.xs, np.int64))[low - (1 - radius):]
+                k = np.arange(low, radius + 1)
+                inside = np.abs(2 * k - 1) < 2 * (narrow or radius)
+                values = _peak(k[inside], c[inside], apart)
+                if narrow:
+                    top = int(c.max())
+                    values += (top, float(np.median(c)), int(k[np.flatnonzero(c == top)[-1]]), int(c[inside].max()))
+                found.append((*(getattr(row, x) for x in keys), *values))
+            yield pd.DataFrame(found, columns=columns)
+
+    return spread(curves, *keys).mapInPandas(metrics, schema)
 
 
 def _fifths(media, keys) -> DataFrame:
@@ -220,7 +254,7 @@ def regional_offsets(cues, speech, media, keys) -> DataFrame:
     voiced = inner(_cut(frame_runs(speech, keys), regions, keys))
     shown = inner(frame_runs(_local_cues(cues, regions, keys).select(*slot, "start_ms", "end_ms"), slot))
     domain = judged.select(*slot, "n_ref", F.col("n_ref").alias("n_cand"))
-    peaks = peak_metrics(signal_curve(voiced.checkpoint(), shown.checkpoint(), domain, slot, APPLIED), slot)
+    peaks = peak_metrics(signal_curve(voiced.checkpoint(), shown.checkpoint(), domain, slot, APPLIED), slot, APPLIED)
     clear = (F.abs("offset_ms") < 9_900) & (F.col("contrast") > 1e-6) & (F.col("rival_ratio") < 0.8) & (F.col("width_ms") < 1_000)
     peaks = peaks.withColumn("clear", F.coalesce(clear, F.lit(False))).select(*slot, "offset_ms", "clear").checkpoint()
     moved = _regions_at(cues, speech, media, peaks.filter("clear").select(*slot, "offset_ms"), keys).select(*slot, "ratio", "gain")

@@ -188,7 +188,24 @@ def shift_curve(ref_edges, cand_edges, first_two, keys, low: int, high: int) ->
     sums over the shifts of a key, started from the values at `low` and `low + 1`, restore c.
     `first_two(keys, c0, c1)` must hold every key that is wanted.
     """
+    steps = curve_steps(ref_edges, cand_edges, keys, low, high)
+    grid = first_two.withColumn("k", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))))
+    along = Window.partitionBy(*keys).orderBy("k")
+    bend = F.when(F.col("k") > low, F.coalesce("x", F.lit(0))).otherwise(0)
+    sloped = grid.join(steps.hint("merge"), [*keys, "k"], "left").withColumn(
+        "slope", F.col("c1") - F.col("c0") - F.sum(bend).over(along)
+    )
+    kept = [c for c in first_two.columns if c not in keys and c not in ("c0", "c1")]
+    return sloped.select(
+        *keys, "k", *kept, (F.col("c0") + F.coalesce(
+            F.sum("slope").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("c"),
+    )
+
+
+def curve_steps(ref_edges, cand_edges, keys, low: int, high: int) -> DataFrame:
+    """(keys, k, x): sums of products of edge weights at distance k in [low, high], where there are any."""
     width = max(64, high - low)
+
     def summed(edges):
         return edges.groupBy(*keys, "at").agg(F.sum("w").alias("w")).filter("w <> 0")
 
@@ -197,21 +214,10 @@ def shift_curve(ref_edges, cand_edges, first_two, keys, low: int, high: int) ->
     right = summed(ref_edges).select(*keys, F.col("at").alias("rt"), F.col("w").alias("rw")).withColumn(
         "_bucket", F.floor(F.col("rt") / width))
     k = F.col("rt") - F.col("at")
-    steps = (
+    return (
         left.join(right.hint("merge"), [*keys, "_bucket"]).filter(k.between(low, high))
         .groupBy(*keys, k.alias("k")).agg(F.sum(F.col("w") * F.col("rw")).alias("x"))
     )
-    grid = first_two.withColumn("k", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))))
-    along = Window.partitionBy(*keys).orderBy("k")
-    bend = F.when(F.col("k") > low, F.coalesce("x", F.lit(0))).otherwise(0)
-    sloped = grid.join(steps.hint("merge"), [*keys, "k"], "left").withColumn(
-        "slope", F.col("c1") - F.col("c0") - F.sum(bend).over(along)
-    )
-    kept = [c for c in first_two.columns if c not in keys and c not in ("c0", "c1")]
-    return sloped.select(
-        *keys, "k", *kept, (F.col("c0") + F.coalesce(
-            F.sum("slope").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("c"),
-    )
 
 
 def activity_cells(intervals: DataFrame, keys, cell_ms: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """Plans of queries whose tables outgrow what a plan can tell of their size, and results that must not depend on the form."""
 
+import numpy as np
 import pytest
 
 from cuemill.operators import catalogue, intervals
+from cuemill.operators.evidence import restored
 from cuemill.plans import all_queries
 from cuemill.streaming import progress as st
 
@@ -32,6 +34,17 @@ def test_spans_of_frames_give_what_their_frames_give(spark):
     assert sorted(st.closed_intervals(spans, until="until").collect()) == want == sorted(st.closed_intervals(frames).collect())
 
 
+def test_curves_are_not_listed_shift_by_shift(spark):
+    assert "Window" not in plan_of(spark, "d17_correlation_peaks")
+
+
+def test_curves_are_restored_from_bends():
+    # one second of activity against itself, moved by three frames: a triangle about the shift 3
+    ks, xs = np.array([-7, 3, 13]), np.array([-1, 2, -1])
+    want = [max(0, 10 - abs(k - 3)) for k in range(-19, 21)]
+    assert restored(-19, 20, 0, 0, ks, xs).tolist() == want
+
+
 def test_titles_meet_once_for_all_their_films(spark):
     films = spark.createDataFrame([(n, "red ring", "1999") for n in range(30)] + [(30, "red rings", "1999"), (31, "red", "1999")], "file_id long, feature_title string, feature_year string")
     works = spark.createDataFrame([(n, "red ring", "1999") for n in range(20)] + [(20, "red ring", "2000")], "identity_id long, title string, year string")
