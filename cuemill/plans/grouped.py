@@ -80,7 +80,8 @@ def bounded_alignment(spark, sf_dir):
     reference, image, windows = _thirds(spark, sf_dir)
     parts = bounded_subwindows(windows.select("media_id", "region", "low_ms", "high_ms"), ["media_id", "region"])
     small = parts.select("media_id", F.concat_ws("/", "region", "start_ms", "end_ms").alias("region"), F.col("start_ms").alias("low_ms"), F.col("end_ms").alias("high_ms"))
-    curves = gr.start_curves(reference, image, small, KEY)
+    # the best of a window is told among all shifts that can still round to its largest value
+    curves = gr.start_curves(reference, image, small, KEY, within=1e-11)
     return curves.groupBy("media_id", "region").agg(
         F.max_by("offset_ms", F.struct(F.round("value", 12), -F.col("offset_ms"))).alias("best_ms"), F.round(F.max("value"), 6).alias("value"), F.first("n_image").alias("n_image"))
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cuemill.operators import catalogue, intervals
+from cuemill.operators import catalogue, grouped, intervals
 from cuemill.operators.evidence import restored
 from cuemill.plans import all_queries
 from cuemill.streaming import progress as st
@@ -45,6 +45,21 @@ def test_curves_are_restored_from_bends():
     assert restored(-19, 20, 0, 0, ks, xs).tolist() == want
 
 
+@pytest.mark.parametrize("name", ["d19_bounded_alignment", "d19_local_alignment"])
+def test_windows_are_not_called_one_by_one(spark, name):
+    assert "FlatMapGroupsInPandas" not in plan_of(spark, name)
+
+
+def test_shifts_near_the_best_hold_the_best(spark):
+    rows = [(m, 13_000 + i * (700 + m) % 90_000) for m in range(3) for i in range(40)]
+    starts = spark.createDataFrame(rows, "media_id long, start_ms long")
+    windows = spark.createDataFrame([(m, r, r * 30_000, r * 30_000 + 70_000) for m in range(3) for r in range(2)], "media_id long, region long, low_ms long, high_ms long")
+    whole = grouped.start_curves(starts, starts, windows, ["media_id"])
+    near = grouped.start_curves(starts, starts, windows, ["media_id"], within=1e-11)
+    best = lambda df: sorted(df.groupBy("media_id", "region").agg({"value": "max"}).collect())
+    assert best(near) == best(whole) and 0 < near.count() < whole.count()
+
+
 def test_titles_meet_once_for_all_their_films(spark):
     films = spark.createDataFrame([(n, "red ring", "1999") for n in range(30)] + [(30, "red rings", "1999"), (31, "red", "1999")], "file_id long, feature_title string, feature_year string")
     works = spark.createDataFrame([(n, "red ring", "1999") for n in range(20)] + [(20, "red ring", "2000")], "identity_id long, title string, year string")
