@@ -40,21 +40,38 @@ def dialogue_score(expected: pd.Series, observed: pd.Series) -> pd.Series:
     return pd.Series([dialogue_similarity(a, b) for a, b in zip(expected, observed)], dtype=float)
 
 
-@F.pandas_udf(t.DoubleType())
-def semantic_score(expected: pd.Series, observed: pd.Series) -> pd.Series:
-    """Tolerant similarity of two key texts; character pairs stand for words in CJK."""
+@F.pandas_udf(t.StructType([t.StructField(n, t.DoubleType()) for n in ("dialogue", "semantic")]))
+def text_scores(expected: pd.Series, observed: pd.Series) -> pd.DataFrame:
+    """`dialogue_similarity`, and a tolerant similarity of two key texts; character pairs stand for words in CJK.
+
+    The ratio of the characters serves both, and an observed text that stands in several rows in turn is indexed once.
+    """
+    chars, ordered = difflib.SequenceMatcher(), difflib.SequenceMatcher()
+    last, v, bag = None, [], Counter()
+
     def one(a, b):
+        nonlocal last, v, bag
         if not a or not b:
-            return 0.0
+            return 0.0, 0.0
+        if b != last:
+            last, v = b, WORD.findall(b)
+            bag = Counter(v)
+            chars.set_seq2(b)
+            ordered.set_seq2(v)
+        chars.set_seq1(a)
+        u, ratio = WORD.findall(a), chars.ratio()
+        dialogue = ratio * 0.7
+        if u and v:
+            ordered.set_seq1(u)
+            dialogue = 0.50 * ordered.ratio() + 0.30 * ratio + 0.20 * _f1(sum((Counter(u) & bag).values()), len(u), len(v))
         if _CJK.search(a) or _CJK.search(b):
-            u, v = ({text[i:i + 2] for i in range(max(0, len(text) - 1))} for text in (a, b))
+            x, y = ({text[i:i + 2] for i in range(max(0, len(text) - 1))} for text in (a, b))
             weight = 1.0
         else:
-            u, v = set(WORD.findall(a)), set(WORD.findall(b))
-            weight = 0.6
-        return max(_ratio(a, b) * weight, _f1(len(u & v), len(u), len(v)) if u and v else 0.0)
+            x, y, weight = set(u), set(v), 0.6
+        return dialogue, max(ratio * weight, _f1(len(x & y), len(x), len(y)) if x and y else 0.0)
 
-    return pd.Series([one(a, b) for a, b in zip(expected, observed)], dtype=float)
+    return pd.DataFrame([one(a, b) for a, b in zip(expected, observed)], columns=["dialogue", "semantic"], dtype=float)
 
 
 _ENDS = ("matched", "longest", "gaps", "first_a", "first_b", "last_a", "last_b")
@@ -66,21 +83,25 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _alignment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Index pairs of a longest common subsequence. A row of lengths is a running maximum from the right of what the row
-    below gives; only one bit per cell is kept (whether to step down), so two texts of 20,000 words take 50 MB."""
+    """Index pairs of a longest common subsequence. A row of lengths falls by one or not at all from word to word, so it is
+    one number whose set bits mark the falls; a row follows from the one below it by an addition. Two texts of 20,000 words take 50 MB."""
+    a, b = a.tolist(), b.tolist()
     n, m = len(a), len(b)
-    below, down = np.zeros(m + 1, dtype=np.int32), np.zeros((n, (m + 7) // 8), dtype=np.uint8)
+    at: dict = {}
+    for j, word in enumerate(b):
+        at[word] = at.get(word, 0) | 1 << (m - 1 - j)
+    full = (1 << m) - 1
+    falls, level = [0] * (n + 1), full
     for i in range(n - 1, -1, -1):
-        row = np.zeros(m + 1, dtype=np.int32)
-        row[:m] = np.maximum.accumulate(np.where(b == a[i], 1 + below[1:], below[:-1])[::-1])[::-1]
-        down[i] = np.packbits(below[:m] >= row[1:])
-        below = row
+        met = level & at.get(a[i], 0)
+        level = ((level + met) | (level - met)) & full
+        falls[i] = full ^ level
     pairs, i, j = [], 0, 0
     while i < n and j < m:
         if a[i] == b[j]:
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif down[i, j >> 3] >> (7 - (j & 7)) & 1:
+        elif (falls[i + 1] & ((1 << (m - j)) - 1)).bit_count() >= (falls[i] & ((1 << (m - j - 1)) - 1)).bit_count():
             i += 1
         else:
             j += 1
