@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cuemill.operators import catalogue, grouped, intervals
+from cuemill.functions import similarity
+from cuemill.functions import text as T
+from cuemill.operators import catalogue, grouped, intervals, matching
 from cuemill.operators.evidence import restored
 from cuemill.plans import all_queries
 from cuemill.streaming import progress as st
@@ -86,3 +89,56 @@ def test_candidates_are_ordered_once_for_all_works_of_a_name(spark):
                                  "title string, year string, seq long, author string, own_name string, release string, hash_match boolean")
     got = catalogue.prioritise(rows, ["title", "year"]).orderBy("place").select("seq", "turn", "place").collect()
     assert got == [(0, 0, 1), (1, 0, 2), (2, 1, 3), (3, 1, 4)]
+
+
+@pytest.mark.parametrize("name", ["u1_bigram_f1", "u1_bag_f1", "c13_common_subsequence", "u1_dialogue_score"])
+def test_windows_are_read_twice_with_their_ids(spark, name):
+    # for the meeting, and for the texts that have met
+    assert plan_of(spark, name).count("FileScan parquet [doc_id") == 2
+
+
+def test_bags_count_repeated_words_and_leave_out_pairs_without_one(spark):
+    texts = lambda name, rows: spark.createDataFrame(rows, f"{name} long, text string")
+    pairs = spark.createDataFrame([(1, 1), (2, 1), (1, 2)], "probe_id long, window_id long")
+    got = matching.bag_scores(pairs, texts("probe_id", [(1, "go go go home"), (2, "stay here")]), texts("window_id", [(1, "home, go! Go"), (2, "else")]))
+    assert got.collect() == [(1, 1, 6 / 7)]
+
+
+def test_further_words_are_met_only_where_the_first_give_few_windows(spark):
+    probes = spark.createDataFrame([(1, " ".join(f"word{c}" for c in "abcdefghij"))], "probe_id long, text string")
+    rows = [(n, f"word{c}") for n, c in enumerate("abcdefgh" + "i" * 20 + "j" * 30)]
+    few = spark.createDataFrame(rows, "window_id long, text string")
+    many = few.unionByName(spark.createDataFrame([(100 + n, "worda wordb") for n in range(12)], "window_id long, text string"))
+    assert matching.shortlist(probes, few).count() == 58 and matching.shortlist(probes, many).count() == 20
+
+
+def test_letters_are_paired_by_code_points(spark):
+    rows = spark.createDataFrame([("abab",), ("a",), ("",), ("é字😀x",)], "t string")
+    assert [r.b for r in rows.select(T.bigrams(F.col("t")).alias("b")).collect()] == [["ab", "ba"], [], [], ["é字", "字😀", "😀x"]]
+
+
+def test_long_texts_are_aligned_by_bits():
+    draw = np.random.default_rng(3)
+    for n, m in [(0, 4), (5, 0), *draw.integers(1, 90, (60, 2))]:
+        a, b = (draw.integers(0, 8, k) for k in (n, m))
+        lengths = np.zeros((n + 1, m + 1), int)
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                lengths[i, j] = 1 + lengths[i + 1, j + 1] if a[i] == b[j] else max(lengths[i + 1, j], lengths[i, j + 1])
+        want, i, j = [], 0, 0
+        while i < n and j < m:
+            if a[i] == b[j]:
+                want.append([i, j])
+                i, j = i + 1, j + 1
+            elif lengths[i + 1, j] >= lengths[i, j + 1]:
+                i += 1
+            else:
+                j += 1
+        assert similarity._alignment(a, b).tolist() == want
+
+
+def test_scores_of_texts_that_stand_in_turn(spark):
+    texts = ["go home now", "home you go", "字幕样例", "go home", ""]
+    rows = spark.createDataFrame([(a, b) for b in texts for a in texts], "a string, b string").coalesce(1)
+    for r in rows.withColumn("s", similarity.text_scores("a", "b")).collect():
+        assert r.s.dialogue == similarity.dialogue_similarity(r.a, r.b)
