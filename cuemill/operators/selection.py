@@ -89,50 +89,72 @@ def resolve_duration(media: DataFrame, tracks: DataFrame) -> DataFrame:
 def profiled(tracks: DataFrame, media: DataFrame) -> DataFrame:
     """Tracks with language, purpose and completeness from their headers."""
     rows = tracks.join(media.select("media_id", "duration_s"), "media_id")
-    name, lang = F.col("name"), F.col("language")
-    return rows.withColumns({
-        "lang": F.when(F.col("type") == "audio", tr.normalize_language(lang)).otherwise(tr.subtitle_language(lang, name)),
-        "role": F.when(F.col("type") == "audio", tr.audio_exclusion(name)).otherwise(tr.subtitle_role(name, F.col("is_forced"))),
-        "incomplete": (F.col("type") == "subtitles") & tr.incomplete(name, F.col("is_forced"), F.col("frames"), F.col("span_s"), F.col("duration_s")),
-    }).withColumn("dialogue", F.when(F.col("type") == "audio", F.col("role") == "").otherwise(F.col("role").isin("main", "sdh")))
+    return tr.labelled(rows).withColumn("dialogue", F.when(F.col("type") == "audio", F.col("role") == "").otherwise(F.col("role").isin("main", "sdh")))
 
 
-def subtitle_rank() -> list[Column]:
+def subtitle_rank(of=F.col) -> list[Column]:
     return [
-        F.when(F.col("incomplete"), 1).otherwise(0).alias("r1"), F.when(F.col("role") == "sdh", 1).otherwise(0).alias("r2"),
-        F.when(F.col("is_default"), 0).otherwise(1).alias("r3"), F.col("track_id").alias("r4")]
+        F.when(of("incomplete"), 1).otherwise(0).alias("r1"), F.when(of("role") == "sdh", 1).otherwise(0).alias("r2"),
+        F.when(of("is_default"), 0).otherwise(1).alias("r3"), of("track_id").alias("r4")]
+
+
+def _dialect() -> Column:
+    return F.when(F.col("lang").startswith("zh"), tr.dialect_rank(F.col("language"), F.col("name"), F.col("lang"))).otherwise(0)
 
 
 def best_tracks(rows: DataFrame) -> DataFrame:
     """Best subtitle per film and language: complete, not SDH, default, lowest id; dialect first for Chinese."""
-    dialect = F.when(F.col("lang").startswith("zh"), tr.dialect_rank(F.col("language"), F.col("name"))).otherwise(0).alias("r0")
     return rows.filter("type = 'subtitles'").groupBy("media_id", "lang").agg(
-        F.min_by(F.struct("track_id", "incomplete"), F.struct(dialect, *subtitle_rank())).alias("t")).select(
+        F.min_by(F.struct("track_id", "incomplete"), F.struct(_dialect().alias("r0"), *subtitle_rank())).alias("t")).select(
         "media_id", "lang", F.col("t.track_id").alias("track_id"), F.col("t.incomplete").alias("incomplete"))
 
 
+def _films(rows: DataFrame, *columns: Column) -> DataFrame:
+    """One row per film with its dialogue audio, its subtitles, and the main audio (default first).
+
+    A film's tracks, which are few, meet once, where they were numbered; all else is array work in its row.
+    """
+    kept = F.struct("type", "track_id", "lang", "role", "incomplete", "dialogue", "is_default", *columns)
+    films = rows.groupBy("media_id").agg(F.collect_list(kept).alias("tracks"))
+    films = films.select(
+        "media_id", F.filter("tracks", lambda t: (t["type"] == "audio") & t["dialogue"]).alias("audio"),
+        F.filter("tracks", lambda t: t["type"] == "subtitles").alias("subs"))
+    main = F.array_min(F.transform("audio", lambda t: F.struct(F.when(t["is_default"], 0).otherwise(1).alias("r"), t["track_id"].alias("track_id"), t["lang"].alias("lang"))))
+    return films.withColumn("main", main)
+
+
 def main_audio(rows: DataFrame) -> DataFrame:
     """Main dialogue audio (default first) and the cheapest track of its language to decode."""
-    audio = rows.filter("type = 'audio' and dialogue")
-    main = audio.groupBy("media_id").agg(
-        F.min_by(F.struct("track_id", "lang"), F.struct(F.when(F.col("is_default"), 0).otherwise(1), "track_id")).alias("m"))
-    main = main.select("media_id", F.col("m.track_id").alias("main_id"), F.col("m.lang").alias("main_lang"))
-    same = audio.join(main, "media_id").filter("lang = main_lang")
-    cost = F.struct(tr.decode_cost(F.col("codec")).alias("c"), (F.col("track_id") != F.col("main_id")).alias("o"), (~F.col("is_default")).alias("d"), "track_id")
-    cheap = same.groupBy("media_id").agg(F.min_by("track_id", cost).alias("reference_id"))
-    return main.join(cheap, "media_id")
+    def cost(t):
+        return F.struct(
+            tr.decode_cost(t["codec"]).alias("c"), (t["track_id"] != F.col("main.track_id")).alias("o"), (~t["is_default"]).alias("d"), t["track_id"].alias("id"))
+
+    same = F.filter("audio", lambda t: t["lang"] == F.col("main.lang"))
+    return _films(rows, F.col("codec")).filter("main is not null").select(
+        "media_id", F.col("main.track_id").alias("main_id"), F.col("main.lang").alias("main_lang"), F.array_min(F.transform(same, cost))["id"].alias("reference_id"))
 
 
-def source_anchors(rows: DataFrame, audio: DataFrame) -> DataFrame:
+def _anchored(films: DataFrame) -> DataFrame:
+    """Films with `ranked`, their complete subtitles by tier (dialogue language, English, others) and rank, and `useful`, the
+    first two of each of the first two tiers, each of which is one language."""
+    main = F.col("main.lang")
+
+    def row(t):
+        tier = F.when((main != "und") & (t["lang"] == main), 0).when(t["lang"] == "en", 1).otherwise(2)
+        return F.struct(tier.alias("tier"), *subtitle_rank(lambda c: t[c]), t["track_id"].alias("track_id"), t["lang"].alias("lang"))
+
+    ranked = F.array_sort(F.transform(F.filter("subs", lambda t: ~t["incomplete"]), row))
+    def two(k):
+        return F.slice(F.filter("ranked", lambda t: t["tier"] == k), 1, 2)
+
+    return films.withColumn("ranked", ranked).withColumn("useful", F.concat(two(0), two(1)))
+
+
+def source_anchors(rows: DataFrame) -> DataFrame:
     """Complete subtitles that may carry the film's clock: dialogue language, English, else one other; two per language."""
-    subs = rows.filter("type = 'subtitles' and not incomplete").join(audio.select("media_id", "main_lang"), "media_id", "left")
-    tier = F.when((F.col("main_lang") != "und") & (F.col("lang") == F.col("main_lang")), 0).when(F.col("lang") == "en", 1).otherwise(2)
-    ranked = subs.withColumn("tier", tier)
-    order = Window.partitionBy("media_id", "lang").orderBy(*subtitle_rank())
-    useful = ranked.filter("tier < 2").withColumn("n", F.row_number().over(order)).filter("n <= 2").select("media_id", "track_id", "lang", "tier")
-    other = ranked.groupBy("media_id").agg(
-        F.min("tier").alias("best"), F.min_by(F.struct("track_id", "lang", "tier"), F.struct("tier", *subtitle_rank())).alias("t")).filter("best = 2")
-    return useful.unionByName(other.select("media_id", "t.track_id", "t.lang", "t.tier"))
+    anchors = F.when(F.size("useful") > 0, F.col("useful")).otherwise(F.slice("ranked", 1, 1))
+    picked = _anchored(_films(rows)).select("media_id", F.explode(anchors).alias("t"))
+    return picked.select("media_id", "t.track_id", "t.lang", "t.tier")
 
 
 def _covered(desired: list[str], script_equivalent: bool) -> tuple[Column, Column]:
@@ -240,26 +262,24 @@ def inspect_library(rows: DataFrame, tracks: DataFrame, films: DataFrame, requir
 def library_plan(rows: DataFrame, desired: list[str], script_equivalent: bool = True) -> DataFrame:
     """What to keep and what to make per film: audio, subtitles, conversion and translation source, status.
 
-    Counts, covered languages and the main audio come from one pass over the tracks; the source is
-    the best of the two complete subtitles kept per language.
+    The source is the best of the two complete subtitles kept per language; a script to convert is the best of its language.
     """
-    speaks = (F.col("type") == "audio") & F.col("dialogue")
-    films = rows.groupBy("media_id").agg(
-        F.count_if(speaks).alias("kept_audio"),
-        F.count_if((F.col("type") == "subtitles") & ~F.col("incomplete") & F.col("lang").isin(*desired)).alias("kept_subtitles"),
-        F.collect_set(F.when((F.col("type") == "subtitles") & F.col("dialogue"), F.col("lang"))).alias("found"),
-        F.min_by(F.struct("track_id", "lang"), F.when(speaks, F.struct(F.when(F.col("is_default"), 0).otherwise(1), "track_id"))).alias("main"))
+    films = _anchored(_films(rows, _dialect().alias("dialect")))
+    found = F.array_distinct(F.transform(F.filter("subs", lambda t: t["dialogue"]), lambda t: t["lang"]))
+    films = films.withColumn("found", found)
     _, missing = _covered(desired, script_equivalent)
-    films = films.select("media_id", "kept_audio", "kept_subtitles", missing.alias("missing"), F.col("main.track_id").alias("main_id"), F.col("main.lang").alias("main_lang"))
-    order = Window.partitionBy("media_id", "lang").orderBy(*subtitle_rank())
-    best = rows.filter("type = 'subtitles' and not incomplete").withColumn("n", F.row_number().over(order)).filter("n <= 2")
-    tier = F.when((F.col("main_lang") != "und") & (F.col("lang") == F.col("main_lang")), 0).when(F.col("lang") == "en", 1).otherwise(2)
-    tiered = best.join(films.select("media_id", "main_lang"), "media_id").withColumn("tier", tier)
-    source = tiered.groupBy("media_id").agg(
-        F.min_by("track_id", F.when(F.col("tier") < 2, F.struct("tier", "track_id"))).alias("useful"), F.min_by("track_id", F.struct("tier", *subtitle_rank())).alias("other")
-    ).select("media_id", F.coalesce("useful", "other").alias("source_id"))
-    scripts = best_tracks(rows.filter("lang in ('zh-CN', 'zh-TW')")).filter("not incomplete").groupBy("media_id").agg(F.min("track_id").alias("script_id"))
-    plan = films.join(source, "media_id", "left").join(scripts, "media_id", "left")
+
+    def script(lang):
+        rank = F.transform(F.filter("subs", lambda t: t["lang"] == lang), lambda t: F.struct(t["dialect"].alias("r0"), *subtitle_rank(lambda c: t[c])))
+        best = F.array_min(rank)
+        return F.when(best["r1"] == 0, best["r4"])
+
+    source = F.array_min(F.transform("useful", lambda t: F.struct(t["tier"].alias("tier"), t["track_id"].alias("track_id"))))["track_id"]
+    plan = films.select(
+        "media_id", F.size("audio").cast("long").alias("kept_audio"),
+        F.size(F.filter("subs", lambda t: ~t["incomplete"] & t["lang"].isin(*desired))).cast("long").alias("kept_subtitles"), missing.alias("missing"),
+        F.col("main.track_id").alias("main_id"), F.coalesce(source, F.get("ranked", F.lit(0))["track_id"]).alias("source_id"),
+        F.least(script("zh-CN"), script("zh-TW")).alias("script_id"))
     need = F.size("missing") > 0
     convert = need & F.array_contains("missing", "zh-CN") & F.col("script_id").isNotNull()
     status = (

@@ -182,8 +182,7 @@ def main_audio(spark, sf_dir):
 
 @query("e11_source_anchors", "track media", ROWS_SQL + "," + AUDIO_SQL + "," + ANCHOR_SQL + "select media_id, track_id, lang, cast(tier as int) as tier from sa")
 def source_anchors(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return sl.source_anchors(rows, sl.main_audio(rows))
+    return sl.source_anchors(_rows(spark, sf_dir))
 
 
 @query("e12_default_subtitle", "track media", ROWS_SQL + f"""

@@ -1,12 +1,14 @@
 """Plans of queries whose tables outgrow what a plan can tell of their size, and results that must not depend on the form."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cuemill.functions import similarity
 from cuemill.functions import text as T
-from cuemill.operators import catalogue, grouped, intervals, matching, windows
+from cuemill.operators import catalogue, grouped, intervals, matching, selection, windows
 from cuemill.operators.evidence import restored
 from cuemill.plans import all_queries
 from cuemill.streaming import progress as st
@@ -163,3 +165,30 @@ def test_near_pairs_are_sought_only_where_films_are_open(spark):
     evidence = spark.createDataFrame(rows, "track_id long, position int, at_ms long, text string, stable boolean")
     got = matching.independent_evidence(evidence, ["track_id"]).orderBy("track_id").collect()
     assert [tuple(r) for r in got] == [(1, 2, True), (2, 2, True), (3, 2, False), (4, 2, True), (5, 1, False)]
+
+
+@pytest.mark.parametrize("name", ["e11_source_anchors", "h5_library_plan", "e11_main_audio", "e11_best_track"])
+def test_tracks_are_read_once_by_methods_the_jvm_compiles(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = all_queries()[name].build(spark, SF)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(plan)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8_000  # longer ones are interpreted
+    assert plan.toString().count("FileScan parquet [l_orderkey") == 1
+
+
+def test_films_choose_among_their_own_tracks(spark):
+    rows = [(1, 1, "audio", "ger", "", False), (1, 2, "subtitles", "ger", "", False), (1, 3, "subtitles", "ger", "SDH", True), (1, 4, "subtitles", "ger", "Full", True), (1, 5, "subtitles", "eng", "", False),
+            (1, 6, "subtitles", "fre", "", True), (2, 1, "audio", "eng", "Commentary", True), (2, 2, "subtitles", "fre", "Signs/Songs", True), (2, 3, "subtitles", "fre", "", False), (3, 1, "audio", None, "", True),
+            (4, 1, "subtitles", "chi", "Simplified Hant", False), (4, 2, "video", "", None, True)]
+    tracks = spark.createDataFrame(rows, "media_id long, track_id int, type string, language string, name string, is_default boolean").selectExpr(
+        "*", "'AAC' as codec", "false as is_forced", "900L as frames", "900d as span_s")
+    films = spark.createDataFrame([(n, 1000.0) for n in range(1, 5)], "media_id long, duration_s double")
+    made = selection.profiled(tracks, films)
+    assert sorted(map(tuple, selection.source_anchors(made).collect())) == [(1, 2, "de", 0), (1, 4, "de", 0), (1, 5, "en", 1), (2, 3, "fr", 2), (4, 1, "zh", 2)]
+    assert sorted(map(tuple, selection.main_audio(made).collect())) == [(1, 1, "de", 1), (3, 1, "und", 1)]
+    plan = sorted(tuple(r) for r in selection.library_plan(made, ["zh-CN", "en", "de"]).collect())
+    assert plan == [(1, 1, 4, "zh-CN", 1, 2, "translate"), (2, 0, 0, "zh-CN,en,de", None, 3, "no_dialogue_audio"), (3, 1, 0, "zh-CN,en,de", 1, None, "search"), (4, 0, 0, "en,de", None, 1, "no_dialogue_audio")]
