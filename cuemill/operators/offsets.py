@@ -273,49 +273,102 @@ def best_shift(reference: DataFrame, candidate: DataFrame, keys) -> DataFrame:
 REGIONS = (("early", 0.10, 0.35), ("middle", 0.40, 0.65), ("late", 0.70, 0.95))
 
 
+# The moves about the whole-film shift that a region tries, in cells of 100 ms.
+REGION_STEPS = np.arange(-20, 21)
+
+
+def _clipped_cells(at: np.ndarray, until: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cells [a, b) of spans clipped to a region, at least one each; spans outside it, or empty, end before they begin."""
+    start, end = np.maximum(at, low), np.minimum(until, high)
+    a = np.maximum(0, np.rint(start / 100))
+    b = np.maximum(a + 1, np.rint(end / 100))
+    return a, np.where((until > low) & (at < high) & (end > start), b, -1)
+
+
+def _region_scores(r_at, r_until, c_at, c_until, low: float, high: float, hold: int = 4_000_000) -> np.ndarray:
+    """Common active cells over the smaller number of active cells, for every step of one region of one film.
+
+    Spans are ordered by their start, so what each adds to the union of those before it follows from the latest end so far.
+    """
+    def added(at, until):
+        a, b = _clipped_cells(at, until, low, high)
+        reached = np.maximum.accumulate(b, axis=-1)
+        first = np.maximum(a, np.concatenate((np.full((*b.shape[:-1], 1), -1.0), reached[..., :-1]), axis=-1))
+        return first, np.maximum(first, b)
+
+    scores = np.zeros(len(REGION_STEPS))
+    if not len(r_at) or not len(c_at):
+        return scores
+    order = np.argsort(r_at, kind="stable")
+    a, b = added(r_at[order], r_until[order])
+    a, b = a[b > a], b[b > a]
+    n_ref = (b - a).sum()
+    if not n_ref:
+        return scores
+    edges, below = np.stack((a, b), 1).ravel(), np.concatenate(([0], np.cumsum(np.stack((b - a, 0 * a), 1).ravel())[:-1]))
+    order = np.argsort(c_at, kind="stable")
+    for part in np.array_split(np.arange(len(REGION_STEPS)), min(len(REGION_STEPS), 1 + len(REGION_STEPS) * len(c_at) // hold)):
+        move = 100 * REGION_STEPS[part][:, None]
+        a, b = added(c_at[order] + move, c_until[order] + move)
+        n_cand = (b - a).sum(axis=1)
+        common = (np.interp(b, edges, below, right=n_ref) - np.interp(a, edges, below, right=n_ref)).sum(axis=1)
+        scores[part] = np.rint(common) / np.where(n_cand > 0, np.minimum(n_ref, n_cand), 1)
+    return scores
+
+
 def regional_overlap(reference, candidate, shifts, durations, keys) -> DataFrame:
     """Best local shift within two seconds of the whole-film shift, in three regions.
 
-    `shifts(keys, shift_ms)`. Intervals are clipped to the region, moved to 41 shifts and merged
-    per shift; overlap is taken from runs, not from cells.
+    `shifts(keys, shift_ms)`. Spans meet their region once, and all moves are tried inside its row. Of spans that start
+    together only the longest is kept there, so a row has at most one a millisecond of its region.
     """
     label = F.explode(F.array(*[
         F.struct(F.lit(n).alias("region"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for n, a, b in REGIONS
     ]))
-    regions = durations.select(*keys, "duration_ms", label.alias("r")).select(
-        *keys, "r.region", (F.col("duration_ms") * F.col("r.lo")).alias("low_ms"), (F.col("duration_ms") * F.col("r.hi")).alias("high_ms"))
-    slot = [*keys, "region"]
+    films = durations.select(*keys, "duration_ms").join(shifts.select(*keys, "shift_ms"), keys)
 
-    def clipped(df):
-        return df.filter((F.col("end_ms") > F.col("low_ms")) & (F.col("start_ms") < F.col("high_ms")))
-
-    def cut(df):
-        return df.withColumns({"start_ms": F.greatest("start_ms", "low_ms"), "end_ms": F.least("end_ms", "high_ms")}).filter("end_ms > start_ms")
-
-    ref_in = clipped(reference.select(*keys, "start_ms", "end_ms").join(regions, keys))
-    cand_all = candidate.select(*keys, "start_ms", "end_ms").join(regions, keys).join(shifts.select(*keys, "shift_ms"), keys)
-    whole = cand_all.withColumns({"start_ms": F.col("start_ms") + F.col("shift_ms"), "end_ms": F.col("end_ms") + F.col("shift_ms")})
-    counts = ref_in.groupBy(*slot).agg(F.count(F.lit(1)).alias("reference_count")).join(
-        clipped(whole).groupBy(*slot).agg(F.count(F.lit(1)).alias("candidate_count")), slot, "full_outer")
-    stepped = cand_all.withColumn("step", F.explode(F.sequence(F.lit(-20), F.lit(20)))).withColumn(
-        "move", F.col("shift_ms") + F.col("step") * 100)
-    stepped = clipped(stepped.withColumns({"start_ms": F.col("start_ms") + F.col("move"), "end_ms": F.col("end_ms") + F.col("move")}))
-    ref_runs = activity_runs(cut(ref_in), slot, 100)
-    tries = [*slot, "step"]
-    cand_runs = activity_runs(cut(stepped), tries, 100)
-    size = F.sum(F.col("b") - F.col("a"))
-    ref_size = ref_runs.groupBy(*slot).agg(size.alias("n_ref"))
-    cand_size = cand_runs.groupBy(*tries).agg(size.alias("n_cand"))
-    met = interval_join(cand_runs, ref_runs.select(*slot, F.col("a").alias("ra"), F.col("b").alias("rb")), slot, ("a", "b"), ("ra", "rb"), width=600)
-    common = met.groupBy(*tries).agg(F.sum(F.least("b", "rb") - F.greatest("a", "ra")).alias("overlap"))
-    grid = regions.select(*slot).withColumn("step", F.explode(F.sequence(F.lit(-20), F.lit(20))))
-    scored = grid.join(cand_size.join(ref_size, slot), tries, "left").join(common, tries, "left").withColumn(
-        "score", F.coalesce(F.coalesce("overlap", F.lit(0)) / F.least("n_ref", "n_cand"), F.lit(0.0)))
-    best = scored.groupBy(*slot).agg(F.max_by("step", F.struct("score", -F.col("step"))).alias("step"), F.max("score").alias("score"))
-    zero = F.lit(0).cast("long")
-    return best.join(shifts.select(*keys, "shift_ms"), keys).join(counts, slot, "left").select(
-        *slot, (F.col("shift_ms") + F.col("step") * 100).alias("offset_ms"), "score",
-        F.coalesce("reference_count", zero).alias("reference_count"), F.coalesce("candidate_count", zero).alias("candidate_count"))
+    def regions(df, *kept):
+        return df.withColumn("r", label).select(
+            *keys, "r.region", (F.col("duration_ms") * F.col("r.lo")).alias("low_ms"), (F.col("duration_ms") * F.col("r.hi")).alias("high_ms"), *kept)
+
+    slot = [*keys, "region"]
+    both = reference.select(*keys, "start_ms", "end_ms", F.lit(False).alias("moved")).unionByName(
+        candidate.select(*keys, "start_ms", "end_ms", F.lit(True).alias("moved"))).join(films, keys)
+    move = F.when(F.col("moved"), F.col("shift_ms")).otherwise(0)
+    near = regions(both, "moved", (F.col("start_ms") + move).alias("at"), (F.col("end_ms") + move).alias("until"))
+    reach = F.when(F.col("moved"), 100 * int(REGION_STEPS[-1])).otherwise(0)
+    inside = (F.col("until") > F.col("low_ms")) & (F.col("at") < F.col("high_ms"))
+    starts = near.filter((F.col("until") + reach > F.col("low_ms")) & (F.col("at") - reach < F.col("high_ms"))).groupBy(*slot, "moved", "at").agg(
+        F.max("until").alias("until"), F.count_if(inside).alias("n"))
+
+    def listed(own):
+        return F.collect_list(F.when(own, F.struct("at", "until")))
+
+    def counted(own):
+        return F.sum(F.when(own, F.col("n")).otherwise(0))
+
+    own = F.col("moved")
+    met = starts.groupBy(*slot).agg(
+        listed(~own).alias("r"), listed(own).alias("c"), counted(~own).alias("reference_count"), counted(own).alias("candidate_count"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    rows = regions(films, "shift_ms").join(met, slot, "left").select(
+        *slot, "low_ms", "high_ms", "shift_ms", *[F.coalesce(c, zero).alias(c) for c in ("reference_count", "candidate_count")],
+        *[F.coalesce(f"{side}.{c}", none).alias(f"{side}_{c}") for side in "rc" for c in ("at", "until")])
+    types = dict(rows.dtypes)
+    columns = [*slot, "offset_ms", "score", "reference_count", "candidate_count"]
+    schema = ", ".join([f"{k} {types[k]}" for k in slot] + ["offset_ms long", "score double", "reference_count long", "candidate_count long"])
+
+    def judged(parts):
+        for part in parts:
+            found = []
+            for row in part.itertuples(index=False):
+                spans = [np.asarray(x, np.int64) for x in (row.r_at, row.r_until, row.c_at, row.c_until)]
+                scores = _region_scores(*spans, row.low_ms, row.high_ms)
+                best = int(np.argmax(scores))
+                found.append((*(getattr(row, k) for k in slot), int(row.shift_ms + 100 * REGION_STEPS[best]), float(scores[best]), row.reference_count, row.candidate_count))
+            yield pd.DataFrame(found, columns=columns)
+
+    return rows.mapInPandas(judged, schema)
 
 
 def structure_verdict(whole: DataFrame, regional: DataFrame, keys) -> DataFrame:

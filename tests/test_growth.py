@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import similarity
 from cuemill.functions import text as T
-from cuemill.operators import catalogue, grouped, intervals, matching, selection, windows
+from cuemill.operators import catalogue, grouped, intervals, matching, offsets, selection, windows
 from cuemill.operators.evidence import restored
 from cuemill.plans import all_queries
 from cuemill.streaming import progress as st
@@ -192,3 +192,46 @@ def test_films_choose_among_their_own_tracks(spark):
     assert sorted(map(tuple, selection.main_audio(made).collect())) == [(1, 1, "de", 1), (3, 1, "und", 1)]
     plan = sorted(tuple(r) for r in selection.library_plan(made, ["zh-CN", "en", "de"]).collect())
     assert plan == [(1, 1, 4, "zh-CN", 1, 2, "translate"), (2, 0, 0, "zh-CN,en,de", None, 3, "no_dialogue_audio"), (3, 1, 0, "zh-CN,en,de", 1, None, "search"), (4, 0, 0, "en,de", None, 1, "no_dialogue_audio")]
+
+
+def test_moves_of_a_region_are_not_rows(spark):
+    plan = plan_of(spark, "d16_regional_overlap")
+    assert "Window" not in plan and "sequence(" not in plan
+
+
+def test_regions_choose_what_their_cells_choose(spark):
+    draw = np.random.default_rng(11)
+    length, rows, moved = 40_000, [], []
+    for film in range(6):
+        for at in draw.integers(0, length // 50, 30) * 50 + (film > 3) * draw.integers(0, 50, 30):
+            rows.append((film, int(at), int(at + draw.choice([0, 30, 50, 850, 2_450]))))
+        moved += [(film, int(a - 300 + 100 * draw.integers(-1, 2)), int(b - 300)) for _, a, b in rows[-30:] if draw.random() < 0.8]
+    rows += [(1, 20_000, 20_050)] * 3
+
+    def cells(spans, low, high):
+        found = set()
+        for at, until in spans:
+            if until > low and at < high and min(until, high) > max(at, low):
+                a = max(0, round(max(at, low) / 100))
+                found |= set(range(a, max(a + 1, round(min(until, high) / 100))))
+        return found
+
+    want = []
+    for film in range(7):
+        for name, lo, hi in offsets.REGIONS:
+            low, high = length * lo, length * hi
+            ref = [(a, b) for f, a, b in rows if f == film]
+            cand = [(a + 300, b + 300) for f, a, b in moved if f == film]
+            there, scores = cells(ref, low, high), []
+            for step in range(-20, 21):
+                here = cells([(a + step * 100, b + step * 100) for a, b in cand], low, high)
+                scores.append(len(here & there) / min(len(here), len(there)) if here and there else 0.0)
+            n = [sum(b > low and a < high for a, b in side) for side in (ref, cand)]
+            want.append((film, name, 300 + 100 * (scores.index(max(scores)) - 20), max(scores), *n))
+    frame = lambda own: spark.createDataFrame(own, "media_id long, start_ms long, end_ms long")
+    films = spark.createDataFrame([(n, 300, length) for n in range(7)], "media_id long, shift_ms long, duration_ms long")
+    got = offsets.regional_overlap(frame(rows), frame(moved), films.drop("duration_ms"), films.drop("shift_ms"), ["media_id"])
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    one = [np.array([a for f, a, _ in side if f == 0]) for side in (rows, moved)] + [np.array([b for f, _, b in side if f == 0]) for side in (rows, moved)]
+    whole, parts = (offsets._region_scores(one[0], one[2], one[1], one[3], 4_000.0, 14_000.0, hold) for hold in (10**6, 50))
+    assert whole.tolist() == parts.tolist()
