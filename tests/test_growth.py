@@ -235,3 +235,39 @@ def test_regions_choose_what_their_cells_choose(spark):
     one = [np.array([a for f, a, _ in side if f == 0]) for side in (rows, moved)] + [np.array([b for f, _, b in side if f == 0]) for side in (rows, moved)]
     whole, parts = (offsets._region_scores(one[0], one[2], one[1], one[3], 4_000.0, 14_000.0, hold) for hold in (10**6, 50))
     assert whole.tolist() == parts.tolist()
+
+
+def test_samples_are_chosen_by_lengths(spark):
+    # texts are not sent on to the cue they were joined for
+    assert not re.search(r"hashpartitioning\([^)]*centre", plan_of(spark, "e17_sample_windows"))
+
+
+def test_samples_are_those_of_whole_texts(spark):
+    draw = np.random.default_rng(5)
+    lines = ["go home now", "wait (for", "me) there", "[door]", "one <i>two</i> three", "{\\an8}", "...", "ÉTÉ ﬁn", "a long line of words, said at once", "x"]
+    rows = [(t, n, int(n * 2_500 + draw.integers(0, 4_000)), str(draw.choice(lines))) for t in range(12) for n in range(int(draw.integers(1, 60)))]
+    rows = [(t, n, at, at + int(draw.integers(0, 9_000)), text) for t, n, at, text in rows]
+    lengths = {t: int(draw.choice([0, 20_000, 90_000, 200_000])) for t in range(12)}
+    cues = spark.createDataFrame(rows, "track_id long, cue_ix int, start_ms long, end_ms long, text string")
+    clean = lambda texts: {r.t: r.n for r in spark.createDataFrame([(x,) for x in sorted(set(texts))], "t string").select("t", F.length(T.clean_dialogue_key(F.col("t"))).alias("n")).collect()}
+    heard = clean(r[4] for r in rows)
+    rows, found, want = [r for r in rows if heard[r[4]]], {}, []
+    for track, given in lengths.items():
+        spoken = [r for r in rows if r[0] == track]
+        length = given or max((r[3] for r in spoken), default=0)
+        for _, n, start, end, _ in spoken:
+            low = max(0, start - 6_000)
+            high = min(length, low + 12_000)
+            found.setdefault((track, length), []).append((n, start + end, low, high, " ".join(r[4] for r in spoken if r[3] >= low and r[2] <= high)))
+    density = clean(w[4] for own in found.values() for w in own)
+    for (track, length), around in found.items():
+        last = None
+        for q in range(4):
+            own = [w for w in around if w[1] * 2 // length == q]
+            w = max(own, key=lambda w: (density[w[4]], -w[0])) if own else min(around, key=lambda w: (abs(w[1] - length * (q + 0.5) / 2), w[0]))
+            begin = min(w[2], length - 12_000) if length > 30_000 else w[2]
+            if last is None or begin - last >= 30_000:
+                last = begin
+                want.append((track, q, begin, max(8_000, min(12_000, w[3] - begin)), w[4]))
+    durations = spark.createDataFrame(list(lengths.items()), "track_id long, duration_ms long")
+    assert sorted(map(tuple, windows.sample_windows(cues, durations).collect())) == sorted(want)
