@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,11 @@ ALERT = t.StructType([
     t.StructField("remaining_ms", t.LongType())])
 _SCALARS = t.StructType([
     t.StructField("last_poll", t.LongType()), t.StructField("last_out", t.LongType()), t.StructField("valid", t.IntegerType()), t.StructField("risk", t.IntegerType()),
-    t.StructField("dead", t.BooleanType()), t.StructField("alerted", t.BooleanType())])
-_REPORT = t.StructType([t.StructField(c, t.LongType()) for c in ("arrived_ms", "seq", "out_ms", "total_ms", "budget_ms", "future_ms")])
-_SAMPLE = t.StructType([t.StructField("at", t.LongType()), t.StructField("out", t.LongType())])
+    t.StructField("dead", t.BooleanType()), t.StructField("alerted", t.BooleanType()), t.StructField("samples", t.BinaryType())])
+# A value of a state is a message whose fields are checked and told apart one by one, so lists of numbers are bytes: the
+# samples behind the scalars, and the reports of one batch of rows.
+_REPORTS = t.StructType([t.StructField("rows", t.BinaryType())])
+_REPORT = ["arrived_ms", "seq", "out_ms", "total_ms", "budget_ms", "future_ms"]
 FRESH = (-1, -1, 0, 0, False, False)
 
 
@@ -64,11 +67,20 @@ def observe(scalars: tuple, samples: list, now: int, reports: list, total_ms: in
     return (now, out, valid, risk, dead, alerted or alert is not None), samples, alert
 
 
+def _packed(rows) -> bytes:
+    return np.asarray(rows, np.int64).tobytes()
+
+
+def _unpacked(packed: bytes, width: int) -> list[tuple]:
+    return [*map(tuple, np.frombuffer(packed, np.int64).reshape(-1, width).tolist())]
+
+
 class DeadlineRisk(StatefulProcessor):
-    """State of one process: scalars, the samples of the last 25 s, and the polls that the watermark has not passed.
+    """State of one process: scalars with the samples of the last 25 s, and the polls that the watermark has not passed.
 
     A poll is judged once the watermark has passed it, when no more of its reports can come, so batches of any cut give
-    the same alerts. A process without polls for `expire_ms` is forgotten.
+    the same alerts. A process without polls for `expire_ms` is forgotten. Each call to a state or a timer is a message
+    between processes, so their number is by batch and process, not by poll.
     """
 
     def __init__(self, expire_ms: int):
@@ -77,23 +89,26 @@ class DeadlineRisk(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.scalars = handle.getValueState("scalars", _SCALARS)
-        self.samples = handle.getListState("samples", _SAMPLE)
-        self.open = handle.getListState("open", _REPORT)
+        self.open = handle.getListState("open", _REPORTS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.scalars.get()[0] if self.scalars.exists() else -1
-        new = [tuple(int(v) for v in r) for frame in rows for r in frame[_REPORT.names].itertuples(index=False) if r.arrived_ms > seen]
+        seen = (self.scalars.get() or FRESH)[0]
+        new = []
+        for frame in rows:
+            reports = frame[_REPORT].astype("int64").to_numpy()
+            new.append(reports[reports[:, 0] > seen])
+        new = [reports for reports in new if len(reports)]
         if new:
-            self.open.appendList(new)
-        for at in sorted({r[0] for r in new}):
-            self.handle.registerTimer(at)
+            self.open.appendList([(_packed(reports),) for reports in new])
+            # one timer stands for all polls of the batch: when it expires, all that are passed are judged, and the first one left gets the next
+            self.handle.registerTimer(int(min(reports[:, 0].min() for reports in new)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
-        held = sorted(tuple(r) for r in self.open.get()) if self.open.exists() else []
-        scalars = tuple(self.scalars.get()) if self.scalars.exists() else FRESH
-        samples = [tuple(s) for s in self.samples.get()] if self.samples.exists() else []
+        held = sorted(r for value in self.open.get() for r in _unpacked(value[0], len(_REPORT)))
+        kept = self.scalars.get()
+        scalars, samples = (tuple(kept[:6]), _unpacked(kept[6], 2)) if kept else (FRESH, [])
         alerts = []
         for now, poll in groupby((r for r in held if r[0] <= passed), key=lambda r: r[0]):
             poll = list(poll)
@@ -104,14 +119,15 @@ class DeadlineRisk(StatefulProcessor):
                 alerts.append((int(key[0]), *alert))
         later = [r for r in held if r[0] > passed]
         if not later and passed >= scalars[0] + self.expire_ms:
-            for state in (self.scalars, self.samples, self.open):
-                state.clear()
+            self.scalars.clear()
+            self.open.clear()
         else:
-            self.scalars.update(scalars)
-            self.samples.put([tuple(int(v) for v in s) for s in samples])
-            self.open.put(later)
-            if not later:
-                self.handle.registerTimer(scalars[0] + self.expire_ms)
+            self.scalars.update((*scalars, _packed(samples)))
+            if later:
+                self.open.put([(_packed(later),)])
+            else:
+                self.open.clear()
+            self.handle.registerTimer(later[0][0] if later else scalars[0] + self.expire_ms)
         return iter([pd.DataFrame(alerts, columns=ALERT.names)] if alerts else ())
 
     def close(self) -> None:

@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cuemill.operators.intervals import frame_spans
@@ -157,3 +158,86 @@ def test_poll_rules():
     assert samples == [(12_000, 10)]  # the gap cleared the first sample
     state, samples, alert = st.observe(state, samples, 13_000, [5], 10_000, 60_000)
     assert state[4] and not samples and alert is None  # output went back: no evidence any more
+
+
+class _Calls:
+    """A state of one process that counts the messages which Spark would send."""
+
+    def __init__(self):
+        self.value, self.listed, self.timers, self.sent = None, [], [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        return _Listed(self)
+
+    def registerTimer(self, at):
+        self.sent += 1
+        self.timers.append(at)
+
+    def exists(self):
+        self.sent += 1
+        return self.value is not None
+
+    def get(self):
+        self.sent += 1
+        return self.value
+
+    def update(self, value):
+        self.sent += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+class _Listed:
+    def __init__(self, calls):
+        self.calls, self.rows = calls, []
+
+    def exists(self):
+        self.calls.sent += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.calls.sent += 1
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.calls.sent += len(rows)
+        self.rows += rows
+
+    def put(self, rows):
+        self.calls.sent += len(rows)
+        self.rows = rows
+
+    def clear(self):
+        self.calls.sent += 1
+        self.rows = []
+
+
+class _At:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at + 1
+
+
+def test_messages_are_by_batch_and_not_by_poll():
+    calls, risk = _Calls(), st.DeadlineRisk(600_000)
+    risk.init(calls)
+    polls = pd.DataFrame([(4_000 * k, k, 100 * k, 10_000, 90_000, 0) for k in range(60)], columns=["arrived_ms", "seq", "out_ms", "total_ms", "budget_ms", "future_ms"])
+    frames_of = lambda df: iter([df.iloc[:40], df.iloc[40:]])
+    assert not list(risk.handleInputRows((7,), frames_of(polls), None))
+    assert calls.timers == [0] and calls.sent <= 8
+    # the polls that the watermark has passed are judged at once, and the first one left has the next timer
+    first = [r for f in risk.handleExpiredTimer((7,), _At(20_000), _At(20_000)) for r in f.itertuples(index=False, name=None)]
+    assert not first and calls.timers == [0, 24_000]
+    rest = [r for f in risk.handleExpiredTimer((7,), _At(10**9), _At(10**9)) for r in f.itertuples(index=False, name=None)]
+    assert rest == plain_alerts(polls.assign(proc_id=7)) and len(rest) == 1
+    assert calls.value is None and calls.sent <= 24
