@@ -180,28 +180,6 @@ def _edges(runs: DataFrame, keys, weight: int) -> DataFrame:
     return runs.select(*keys, both.alias("e")).select(*keys, "e.at", F.col("e.w").cast("long").alias("w"))
 
 
-def shift_curve(ref_edges, cand_edges, first_two, keys, low: int, high: int) -> DataFrame:
-    """Correlation c(k) = sum of candidate[t] * reference[t + k] for every shift k in [low, high].
-
-    Step signals change only at their edges, so the second difference of c is minus the sum of
-    products of edge weights at distance k. Edge pairs are far fewer than cell pairs. Two running
-    sums over the shifts of a key, started from the values at `low` and `low + 1`, restore c.
-    `first_two(keys, c0, c1)` must hold every key that is wanted.
-    """
-    steps = curve_steps(ref_edges, cand_edges, keys, low, high)
-    grid = first_two.withColumn("k", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))))
-    along = Window.partitionBy(*keys).orderBy("k")
-    bend = F.when(F.col("k") > low, F.coalesce("x", F.lit(0))).otherwise(0)
-    sloped = grid.join(steps.hint("merge"), [*keys, "k"], "left").withColumn(
-        "slope", F.col("c1") - F.col("c0") - F.sum(bend).over(along)
-    )
-    kept = [c for c in first_two.columns if c not in keys and c not in ("c0", "c1")]
-    return sloped.select(
-        *keys, "k", *kept, (F.col("c0") + F.coalesce(
-            F.sum("slope").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("c"),
-    )
-
-
 def curve_steps(ref_edges, cand_edges, keys, low: int, high: int) -> DataFrame:
     """(keys, k, x): sums of products of edge weights at distance k in [low, high], where there are any."""
     width = max(64, high - low)
@@ -220,34 +198,61 @@ def curve_steps(ref_edges, cand_edges, keys, low: int, high: int) -> DataFrame:
     )
 
 
-def activity_cells(intervals: DataFrame, keys, cell_ms: int) -> DataFrame:
-    """Distinct active cells; an interval fills at least one cell."""
-    a = F.greatest(F.lit(0).cast("long"), F.bround(F.col("start_ms") / cell_ms).cast("long"))
-    b = F.greatest(a + 1, F.bround(F.col("end_ms") / cell_ms).cast("long"))
-    return intervals.select(*keys, F.explode(F.sequence(a, b - 1)).alias("cell")).distinct()
+def _cells(at: np.ndarray, until: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Active cells [a, b) of spans in milliseconds; a span fills at least one cell."""
+    a = np.maximum(0, np.rint(at / size))
+    return a, np.maximum(a + 1, np.rint(until / size))
 
 
-def _cell_edges(cells: DataFrame, keys) -> DataFrame:
-    both = F.explode(F.array(
-        F.struct(F.col("cell").alias("at"), F.lit(1).cast("long").alias("w")),
-        F.struct((F.col("cell") + 1).alias("at"), F.lit(-1).cast("long").alias("w")),
-    ))
-    return cells.select(*keys, both.alias("e")).select(*keys, "e.at", "e.w")
+def _added(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each span [a, b) adds to the union of those before it, in the order of their starts."""
+    reached = np.maximum.accumulate(b, axis=-1)
+    first = np.maximum(a, np.concatenate((np.full((*b.shape[:-1], 1), -1.0), reached[..., :-1]), axis=-1))
+    return first, np.maximum(first, b)
 
 
-def _overlap_curve(reference, candidate, keys, low, high) -> DataFrame:
-    """Common active cells at every shift of the candidate in [low, high] cells."""
-    two = F.explode(F.array(F.lit(0), F.lit(1)))
-    moved = candidate.withColumn("i", two).withColumn("cell", F.col("cell") + low + F.col("i"))
-    # cells are exploded rows whose size no plan can tell, so none of these joins may broadcast
-    start = moved.join(reference.hint("merge"), [*keys, "cell"], "left_semi").groupBy(*keys).agg(
-        F.count_if(F.col("i") == 0).alias("c0"), F.count_if(F.col("i") == 1).alias("c1"))
-    zero = F.lit(0).cast("long")
-    sizes = candidate.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cand")).join(
-        reference.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ref")).hint("merge"), keys)
-    first_two = sizes.join(start.hint("merge"), keys, "left").select(
-        *keys, "n_cand", "n_ref", F.coalesce("c0", zero).alias("c0"), F.coalesce("c1", zero).alias("c1"))
-    return shift_curve(_cell_edges(reference, keys), _cell_edges(candidate, keys), first_two, keys, low, high)
+def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint runs [a, b) in order that cover the same cells."""
+    order = np.argsort(a, kind="stable")
+    a, b = _added(a[order], b[order])
+    return a[b > a], b[b > a]
+
+
+def _common(edges: np.ndarray, below: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cells of the runs [a, b) that a union covers; `below` counts its cells up to each of its `edges`."""
+    return np.rint((np.interp(b, edges, below) - np.interp(a, edges, below)).sum(axis=-1))
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of disjoint runs, and the number of cells up to each."""
+    edges = np.stack((a, b), 1).ravel()
+    return edges, np.concatenate(([0], np.cumsum(np.stack((b - a, 0 * a), 1).ravel())[:-1]))
+
+
+def _overlaps(reference: tuple, candidate: tuple, shifts: np.ndarray, hold: int = 1_000_000) -> np.ndarray:
+    """Common cells of two sets of disjoint runs at every shift of the candidate; `hold` numbers are held at a time."""
+    (edges, below), (a, b) = _counted(*reference), candidate
+    found = np.zeros(len(shifts))
+    for part in np.array_split(np.arange(len(shifts)), min(len(shifts), 1 + len(shifts) * len(a) // hold)):
+        move = shifts[part][:, None]
+        found[part] = _common(edges, below, a + move, b + move)
+    return found
+
+
+# Cells of the coarse and the fine grid, and the shifts that are tried on each, in its own cells.
+COARSE_MS, COARSE_SHIFTS, FINE_MS, FINE_SHIFTS = 500, np.arange(-240, 241), 100, np.arange(-10, 11)
+
+
+def _film_shift(r_at, r_until, c_at, c_until) -> tuple[int, int, int]:
+    """Best shift of one film in fine cells, its overlap, and the smaller number of active fine cells."""
+    def grid(size):
+        return _union(*_cells(r_at, r_until, size)), _union(*_cells(c_at, c_until, size))
+
+    coarse = COARSE_SHIFTS[np.argmax(_overlaps(*grid(COARSE_MS), COARSE_SHIFTS))] * (COARSE_MS // FINE_MS)
+    reference, candidate = grid(FINE_MS)
+    curve = _overlaps(reference, candidate, FINE_SHIFTS + coarse)
+    best = int(np.argmax(curve))
+    return int(coarse + FINE_SHIFTS[best]), int(curve[best]), int(min((b - a).sum() for a, b in (reference, candidate)))
 
 
 def best_shift(reference: DataFrame, candidate: DataFrame, keys) -> DataFrame:
@@ -255,18 +260,32 @@ def best_shift(reference: DataFrame, candidate: DataFrame, keys) -> DataFrame:
 
     2 Hz over +-120 s, then 10 Hz within one second of the coarse winner; the smallest shift wins
     a tie; the score is the overlap over the smaller number of active cells.
+
+    All shifts are tried inside the row of a film, on runs of cells; no cell is a row. Of spans that start in the same
+    cells only the longest is kept there, so a row has at most ten a second of its film.
     """
-    first = lambda: F.max_by("k", F.struct("c", -F.col("k")))
-    coarse_ref, coarse_cand = (activity_cells(df, keys, 500) for df in (reference, candidate))
-    coarse = _overlap_curve(coarse_ref, coarse_cand, keys, -240, 240).groupBy(*keys).agg(first().alias("coarse"))
-    fine_ref, fine_cand = (activity_cells(df, keys, 100) for df in (reference, candidate))
-    base = F.col("coarse") * 5
-    # The candidate is moved to the coarse winner; the curve around it comes from edges again.
-    near = fine_cand.join(coarse.hint("merge"), keys).select(*keys, (F.col("cell") + base).alias("cell"))
-    best = _overlap_curve(fine_ref, near, keys, -10, 10).groupBy(*keys).agg(
-        first().alias("k"), F.max("c").alias("overlap"), F.first("n_cand").alias("n_cand"), F.first("n_ref").alias("n_ref"))
-    return best.join(coarse.hint("merge"), keys).select(
-        *keys, ((base + F.col("k")) * 100).cast("long").alias("shift_ms"), "overlap", (F.col("overlap") / F.least("n_ref", "n_cand")).alias("score"))
+    at = F.greatest(F.lit(0).cast("long"), F.col("start_ms"))
+    until = F.coalesce("end_ms", at)
+
+    def longest(df, name):
+        starts = df.select(*keys, at.alias("at"), until.alias("until"), *[F.bround(at / size).alias(f"_{size}") for size in (COARSE_MS, FINE_MS)])
+        kept = starts.groupBy(*keys, f"_{COARSE_MS}", f"_{FINE_MS}").agg(F.min("at").alias("at"), F.max("until").alias("until"))
+        return kept.groupBy(*keys).agg(F.collect_list("at").alias(f"{name}_at"), F.collect_list("until").alias(f"{name}_until"))
+
+    rows = longest(reference, "r").join(longest(candidate, "c").hint("merge"), keys)
+    types = dict(rows.dtypes)
+    columns = [*keys, "shift_ms", "overlap", "score"]
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["shift_ms long", "overlap long", "score double"])
+
+    def judged(parts):
+        for part in parts:
+            found = []
+            for row in part.itertuples(index=False):
+                shift, overlap, least = _film_shift(*[np.asarray(x, np.int64) for x in (row.r_at, row.r_until, row.c_at, row.c_until)])
+                found.append((*(getattr(row, k) for k in keys), FINE_MS * shift, overlap, overlap / least))
+            yield pd.DataFrame(found, columns=columns)
+
+    return rows.mapInPandas(judged, schema)
 
 
 # The three regions, as tenths of a percent of the film.
@@ -291,10 +310,7 @@ def _region_scores(r_at, r_until, c_at, c_until, low: float, high: float, hold:
     Spans are ordered by their start, so what each adds to the union of those before it follows from the latest end so far.
     """
     def added(at, until):
-        a, b = _clipped_cells(at, until, low, high)
-        reached = np.maximum.accumulate(b, axis=-1)
-        first = np.maximum(a, np.concatenate((np.full((*b.shape[:-1], 1), -1.0), reached[..., :-1]), axis=-1))
-        return first, np.maximum(first, b)
+        return _added(*_clipped_cells(at, until, low, high))
 
     scores = np.zeros(len(REGION_STEPS))
     if not len(r_at) or not len(c_at):
@@ -305,14 +321,13 @@ def _region_scores(r_at, r_until, c_at, c_until, low: float, high: float, hold:
     n_ref = (b - a).sum()
     if not n_ref:
         return scores
-    edges, below = np.stack((a, b), 1).ravel(), np.concatenate(([0], np.cumsum(np.stack((b - a, 0 * a), 1).ravel())[:-1]))
+    edges, below = _counted(a, b)
     order = np.argsort(c_at, kind="stable")
     for part in np.array_split(np.arange(len(REGION_STEPS)), min(len(REGION_STEPS), 1 + len(REGION_STEPS) * len(c_at) // hold)):
         move = 100 * REGION_STEPS[part][:, None]
         a, b = added(c_at[order] + move, c_until[order] + move)
         n_cand = (b - a).sum(axis=1)
-        common = (np.interp(b, edges, below, right=n_ref) - np.interp(a, edges, below, right=n_ref)).sum(axis=1)
-        scores[part] = np.rint(common) / np.where(n_cand > 0, np.minimum(n_ref, n_cand), 1)
+        scores[part] = _common(edges, below, a, b) / np.where(n_cand > 0, np.minimum(n_ref, n_cand), 1)
     return scores
 
 

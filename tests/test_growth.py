@@ -290,3 +290,31 @@ def test_spans_with_tokens_that_are_no_words_are_scored():
     first, second = grouped.best_spans(text, tokens, starts, ends)
     assert first == (similarity.dialogue_similarity(text, "5 go ein wort"), 0, 3)
     assert second == similarity.dialogue_similarity(text, "go ein wort go")
+
+
+@pytest.mark.parametrize("name", ["d15_best_shift", "d16_structure_verdict"])
+def test_activity_is_not_listed_cell_by_cell(spark, name):
+    assert "sequence(" not in plan_of(spark, name)
+
+
+def test_shifts_tried_on_runs_are_those_of_cells(spark):
+    draw = np.random.default_rng(5)
+    rows = [(m, int(s), int(s + d)) for m in range(6) for s, d in zip(draw.integers(-900, 300_000, 60), draw.integers(-50, 4_000, 60))]
+    moved = [(m, s + 700 * (m - 3) + 41, e + 700 * (m - 3) + 90) for m, s, e in rows[::2]]
+    reference, candidate = (spark.createDataFrame(r, "media_id long, start_ms long, end_ms long") for r in (rows, moved))
+
+    def cells(spans, m, size):
+        found = set()
+        for _, s, e in (r for r in spans if r[0] == m):
+            a = max(0, round(s / size))
+            found.update(range(a, max(a + 1, round(e / size))))
+        return found
+
+    want = []
+    for m in range(6):
+        a, b = cells(rows, m, 500), cells(moved, m, 500)
+        coarse = max(range(-240, 241), key=lambda k: (len(a & {x + k for x in b}), -k)) * 5
+        a, b = cells(rows, m, 100), cells(moved, m, 100)
+        overlap, k = max((len(a & {x + coarse + k for x in b}), -k) for k in range(-10, 11))
+        want.append((m, (coarse - k) * 100, overlap, overlap / min(len(a), len(b))))
+    assert [tuple(r) for r in offsets.best_shift(reference, candidate, ["media_id"]).orderBy("media_id").collect()] == want
