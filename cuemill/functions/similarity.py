@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -19,6 +21,73 @@ def _ratio(a, b, autojunk: bool = True) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
+#: From this length on difflib begins blocks only at characters that are rare in the second text.
+_AUTOJUNK = 200
+
+
+@functools.lru_cache(16)
+def _rare_places(b: str) -> dict[str, list[int]]:
+    places: dict = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    return {c: js for c, js in places.items() if len(js) <= len(b) // 100 + 1}
+
+
+def _matched_from_rare(a: str, b: str) -> int:
+    """Characters in the matching blocks of `a` and a long `b`: the longest run of rare characters, and what is equal around it."""
+    places = _rare_places(b)
+    at = [i for i, c in enumerate(a) if c in places]
+    matched, left = 0, [(0, len(a), 0, len(b))]
+    while left:
+        alo, ahi, blo, bhi = left.pop()
+        i, j, size, runs, last = alo, blo, 0, {}, -2
+        for x in at[bisect_left(at, alo):bisect_left(at, ahi)]:
+            before, runs = runs if x == last + 1 else {}, {}
+            last = x
+            for y in places[a[x]]:
+                if blo <= y < bhi:
+                    k = runs[y] = before.get(y - 1, 0) + 1
+                    if k > size:
+                        i, j, size = x - k + 1, y - k + 1, k
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        if size:
+            matched += size
+            if alo < i and blo < j:
+                left.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                left.append((i + size, ahi, j + size, bhi))
+    return matched
+
+
+def _matched(a: str, b: str) -> int:
+    """Characters in the matching blocks of two texts. The longest block is sought by searching for ever longer pieces of one
+    text in the other, so the steps are searches and not characters times characters."""
+    matched, left = 0, [(a, b)]
+    while left:
+        x, y = left.pop()
+        n, size, at, i = len(x), 0, 0, 0
+        while i + size < n:  # the first of the longest blocks counts
+            while i + size < n and x[i:i + size + 1] in y:
+                size, at = size + 1, i
+            i += 1
+        if size:
+            j, matched = y.find(x[at:at + size]), matched + size
+            if at and j:
+                left.append((x[:at], y[:j]))
+            if at + size < n and j + size < len(y):
+                left.append((x[at + size:], y[j + size:]))
+    return matched
+
+
+def char_ratio(a: str, b: str) -> float:
+    """`SequenceMatcher(None, a, b).ratio()` of two texts."""
+    found = _matched_from_rare if len(b) >= _AUTOJUNK else _matched
+    return 2.0 * found(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def _f1(common: int, n: int, m: int) -> float:
     return 2 * common / (n + m) if n + m else 0.0
 
@@ -28,7 +97,7 @@ def dialogue_similarity(a: str | None, b: str | None) -> float:
     if not a or not b:
         return 0.0
     u, v = WORD.findall(a), WORD.findall(b)
-    chars = _ratio(a, b)
+    chars = char_ratio(a, b)
     if not u or not v:
         return chars * 0.7
     bag = _f1(sum((Counter(u) & Counter(v)).values()), len(u), len(v))
@@ -44,10 +113,9 @@ def dialogue_score(expected: pd.Series, observed: pd.Series) -> pd.Series:
 def text_scores(expected: pd.Series, observed: pd.Series) -> pd.DataFrame:
     """`dialogue_similarity`, and a tolerant similarity of two key texts; character pairs stand for words in CJK.
 
-    The ratio of the characters serves both, and an observed text that stands in several rows in turn is indexed once.
+    The ratio of the characters serves both, and an observed text that stands in several rows in turn is read once.
     """
-    chars, ordered = difflib.SequenceMatcher(), difflib.SequenceMatcher()
-    last, v, bag = None, [], Counter()
+    ordered, last, v, bag = difflib.SequenceMatcher(), None, [], Counter()
 
     def one(a, b):
         nonlocal last, v, bag
@@ -56,10 +124,8 @@ def text_scores(expected: pd.Series, observed: pd.Series) -> pd.DataFrame:
         if b != last:
             last, v = b, WORD.findall(b)
             bag = Counter(v)
-            chars.set_seq2(b)
             ordered.set_seq2(v)
-        chars.set_seq1(a)
-        u, ratio = WORD.findall(a), chars.ratio()
+        u, ratio = WORD.findall(a), char_ratio(a, b)
         dialogue = ratio * 0.7
         if u and v:
             ordered.set_seq1(u)

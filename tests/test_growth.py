@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,17 @@ def test_shifts_tried_on_runs_are_those_of_cells(spark):
         overlap, k = max((len(a & {x + coarse + k for x in b}), -k) for k in range(-10, 11))
         want.append((m, (coarse - k) * 100, overlap, overlap / min(len(a), len(b))))
     assert [tuple(r) for r in offsets.best_shift(reference, candidate, ["media_id"]).orderBy("media_id").collect()] == want
+
+
+def test_letters_are_not_compared_one_by_one(monkeypatch):
+    draw = np.random.default_rng(11)
+    texts = ["".join(draw.choice([*"abcdefgh ijklmnop"[:w]], n)) for w in (3, 9, 17) for n in (0, 1, 7, 40, 199, 200, 330)]
+    texts += [t[5:60] + "rare Q" + t[:90] for t in texts]
+    for a in texts:
+        for b in texts:
+            assert similarity.char_ratio(a, b) == similarity._ratio(a, b)
+    ratio, compared = similarity.difflib.SequenceMatcher.ratio, []
+    monkeypatch.setattr(similarity.difflib.SequenceMatcher, "ratio", lambda self: compared.append(isinstance(self.a, str)) or ratio(self))
+    pair = pd.Series(["go home now", "we went home"]), pd.Series(["home you go", "go on " * 50])
+    assert similarity.text_scores.func(*pair).dialogue.tolist() == [similarity.dialogue_similarity(a, b) for a, b in zip(*pair)]
+    assert compared and not any(compared)
