@@ -333,3 +333,14 @@ def test_letters_are_not_compared_one_by_one(monkeypatch):
     pair = pd.Series(["go home now", "we went home"]), pd.Series(["home you go", "go on " * 50])
     assert similarity.text_scores.func(*pair).dialogue.tolist() == [similarity.dialogue_similarity(a, b) for a, b in zip(*pair)]
     assert compared and not any(compared)
+
+
+@pytest.mark.parametrize("name", ["d30_independent_evidence", "d36_burn_in_verdict"])
+def test_evidence_keys_are_made_once(spark, name):
+    assert "regexp_replace" not in plan_of(spark, name)  # but in the table that the plan reads
+    rows = [(1, 0, 0, "...", True), (1, 0, 20_000, "aa", True), (2, 0, 0, "A a!", True), (2, 0, 20_000, "bb", False), (3, 0, 0, None, True)]
+    evidence = spark.createDataFrame(rows, "track_id long, position int, at_ms long, text string, stable boolean")
+    assert sorted(tuple(r) for r in matching.independent_evidence(evidence, ["track_id"]).collect()) == [(1, 1, False), (2, 2, True)]
+    positions = spark.createDataFrame([(n, True, False) for n in (1, 2, 3, 4) for _ in range(12)], "track_id long, valid boolean, unresolved boolean")
+    got = matching.burn_in_verdict(positions, evidence, ["track_id"]).orderBy("track_id").collect()
+    assert [tuple(r) for r in got] == [(1, 12, "uncertain"), (2, 12, "detected"), (3, 12, "uncertain"), (4, 12, "not_detected")]
