@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.operators.intervals import interval_join, merge_intervals
-from cuemill.operators.grouped import spread
-from cuemill.operators.offsets import _edges, curve_steps, run_overlap
+from cuemill.operators.intervals import merge_intervals
+from cuemill.operators.offsets import _common, _counted, _union
 from cuemill.session import ensure_checkpoint_dir
 
 # Fixed values.
@@ -91,45 +90,75 @@ def signal_curve(reference, candidate, domain, keys, radius: int) -> DataFrame:
     """(keys, n_cand, c0, c1, ks, xs): the +-1 correlation of every key of `domain` over shifts in (-radius, +radius], as its
     values at the lowest two shifts, which come from interval overlaps, and the products of edges `xs` at the shifts `ks` where
     its slope changes. That is a row for each key, and far fewer numbers than shifts."""
-    reference, candidate = (df.join(domain.select(*keys), keys, "left_semi") for df in (reference, candidate))
-    low, high = 1 - radius, radius
-    size = F.explode(F.array(F.lit(0), F.lit(1)))
-    spans = domain.withColumn("i", size).withColumn("k", F.lit(low) + F.col("i"))
-    left, right = F.greatest(F.lit(0).cast("long"), F.col("k")), F.least("n_ref", F.col("n_cand") + F.col("k"))
-    spans = spans.select(*keys, "n_cand", "i", "k", left.alias("lo"), F.greatest(left, right).alias("hi"))
-    slot = [*keys, "i"]
-
-    def inside(runs):
-        met = runs.join(spans.select(*slot, "lo", "hi"), keys)
-        part = F.greatest(F.lit(0).cast("long"), F.least("b", "hi") - F.greatest("a", "lo"))
-        return met.groupBy(*slot).agg(F.sum(part).alias("n"))
-
-    moved = candidate.join(spans.select(*slot, "k"), keys).select(*slot, (F.col("a") + F.col("k")).alias("a"), (F.col("b") + F.col("k")).alias("b"))
-    both = run_overlap(reference.join(spans.select(*slot), keys), moved, slot, 6_000)
-    zero = F.lit(0).cast("long")
-    value = 4 * F.coalesce("overlap", zero) - 2 * F.coalesce("nr", zero) - 2 * F.coalesce("nc", zero) + F.col("hi") - F.col("lo")
-    start = (
-        spans.join(both, slot, "left").join(inside(reference).withColumnRenamed("n", "nr"), slot, "left")
-        .join(_inside_moved(moved, spans, slot), slot, "left")
-        .groupBy(*keys, "n_cand").agg(F.max(F.when(F.col("i") == 0, value)).alias("c0"), F.max(F.when(F.col("i") == 1, value)).alias("c1")))
+    rows = domain.select(*keys, "n_ref", "n_cand")
+    for runs, name in ((reference, "r"), (candidate, "c")):
+        rows = rows.join(_listed(runs, keys, name, "a", "b"), keys, "left")
+    return _curves(_filled(rows, "r_a", "r_b", "c_a", "c_b"), keys, radius)
+
+
+def _filled(rows: DataFrame, *lists: str) -> DataFrame:
+    """Empty lists where a key had no rows."""
+    return rows.withColumns({c: F.coalesce(c, F.array().cast("array<bigint>")) for c in lists})
+
+
+def _listed(rows, keys, name: str, *columns: str) -> DataFrame:
+    """The columns of a key's rows as lists of one row, in one order."""
+    listed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in columns])).alias("v"))
+    return listed.select(*keys, *[F.col(f"v.{c}").alias(f"{name}_{c}") for c in columns])
+
+
+def _mapped(rows: DataFrame, keys, columns: str, of) -> DataFrame:
+    """The rows that `of` gives for each row (values of `columns`), behind its keys."""
+    types = dict(rows.dtypes)
+    names = [*keys, *[c.split()[0] for c in columns.split(", ")]]
+
+    def each(parts):
+        for part in parts:
+            yield pd.DataFrame([(*(getattr(row, k) for k in keys), *found) for row in part.itertuples(index=False) for found in of(row)], columns=names)
+
+    return rows.mapInPandas(each, ", ".join([f"{k} {types[k]}" for k in keys] + [columns]))
+
+
+def _long(*lists) -> list[np.ndarray]:
+    return [np.asarray(x, np.int64) for x in lists]
+
 
-    def edges(runs, length):
-        frame = domain.select(*keys, F.explode(F.array(
-            F.struct(F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("w")),
-            F.struct(F.col(length).alias("at"), F.lit(1).cast("long").alias("w")))).alias("e")).select(*keys, "e.at", "e.w")
-        return _edges(runs, keys, 2).unionByName(frame)
+def _bends(r_at, r_w, c_at, c_w, low: int, high: int, hold: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of edge weights at the distances low .. high, where they are not zero; `hold` pairs are held at a time."""
+    sums = np.zeros(high - low + 1)
+    order = np.argsort(r_at, kind="stable")
+    r_at, r_w = r_at[order], r_w[order]
+    first, end = np.searchsorted(r_at, c_at + low), np.searchsorted(r_at, c_at + high, side="right")
+    pairs = np.cumsum(end - first)
+    for part in np.split(np.arange(len(c_at)), np.flatnonzero(np.diff(pairs // hold)) + 1):
+        n = (end - first)[part]
+        at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums += np.bincount(r_at[at] - np.repeat(c_at[part], n) - low, r_w[at] * np.repeat(c_w[part], n), len(sums))
+    ks = np.flatnonzero(sums)
+    return ks + low, np.rint(sums[ks]).astype(np.int64)
 
-    steps = curve_steps(edges(reference, "n_ref"), edges(candidate, "n_cand"), keys, low, high).filter("x <> 0")
-    bends = steps.groupBy(*keys).agg(F.collect_list(F.struct("k", "x")).alias("v"))
-    empty = F.array().cast("array<bigint>")
-    return start.join(bends.hint("merge"), keys, "left").select(
-        *keys, "n_cand", "c0", "c1", F.coalesce("v.k", empty).alias("ks"), F.coalesce("v.x", empty).alias("xs"))
 
+def _curves(rows: DataFrame, keys, radius: int) -> DataFrame:
+    """`signal_curve` of rows that hold both signals: n_ref, n_cand, and the runs [r_a, r_b), [c_a, c_b)."""
+    low, high = 1 - radius, radius
+
+    def edges(a, b, n):
+        return np.concatenate((a, b, [0, n])), np.concatenate((np.full(len(a), 2), np.full(len(b), -2), [-1, 1]))
 
-def _inside_moved(moved, spans, slot):
-    met = moved.join(spans.select(*slot, "lo", "hi"), slot)
-    part = F.greatest(F.lit(0).cast("long"), F.least("b", "hi") - F.greatest("a", "lo"))
-    return met.groupBy(*slot).agg(F.sum(part).alias("nc"))
+    def curve(row):
+        r_a, r_b, c_a, c_b = _long(row.r_a, row.r_b, row.c_a, row.c_b)
+        values = []
+        order = np.argsort(r_a)
+        at, below = _counted(r_a[order], r_b[order]) if len(r_a) else (np.zeros(1), np.zeros(1))
+        for k in (low, low + 1):
+            lo = max(0, k)
+            hi = max(lo, min(row.n_ref, row.n_cand + k))
+            inside = lambda a, b: int(np.maximum(0, np.minimum(b, hi) - np.maximum(a, lo)).sum())  # noqa: E731, B023
+            values.append(4 * int(_common(at, below, c_a + k, c_b + k)) - 2 * inside(r_a, r_b) - 2 * inside(c_a + k, c_b + k) + hi - lo)
+        ks, xs = _bends(*edges(r_a, r_b, row.n_ref), *edges(c_a, c_b, row.n_cand), low, high)
+        yield row.n_cand, *values, ks.tolist(), xs.tolist()
+
+    return _mapped(rows, keys, "n_cand long, c0 long, c1 long, ks array<long>, xs array<long>", curve)
 
 
 def restored(low: int, high: int, c0: int, c1: int, ks: np.ndarray, xs: np.ndarray) -> np.ndarray:
@@ -182,35 +211,62 @@ def peak_metrics(curves: DataFrame, keys, radius: int, narrow: int | None = None
                 found.append((*(getattr(row, x) for x in keys), *values))
             yield pd.DataFrame(found, columns=columns)
 
-    return spread(curves, *keys).mapInPandas(metrics, schema)
+    return curves.mapInPandas(metrics, schema)
 
 
-def _fifths(media, keys) -> DataFrame:
-    """(keys, n, region, first, last): the five regions of a film in frames."""
-    frames = F.floor(F.col("duration_ms") / 10)
-    at = F.explode(F.sequence(F.lit(0), F.lit(REGION_COUNT - 1)))
-    return media.select(*keys, frames.alias("n"), at.alias("region")).select(
-        *keys, "region", F.floor(F.col("n") * F.col("region") / REGION_COUNT).alias("first"),
-        F.floor(F.col("n") * (F.col("region") + 1) / REGION_COUNT).alias("last"))
+def _fifths(n: int) -> list[tuple[int, int]]:
+    """The five regions of a film of `n` frames."""
+    return [(n * r // REGION_COUNT, n * (r + 1) // REGION_COUNT) for r in range(REGION_COUNT)]
 
 
-def _regions_at(cues, speech, media, offsets, keys) -> DataFrame:
-    """Counts and overlap of every region under `offsets(keys [, region], offset_ms)`."""
-    regions = _fifths(media, keys)
-    slot = [*keys, "region"]
-    local = _local_cues(cues, regions, keys)
-    counts = local.groupBy(*slot).agg(F.count(F.lit(1)).alias("cue_count"), F.count_distinct("start_ms").alias("starts"))
-    voiced = _cut(frame_runs(speech, keys), regions, keys)
-    moved = local.join(offsets, slot if "region" in offsets.columns else keys).withColumn("d", F.bround(F.col("offset_ms") / 10).cast("long"))
-    runs = frame_runs(moved.select(*slot, "first", "last", F.col("start_ms") + F.col("d") * 10, F.col("end_ms") + F.col("d") * 10)
-                      .toDF(*slot, "first", "last", "start_ms", "end_ms"), [*slot, "first", "last"])
-    shown = runs.select(*slot, F.greatest("a", "first").alias("a"), F.least("b", "last").alias("b")).filter("b > a")
-    n = F.sum(F.col("b") - F.col("a"))
-    zero = F.lit(0).cast("long")
-    rows = (
-        regions.join(counts, slot, "left").join(voiced.groupBy(*slot).agg(n.alias("voiced")), slot, "left")
-        .join(shown.groupBy(*slot).agg(n.alias("shown")), slot, "left").join(run_overlap(voiced, shown, slot, 6_000), slot, "left")
-        .withColumns({x: F.coalesce(x, zero) for x in ("cue_count", "starts", "voiced", "shown", "overlap")}))
+def region_rows(cues, voiced, media, keys) -> DataFrame:
+    """(keys, n, c_start_ms, c_end_ms, c_n, r_a, r_b): a row for each film with its dialogue cues, alike ones counted, and the
+    merged runs of its speech. It is read several times, so it is written."""
+    ensure_checkpoint_dir(cues.sparkSession)
+    spoken = cues.filter("dialogue").withColumn("end_ms", F.least("end_ms", F.col("start_ms") + 10_000)).groupBy(*keys, "start_ms", "end_ms").agg(F.count(F.lit(1)).alias("n"))
+    rows = media.select(*keys, F.floor(F.col("duration_ms") / 10).alias("n"))
+    rows = rows.join(_listed(spoken, keys, "c", "start_ms", "end_ms", "n"), keys, "left").join(_listed(voiced, keys, "r", "a", "b"), keys, "left")
+    return _filled(rows, "c_start_ms", "c_end_ms", "c_n", "r_a", "r_b").checkpoint()
+
+
+def _local(row, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dialogue cues that lie in a region with ten seconds to spare on either side."""
+    start, end, n = _long(row.c_start_ms, row.c_end_ms, row.c_n)
+    inside = (start >= (first + 1_000) * 10) & (end <= (last - 1_000) * 10)
+    return start[inside], end[inside], n[inside]
+
+
+def _frames(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `frame_runs`, of one key."""
+    a = np.rint(start / 10)
+    return _union(a, a + np.rint((end - start) / 10))
+
+
+def _clipped(a: np.ndarray, b: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.maximum(a, first), np.minimum(b, last)
+    order = np.flatnonzero(b > a)
+    order = order[np.argsort(a[order], kind="stable")]
+    return a[order], b[order]
+
+
+def _regions_at(rows, offsets, keys) -> DataFrame:
+    """Counts and overlap of every region of `region_rows` under `offsets(keys [, region], offset_ms)`."""
+    region = F.col("region") if "region" in offsets.columns else F.explode(F.sequence(F.lit(0), F.lit(REGION_COUNT - 1)))
+    moves = offsets.select(*keys, region.alias("region"), F.bround(F.col("offset_ms") / 10).alias("d"))
+    met = _filled(rows.join(_listed(moves, keys, "o", "region", "d"), keys, "left"), "o_region", "o_d")
+
+    def counted(row):
+        moved = dict(zip(row.o_region, row.o_d))
+        for region, (first, last) in enumerate(_fifths(row.n)):
+            start, end, n = _local(row, first, last)
+            r_a, r_b = _clipped(*_long(row.r_a, row.r_b), first, last)
+            a, b = np.zeros(0), np.zeros(0)
+            if region in moved:
+                a, b = _clipped(*_frames(start + 10 * moved[region], end + 10 * moved[region]), first, last)
+            overlap = _common(*_counted(r_a, r_b), a, b) if len(r_a) else 0
+            yield region, first, last, int(n.sum()), len(np.unique(start)), int((r_b - r_a).sum()), int((b - a).sum()), int(overlap)
+
+    rows = _mapped(met, keys, "region int, first long, last long, cue_count long, starts long, voiced long, shown long, overlap long", counted)
     size = F.col("last") - F.col("first")
     smaller, expected = F.least("voiced", "shown"), F.col("voiced") * F.col("shown") / size
     ratio = F.col("overlap") / F.greatest(F.lit(1), smaller)
@@ -218,46 +274,41 @@ def _regions_at(cues, speech, media, offsets, keys) -> DataFrame:
     return rows.withColumns({"ratio": ratio, "gain": gain, "enough": (F.col("starts") >= 8) & (F.least(F.col("voiced"), size - F.col("voiced")) >= 500)})
 
 
-def _local_cues(cues, regions, keys) -> DataFrame:
-    """Dialogue cues that lie in a region with ten seconds to spare on either side."""
-    return cues.filter("dialogue").withColumn("end_ms", F.least("end_ms", F.col("start_ms") + 10_000)).join(regions, keys).filter(
-        (F.col("start_ms") >= (F.col("first") + 1_000) * 10) & (F.col("end_ms") <= (F.col("last") - 1_000) * 10))
-
-
-def _cut(runs, regions, keys) -> DataFrame:
-    met = interval_join(runs, regions, keys, ("a", "b"), ("first", "last"), width=60_000)
-    return met.select(*keys, "region", F.greatest("a", "first").alias("a"), F.least("b", "last").alias("b"))
-
-
-def regional_support(cues, speech, media, offsets, keys) -> DataFrame:
+def regional_support(cues, speech, media, offsets, keys, rows: DataFrame | None = None) -> DataFrame:
     """Does a proposed shift hold in disjoint fifths of the film, beyond chance occupancy?
 
-    `offsets(keys, offset_ms)`; cues need `dialogue`. Two supporting regions are asked for later.
+    `offsets(keys, offset_ms)`; cues need `dialogue`. Two supporting regions are asked for later. `rows` are `region_rows` of
+    the same tables, if they are at hand.
     """
     enough = F.col("enough")
-    return _regions_at(cues, speech, media, offsets, keys).select(
+    return _regions_at(region_rows(cues, frame_runs(speech, keys), media, keys) if rows is None else rows, offsets, keys).select(
         *keys, "region", "cue_count", "enough", F.when(enough, F.col("ratio")).alias("overlap_ratio"), F.when(enough, F.col("gain")).alias("overlap_gain"),
         F.coalesce(enough & (F.col("ratio") >= 0.65) & (F.col("gain") >= 0.35), F.lit(False)).alias("supported"))
 
 
-def regional_offsets(cues, speech, media, keys) -> DataFrame:
+def regional_offsets(cues, speech, media, keys, rows: DataFrame | None = None) -> DataFrame:
     """(keys, region, offset_ms, overlap_ratio, overlap_gain, trusted): the shift that each fifth of a film would choose by
     itself. A region is judged if it has 8 different dialogue starts and 5 s of speech and of quiet; its shift is trusted
     if its peak is inside the range, distinct, narrow and without a rival of 0.8, and the cues moved by it overlap speech
     well beyond chance."""
     ensure_checkpoint_dir(cues.sparkSession)
     slot = [*keys, "region"]
-    regions = _fifths(media, keys)
-    still = regions.select(*slot, F.lit(0).cast("long").alias("offset_ms"))
-    judged = _regions_at(cues, speech, media, still, keys).filter("enough").select(*slot, "first", (F.col("last") - F.col("first")).alias("n_ref")).checkpoint()
-    inner = lambda runs: runs.join(judged, slot).select(*slot, (F.col("a") - F.col("first")).alias("a"), (F.col("b") - F.col("first")).alias("b"))
-    voiced = inner(_cut(frame_runs(speech, keys), regions, keys))
-    shown = inner(frame_runs(_local_cues(cues, regions, keys).select(*slot, "start_ms", "end_ms"), slot))
-    domain = judged.select(*slot, "n_ref", F.col("n_ref").alias("n_cand"))
-    peaks = peak_metrics(signal_curve(voiced.checkpoint(), shown.checkpoint(), domain, slot, APPLIED), slot, APPLIED)
+    rows = region_rows(cues, frame_runs(speech, keys), media, keys) if rows is None else rows
+
+    def judged(row):
+        for region, (first, last) in enumerate(_fifths(row.n)):
+            start, end, _ = _local(row, first, last)
+            a, b = _clipped(*_long(row.r_a, row.r_b), first, last)
+            voiced = int((b - a).sum())
+            if len(np.unique(start)) >= 8 and min(voiced, last - first - voiced) >= 500:
+                runs = [(x - first).astype(np.int64).tolist() for x in (a, b, *_frames(start, end))]
+                yield region, last - first, last - first, *runs
+
+    signals = _mapped(rows, keys, "region int, n_ref long, n_cand long, r_a array<long>, r_b array<long>, c_a array<long>, c_b array<long>", judged)
+    peaks = peak_metrics(_curves(signals, slot, APPLIED), slot, APPLIED)
     clear = (F.abs("offset_ms") < 9_900) & (F.col("contrast") > 1e-6) & (F.col("rival_ratio") < 0.8) & (F.col("width_ms") < 1_000)
     peaks = peaks.withColumn("clear", F.coalesce(clear, F.lit(False))).select(*slot, "offset_ms", "clear").checkpoint()
-    moved = _regions_at(cues, speech, media, peaks.filter("clear").select(*slot, "offset_ms"), keys).select(*slot, "ratio", "gain")
+    moved = _regions_at(rows, peaks.filter("clear").select(*slot, "offset_ms"), keys).select(*slot, "ratio", "gain")
     found = peaks.join(moved, slot, "left")
     return found.select(*slot, "offset_ms", F.when(F.col("clear"), F.col("ratio")).alias("overlap_ratio"), F.when(F.col("clear"), F.col("gain")).alias("overlap_gain"),
                         F.coalesce(F.col("clear") & (F.col("ratio") >= 0.65) & (F.col("gain") >= 0.35), F.lit(False)).alias("trusted"))
@@ -335,9 +386,11 @@ def sample_verdict(cues, speech, media, tool, keys, order: str) -> DataFrame:
     length = marked.groupBy(*keys).agg((F.floor(F.max("end_ms") / 10) + 2).alias("n_cand"))
     tried = tool.filter(F.abs("tool_ms") < 9_900).select(*keys)
     domain = media.select(*keys, F.floor(F.col("duration_ms") / 10).alias("n_ref")).join(length, keys).join(tried, keys, "left_semi")
-    peaks = correlation_peaks(frame_runs(speech, keys), frame_runs(marked.filter("signal"), keys), domain, keys)
-    support = regional_support(marked, speech, media, tool.select(*keys, F.col("tool_ms").alias("offset_ms")), keys)
-    return evidence_verdict(precheck(marked, speech, media, keys), peaks, support, tool, keys, regional_offsets(marked, speech, media, keys))
+    voiced = frame_runs(speech, keys).checkpoint()
+    peaks = correlation_peaks(voiced, frame_runs(marked.filter("signal"), keys), domain, keys)
+    rows = region_rows(marked, voiced, media, keys)
+    support = regional_support(marked, speech, media, tool.select(*keys, F.col("tool_ms").alias("offset_ms")), keys, rows)
+    return evidence_verdict(precheck(marked, speech, media, keys), peaks, support, tool, keys, regional_offsets(marked, speech, media, keys, rows))
 
 
 def evidence_ladder(cues, speech, media, tool, keys, order: str, rungs=RUNGS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import similarity
 from cuemill.functions import text as T
-from cuemill.operators import catalogue, grouped, intervals, matching, offsets, selection, windows
+from cuemill.operators import catalogue, evidence, grouped, intervals, matching, offsets, selection, windows
 from cuemill.operators.evidence import restored
 from cuemill.plans import all_queries
 from cuemill.streaming import progress as st
@@ -344,3 +344,23 @@ def test_evidence_keys_are_made_once(spark, name):
     positions = spark.createDataFrame([(n, True, False) for n in (1, 2, 3, 4) for _ in range(12)], "track_id long, valid boolean, unresolved boolean")
     got = matching.burn_in_verdict(positions, evidence, ["track_id"]).orderBy("track_id").collect()
     assert [tuple(r) for r in got] == [(1, 12, "uncertain"), (2, 12, "detected"), (3, 12, "uncertain"), (4, 12, "not_detected")]
+
+
+@pytest.mark.parametrize("name", ["d18_regional_support", "d18_regional_offsets"])
+def test_regions_of_a_film_are_judged_inside_its_row(spark, name):
+    plan = plan_of(spark, name)
+    assert plan.count("Exchange hashpartitioning") <= 8 and plan.count("Join") <= 6
+
+
+def test_bends_are_sums_over_pairs_of_edges():
+    draw = np.random.default_rng(9)
+    for n, m in [(0, 4), (5, 0), (40, 60)]:
+        (r_at, r_w), (c_at, c_w) = ((draw.integers(0, 300, k), draw.integers(-2, 3, k)) for k in (n, m))
+        want = {}
+        for x, v in zip(r_at, r_w):
+            for y, w in zip(c_at, c_w):
+                if -19 <= x - y <= 20:
+                    want[int(x - y)] = want.get(int(x - y), 0) + int(v * w)
+        for hold in (7, 1_000_000):
+            ks, xs = evidence._bends(r_at, r_w, c_at, c_w, -19, 20, hold)
+            assert dict(zip(ks.tolist(), xs.tolist())) == {k: x for k, x in want.items() if x}
